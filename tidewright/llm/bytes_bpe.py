@@ -14,6 +14,8 @@ from collections.abc import Callable
 
 #: Symbols up to which rescanning beats a heap.
 SHORT = 48
+#: The rank of pairs that don't merge.
+NEVER = 1 << 60
 
 
 def printable_bytes() -> dict[str, int]:
@@ -40,19 +42,14 @@ def load_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
 
 
-def merge(piece: bytes, rank: Callable[[bytes, bytes], int | None]) -> list[bytes]:
-    """The symbols that are left of `piece`; linear-logarithmic in its length."""
+def merge(piece: bytes, rank: Callable[[bytes, bytes], int]) -> list[bytes]:
+    """The symbols that are left of `piece`; rank gives NEVER for pairs that don't merge. Linear-logarithmic in its length."""
     parts = [piece[i : i + 1] for i in range(len(piece))]
     if len(parts) > SHORT:
         return _merge_long(parts, rank)
-    ranks = [rank(a, b) for a, b in zip(parts, parts[1:])]
-    while ranks:
-        best, at = None, -1
-        for i, r in enumerate(ranks):
-            if r is not None and (best is None or r < best):
-                best, at = r, i
-        if best is None:
-            break
+    ranks = list(map(rank, parts, parts[1:]))
+    while ranks and (best := min(ranks)) != NEVER:
+        at = ranks.index(best)
         parts[at : at + 2] = [parts[at] + parts[at + 1]]
         del ranks[at]
         if at:
@@ -62,10 +59,10 @@ def merge(piece: bytes, rank: Callable[[bytes, bytes], int | None]) -> list[byte
     return parts
 
 
-def _merge_long(parts: list[bytes], rank: Callable[[bytes, bytes], int | None]) -> list[bytes]:
+def _merge_long(parts: list[bytes], rank: Callable[[bytes, bytes], int]) -> list[bytes]:
     n = len(parts)
     after, before, alive = list(range(1, n + 1)), list(range(-1, n - 1)), [True] * n
-    heap = [(r, i, parts[i], parts[i + 1]) for i in range(n - 1) if (r := rank(parts[i], parts[i + 1])) is not None]
+    heap = [(r, i, parts[i], parts[i + 1]) for i, r in enumerate(map(rank, parts, parts[1:])) if r != NEVER]
     heapq.heapify(heap)
     while heap:
         _, i, a, b = heapq.heappop(heap)
@@ -76,6 +73,6 @@ def _merge_long(parts: list[bytes], rank: Callable[[bytes, bytes], int | None])
         if after[j] < n:
             before[after[j]] = i
         for x, y in ((before[i], i), (i, after[i])):
-            if 0 <= x and y < n and (r := rank(parts[x], parts[y])) is not None:
+            if 0 <= x and y < n and (r := rank(parts[x], parts[y])) != NEVER:
                 heapq.heappush(heap, (r, x, parts[x], parts[y]))
-    return [p for p, k in zip(parts, alive) if k]
+    return [p for p, k in zip(parts, alive, strict=True) if k]

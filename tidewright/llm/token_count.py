@@ -5,21 +5,22 @@ own merges must leave one symbol. A pre-token among the proven strings then coun
 only the others are merged. The counts equal those of the tokenizers library, special strings inside a text
 included, whose occurrences count one token each.
 
-The library's Unicode tables may be older than those of the `regex` module. `odd_characters` finds, by probing the
-library with every code point, those that the two split differently; a text with one of them is split by the
-library's own pre-tokenizer.
+The library's Unicode tables may be older than those of the `regex` module. `odd_finder` finds, by probing the library
+with each character when it is first met, those that the two split differently; a text with one of them is split by
+the library's own pre-tokenizer.
 """
 
 from __future__ import annotations
 
-import sys
+import re
 import uuid
+from collections.abc import Callable
 
 import public_tokenizers
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewright.llm.bytes_bpe import load_json, merge
+from tidewright.llm.bytes_bpe import NEVER, load_json, merge
 from tidewright.llm.common import documents, map_texts, once
 
 #: Counts of merged pre-tokens that a worker remembers.
@@ -31,7 +32,7 @@ FAST_PATTERN = r"""'(?:[stmd]|re|ve|ll)| ?(?:\p{L}++|\p{N}++|[^\s\p{L}\p{N}]++)|
 def prove_whole(vocabulary: dict[bytes, int], pairs: dict[tuple[bytes, bytes], int]) -> list[str]:
     """The vocabulary strings that are one pre-token and whose merges end in one symbol."""
     pattern, proven = regex.compile(public_tokenizers.PATTERN), []
-    rank = lambda a, b: pairs.get((a, b))
+    rank = lambda a, b: pairs.get((a, b), NEVER)
     for raw in vocabulary:
         try:
             s = raw.decode()
@@ -42,28 +43,22 @@ def prove_whole(vocabulary: dict[bytes, int], pairs: dict[tuple[bytes, bytes], i
     return proven
 
 
-def odd_characters(path: str) -> str:
-    """The code points that the library's pre-tokenizer splits otherwise than the `regex` module."""
+def odd_finder(path: str) -> Callable[[str], bool]:
+    """A test for texts with a character that the library's pre-tokenizer splits otherwise than the `regex` module.
+
+    Characters are probed when first met; up to U+02AF the two are known to agree (tests/llm probe all of these).
+    """
     from tokenizers import Tokenizer
 
-    split, pattern = Tokenizer.from_file(path).pre_tokenizer.pre_tokenize_str, regex.compile(public_tokenizers.PATTERN)
-    odd = []
-    for c in map(chr, (c for c in range(sys.maxunicode + 1) if not 0xD800 <= c < 0xE000)):
-        s = f"a{c}{c}1"
-        if [x for _, x in split(s)] != [m.span() for m in pattern.finditer(s)]:
-            odd.append(c)
-    return "".join(odd)
+    split, pattern, beyond = Tokenizer.from_file(path).pre_tokenizer.pre_tokenize_str, regex.compile(public_tokenizers.PATTERN), re.compile("[^\x00-\u02af]").findall
+    odd: dict[str, bool] = {}
 
+    def probe(c: str) -> bool:
+        s = f"a{c}{c}1"
+        odd[c] = [x for _, x in split(s)] != [m.span() for m in pattern.finditer(s)]
+        return odd[c]
 
-def character_class(characters: str) -> str:
-    """A pattern for any one of `characters`, as ranges; one that never matches if there are none."""
-    points, spans = sorted(map(ord, characters)), []
-    for p in points:
-        if spans and spans[-1][1] == p - 1:
-            spans[-1][1] = p
-        else:
-            spans.append([p, p])
-    return "[" + "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in spans) + "]" if spans else r"(?!)"
+    return lambda s: any([odd[c] if c in odd else probe(c) for c in set(beyond(s))])
 
 
 class Counter(dict):
@@ -78,7 +73,7 @@ class Counter(dict):
             self.clear()
             self.update(dict.fromkeys(self.proven, 1))
         pairs = self.pairs
-        n = len(merge(piece.encode("utf-8", "surrogatepass"), lambda a, b: pairs.get((a, b))))
+        n = len(merge(piece.encode("utf-8", "surrogatepass"), lambda a, b: pairs.get((a, b), NEVER)))
         if len(piece) <= 64:
             self[piece] = n
         return n
@@ -91,20 +86,19 @@ def token_counts(docs: DataFrame, path: str, text: str = "text", keep: tuple[str
     out, an empty table gives an empty result. The vocabulary file bounds what is broadcast.
     """
     vocabulary, pairs, specials = load_json(path)
-    odd = character_class(odd_characters(path))
-    model = docs.sparkSession.sparkContext.broadcast((prove_whole(vocabulary, pairs), pairs, sorted(specials, key=len, reverse=True), odd, path))
+    model = docs.sparkSession.sparkContext.broadcast((prove_whole(vocabulary, pairs), pairs, sorted(specials, key=len, reverse=True), path))
     key = uuid.uuid4().hex
 
     def make():
         def build():
-            proven, pairs, specials, odd, path = model.value
-            return Counter(proven, pairs), regex.compile(FAST_PATTERN), regex.compile("|".join(map(regex.escape, specials)) or "(?!)"), regex.compile(odd), path
+            proven, pairs, specials, path = model.value
+            return Counter(proven, pairs), regex.compile(FAST_PATTERN), regex.compile("|".join(map(regex.escape, specials)) or "(?!)"), odd_finder(path), path
 
         counter, pattern, special, odd, path = once(key, build)
         of, findall = counter.__getitem__, pattern.findall
 
         def pieces(s: str) -> list[str]:
-            if s.isascii() or not odd.search(s):
+            if s.isascii() or not odd(s):
                 return findall(s)
             from tokenizers import Tokenizer
 
