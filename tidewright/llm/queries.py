@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from tidewright.llm.packing import op6_pack
+from tidewright.llm.simhash import op3_simhash
 from tidewright.llm.token_count import op2_token_counts
 
-QUERIES = {"op2_token_counts": op2_token_counts}
+QUERIES = {"op2_token_counts": op2_token_counts, "op3_simhash": op3_simhash, "op6_pack": op6_pack}
 ORACLES: dict[str, str] = {}
