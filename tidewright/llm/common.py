@@ -13,13 +13,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Rows that Spark puts in one Arrow batch, and bytes of text that one call of an operator's function gets.
-BATCH_ROWS = 1000
-SLICE_BYTES = 8 << 20
+BATCH_ROWS = 4000
+SLICE_BYTES = 16 << 20
 
 _kept: dict[str, object] = {}
 
 
-def once(key: str, build: Callable[[], object], most: int = 4) -> object:
+def once(key: str, build: Callable[[], object], most: int = 2) -> object:
     """The value of `build()`, made once in each Python worker; the oldest of more than `most` values goes."""
     if key not in _kept:
         while len(_kept) >= most:
@@ -47,6 +47,25 @@ def slices(batch: pa.RecordBatch, text: str, limit: int = SLICE_BYTES) -> Iterat
         start = end
 
 
+def coded_words(texts: pa.Array, lower: bool = False, wide: bool = False) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """The words of texts (null: none) as numbers into the last result, an array of the different words.
+
+    Words are parted by ASCII white space, or by any if `wide`; `lower` lowers A-Z. The second result has where
+    each text's words begin, and where the last ones end.
+    """
+    texts = pc.fill_null(texts, "")
+    lists = (pc.utf8_split_whitespace if wide else pc.ascii_split_whitespace)(pc.ascii_lower(texts) if lower else texts)
+    ends = lists.offsets.to_numpy().astype(np.int64)
+    coded = lists.values.slice(ends[0], ends[-1] - ends[0]).dictionary_encode()
+    ends, codes = ends - ends[0], coded.indices.to_numpy().astype(np.int64)
+    empty = coded.dictionary.index("").as_py()
+    if empty >= 0:  # white space at an end of a text
+        real = codes != empty
+        ends = np.r_[0, np.cumsum(real)][ends]
+        codes = codes[real]
+    return codes, ends, coded.dictionary
+
+
 def map_texts(docs: DataFrame, make: Callable[[], Callable[[list], list]], fields: list[tuple[str, str]], text: str = "text", keep: tuple[str, ...] = ("doc_id",), limit: int = SLICE_BYTES) -> DataFrame:
     """One row for each row of `docs`: the columns `keep`, then `fields` (name and type).
 

@@ -11,31 +11,31 @@ from __future__ import annotations
 
 import re
 import unicodedata
-import uuid
 import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewright.llm.common import BATCH_ROWS, SLICE_BYTES, documents, durable, once, slices
+from tidewright.llm.common import BATCH_ROWS, SLICE_BYTES, coded_words, documents, durable, once, slices
 
 #: Words whose ids a worker remembers, and their greatest length.
 MEMORY, LONGEST = 1_000_000, 64
 #: White space by which the tokenizer parts words as Python does; the four other separators of Python it keeps.
-KEPT_BY_TOKENIZER = re.compile("[\x1c-\x1f]")
+KEPT_BY_TOKENIZER = "[\x1c-\x1f]"
 #: The tokenizer's own pattern (a fixed value of its file).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
 
-def word_tokenizer(path: str) -> Callable[[list], list[bytes]]:
-    """A function from texts (None: empty) to their ids as little-endian unsigned 32-bit numbers, without special tokens.
+def word_tokenizer(path: str) -> Callable[[pa.Array], list[bytes]]:
+    """A function from an array of texts (null: empty) to their ids as little-endian unsigned 32-bit numbers, without special tokens.
 
     The tokenizer drops white space and never joins across it, so words are encoded apart and remembered. Special
     strings have no white space in them and are left to the library with the word that holds them.
@@ -94,32 +94,40 @@ def word_tokenizer(path: str) -> Callable[[list], list[bytes]]:
         for w, found in split.items():
             words[w] = b"".join(map(get, found))
 
-    def encode(texts: list) -> list[bytes]:
-        split = [t.split() if t and not KEPT_BY_TOKENIZER.search(t) else None for t in texts]
-        seen = set().union(*(s for s in split if s))
+    def encode(texts: pa.Array) -> list[bytes]:
+        codes, ends, different = coded_words(texts, wide=True)
+        seen = different.to_pylist()
         if len(words) > MEMORY:
-            trim(words, seen)
+            trim(words, set(seen))
         new = [w for w in seen if w not in words]
-        long = {w for w in new if len(w) > LONGEST}
-        learn([w for w in new if w not in long])
+        long = [w for w in new if len(w) > LONGEST]
+        learn([w for w in new if len(w) <= LONGEST])
         for w in long:
             words[w] = whole(w)
-        get = words.__getitem__
-        out = [b"".join(map(get, s)) if s is not None else whole(t or "") for s, t in zip(split, texts, strict=True)]
+        found = [words[w] for w in seen]
         for w in long:
             del words[w]
+        n = np.fromiter((len(x) // 4 for x in found), dtype=np.int64, count=len(found))
+        start, flat = (np.cumsum(n) - n)[codes], np.frombuffer(b"".join(found), dtype="<u4")
+        n = n[codes]
+        total = np.cumsum(n)
+        ids = flat[np.arange(total[-1] if len(total) else 0) + np.repeat(start - (total - n), n)]
+        cuts = np.r_[0, total][ends].tolist()
+        out = [ids[a:b].tobytes() for a, b in zip(cuts, cuts[1:])]
+        for i in pc.indices_nonzero(pc.fill_null(pc.match_substring_regex(texts, KEPT_BY_TOKENIZER), False)).to_pylist():
+            out[i] = whole(texts[i].as_py())
         return out
 
     return encode
 
 
-def numbered(batches: Iterator[pa.RecordBatch], encode: Callable[[list], list[bytes]], end: bytes) -> Iterator[pa.RecordBatch]:
+def numbered(batches: Iterator[pa.RecordBatch], encode: Callable[[pa.Array], list[bytes]], end: bytes) -> Iterator[pa.RecordBatch]:
     """Rows with the partition's number, the number of their ids and these ids, compressed."""
     press = zstandard.ZstdCompressor(level=1).compress
     partition = TaskContext.get().partitionId()
     for whole in batches:
         for part in slices(whole, "__text", SLICE_BYTES):
-            ids = [x + end for x in encode(part.column("__text").to_pylist())]
+            ids = [x + end for x in encode(part.column("__text"))]
             tokens = np.fromiter((len(x) // 4 for x in ids), dtype=np.int64, count=len(ids))
             yield pa.RecordBatch.from_arrays([pa.array([partition] * len(ids), pa.int32()), part.column("doc_id"), pa.array(tokens), pa.array([press(x) for x in ids], pa.binary())], names=["partition", "doc_id", "tokens", "ids"])
 
@@ -145,7 +153,7 @@ def pack(docs: DataFrame, path: str, window: int = 2048, end_id: int = 1) -> Dat
     """
     spark = docs.sparkSession
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-    key, end = uuid.uuid4().hex, np.asarray([end_id], dtype="<u4").tobytes()
+    key, end = f"ids of {path}", np.asarray([end_id], dtype="<u4").tobytes()
     source = docs.select("doc_id", F.col("text").cast("string").alias("__text"))
     kind = source.schema["doc_id"].dataType.simpleString()
 

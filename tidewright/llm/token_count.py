@@ -13,7 +13,6 @@ the library's own pre-tokenizer.
 from __future__ import annotations
 
 import re
-import uuid
 from collections.abc import Callable
 
 import public_tokenizers
@@ -87,7 +86,7 @@ def token_counts(docs: DataFrame, path: str, text: str = "text", keep: tuple[str
     """
     vocabulary, pairs, specials = load_json(path)
     model = docs.sparkSession.sparkContext.broadcast((prove_whole(vocabulary, pairs), pairs, sorted(specials, key=len, reverse=True), path))
-    key = uuid.uuid4().hex
+    key = f"token_count {path}"
 
     def make():
         def build():

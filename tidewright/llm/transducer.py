@@ -16,7 +16,6 @@ from __future__ import annotations
 
 import hashlib
 import itertools
-import uuid
 from collections.abc import Iterable
 
 import public_tokenizers
@@ -266,7 +265,7 @@ def encode_decode(docs: DataFrame, path: str, text: str = "text", keep: tuple[st
     """
     ranks = load_ranks(path)
     model = docs.sparkSession.sparkContext.broadcast((ranks, unreachable(ranks)))
-    key = uuid.uuid4().hex
+    key = f"transducer {path}"
 
     def make():
         def build():
