@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewright.llm.common import BATCH_ROWS, SLICE_BYTES, documents, durable, shared_folder, slices
+from tidewright.llm.common import BATCH_ROWS, SLICE_BYTES, documents, shared_folder, slices, table
 
 WIDTH = 64
 #: Bytes after which a task starts another shard; bytes of signature and header of an image.
@@ -125,8 +125,9 @@ class Shards:
             self.out, self.seen, self.number = None, {}, self.number + 1
 
 
-def ingest(docs: DataFrame, folder: str, text: str = "text") -> DataFrame:
-    """doc_id, n_bytes, digest (of the payload), shard, offset and length for every row; the shards lie in `folder`."""
+def ingest(docs: DataFrame, folder: str, text: str = "text") -> tuple[DataFrame, DataFrame]:
+    """Writes the payloads to shards in `folder`. Two tables: doc_id, n_bytes and digest (of the payload) for every row, and
+    digest, shard, offset and length of the one entry to which all rows of a digest point."""
     docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     source = docs.select("doc_id", F.col(text).cast("string").alias("__text"))
     kind = source.schema["doc_id"].dataType.simpleString()
@@ -138,24 +139,24 @@ def ingest(docs: DataFrame, folder: str, text: str = "text") -> DataFrame:
                 for part in slices(whole, "__text", SLICE_BYTES):
                     rows = []
                     for samples, n in map(payload, part.column("__text").to_pylist()):
-                        digest = hashlib.sha256(samples).hexdigest()
-                        rows.append((n, digest, *shards.put(digest, lambda samples=samples: to_png(samples))))
+                        digest = hashlib.sha256(samples)
+                        rows.append((n, digest.digest(), *shards.put(digest.hexdigest(), lambda samples=samples: to_png(samples))))
                     n, digest, shard, offset, length = zip(*rows, strict=True)
                     yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(n, pa.int64()), pa.array(digest), pa.array(shard), pa.array(offset, pa.int64()), pa.array(length, pa.int64())], names=["doc_id", "n_bytes", "digest", "shard", "offset", "length"])
         finally:
             shards.close()
 
-    made = durable(source.mapInArrow(write, f"doc_id {kind}, n_bytes long, digest string, shard string, offset long, length long"))
+    made = table(source.mapInArrow(write, f"doc_id {kind}, n_bytes long, digest binary, shard string, offset long, length long"), "payloads")
     first = made.groupBy("digest").agg(F.min(F.struct("shard", "offset", "length")).alias("at"))
-    return made.select("doc_id", "n_bytes", "digest").join(first, "digest").select("doc_id", "n_bytes", "digest", "at.shard", "at.offset", "at.length")
+    return made.select("doc_id", "n_bytes", "digest"), table(first.select("digest", "at.*"), "entries")
 
 
-def _ranged(rows: DataFrame, folder: str, fields: str, header_only: bool, work) -> DataFrame:
-    """(digest, more) for each different entry of `rows`, read shard by shard in the order of their places."""
-    entries = rows.select("digest", "shard", "offset", "length").distinct().repartition("shard").sortWithinPartitions("shard", "offset")
-    names = ["digest", *(f.split()[0] for f in fields.split(", "))]
+def _ranged(entries: DataFrame, folder: str, fields: str, work) -> DataFrame:
+    """`entries` and what work(read, length) makes of each, where read(n) gives an entry's first n bytes; shard by shard, in the order of their places."""
+    entries = entries.select("digest", "shard", "offset", "length").repartition("shard").sortWithinPartitions("shard", "offset")
+    names = ["digest", "shard", "offset", "length", *(f.split()[0] for f in fields.split(", "))]
 
-    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         system, root = filesystem(folder)
         name, source = None, None
         for b in batches:
@@ -165,28 +166,30 @@ def _ranged(rows: DataFrame, folder: str, fields: str, header_only: bool, work)
                     if source is not None:
                         source.close()
                     name, source = shard, system.open_input_file(f"{root}/{shard}")
-                out.append((digest, *work(source.read_at(HEADER_BYTES if header_only else length, offset))))
+                out.append((digest, shard, offset, length, *work(lambda n, at=offset: source.read_at(n, at), length)))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(list(c)) for c in zip(*out, strict=True)], names=names)
         if source is not None:
             source.close()
 
-    return entries.mapInArrow(read, f"digest string, {fields}")
+    return entries.mapInArrow(run, f"digest binary, shard string, offset long, length long, {fields}")
 
 
-def headers(rows: DataFrame, folder: str) -> DataFrame:
-    """digest, width, height and depth of the entries that `rows` point to, from their first bytes."""
-    return _ranged(rows, folder, "width long, height long, depth long", True, png_header)
+def headers(entries: DataFrame, folder: str) -> DataFrame:
+    """`entries` with width, height and depth, from range reads of their first bytes alone."""
+    return _ranged(entries, folder, "width long, height long, depth long", lambda read, length: png_header(read(HEADER_BYTES)))
 
 
-def read_back(rows: DataFrame, folder: str) -> DataFrame:
-    """What the stored bytes of each entry hold: sizes, digests and features."""
+def read_back(entries: DataFrame, folder: str) -> DataFrame:
+    """`entries` with their metadata, and what the stored bytes hold: sizes, digests and features."""
 
-    def work(raw: bytes) -> tuple:
+    def work(read, length: int) -> tuple:
+        shape = png_header(read(HEADER_BYTES))
+        raw = read(length)
         samples = from_png(raw)
-        return len(samples), hashlib.sha256(samples).hexdigest(), zlib.crc32(samples[-64:]), len(raw), hashlib.sha256(raw).hexdigest(), features(samples, png_header(raw[:HEADER_BYTES]))
+        return *shape, len(samples), hashlib.sha256(samples).hexdigest(), zlib.crc32(samples[-64:]), len(raw), hashlib.sha256(raw).hexdigest(), features(samples, shape)
 
-    return _ranged(rows, folder, "payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string", False, work)
+    return _ranged(entries, folder, "width long, height long, depth long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string", work)
 
 
 def media_columns(docs: DataFrame, folder: str, text: str = "text") -> DataFrame:
@@ -195,9 +198,9 @@ def media_columns(docs: DataFrame, folder: str, text: str = "text") -> DataFrame
     A null or empty text is a payload of 64 zeros. Repeated rows share an entry and its values. Other columns are
     left out; an empty table writes no shard and gives an empty result.
     """
-    rows = durable(ingest(docs, folder, text))
-    found = durable(read_back(rows, folder).join(headers(rows, folder), "digest"))
-    return rows.join(found, "digest").select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "digest", "shard", "offset", "length", "width", "height", "depth")
+    rows, entries = ingest(docs, folder, text)
+    found = read_back(entries, folder)
+    return rows.join(found, "digest").select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "shard", "offset", "length", "width", "height", "depth")
 
 
 def op9_media(spark: SparkSession, sf_dir: str) -> DataFrame:
