@@ -5,9 +5,10 @@ from __future__ import annotations
 from tidewright.llm.html_text import op10_main_text
 from tidewright.llm.media import op9_media
 from tidewright.llm.packing import op6_pack
+from tidewright.llm.quality import op1_robust_outliers
 from tidewright.llm.simhash import op3_simhash
 from tidewright.llm.token_count import op2_token_counts
 from tidewright.llm.transducer import op8_transducer
 
-QUERIES = {"op2_token_counts": op2_token_counts, "op3_simhash": op3_simhash, "op6_pack": op6_pack, "op8_transducer": op8_transducer, "op9_media": op9_media, "op10_main_text": op10_main_text}
+QUERIES = {"op1_robust_outliers": op1_robust_outliers, "op2_token_counts": op2_token_counts, "op3_simhash": op3_simhash, "op6_pack": op6_pack, "op8_transducer": op8_transducer, "op9_media": op9_media, "op10_main_text": op10_main_text}
 ORACLES: dict[str, str] = {}
