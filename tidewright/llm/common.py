@@ -96,14 +96,14 @@ def _arrow_type(kind: T.DataType) -> pa.DataType:
     return to_arrow_type(kind)
 
 
-def filter_texts(docs: DataFrame, make: Callable[[], Callable[[list], list]], text: str = "text") -> DataFrame:
+def filter_texts(docs: DataFrame, make: Callable[[], Callable[[list], list]], text: str = "text", limit: int = SLICE_BYTES) -> DataFrame:
     """The rows of `docs`, with all columns, whose text gets a true value from the function that `make()` returns."""
     docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         f = make()
         for whole in batches:
-            for part in slices(whole, text):
+            for part in slices(whole, text, limit):
                 yield part.filter(pa.array(f(part.column(text).to_pylist()), type=pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
