@@ -152,11 +152,15 @@ def train(texts: list[str], langs: list[str]) -> Field | None:
 
 
 def sample(docs: DataFrame, text: str = "text", lang: str = "lang", held_out: int = 2, modulus: int = 4) -> tuple[list[str], list[str]]:
-    """At most SAMPLE training texts of each language, those with the least hashes of their ids, for LANGUAGES languages."""
+    """At most SAMPLE training texts of each of the LANGUAGES most frequent languages, those with the least hashes of their ids.
+
+    Hashes that lie far above are left out before rows of a language meet.
+    """
     rows = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull() & (remainder("doc_id", modulus) != held_out))
-    first = rows.select("doc_id", F.col(lang).alias("lang"), F.xxhash64("doc_id").alias("h")).distinct()
-    ranked = first.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id"))).where(F.col("r") <= SAMPLE)
-    chosen = ranked.orderBy("r", "lang").limit(SAMPLE * LANGUAGES).select("doc_id", "lang")
+    ids = rows.select("doc_id", F.col(lang).alias("lang"), F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)).alias("h"))
+    sizes = ids.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES)
+    near = ids.join(F.broadcast(sizes), "lang").where(F.col("h") * F.col("n") < float(4 * SAMPLE << 40)).select("doc_id", "lang", "h").distinct()
+    chosen = near.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id"))).where(F.col("r") <= SAMPLE).select("doc_id", "lang")
     found = docs.select("doc_id", F.col(lang).alias("lang"), F.col(text).alias("text")).where("text is not null").join(F.broadcast(chosen), ["doc_id", "lang"])
     got = sorted((r["lang"], r["doc_id"], r["text"]) for r in found.collect())
     return [t for _, _, t in got], [x for x, _, _ in got]

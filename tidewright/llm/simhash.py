@@ -20,8 +20,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tidewright.llm.common import documents, durable, map_texts
+from tidewright.llm.common import BATCH_ROWS, documents, durable, map_texts, slices
 from tidewright.llm.components import components
 
 RADIUS = 3
@@ -189,20 +190,47 @@ def fingerprint_links(nodes: DataFrame) -> DataFrame:
     return sharded(nodes, nodes.count()).repartition("shard").sortWithinPartitions("shard").mapInArrow(linked, "a long, b long")
 
 
+def classes(prints: DataFrame) -> DataFrame:
+    """fp, its class (the root's fp) and component_id (the class's least doc_id) for each different fp of `prints` (doc_id, fp)."""
+    nodes = durable(prints.groupBy("fp").agg(F.min("doc_id").alias("least")))
+    roots = components(fingerprint_links(nodes.select("fp")))
+    labelled = nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    least = labelled.groupBy("root").agg(F.min("least").alias("component_id"))
+    return durable(labelled.join(least, "root").select("fp", "root", "component_id"))
+
+
 def near_duplicates(docs: DataFrame, text: str = "text") -> DataFrame:
     """doc_id, fingerprint (16 hex digits) and component_id (least doc_id reachable by links) for every row.
 
     A null, empty or blank text has fingerprint zero and is linked like any other. A row without doc_id keeps a null
-    there and takes the component of its fingerprint. Repeated rows stay. Other columns are left out; an empty table
-    gives an empty result.
+    there and takes the component of its fingerprint, which is null if none of its rows has an id. Repeated rows
+    stay. Other columns are left out; an empty table gives an empty result.
     """
     prints = durable(fingerprints(docs, text))
-    nodes = durable(prints.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    roots = components(fingerprint_links(nodes.select("fp")))
-    labelled = nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    least = labelled.groupBy("root").agg(F.min("least").alias("component_id"))
-    classes = durable(labelled.join(least, "root").select("fp", "component_id"))
-    return prints.join(classes, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return prints.join(classes(prints), "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def one_of_each_class(docs: DataFrame, text: str = "text") -> DataFrame:
+    """The rows of `docs`, with all columns, that stay: one of each class of near-duplicates, that with the least doc_id.
+
+    A row without id stays only in a class where no row has one. Of several rows with the id that stays any one does.
+    Rows repeated in a task are dropped before the shuffle.
+    """
+    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    id_type = docs.schema["doc_id"].dataType
+    keys = ["__id", "__none", "__fp"]
+    keyed = lambda df: df.select("*", F.coalesce("doc_id", F.lit(0).cast(id_type)).alias("__id"), F.col("doc_id").isNull().alias("__none"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for part in slices(whole, text):
+                fp = np.array([fingerprint(t) for t in part.column(text).to_pylist()], dtype=np.uint64).view(np.int64)
+                yield part.append_column("__fp", pa.array(fp))
+
+    prints = durable(fingerprints(docs, text))
+    first = keyed(prints).withColumnRenamed("fp", "__fp").join(classes(prints).select(F.col("fp").alias("__fp"), "root"), "__fp").groupBy("root").agg(F.min(F.struct("__none", "__id", "__fp")).alias("s")).select("s.*")
+    marked = docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("__fp", T.LongType())]))
+    return keyed(marked).dropDuplicates(keys).join(first, keys, "left_semi").select(docs.columns)
 
 
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
