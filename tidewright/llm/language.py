@@ -20,8 +20,8 @@ from pyspark.sql import functions as F
 from tidewright.llm.common import coded_words, documents, filter_texts, map_texts, once, remainder
 from tidewright.llm.lattice import Lattice
 
-#: Texts of each language in the training sample, languages at most, and words in spliced sequences for each text.
-SAMPLE, LANGUAGES, SPLICED = 250, 200, 300
+#: Texts of each language in the training sample, languages and texts at most, and words in spliced sequences for each text.
+SAMPLE, LANGUAGES, TEXTS, SPLICED = 250, 40, 2000, 200
 #: Lengths of n-grams in bytes, the buckets they are hashed to, and words in the lexicon (with this many occurrences).
 NGRAMS, BUCKETS, LEXICON, SEEN = (2, 3, 4, 5), 1 << 16, 20_000, 3
 #: Passes over the sample, step and shrinkage of the training; bytes of text worked on at once.
@@ -54,12 +54,11 @@ class Words:
 
     def emissions(self, weights: np.ndarray) -> np.ndarray:
         """The sum of the features' weights for each word and language."""
-        found = weights[self.features]
-        return np.stack([np.bincount(self.owners, weights=found[:, k], minlength=self.count) for k in range(weights.shape[1])], axis=1)
+        return np.stack([np.bincount(self.owners, weights=weights[:, k][self.features], minlength=self.count) for k in range(weights.shape[1])], axis=1)
 
     def gathered(self, by_word: np.ndarray, size: int) -> np.ndarray:
         """The transpose of `emissions`."""
-        return np.stack([np.bincount(self.features, weights=by_word[self.owners, k], minlength=size) for k in range(by_word.shape[1])], axis=1)
+        return np.stack([np.bincount(self.features, weights=by_word[:, k][self.owners], minlength=size) for k in range(by_word.shape[1])], axis=1)
 
 
 def potentials(scores: np.ndarray) -> np.ndarray:
@@ -152,7 +151,7 @@ def train(texts: list[str], langs: list[str]) -> Field | None:
 
 
 def sample(docs: DataFrame, text: str = "text", lang: str = "lang", held_out: int = 2, modulus: int = 4) -> tuple[list[str], list[str]]:
-    """At most SAMPLE training texts of each of the LANGUAGES most frequent languages, those with the least hashes of their ids.
+    """At most SAMPLE training texts of each of the LANGUAGES most frequent languages, TEXTS in all, those with the least hashes of their ids.
 
     Hashes that lie far above are left out before rows of a language meet.
     """
@@ -160,7 +159,7 @@ def sample(docs: DataFrame, text: str = "text", lang: str = "lang", held_out: in
     ids = rows.select("doc_id", F.col(lang).alias("lang"), F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)).alias("h"))
     sizes = ids.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES)
     near = ids.join(F.broadcast(sizes), "lang").where(F.col("h") * F.col("n") < float(4 * SAMPLE << 40)).select("doc_id", "lang", "h").distinct()
-    chosen = near.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id"))).where(F.col("r") <= SAMPLE).select("doc_id", "lang")
+    chosen = near.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id"))).where(F.col("r") <= SAMPLE).orderBy("r", "lang").limit(TEXTS).select("doc_id", "lang")
     found = docs.select("doc_id", F.col(lang).alias("lang"), F.col(text).alias("text")).where("text is not null").join(F.broadcast(chosen), ["doc_id", "lang"])
     got = sorted((r["lang"], r["doc_id"], r["text"]) for r in found.collect())
     return [t for _, _, t in got], [x for x, _, _ in got]

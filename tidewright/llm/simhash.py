@@ -13,7 +13,7 @@ Out of a shard come the links that join its connected fingerprints, fewer than i
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import combinations
+from itertools import combinations, islice
 
 import numpy as np
 import pyarrow as pa
@@ -42,7 +42,7 @@ def fingerprint(text: str | None, size: int = 3, seed: int = 42) -> int:
     shingles = map(b" ".join, zip(*(words[i:] for i in range(size)))) if len(words) >= size else iter([b" ".join(words)])
     n, ones, digest = max(1, len(words) - size + 1), np.zeros(64, dtype=np.int64), xxhash.xxh64_intdigest
     for start in range(0, n, CHUNK):
-        h = np.fromiter((digest(s, seed) for s, _ in zip(shingles, range(min(CHUNK, n - start)))), dtype="<u8")
+        h = np.fromiter((digest(s, seed) for s in islice(shingles, CHUNK)), dtype="<u8")
         ones += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
     return int(np.packbits(2 * ones > n, bitorder="little").view("<u8")[0])
 
