@@ -156,27 +156,11 @@ def test_base_against_brute_force_and_likelihood_on_held_out(spark, data):
     assert all(r.score < 0 for r in got)
 
 
-def test_words_that_are_joined_score_the_same(spark, data, monkeypatch):
+def test_words_that_are_joined_score_the_same(spark, data):
     docs = documents(spark, data)
-    score = lambda: [r.score for r in sorted(language_model.language_model(docs).collect(), key=lambda r: r.doc_id)]
-    monkeypatch.setattr(language_model, "OWN", 64)
-    monkeypatch.setattr(language_model, "MARKERS", 32)
-    monkeypatch.setattr(language_model, "END", 64 + language_model.ENDINGS)
-    monkeypatch.setattr(language_model, "CLASSES", 65 + language_model.ENDINGS)
-    all_here = language_model.vocabulary
-    counts = {}
-
-    def fewer(c, n):
-        monkeypatch.setattr(language_model, "BROADCAST", 500)
-        v = all_here(c, n)
-        counts["few"] = len(v.words)
-        return v
-
-    every = score()
-    monkeypatch.setattr(language_model, "vocabulary", fewer)
-    few = score()
-    assert counts["few"] <= 500
-    assert np.allclose(every, few, rtol=1e-3)
+    every, few = ([r for r in sorted(language_model.language_model(docs, own=64, broadcast=n).collect(), key=lambda r: r.doc_id)] for n in (1 << 20, 500))
+    check_base(docs, few)
+    assert np.allclose([r.score for r in every], [r.score for r in few], rtol=1e-3)
 
 
 def test_language_model_of_odd_rows(spark):

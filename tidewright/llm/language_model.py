@@ -32,18 +32,15 @@ OWN, BROADCAST, ENDINGS, LETTERS = 32_768, 262_144, 4096, 3
 #: Groups of states, states in each, words by which groups are told apart, and steps of Baum-Welch.
 GROUPS, ROLES, MARKERS, STEPS = 4, 2, 256, 3
 STATES = GROUPS * ROLES
-#: Pseudo-counts by which each state's emissions lean on the unigram, and transitions on the uniform.
-LEAN, LEAN_MOVES = 200.0, 1.0
+#: Occurrences that are added to each class, dealt out as all tokens are to the states, and to each transition.
+LEAN, LEAN_MOVES = 1.0, 1.0
 #: Different words that a task counts before it passes counts on; tokens that one recursion takes; bounds of the lengths that go together.
 COUNTED, TOKENS, LENGTHS = 400_000, 400_000, (400, 1600, 6400)
-#: The class numbers that come after the words'.
-END = OWN + ENDINGS
-CLASSES = END + 1
 
 
 def ending(word: str) -> int:
-    """The class of a word without its own, by its last letters."""
-    return OWN + zlib.crc32(word[-LETTERS:].encode("utf-8", "surrogatepass")) % ENDINGS
+    """The number of a word's last letters, for words without a class of their own."""
+    return zlib.crc32(word[-LETTERS:].encode("utf-8", "surrogatepass")) % ENDINGS
 
 
 # -- counts ---------------------------------------------------------------------------------------------------------
@@ -75,10 +72,13 @@ def word_counts(texts: DataFrame) -> DataFrame:
 
 
 class Vocabulary:
-    """Frequent words with their counts, and the totals of each class of other words; its size is bounded."""
+    """Frequent words with their counts, and the totals of each class of other words; its size is bounded.
 
-    def __init__(self, words: list[str], counts: list[int], tokens: int, types: int, class_tokens: np.ndarray, class_types: np.ndarray):
-        self.words = words
+    Classes are the first `own` words, then the endings, then the end of a text.
+    """
+
+    def __init__(self, words: list[str], counts: list[int], own: int, tokens: int, types: int, class_tokens: np.ndarray, class_types: np.ndarray):
+        self.words, self.own, self.end = words, own, own + ENDINGS
         self.counts = np.array([*counts, 0], dtype=np.int64)  # the last for words that are not here
         self.tokens, self.types = tokens, types
         self.share = np.log10(class_tokens + 0.5 * (class_types + 1))  # of an ending's class, what a word's count is divided by
@@ -87,27 +87,27 @@ class Vocabulary:
         return {w: i for i, w in enumerate(self.words)}
 
 
-def vocabulary(counts: DataFrame, n_docs: int) -> Vocabulary:
-    """From (word, c): the words whose count is among the highest, as many as BROADCAST allows with all of a count or none."""
+def vocabulary(counts: DataFrame, n_docs: int, own: int, broadcast: int) -> Vocabulary:
+    """From (word, c): the words whose count is among the highest, as many as `broadcast` allows with all of a count or none."""
     sizes = durable(counts.groupBy("c").agg(F.count("*").alias("n")))
     # one row for each different count; cumulated from the highest
     found = sorted(((r["c"], r["n"]) for r in sizes.collect()), reverse=True)
     tokens, types = sum(c * n for c, n in found), sum(n for _, n in found)
     least, held = math.inf, 0
     for c, n in found:
-        if held + n > BROADCAST:
+        if held + n > broadcast:
             break
         least, held = c, held + n
     rows = sorted(((-r["c"], r["word"]) for r in counts.where(F.col("c") >= least).collect()) if held else [])
-    words, own = [w for _, w in rows], [-c for c, _ in rows]
+    words, high = [w for _, w in rows], [-c for c, _ in rows]
     class_tokens, class_types = np.zeros(ENDINGS), np.zeros(ENDINGS)
     ends = F.crc32(F.expr(f"right(word, {LETTERS})")) % ENDINGS
     for r in counts.where(F.col("c") < least if held else F.lit(True)).groupBy(ends.alias("e")).agg(F.sum("c").alias("c"), F.count("*").alias("n")).collect():
         class_tokens[r["e"]], class_types[r["e"]] = r["c"], r["n"]
-    for w, c in zip(words[OWN:], own[OWN:], strict=True):
-        class_tokens[ending(w) - OWN] += c
-        class_types[ending(w) - OWN] += 1
-    return Vocabulary(words, own, tokens + n_docs, types + (n_docs > 0), class_tokens, class_types)
+    for w, c in zip(words[own:], high[own:], strict=True):
+        class_tokens[ending(w)] += c
+        class_types[ending(w)] += 1
+    return Vocabulary(words, high, own, tokens + n_docs, types + (n_docs > 0), class_tokens, class_types)
 
 
 # -- texts as classes -----------------------------------------------------------------------------------------------
@@ -121,7 +121,7 @@ def encoded(rows: DataFrame, model) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = model.value
         place = once(key, v.place)
-        n_words, press = len(v.words), zstandard.ZstdCompressor(level=1).compress
+        own, n_words, press = v.own, len(v.words), zstandard.ZstdCompressor(level=1).compress
         row = TaskContext.get().partitionId() << 33
         log_c = np.log10(v.counts + 0.5)
         for whole in batches:
@@ -129,16 +129,16 @@ def encoded(rows: DataFrame, model) -> DataFrame:
                 codes, ends, different = coded_words(part.column("text"), lower=True)
                 strings = different.to_pylist()
                 at = np.fromiter((place.get(w, n_words) for w in strings), dtype=np.int64, count=len(strings))
-                classes = np.fromiter((p if p < OWN and p < n_words else ending(w) for p, w in zip(at.tolist(), strings, strict=True)), dtype=np.int32, count=len(strings))
-                norm = np.where(classes >= OWN, v.share[np.maximum(classes - OWN, 0)], 0.0)
+                classes = np.fromiter((p if p < own and p < n_words else own + ending(w) for p, w in zip(at.tolist(), strings, strict=True)), dtype=np.int32, count=len(strings))
+                norm = np.where(classes >= own, v.share[np.maximum(classes - own, 0)], 0.0)
                 here = at < n_words
-                inside = np.where(classes >= OWN, np.where(here, log_c[at], 0.0) - norm, 0.0)  # the word's share of its class
+                inside = np.where(classes >= own, np.where(here, log_c[at], 0.0) - norm, 0.0)  # the word's share of its class
                 known = np.where(here, log_c[at], 0.0)
                 upto = lambda x: np.diff(np.concatenate([[0.0], np.cumsum(x[codes])])[ends])
                 away, cut = codes[~here[codes]], np.r_[0, np.cumsum(~here[codes])][ends]
                 ids = classes[codes]
                 size = np.diff(ends)
-                ids = np.insert(ids, ends[1:], END) if len(size) else ids
+                ids = np.insert(ids, ends[1:], v.end) if len(size) else ids
                 stops = ends + np.arange(len(ends))
                 n = part.num_rows
                 yield pa.RecordBatch.from_arrays([
@@ -201,7 +201,7 @@ class Hmm:
         for (a, b), (c, d) in zip(lattice.bounds, lattice.bounds[1:]):
             joint += alpha[a : a + d - c].T @ emit[c:d]
         beta *= alpha
-        emissions = np.stack([np.bincount(codes, weights=beta[:, k], minlength=CLASSES) for k in range(STATES)], axis=1)
+        emissions = np.stack([np.bincount(codes, weights=beta[:, k], minlength=len(self.emit)) for k in range(STATES)], axis=1)
         return first.sum(axis=0, dtype=np.float64), joint * self.move, emissions
 
 
@@ -223,20 +223,20 @@ def _rows(matrix: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(full.astype(np.int32)), *(pa.array(matrix[full, k].astype(np.float32)) for k in range(matrix.shape[1]))], names=["i", *(f"v{k}" for k in range(matrix.shape[1]))])
 
 
-def companions(training: DataFrame) -> np.ndarray:
-    """In how many texts each two of the MARKERS most frequent words occur."""
+def companions(training: DataFrame, markers: int) -> np.ndarray:
+    """In how many texts each two of the `markers` most frequent words occur."""
 
     def run(batches):
-        together = np.zeros((MARKERS, MARKERS))
+        together = np.zeros((markers, markers))
         for _, texts in gathered(batches):
             owner, ids = np.repeat(np.arange(len(texts)), [len(t) for t in texts]), np.concatenate(texts)
-            present = np.zeros((len(texts), MARKERS), dtype=np.float32)
-            present[owner[ids < MARKERS], ids[ids < MARKERS]] = 1
+            present = np.zeros((len(texts), markers), dtype=np.float32)
+            present[owner[ids < markers], ids[ids < markers]] = 1
             together += present.T @ present
         yield _rows(together)
 
-    fields = ", ".join(f"v{k} float" for k in range(MARKERS))
-    return summed(training.select("row", "classes").mapInArrow(run, f"i int, {fields}"), MARKERS)
+    fields = ", ".join(f"v{k} float" for k in range(markers))
+    return summed(training.select("row", "classes").mapInArrow(run, f"i int, {fields}"), markers)
 
 
 def groups_of(together: np.ndarray) -> np.ndarray:
@@ -268,13 +268,14 @@ def groups_of(together: np.ndarray) -> np.ndarray:
 def first_estimate(groups: np.ndarray, unigram: np.ndarray) -> Hmm:
     """States of a group favour its markers; of the roles in a group, one favours frequent words."""
     emit = np.repeat(unigram[:, None], STATES, axis=1) + 1e-12
-    frequent = np.arange(CLASSES) < MARKERS
+    markers = len(groups)
+    frequent = np.arange(len(unigram)) < markers
     for k in range(STATES):
         g, role = divmod(k, ROLES)
-        marked = np.zeros(CLASSES, dtype=bool)
-        marked[:MARKERS] = groups == g
-        other = np.zeros(CLASSES, dtype=bool)
-        other[:MARKERS] = (groups >= 0) & (groups != g)
+        marked = np.zeros(len(unigram), dtype=bool)
+        marked[:markers] = groups == g
+        other = np.zeros(len(unigram), dtype=bool)
+        other[:markers] = (groups >= 0) & (groups != g)
         emit[marked, k] *= 3
         emit[other, k] *= 0.1
         emit[:, k] *= np.where(frequent == (role == 0), 1.5, 0.7)
@@ -287,23 +288,26 @@ def first_estimate(groups: np.ndarray, unigram: np.ndarray) -> Hmm:
 
 def baum_welch(training: DataFrame, model: Hmm, unigram: np.ndarray) -> Hmm:
     """One step over all training texts. Rows of the sums: classes, then states' transitions, then starts."""
-    shared = training.sparkSession.sparkContext.broadcast(model)
+    shared, classes = training.sparkSession.sparkContext.broadcast(model), len(unigram)
 
     def run(batches):
-        total = np.zeros((CLASSES + STATES + 1, STATES))
+        total = np.zeros((classes + STATES + 1, STATES))
         for _, texts in gathered(batches):
             first, moves, emissions = shared.value.expected(texts)
-            total[:CLASSES] += emissions
-            total[CLASSES:-1] += moves
+            total[:classes] += emissions
+            total[classes:-1] += moves
             total[-1] += first
         yield _rows(total)
 
     fields = ", ".join(f"v{k} float" for k in range(STATES))
-    total = summed(training.select("row", "classes").mapInArrow(run, f"i int, {fields}"), CLASSES + STATES + 1)
-    return Hmm(normal(total[-1] + 1, 0), normal(total[CLASSES:-1] + LEAN_MOVES, 1), normal(total[:CLASSES] + LEAN * unigram[:, None], 0))
+    total = summed(training.select("row", "classes").mapInArrow(run, f"i int, {fields}"), classes + STATES + 1)
+    counts, share = total[:classes], normal(total[:classes].sum(axis=0) + 1, 0)
+    n = counts.sum(axis=1, keepdims=True)
+    leaning = (counts + LEAN * share) / (n + LEAN) * np.maximum(n, unigram[:, None] * n.sum())
+    return Hmm(normal(total[-1] + 1, 0), normal(total[classes:-1] + LEAN_MOVES, 1), normal(leaning + 1e-12, 0))
 
 
-def language_model(docs: DataFrame, held_out: int = 1, folds: int = 5, text: str = "text") -> DataFrame:
+def language_model(docs: DataFrame, held_out: int = 1, folds: int = 5, text: str = "text", own: int = OWN, broadcast: int = BROADCAST) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score for every row.
 
     A null or empty text is its end alone. A null id is never held out. Without any training text N is 0, words are
@@ -315,18 +319,18 @@ def language_model(docs: DataFrame, held_out: int = 1, folds: int = 5, text: str
     rows = docs.select("doc_id", (remainder("doc_id", folds) != held_out).alias("trains"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
     counts = table(word_counts(rows.where("trains")), "counts")
     n_docs = rows.where("trains").count()
-    v = vocabulary(counts, n_docs)
+    v = vocabulary(counts, n_docs, own, broadcast)
     shared = spark.sparkContext.broadcast(v)
     texts = table(encoded(rows, shared), "classes")
     training = texts.where("trains")
 
-    unigram = np.zeros(CLASSES)
-    own = v.counts[:-1][:OWN]
-    unigram[: len(own)] = own
-    unigram[OWN:END] = 10**v.share
-    unigram[END] = n_docs
+    unigram = np.zeros(v.end + 1)
+    high = v.counts[:-1][:own]
+    unigram[: len(high)] = high
+    unigram[own : v.end] = 10**v.share
+    unigram[v.end] = n_docs
     unigram = normal(unigram + 0.5, 0)
-    model = first_estimate(groups_of(companions(training)), unigram)
+    model = first_estimate(groups_of(companions(training, min(MARKERS, own))), unigram)
     for _ in range(STEPS if n_docs else 0):
         model = baum_welch(training, model, unigram)
     final = spark.sparkContext.broadcast(model)
