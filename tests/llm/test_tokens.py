@@ -30,7 +30,9 @@ def reference(ranks):
 
 def test_counts_equal_the_library(spark, data):
     library = Tokenizer.from_file(BYTE)
-    for docs in (odd_rows(spark), documents(spark, data)):
+    rng = random.Random(3)
+    spaces = spark.createDataFrame([(i, "".join(rng.choice(["a", "the", " ", "  ", "\n", "\t", "\x1c", "\u00a0", "\u0558", "'s", "12", "!", "<|endoftext|>"]) for _ in range(rng.randint(1, 12)))) for i in range(3000)], "doc_id long, text string")
+    for docs in (odd_rows(spark), documents(spark, data), spaces):
         texts = docs.select("doc_id", "text").collect()
         got = token_count.token_counts(docs, BYTE).collect()
         want = sorted((r.doc_id if r.doc_id is not None else -1, len((r.text or "").encode()), len(library.encode(r.text or "", add_special_tokens=False).ids)) for r in texts)
@@ -63,11 +65,11 @@ def test_possessive_patterns_match_the_same():
 
 
 def test_transducer_equals_tiktoken(ranks, reference):
-    encode = transducer.encoder(ranks, transducer.unreachable(ranks))
+    encode = transducer.Encoder(ranks, transducer.unreachable(ranks))
     rng = random.Random(1)
     texts = [t or "" for t in TEXTS] + ["".join(rng.choice("abcdeißüéñ ,.世界") for _ in range(rng.randint(1, 60))) for _ in range(2000)] + ["ab" * 2000, "aaaabaab" * 300]
-    for t in texts:
-        line, ids = encode(t)
+    texts += ["".join(rng.choice(["a", "the", " ", "  ", "\n", "\t", "\x1c", " ", "'s", "12", "!"]) for _ in range(rng.randint(1, 12))) for _ in range(3000)]
+    for line, ids, t in zip(*encode(pa.array(texts)), texts, strict=True):
         assert ids == reference.encode_ordinary(t)
         assert line == ",".join(map(str, ids))
 
@@ -75,9 +77,10 @@ def test_transducer_equals_tiktoken(ranks, reference):
 def test_transducer_with_few_states(ranks, reference, monkeypatch):
     monkeypatch.setattr(transducer, "STATES", 20)
     monkeypatch.setattr(transducer, "PIECES", 5)
-    encode = transducer.encoder(ranks, transducer.unreachable(ranks))
-    for t in ("Donaudampfschifffahrt und nochmals Dampf", "ciónmente queasó"):
-        assert encode(t)[1] == reference.encode_ordinary(t)
+    monkeypatch.setattr(transducer, "CHUNKS", 5)
+    encode = transducer.Encoder(ranks, transducer.unreachable(ranks))
+    texts = ["Donaudampfschifffahrt und nochmals Dampf", "ciónmente queasó"]
+    assert encode(pa.array(texts))[1] == [reference.encode_ordinary(t) for t in texts]
 
 
 def test_lookahead_is_bounded(ranks):

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -19,7 +20,7 @@ SLICE_BYTES = 16 << 20
 _kept: dict[str, object] = {}
 
 
-def once(key: str, build: Callable[[], object], most: int = 2) -> object:
+def once(key: str, build: Callable[[], object], most: int = 3) -> object:
     """The value of `build()`, made once in each Python worker; the oldest of more than `most` values goes."""
     if key not in _kept:
         while len(_kept) >= most:
@@ -66,11 +67,31 @@ def coded_words(texts: pa.Array, lower: bool = False, wide: bool = False) -> tup
     return codes, ends, coded.dictionary
 
 
-def map_texts(docs: DataFrame, make: Callable[[], Callable[[list], list]], fields: list[tuple[str, str]], text: str = "text", keep: tuple[str, ...] = ("doc_id",), limit: int = SLICE_BYTES) -> DataFrame:
+#: A space between white space, or between that and the end: here the public splitting pattern looks past a space.
+IRREGULAR = re.compile(r"\s (?:\s|\Z)")
+
+
+def spaced_chunks(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[str]]:
+    """Texts cut before every space: numbers of their chunks, where each text's begin, and the different chunks.
+
+    In texts without IRREGULAR the public splitting pattern never matches across such a cut, for it looks at most
+    one character past white space, so chunks can be split into pre-tokens one by one.
+    """
+    lists = pc.split_pattern(pc.fill_null(texts, ""), " ")
+    ends = lists.offsets.to_numpy().astype(np.int64)
+    coded = lists.values.slice(ends[0], ends[-1] - ends[0]).dictionary_encode()
+    ends, codes, strings = ends - ends[0], coded.indices.to_numpy().astype(np.int64), coded.dictionary.to_pylist()
+    first = ends[:-1][ends[:-1] < ends[1:]]
+    own, place = np.unique(codes[first], return_inverse=True)
+    codes[first] = len(strings) + place  # the first chunk has no space before it
+    return codes, ends, [*(" " + s for s in strings), *(strings[i] for i in own.tolist())]
+
+
+def map_texts(docs: DataFrame, make: Callable[[], Callable[[list], list]], fields: list[tuple[str, str]], text: str = "text", keep: tuple[str, ...] = ("doc_id",), limit: int = SLICE_BYTES, arrays: bool = False) -> DataFrame:
     """One row for each row of `docs`: the columns `keep`, then `fields` (name and type).
 
-    `make()` runs once in a task and returns a function that takes a list of texts (None for null) and returns
-    a list or array for each field. Only `keep` and the text leave the JVM, in batches of bounded rows and bytes.
+    `make()` runs once in a task and returns a function that takes a list of texts (None for null), or if `arrays`
+    an Arrow array of them, and returns a list or array for each field. Only `keep` and the text leave the JVM, in batches of bounded rows and bytes.
     """
     docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     source = docs.select(*[F.col(c) for c in keep], F.col(text).cast("string").alias("__text"))
@@ -83,8 +104,8 @@ def map_texts(docs: DataFrame, make: Callable[[], Callable[[list], list]], field
         f = make()
         for whole in batches:
             for part in slices(whole, "__text", limit):
-                made = f(part.column("__text").to_pylist())
-                columns = [part.column(i) for i in range(len(keep))] + [pa.array(x, type=k) for x, k in zip(made, kinds, strict=True)]
+                made = f(part.column("__text") if arrays else part.column("__text").to_pylist())
+                columns = [part.column(i) for i in range(len(keep))] + [x.cast(k) if isinstance(x, pa.Array) else pa.array(x, type=k) for x, k in zip(made, kinds, strict=True)]
                 yield pa.RecordBatch.from_arrays(columns, names=names)
 
     return source.mapInArrow(run, schema)

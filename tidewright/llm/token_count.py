@@ -15,12 +15,15 @@ from __future__ import annotations
 import re
 from collections.abc import Callable
 
+import numpy as np
 import public_tokenizers
+import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
 from tidewright.llm.bytes_bpe import NEVER, load_json, merge
-from tidewright.llm.common import documents, map_texts, once
+from tidewright.llm.common import IRREGULAR, documents, map_texts, once, spaced_chunks
 
 #: Counts of merged pre-tokens that a worker remembers.
 MEMORY = 400_000
@@ -78,6 +81,22 @@ class Counter(dict):
         return n
 
 
+class Chunks(dict):
+    """Remembers what a function makes of a chunk of text; forgotten in bulk."""
+
+    def __init__(self, make: Callable[[str], object], most: int = MEMORY):
+        super().__init__()
+        self.make, self.most = make, most
+
+    def __missing__(self, chunk: str):
+        made = self.make(chunk)
+        if len(chunk) <= 64:
+            if len(self) >= self.most:
+                self.clear()
+            self[chunk] = made
+        return made
+
+
 def token_counts(docs: DataFrame, path: str, text: str = "text", keep: tuple[str, ...] = ("doc_id",), limit: int = 512) -> DataFrame:
     """`keep`, n_bytes, n_tokens and over_limit (more than `limit` tokens) of every row.
 
@@ -95,30 +114,33 @@ def token_counts(docs: DataFrame, path: str, text: str = "text", keep: tuple[str
 
         counter, pattern, special, odd, path = once(key, build)
         of, findall = counter.__getitem__, pattern.findall
+        chunks = once(f"{key} chunks", lambda: Chunks(lambda s: sum(map(of, findall(s))))).__getitem__
 
-        def pieces(s: str) -> list[str]:
-            if s.isascii() or not odd(s):
-                return findall(s)
+        def odd_count(s: str) -> int:
+            """Of a text with odd characters: it is split by the library."""
             from tokenizers import Tokenizer
 
-            split = once(f"{path} split", lambda: Tokenizer.from_file(path).pre_tokenizer)
-            return [s[a:b] for _, (a, b) in split.pre_tokenize_str(s)]
+            split = once(f"{key} split", lambda: Tokenizer.from_file(path).pre_tokenizer).pre_tokenize_str
+            return sum(of(s[a:b]) for _, (a, b) in split(s))
 
         def count(s: str) -> int:
-            n = 0
-            if special.search(s):
-                parts = special.split(s)
-                n = len(parts) - 1
-                return n + sum(sum(map(of, pieces(p))) for p in parts)
-            return sum(map(of, pieces(s)))
-
-        def run(texts: list) -> list:
-            counts = [count(s) if s else 0 for s in texts]
-            return [[len(s.encode("utf-8", "surrogatepass")) if s else 0 for s in texts], counts, [n > limit for n in counts]]
+            one = odd_count if odd(s) else lambda p: sum(map(of, findall(p)))
+            parts = special.split(s)
+            return len(parts) - 1 + sum(map(one, parts))
+
+        def run(texts: pa.Array) -> list:
+            codes, ends, different = spaced_chunks(texts)
+            used = np.bincount(codes, minlength=len(different)) > 0
+            each = np.fromiter((chunks(c) if u else 0 for c, u in zip(different, used.tolist(), strict=True)), dtype=np.int64, count=len(different))
+            counts = np.diff(np.r_[0, np.cumsum(each[codes])][ends])
+            for i, s in enumerate(texts.to_pylist()):
+                if s and (IRREGULAR.search(s) or special.search(s) or not s.isascii() and odd(s)):
+                    counts[i] = count(s)
+            return [pc.fill_null(pc.binary_length(texts), 0), counts, counts > limit]
 
         return run
 
-    return map_texts(docs, make, [("n_bytes", "long"), ("n_tokens", "long"), ("over_limit", "boolean")], text, keep)
+    return map_texts(docs, make, [("n_bytes", "long"), ("n_tokens", "long"), ("over_limit", "boolean")], text, keep, arrays=True)
 
 
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

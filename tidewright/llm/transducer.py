@@ -18,20 +18,21 @@ import hashlib
 import itertools
 from collections.abc import Iterable
 
+import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
 from tidewright.llm.bytes_bpe import NEVER, load_ranks, merge
-from tidewright.llm.common import documents, map_texts, once
+from tidewright.llm.common import IRREGULAR, documents, map_texts, once, spaced_chunks
+from tidewright.llm.token_count import FAST_PATTERN, Chunks
 
-#: Deterministic states and encoded pre-tokens that a worker remembers.
-STATES, PIECES = 150_000, 600_000
+#: Deterministic states, encoded pre-tokens and encoded chunks that a worker remembers.
+STATES, PIECES, CHUNKS = 150_000, 400_000, 300_000
 ROOT = 0
 #: Tokens below a node up to which a path carries the set of those that may follow.
 FEW = 40
-#: The public pattern with possessive repeats, which match the same and skip the backtracking.
-FAST_PATTERN = r"""'(?:[stmd]|re|ve|ll)| ?(?:\p{L}++|\p{N}++|[^\s\p{L}\p{N}]++)|\s+(?!\S)|\s+"""
 
 
 def unreachable(ranks: dict[bytes, int]) -> set[int]:
@@ -229,32 +230,37 @@ def _text(raw: bytes) -> str | None:
         return None
 
 
-class Memory(dict):
-    """Ids of a pre-token, written with commas and as numbers; forgotten in bulk."""
+class Encoder:
+    """Texts to ids: chunks and pre-tokens that the machine has read are remembered."""
 
-    def __init__(self, machine: Transducer):
-        super().__init__()
-        self.machine = machine
-
-    def __missing__(self, piece: str) -> tuple[str, list[int]]:
-        ids = self.machine.encode(piece.encode("utf-8", "surrogatepass"))
-        made = ",".join(map(str, ids)), ids
-        if len(piece) <= 64:
-            if len(self) >= PIECES:
-                self.clear()
-            self[piece] = made
-        return made
-
-
-def encoder(ranks: dict[bytes, int], never: set[int]):
-    """A function from a text to its ids, in decimal joined by commas and as a list."""
-    of, findall = Memory(Transducer(ranks, never)).__getitem__, regex.compile(FAST_PATTERN).findall
-
-    def encode(text: str) -> tuple[str, list[int]]:
-        found = list(map(of, findall(text)))
-        return ",".join([x[0] for x in found]), list(itertools.chain.from_iterable([x[1] for x in found]))
-
-    return encode
+    def __init__(self, ranks: dict[bytes, int], never: set[int]):
+        machine, findall = Transducer(ranks, never), regex.compile(FAST_PATTERN).findall
+        piece = Chunks(lambda s: machine.encode(s.encode("utf-8", "surrogatepass")), PIECES).__getitem__
+
+        def read(chunk: str) -> tuple[str, list[int]]:
+            ids = list(itertools.chain.from_iterable(map(piece, findall(chunk))))
+            return ",".join(map(str, ids)), ids
+
+        self.machine, self.read, self.chunk = machine, read, Chunks(read, CHUNKS).__getitem__
+
+    def __call__(self, texts: pa.Array) -> tuple[list[str], list[list[int]]]:
+        """For each text its ids in decimal, joined by commas, and as numbers."""
+        codes, ends, different = spaced_chunks(texts)
+        used = np.bincount(codes, minlength=len(different)) > 0
+        made = [self.chunk(c) if u else ("", []) for c, u in zip(different, used.tolist(), strict=True)]
+        lines, numbers = [m[0] for m in made], [m[1] for m in made]
+        codes, ends = codes.tolist(), ends.tolist()
+        out_lines, out_ids = [], []
+        for i, (a, b) in enumerate(zip(ends, ends[1:])):
+            text = texts[i].as_py()
+            if text and IRREGULAR.search(text):
+                line, ids = self.read(text)
+            else:
+                own = [c for c in codes[a:b] if lines[c]]
+                line, ids = ",".join([lines[c] for c in own]), list(itertools.chain.from_iterable([numbers[c] for c in own]))
+            out_lines.append(line)
+            out_ids.append(ids)
+        return out_lines, out_ids
 
 
 def encode_decode(docs: DataFrame, path: str, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -270,23 +276,18 @@ def encode_decode(docs: DataFrame, path: str, text: str = "text", keep: tuple[st
     def make():
         def build():
             ranks, never = model.value
-            return encoder(ranks, never), Decoder({i: b for b, i in ranks.items()})
+            return Encoder(ranks, never), Decoder({i: b for b, i in ranks.items()})
 
         encode, decoder = once(key, build)
 
-        def run(texts: list) -> list:
-            counts, digests, decoded = [], [], []
-            for s in texts:
-                line, ids = encode(s or "")
-                counts.append(len(ids))
-                digests.append(hashlib.sha256(line.encode()).hexdigest())
-                back = decoder.feed(ids) + decoder.end()
-                decoded.append(hashlib.sha256(back.encode("utf-8", "surrogatepass")).hexdigest())
-            return [counts, digests, decoded]
+        def run(texts: pa.Array) -> list:
+            lines, ids = encode(texts)
+            decoded = [hashlib.sha256((decoder.feed(x) + decoder.end()).encode("utf-8", "surrogatepass")).hexdigest() for x in ids]
+            return [list(map(len, ids)), [hashlib.sha256(line.encode()).hexdigest() for line in lines], decoded]
 
         return run
 
-    return map_texts(docs, make, [("n_tokens", "long"), ("ids_sha256", "string"), ("decoded_sha256", "string")], text, keep)
+    return map_texts(docs, make, [("n_tokens", "long"), ("ids_sha256", "string"), ("decoded_sha256", "string")], text, keep, arrays=True)
 
 
 def op8_transducer(spark: SparkSession, sf_dir: str) -> DataFrame:
