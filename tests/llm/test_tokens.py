@@ -70,17 +70,16 @@ def test_transducer_equals_tiktoken(ranks, reference):
     texts = [t or "" for t in TEXTS] + ["".join(rng.choice("abcdeißüéñ ,.世界") for _ in range(rng.randint(1, 60))) for _ in range(2000)] + ["ab" * 2000, "aaaabaab" * 300]
     texts += ["".join(rng.choice(["a", "the", " ", "  ", "\n", "\t", "\x1c", " ", "'s", "12", "!"]) for _ in range(rng.randint(1, 12))) for _ in range(3000)]
     for line, ids, t in zip(*encode(pa.array(texts)), texts, strict=True):
-        assert ids == reference.encode_ordinary(t)
+        assert list(ids) == reference.encode_ordinary(t)
         assert line == ",".join(map(str, ids))
 
 
 def test_transducer_with_few_states(ranks, reference, monkeypatch):
     monkeypatch.setattr(transducer, "STATES", 20)
     monkeypatch.setattr(transducer, "PIECES", 5)
-    monkeypatch.setattr(transducer, "CHUNKS", 5)
     encode = transducer.Encoder(ranks, transducer.unreachable(ranks))
     texts = ["Donaudampfschifffahrt und nochmals Dampf", "ciónmente queasó"]
-    assert encode(pa.array(texts))[1] == [reference.encode_ordinary(t) for t in texts]
+    assert encode(pa.array(texts))[1] == [tuple(reference.encode_ordinary(t)) for t in texts]
 
 
 def test_lookahead_is_bounded(ranks):

@@ -21,7 +21,7 @@ from tidewright.llm.common import coded_words, documents, filter_texts, map_text
 from tidewright.llm.lattice import Lattice
 
 #: Texts of each language in the training sample, languages and texts at most, and words in spliced sequences for each text.
-SAMPLE, LANGUAGES, TEXTS, SPLICED = 250, 40, 2000, 200
+SAMPLE, LANGUAGES, TEXTS, SPLICED = 150, 40, 1200, 200
 #: Lengths of n-grams in bytes, the buckets they are hashed to, and words in the lexicon (with this many occurrences).
 NGRAMS, BUCKETS, LEXICON, SEEN = (2, 3, 4, 5), 1 << 16, 20_000, 3
 #: Passes over the sample, step and shrinkage of the training; bytes of text worked on at once.

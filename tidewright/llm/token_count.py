@@ -26,7 +26,7 @@ from tidewright.llm.bytes_bpe import NEVER, load_json, merge
 from tidewright.llm.common import IRREGULAR, documents, map_texts, once, spaced_chunks
 
 #: Counts of merged pre-tokens that a worker remembers.
-MEMORY = 400_000
+MEMORY = 1_000_000
 #: The public pattern with possessive repeats, which match the same and skip the backtracking.
 FAST_PATTERN = r"""'(?:[stmd]|re|ve|ll)| ?(?:\p{L}++|\p{N}++|[^\s\p{L}\p{N}]++)|\s+(?!\S)|\s+"""
 
@@ -63,40 +63,36 @@ def odd_finder(path: str) -> Callable[[str], bool]:
     return lambda s: any([odd[c] if c in odd else probe(c) for c in set(beyond(s))])
 
 
-class Counter(dict):
-    """Tokens of a pre-token. Proven strings stay; counts of others are merged when first asked for and forgotten in bulk."""
-
-    def __init__(self, proven: list[str], pairs: dict[tuple[bytes, bytes], int]):
-        super().__init__(dict.fromkeys(proven, 1))
-        self.proven, self.pairs, self.limit = proven, pairs, len(proven) + MEMORY
-
-    def __missing__(self, piece: str) -> int:
-        if len(self) >= self.limit:
-            self.clear()
-            self.update(dict.fromkeys(self.proven, 1))
-        pairs = self.pairs
-        n = len(merge(piece.encode("utf-8", "surrogatepass"), lambda a, b: pairs.get((a, b), NEVER)))
-        if len(piece) <= 64:
-            self[piece] = n
-        return n
-
-
-class Chunks(dict):
-    """Remembers what a function makes of a chunk of text; forgotten in bulk."""
+class Memory(dict):
+    """Remembers what a function makes of a short string; forgotten in bulk."""
 
     def __init__(self, make: Callable[[str], object], most: int = MEMORY):
         super().__init__()
         self.make, self.most = make, most
 
-    def __missing__(self, chunk: str):
-        made = self.make(chunk)
-        if len(chunk) <= 64:
+    def __missing__(self, s: str):
+        made = self.make(s)
+        if len(s) <= 64:
             if len(self) >= self.most:
                 self.clear()
-            self[chunk] = made
+            self[s] = made
         return made
 
 
+class Counter(Memory):
+    """Tokens of a pre-token. Proven strings stay; others are merged when first asked for."""
+
+    def __init__(self, proven: list[str], pairs: dict[tuple[bytes, bytes], int]):
+        rank = lambda a, b: pairs.get((a, b), NEVER)
+        super().__init__(lambda s: len(merge(s.encode("utf-8", "surrogatepass"), rank)), len(proven) + MEMORY)
+        self.proven = proven
+        self.clear()
+
+    def clear(self) -> None:
+        super().clear()
+        self.update(dict.fromkeys(self.proven, 1))
+
+
 def token_counts(docs: DataFrame, path: str, text: str = "text", keep: tuple[str, ...] = ("doc_id",), limit: int = 512) -> DataFrame:
     """`keep`, n_bytes, n_tokens and over_limit (more than `limit` tokens) of every row.
 
@@ -114,7 +110,9 @@ def token_counts(docs: DataFrame, path: str, text: str = "text", keep: tuple[str
 
         counter, pattern, special, odd, path = once(key, build)
         of, findall = counter.__getitem__, pattern.findall
-        chunks = once(f"{key} chunks", lambda: Chunks(lambda s: sum(map(of, findall(s))))).__getitem__
+
+        def pieces(s: str) -> int:
+            return sum(map(of, findall(s)))
 
         def odd_count(s: str) -> int:
             """Of a text with odd characters: it is split by the library."""
@@ -124,14 +122,14 @@ def token_counts(docs: DataFrame, path: str, text: str = "text", keep: tuple[str
             return sum(of(s[a:b]) for _, (a, b) in split(s))
 
         def count(s: str) -> int:
-            one = odd_count if odd(s) else lambda p: sum(map(of, findall(p)))
+            one = odd_count if odd(s) else pieces
             parts = special.split(s)
             return len(parts) - 1 + sum(map(one, parts))
 
         def run(texts: pa.Array) -> list:
             codes, ends, different = spaced_chunks(texts)
             used = np.bincount(codes, minlength=len(different)) > 0
-            each = np.fromiter((chunks(c) if u else 0 for c, u in zip(different, used.tolist(), strict=True)), dtype=np.int64, count=len(different))
+            each = np.fromiter((pieces(c) if u else 0 for c, u in zip(different, used.tolist(), strict=True)), dtype=np.int64, count=len(different))
             counts = np.diff(np.r_[0, np.cumsum(each[codes])][ends])
             for i, s in enumerate(texts.to_pylist()):
                 if s and (IRREGULAR.search(s) or special.search(s) or not s.isascii() and odd(s)):

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from tidewright.llm.common import documents, filter_texts, map_texts, once, remainder
 
 #: Rows of each label for the dictionaries, rows for the calibration, fold of the test rows and of the calibration.
-DICTIONARY_ROWS, CALIBRATION_ROWS, HELD_OUT, CALIBRATION, FOLDS = 2500, 5000, 0, 4, 5
+DICTIONARY_ROWS, CALIBRATION_ROWS, HELD_OUT, CALIBRATION, FOLDS = 2000, 4000, 0, 4, 5
 #: Words in a window; bytes of segments, times a toxic text is to be covered, texts a segment needs, log ratio of rates it needs.
 WINDOW, SHORTEST, LONGEST, COVER, TEXTS, RATIO = 4, 5, 12, 3, 4, 3.0
 #: Ordinary words that both dictionaries hold, and gains in bytes that are counted.
@@ -44,13 +44,17 @@ def segments(text: bytes) -> set[bytes]:
 
 def toxic_segments(toxic: list[bytes], ordinary: list[bytes]) -> list[bytes]:
     """Segments in the order chosen, each the one in most texts not yet covered, less those expected from its ordinary rate."""
-    sets = [segments(t) for t in toxic]
-    inside = Counter(g for s in sets for g in s)
+    inside: Counter[bytes] = Counter()
+    for t in toxic:
+        inside.update(segments(t))
     often = {g for g, n in inside.items() if n >= TEXTS}
-    outside = Counter(g for t in ordinary for g in segments(t) & often)
+    inside = Counter({g: inside[g] for g in often})
+    outside: Counter[bytes] = Counter()
+    for t in ordinary:
+        outside.update(segments(t) & often)
     rate = lambda n, of: math.log((n + 0.5) / (of + 1))
     able = {g for g in often if rate(inside[g], len(toxic)) - rate(outside[g], len(ordinary)) > RATIO}
-    open_sets, covered, chosen = [s & able for s in sets], [0] * len(sets), []
+    open_sets, covered, chosen = [segments(t) & able for t in toxic], [0] * len(toxic), []
     gain = Counter(g for s in open_sets for g in s)
     while gain:
         best = max(gain, key=lambda g: (gain[g] - 2 * outside[g] * len(toxic) / len(ordinary), len(g), g))

@@ -26,10 +26,10 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tidewright.llm.bytes_bpe import NEVER, load_ranks, merge
 from tidewright.llm.common import IRREGULAR, documents, map_texts, once, spaced_chunks
-from tidewright.llm.token_count import FAST_PATTERN, Chunks
+from tidewright.llm.token_count import FAST_PATTERN, Memory
 
-#: Deterministic states, encoded pre-tokens and encoded chunks that a worker remembers.
-STATES, PIECES, CHUNKS = 150_000, 400_000, 300_000
+#: Deterministic states and encoded pre-tokens that a worker remembers.
+STATES, PIECES = 150_000, 1_000_000
 ROOT = 0
 #: Tokens below a node up to which a path carries the set of those that may follow.
 FEW = 40
@@ -231,23 +231,22 @@ def _text(raw: bytes) -> str | None:
 
 
 class Encoder:
-    """Texts to ids: chunks and pre-tokens that the machine has read are remembered."""
+    """Texts to ids: each different chunk of a batch is read once, and pre-tokens that the machine has read are remembered."""
 
     def __init__(self, ranks: dict[bytes, int], never: set[int]):
-        machine, findall = Transducer(ranks, never), regex.compile(FAST_PATTERN).findall
-        piece = Chunks(lambda s: machine.encode(s.encode("utf-8", "surrogatepass")), PIECES).__getitem__
+        self.machine = Transducer(ranks, never)
+        self.findall, self.decimal = regex.compile(FAST_PATTERN).findall, {i: str(i) for i in ranks.values()}.__getitem__
+        self.piece = Memory(lambda s: tuple(self.machine.encode(s.encode("utf-8", "surrogatepass"))), PIECES).__getitem__
 
-        def read(chunk: str) -> tuple[str, list[int]]:
-            ids = list(itertools.chain.from_iterable(map(piece, findall(chunk))))
-            return ",".join(map(str, ids)), ids
+    def read(self, text: str) -> tuple[str, tuple[int, ...]]:
+        ids = tuple(itertools.chain.from_iterable(map(self.piece, self.findall(text))))
+        return ",".join(map(self.decimal, ids)), ids
 
-        self.machine, self.read, self.chunk = machine, read, Chunks(read, CHUNKS).__getitem__
-
-    def __call__(self, texts: pa.Array) -> tuple[list[str], list[list[int]]]:
+    def __call__(self, texts: pa.Array) -> tuple[list[str], list]:
         """For each text its ids in decimal, joined by commas, and as numbers."""
         codes, ends, different = spaced_chunks(texts)
         used = np.bincount(codes, minlength=len(different)) > 0
-        made = [self.chunk(c) if u else ("", []) for c, u in zip(different, used.tolist(), strict=True)]
+        made = [self.read(c) if u else ("", ()) for c, u in zip(different, used.tolist(), strict=True)]
         lines, numbers = [m[0] for m in made], [m[1] for m in made]
         codes, ends = codes.tolist(), ends.tolist()
         out_lines, out_ids = [], []
