@@ -1,12 +1,11 @@
-"""The relational queries and, for each, the SQL that DuckDB runs on the same tables."""
+"""All relational queries and, for each, the SQL that DuckDB runs on the same tables."""
 
 from __future__ import annotations
 
-from tidewright.operators.aggregates import pricing_summary
+from tidewright.functions import scalar
+from tidewright.operators import aggregates, joins, sets, windows
+from tidewright.streaming import windows as event_windows
 
-QUERIES = {"pricing_summary": pricing_summary}
-ORACLES: dict[str, str] = {
-    "pricing_summary": """
-        select l_returnflag, l_linestatus, round(sum(l_quantity), 2) as sum_qty, round(avg(l_discount), 4) as avg_discount, count(*) as n_lines
-        from lineitem where l_shipdate <= timestamp '1998-09-02' group by all""",
-}
+_ALL = {name: pair for module in (aggregates, joins, windows, sets, scalar, event_windows) for name, pair in module.QUERIES.items()}
+QUERIES = {name: query for name, (query, _) in _ALL.items()}
+ORACLES = {name: sql for name, (_, sql) in _ALL.items()}
