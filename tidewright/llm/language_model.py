@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewright.llm.common import BATCH_ROWS, SLICE_BYTES, coded_words, documents, durable, once, remainder, slices, table
+from tidewright.llm.common import BATCH_ROWS, coded_words, documents, durable, once, remainder, slices, table
 from tidewright.llm.lattice import Lattice
 
 #: Words with classes of their own, words whose counts are broadcast, classes of other words by their last letters.
@@ -34,8 +34,8 @@ GROUPS, ROLES, MARKERS, STEPS = 4, 2, 256, 3
 STATES = GROUPS * ROLES
 #: Occurrences that are added to each class, dealt out as all tokens are to the states, and to each transition.
 LEAN, LEAN_MOVES = 1.0, 1.0
-#: Different words that a task counts before it passes counts on; tokens that one recursion takes; bounds of the lengths that go together.
-COUNTED, TOKENS, LENGTHS = 400_000, 400_000, (400, 1600, 6400)
+#: Different words that a task counts before it passes counts on; tokens that one recursion takes; bounds of the lengths that go together; bytes of text worked on at once.
+COUNTED, TOKENS, LENGTHS, TEXT_BYTES = 300_000, 300_000, (400, 1600, 6400), 6 << 20
 
 
 def ending(word: str) -> int:
@@ -56,7 +56,7 @@ def word_counts(texts: DataFrame) -> DataFrame:
             return pa.concat_tables(held).group_by("word").aggregate([("c", "sum")]).rename_columns(["word", "c"])
 
         for whole in batches:
-            for part in slices(whole, "text", SLICE_BYTES):
+            for part in slices(whole, "text", TEXT_BYTES):
                 codes, _, different = coded_words(part.column("text"), lower=True)
                 n = np.bincount(codes, minlength=len(different))
                 held.append(pa.table({"word": different.filter(pa.array(n > 0)), "c": pa.array(n[n > 0])}))
@@ -125,7 +125,7 @@ def encoded(rows: DataFrame, model) -> DataFrame:
         row = TaskContext.get().partitionId() << 33
         log_c = np.log10(v.counts + 0.5)
         for whole in batches:
-            for part in slices(whole, "text", SLICE_BYTES):
+            for part in slices(whole, "text", TEXT_BYTES):
                 codes, ends, different = coded_words(part.column("text"), lower=True)
                 strings = different.to_pylist()
                 at = np.fromiter((place.get(w, n_words) for w in strings), dtype=np.int64, count=len(strings))

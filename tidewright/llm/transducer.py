@@ -242,7 +242,7 @@ class Encoder:
         ids = tuple(itertools.chain.from_iterable(map(self.piece, self.findall(text))))
         return ",".join(map(self.decimal, ids)), ids
 
-    def __call__(self, texts: pa.Array) -> tuple[list[str], list]:
+    def __call__(self, texts: pa.Array) -> tuple[list[str], list[list[int]]]:
         """For each text its ids in decimal, joined by commas, and as numbers."""
         codes, ends, different = spaced_chunks(texts)
         used = np.bincount(codes, minlength=len(different)) > 0
@@ -256,9 +256,9 @@ class Encoder:
                 line, ids = self.read(text)
             else:
                 own = [c for c in codes[a:b] if lines[c]]
-                line, ids = ",".join([lines[c] for c in own]), list(itertools.chain.from_iterable([numbers[c] for c in own]))
+                line, ids = ",".join([lines[c] for c in own]), itertools.chain.from_iterable([numbers[c] for c in own])
             out_lines.append(line)
-            out_ids.append(ids)
+            out_ids.append(list(ids))
         return out_lines, out_ids
 
 
