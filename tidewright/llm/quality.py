@@ -102,8 +102,8 @@ def word_statistics(docs: DataFrame, text: str = "text") -> DataFrame:
 def vector() -> list[Column]:
     """The dimensions in FLOORS, in steps."""
     n = F.greatest(F.col("n_words"), F.lit(1))
-    rate = lambda c: F.log1p(10 * F.col(c) / (n + 10))  # noqa: E731  a single case in a short text is no sign
-    made = [F.log1p("n_words"), F.log(F.greatest(F.col("word_chars"), F.lit(1)) / n), rate("n_symbols"), rate("n_repeat_words"), F.log1p("n_dup_lines"), rate("n_echoes")]
+    rate = lambda c: F.log1p(10 * F.col(c) / (n + 10))  # noqa: E731  as if ten ordinary words stood beside, for a single case in a short text is no sign
+    made = [F.log1p("n_words"), F.log((F.col("word_chars") + 50) / (n + 10)), rate("n_symbols"), rate("n_repeat_words"), F.log1p("n_dup_lines"), rate("n_echoes")]
     return [F.round(x * STEPS).cast("long").alias(f"x{i}") for i, x in enumerate(made)]
 
 
