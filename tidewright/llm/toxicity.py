@@ -18,6 +18,7 @@ import uuid
 from collections import Counter
 
 import numpy as np
+import xxhash
 import zstandard as zstd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,7 +28,9 @@ from tidewright.llm.common import documents, filter_texts, map_texts, once, rema
 #: Rows of each label for the dictionaries, rows for the calibration, fold of the test rows and of the calibration.
 DICTIONARY_ROWS, CALIBRATION_ROWS, HELD_OUT, CALIBRATION, FOLDS = 2000, 4000, 0, 4, 5
 #: Words in a window; bytes of segments, times a toxic text is to be covered, texts a segment needs, log ratio of rates it needs.
-WINDOW, SHORTEST, LONGEST, COVER, TEXTS, RATIO = 4, 5, 12, 3, 4, 3.0
+WINDOW, SHORTEST, LONGEST, COVER, TEXTS, RATIO = 6, 5, 12, 3, 4, 3.0
+#: Bytes of whole toxic words, and hashes by which copies are found.
+WORD_BYTES, HASHES = 6000, 3
 #: Ordinary words that both dictionaries hold, and gains in bytes that are counted.
 SHARED, GAINS = 1800, (2, 3, 4, 5, 6, 7)
 WORD = re.compile(rb"[^\s.,!?;:#$%&*|]+")
@@ -75,19 +78,47 @@ def toxic_segments(toxic: list[bytes], ordinary: list[bytes]) -> list[bytes]:
     return chosen
 
 
+def without_copies(texts: list[bytes]) -> list[bytes]:
+    """The texts without near copies of earlier ones, whose every word would look like a sign: none of their least shingle hashes has come before."""
+    seen, kept = set(), []
+    for t in texts:
+        words = t.split()
+        shingles = list(map(b" ".join, zip(words, words[1:], words[2:]))) or [t]
+        least = {(seed, min(xxhash.xxh64_intdigest(s, seed) for s in shingles)) for seed in range(HASHES)}
+        if seen.isdisjoint(least):
+            kept.append(t)
+        seen |= least
+    return kept
+
+
+def toxic_words(toxic: list[bytes], ordinary: list[bytes]) -> list[bytes]:
+    """Whole words, with the spaces beside, that far more toxic texts hold; those in most texts last, within WORD_BYTES."""
+    counts = [Counter(w for t in texts for w in set(WORD.findall(t))) for texts in (toxic, ordinary)]
+    rate = lambda n, of: math.log((n + 0.5) / (of + 1))
+    found = [w for w, n in counts[0].items() if n >= TEXTS - 1 and len(w) >= 4 and rate(n, len(toxic)) - rate(counts[1][w], len(ordinary)) > RATIO]
+    out, size = [], 0
+    for w in sorted(found, key=lambda w: (-counts[0][w], w)):
+        size += len(w) + 2
+        if size > WORD_BYTES:
+            break
+        out.append(b" " + w + b" ")
+    return out[::-1]
+
+
 def dictionaries(toxic: list[bytes], ordinary: list[bytes]) -> tuple[bytes, bytes]:
     """The contents of the toxic and of the ordinary dictionary. What lies last is nearest and cheapest to refer to."""
+    toxic, ordinary = without_copies(toxic), without_copies(ordinary)
     counts = Counter(w for t in ordinary for w in set(WORD.findall(t)))
     words = sorted(counts, key=lambda w: (-counts[w], w))[: 4 * SHARED]
     joined = lambda ws: b" " + b" ".join(ws) + b" "
-    chosen = b"".join(toxic_segments(toxic, ordinary)[::-1])
+    chosen = b"".join([*toxic_segments(toxic, ordinary)[::-1], *toxic_words(toxic, ordinary)])
     shared = joined(words[:SHARED][::-1])
-    return shared + chosen, shared + joined(words[SHARED:])[: len(chosen)]
+    return shared + chosen, shared + joined(words[SHARED:][::-1])[-len(chosen) :]
 
 
 def compressor(content: bytes) -> zstd.ZstdCompressor:
     """Frames without header, size or checksum, so that lengths are those of what is said."""
-    parameters = zstd.ZstdCompressionParameters(format=zstd.FORMAT_ZSTD1_MAGICLESS, write_content_size=0, write_checksum=0, write_dict_id=0, strategy=zstd.STRATEGY_LAZY2, min_match=4, window_log=18, hash_log=17, chain_log=17, search_log=6)
+    parameters = zstd.ZstdCompressionParameters(format=zstd.FORMAT_ZSTD1_MAGICLESS, write_content_size=0, write_checksum=0, write_dict_id=0, strategy=zstd.STRATEGY_LAZY2, min_match=5, window_log=18, hash_log=17, chain_log=17, search_log=6)
     dictionary = zstd.ZstdCompressionDict(content, dict_type=zstd.DICT_TYPE_RAWCONTENT)
     dictionary.precompute_compress(compression_params=parameters)
     return zstd.ZstdCompressor(dict_data=dictionary, compression_params=parameters)
