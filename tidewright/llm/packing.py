@@ -27,7 +27,9 @@ from pyspark.sql import functions as F
 from tidewright.llm.common import BATCH_ROWS, SLICE_BYTES, coded_words, documents, durable, once, slices
 
 #: Words whose ids a worker remembers, and their greatest length.
-MEMORY, LONGEST = 600_000, 64
+MEMORY, LONGEST = 500_000, 64
+#: Words whose ids are put in line at once.
+BLOCK = 200_000
 #: White space by which the tokenizer parts words as Python does; the four other separators of Python it keeps.
 KEPT_BY_TOKENIZER = "[\x1c-\x1f]"
 #: The tokenizer's own pattern (a fixed value of its file).
@@ -108,12 +110,17 @@ def word_tokenizer(path: str) -> Callable[[pa.Array], list[bytes]]:
         for w in long:
             del words[w]
         n = np.fromiter((len(x) // 4 for x in found), dtype=np.int64, count=len(found))
-        start, flat = (np.cumsum(n) - n)[codes], np.frombuffer(b"".join(found), dtype="<u4")
-        n = n[codes]
-        total = np.cumsum(n)
-        ids = flat[np.arange(total[-1] if len(total) else 0) + np.repeat(start - (total - n), n)]
-        cuts = np.r_[0, total][ends].tolist()
-        out = [ids[a:b].tobytes() for a, b in zip(cuts, cuts[1:])]
+        start, flat, out = np.cumsum(n) - n, np.frombuffer(b"".join(found), dtype="<u4"), []
+        first = 0
+        while first < len(texts):  # as many texts at a time as have about BLOCK words
+            last = max(first + 1, int(np.searchsorted(ends, ends[first] + BLOCK, side="right")) - 1)
+            own = codes[ends[first] : ends[last]]
+            size = n[own]
+            total = np.cumsum(size)
+            ids = flat[np.arange(total[-1] if len(total) else 0) + np.repeat(start[own] - (total - size), size)]
+            cuts = np.r_[0, total][ends[first : last + 1] - ends[first]].tolist()
+            out += [ids[a:b].tobytes() for a, b in zip(cuts, cuts[1:])]
+            first = last
         for i in pc.indices_nonzero(pc.fill_null(pc.match_substring_regex(texts, KEPT_BY_TOKENIZER), False)).to_pylist():
             out[i] = whole(texts[i].as_py())
         return out
