@@ -187,13 +187,13 @@ def train(rows: list[tuple[int, str, bool]]) -> Model:
 
 
 def sample(docs: DataFrame, labels: DataFrame, text: str = "text") -> list[tuple[int, str, bool]]:
-    """The bounded sample: rows with the least hashes of their ids, from all folds but that of the test."""
+    """The bounded sample: rows with the least hashes of their ids, from all folds but that of the test; of an id's texts the least."""
     known = labels.where("doc_id is not null and toxic in (0, 1)").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     folds = known.withColumn("fold", remainder("doc_id", FOLDS)).where(F.col("fold") != HELD_OUT).withColumn("h", F.xxhash64("doc_id"))
     first = lambda df, n: df.orderBy("h", "doc_id").limit(n).select("doc_id", "toxic", (F.col("fold") == CALIBRATION).alias("calibrates"))
     words = folds.where(F.col("fold") != CALIBRATION)
     chosen = first(words.where("toxic = 1"), DICTIONARY_ROWS).union(first(words.where("toxic = 0"), DICTIONARY_ROWS)).union(first(folds.where(F.col("fold") == CALIBRATION), CALIBRATION_ROWS))
-    found = docs.select("doc_id", F.col(text).alias("text")).where("text is not null").join(F.broadcast(chosen), "doc_id")
+    found = docs.select("doc_id", F.col(text).alias("text")).where("text is not null").join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "toxic", "calibrates").agg(F.min("text").alias("text"))
     return [(y, t, c) for _, y, t, c in sorted((r["doc_id"], r["toxic"], r["text"], r["calibrates"]) for r in found.collect())]
 
 
