@@ -28,7 +28,9 @@ from tidewright.llm.common import documents, filter_texts, map_texts, once, rema
 #: Rows of each label for the dictionaries, rows for the calibration, fold of the test rows and of the calibration.
 DICTIONARY_ROWS, CALIBRATION_ROWS, HELD_OUT, CALIBRATION, FOLDS = 2000, 4000, 0, 4, 5
 #: Words in a window; bytes of segments, times a toxic text is to be covered, texts a segment needs, log ratio of rates it needs.
-WINDOW, SHORTEST, LONGEST, COVER, TEXTS, RATIO = 6, 5, 12, 3, 4, 3.0
+WINDOW, SHORTEST, LONGEST, COVER, TEXTS, RATIO = 4, 5, 12, 3, 4, 4.0
+#: What ends a window: the compressor looks for no match that begins in the last eight bytes.
+PAD = b" " + b"\n" * 8
 #: Bytes of whole toxic words, and hashes by which copies are found.
 WORD_BYTES, HASHES = 6000, 3
 #: Ordinary words that both dictionaries hold, and gains in bytes that are counted.
@@ -133,7 +135,7 @@ class Meter:
     def gains(self, text: bytes) -> np.ndarray:
         words = text.split()
         toxic, ordinary = self.toxic, self.ordinary
-        windows = [b" " + b" ".join(words[i : i + WINDOW]) + b" " for i in range(0, len(words), WINDOW)]
+        windows = [b" " + b" ".join(words[i : i + WINDOW]) + PAD for i in range(0, len(words), WINDOW)]
         return np.array([len(ordinary(w)) - len(toxic(w)) for w in windows], dtype=np.int64)
 
     def describe(self, text: bytes) -> list[float]:
