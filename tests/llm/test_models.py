@@ -198,7 +198,7 @@ def test_words_of_mixed_text(spark):
     assert best == ["en"] * 4 + ["es"] * 4 + ["de"] * 4
 
 
-def test_gradient_of_the_field():
+def test_field_fits_its_sample():
     texts, langs = ["aa ab", "bb ba", "ab"], ["x", "y", "x"]
     field = language.train(texts, langs)
     assert field.texts(pa.array(texts))[0] == langs

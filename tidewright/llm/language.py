@@ -158,7 +158,7 @@ def sample(docs: DataFrame, text: str = "text", lang: str = "lang", held_out: in
     rows = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull() & (remainder("doc_id", modulus) != held_out))
     ids = rows.select("doc_id", F.col(lang).alias("lang"), F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)).alias("h"))
     sizes = ids.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES)
-    near = ids.join(F.broadcast(sizes), "lang").where(F.col("h") * F.col("n") < float(4 * SAMPLE << 40)).select("doc_id", "lang", "h").distinct()
+    near = ids.join(F.broadcast(sizes), "lang").where(F.col("h").cast("double") * F.col("n") < float(4 * SAMPLE << 40)).select("doc_id", "lang", "h").distinct()
     chosen = near.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id"))).where(F.col("r") <= SAMPLE).orderBy("r", "lang").limit(TEXTS).select("doc_id", "lang")
     found = docs.select("doc_id", F.col(lang).alias("lang"), F.col(text).alias("text")).where("text is not null").join(F.broadcast(chosen), ["doc_id", "lang"]).groupBy("doc_id", "lang").agg(F.min("text").alias("text"))
     got = sorted((r["lang"], r["doc_id"], r["text"]) for r in found.collect())
