@@ -23,7 +23,7 @@ import zstandard as zstd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewright.llm.common import documents, filter_texts, map_texts, once, remainder
+from tidewright.llm.common import documents, durable, filter_texts, map_texts, once, remainder
 
 #: Rows of each label for the dictionaries, rows for the calibration, fold of the test rows and of the calibration.
 DICTIONARY_ROWS, CALIBRATION_ROWS, HELD_OUT, CALIBRATION, FOLDS = 2000, 4000, 0, 4, 5
@@ -191,8 +191,13 @@ def train(rows: list[tuple[int, str, bool]]) -> Model:
 def sample(docs: DataFrame, labels: DataFrame, text: str = "text") -> list[tuple[int, str, bool]]:
     """The bounded sample: rows with the least hashes of their ids, from all folds but that of the test; of an id's texts the least."""
     known = labels.where("doc_id is not null and toxic in (0, 1)").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
-    folds = known.withColumn("fold", remainder("doc_id", FOLDS)).where(F.col("fold") != HELD_OUT).withColumn("h", F.xxhash64("doc_id"))
-    first = lambda df, n: df.orderBy("h", "doc_id").limit(n).select("doc_id", "toxic", (F.col("fold") == CALIBRATION).alias("calibrates"))
+    folds = durable(known.withColumn("fold", remainder("doc_id", FOLDS)).where(F.col("fold") != HELD_OUT).withColumn("h", F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40))))
+
+    def first(df: DataFrame, n: int) -> DataFrame:
+        """The n rows with the least hashes; those far above are left out before rows meet."""
+        near = df.where(F.col("h").cast("double") * df.count() < float(4 * n << 40))
+        return near.orderBy("h", "doc_id").limit(n).select("doc_id", "toxic", (F.col("fold") == CALIBRATION).alias("calibrates"))
+
     words = folds.where(F.col("fold") != CALIBRATION)
     chosen = first(words.where("toxic = 1"), DICTIONARY_ROWS).union(first(words.where("toxic = 0"), DICTIONARY_ROWS)).union(first(folds.where(F.col("fold") == CALIBRATION), CALIBRATION_ROWS))
     found = docs.select("doc_id", F.col(text).alias("text")).where("text is not null").join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "toxic", "calibrates").agg(F.min("text").alias("text"))
