@@ -172,6 +172,39 @@ def test_language_model_of_odd_rows(spark):
     assert {(r.train_tokens, r.n_known, r.n_tokens) for r in got} == {(0, 0, 3)} and all(r.score < 0 for r in got)
 
 
+def test_expected_counts_equal_sums_over_paths():
+    rng, k = np.random.default_rng(1), language_model.STATES
+    model = language_model.Hmm(language_model.normal(rng.random(k), 0), language_model.normal(rng.random((k, k)), 1), language_model.normal(rng.random((5, k)), 0))
+    texts = [np.array([0, 3, 2]), np.array([4]), np.array([1, 1])]
+    first, moves, emissions = np.zeros(k), np.zeros((k, k)), np.zeros((5, k))
+    for text, likelihood in zip(texts, model.log10_likelihoods(texts), strict=True):
+        paths = {}
+        for path in itertools.product(range(k), repeat=len(text)):
+            p = model.start[path[0]] * model.emit[text[0], path[0]]
+            for i in range(1, len(text)):
+                p *= model.move[path[i - 1], path[i]] * model.emit[text[i], path[i]]
+            paths[path] = p
+        total = sum(paths.values())
+        assert math.isclose(likelihood, math.log10(total), rel_tol=1e-9)
+        for path, p in paths.items():
+            first[path[0]] += p / total
+            for i, state in enumerate(path):
+                emissions[text[i], state] += p / total
+                if i:
+                    moves[path[i - 1], state] += p / total
+    for got, want in zip(model.expected(texts), (first, moves, emissions), strict=True):
+        assert np.allclose(got, want, rtol=1e-4, atol=1e-5)
+
+
+def test_likelihood_rises_with_each_step(spark, data, monkeypatch):
+    docs = documents(spark, data)
+    totals = []
+    for steps in (0, 1, 3):
+        monkeypatch.setattr(language_model, "STEPS", steps)
+        totals.append(sum(r.score for r in language_model.language_model(docs).collect() if not r.held_out))
+    assert totals[0] < totals[1] < totals[2]
+
+
 def test_counts_flushed_early_are_whole(spark, data, monkeypatch):
     docs = documents(spark, data)
     monkeypatch.setattr(language_model, "COUNTED", 50)
