@@ -69,6 +69,7 @@ def test_transducer_equals_tiktoken(ranks, reference):
     rng = random.Random(1)
     texts = [t or "" for t in TEXTS] + ["".join(rng.choice("abcdeißüéñ ,.世界") for _ in range(rng.randint(1, 60))) for _ in range(2000)] + ["ab" * 2000, "aaaabaab" * 300]
     texts += ["".join(rng.choice(["a", "the", " ", "  ", "\n", "\t", "\x1c", " ", "'s", "12", "!"]) for _ in range(rng.randint(1, 12))) for _ in range(3000)]
+    texts += ["".join(rng.choice(["a", " ", "1", "!", *"\u0558\u058b\u088f\u0c5c\ua7ce\u208f\U000323b0\U00016ea0\u0378٣語½"]) for _ in range(rng.randint(1, 9))) for _ in range(2000)]
     for line, ids, t in zip(*encode(pa.array(texts)), texts, strict=True):
         assert list(ids) == reference.encode_ordinary(t)
         assert line == ",".join(map(str, ids))

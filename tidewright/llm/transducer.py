@@ -16,12 +16,14 @@ from __future__ import annotations
 
 import hashlib
 import itertools
+import re
 from collections.abc import Iterable
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import regex
+import tiktoken
 from pyspark.sql import DataFrame, SparkSession
 
 from tidewright.llm.bytes_bpe import NEVER, load_ranks, merge
@@ -230,16 +232,43 @@ def _text(raw: bytes) -> str | None:
         return None
 
 
+class Alike(dict):
+    """For str.translate: a character, or one that the `regex` module splits as tiktoken splits that character.
+
+    The two may know different versions of Unicode. A character is probed when first met: tiktoken takes a pair that
+    is in the vocabulary as one token just where its pattern takes it as one piece. Up to U+02AF the two agree.
+    """
+
+    LETTER, NUMBER, SPACE, OTHER = "\u00aa", "\u00b2", "\u00a0", "\u00a4"
+
+    def __missing__(self, point: int) -> int:
+        c, found = chr(point), point
+        if point > 0x2AF:
+            pairs = [p + c for p in "a1!"]
+            probe = tiktoken.Encoding("probe", pat_str=public_tokenizers.PATTERN, mergeable_ranks={bytes([i]): i for i in range(256)} | {p.encode(): 256 + i for i, p in enumerate(pairs)}, special_tokens={})
+            theirs = [len(probe.encode_ordinary(p)) == 1 for p in pairs]
+            if theirs != [len(regex.findall(public_tokenizers.PATTERN, p)) == 1 for p in pairs]:
+                found = ord(next((s for s, yes in zip((self.LETTER, self.NUMBER, self.OTHER), theirs) if yes), self.SPACE))
+        self[point] = found
+        return found
+
+
 class Encoder:
     """Texts to ids: each different chunk of a batch is read once, and pre-tokens that the machine has read are remembered."""
 
     def __init__(self, ranks: dict[bytes, int], never: set[int]):
         self.machine = Transducer(ranks, never)
-        self.findall, self.decimal = regex.compile(FAST_PATTERN).findall, {i: str(i) for i in ranks.values()}.__getitem__
+        self.pattern, self.beyond, self.alike = regex.compile(FAST_PATTERN), re.compile("[^\x00-\u02af]").search, Alike()
+        self.decimal = {i: str(i) for i in ranks.values()}.__getitem__
         self.piece = Memory(lambda s: tuple(self.machine.encode(s.encode("utf-8", "surrogatepass"))), PIECES).__getitem__
 
+    def split(self, text: str) -> list[str]:
+        if not text.isascii() and self.beyond(text) and (like := text.translate(self.alike)) != text:
+            return [text[m.start() : m.end()] for m in self.pattern.finditer(like)]
+        return self.pattern.findall(text)
+
     def read(self, text: str) -> tuple[str, tuple[int, ...]]:
-        ids = tuple(itertools.chain.from_iterable(map(self.piece, self.findall(text))))
+        ids = tuple(itertools.chain.from_iterable(map(self.piece, self.split(text))))
         return ",".join(map(self.decimal, ids)), ids
 
     def __call__(self, texts: pa.Array) -> tuple[list[str], list[list[int]]]:
