@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from tidewright.llm.common import BATCH_ROWS, SLICE_BYTES, coded_words, documents, durable, once, slices
 
 #: Words whose ids a worker remembers, and their greatest length.
-MEMORY, LONGEST = 500_000, 64
+MEMORY, LONGEST = 800_000, 64
 #: Words whose ids are put in line at once.
 BLOCK = 200_000
 #: White space by which the tokenizer parts words as Python does; the four other separators of Python it keeps.
