@@ -36,7 +36,7 @@ KEPT_BY_TOKENIZER = "[\x1c-\x1f]"
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
 
-def word_tokenizer(path: str) -> Callable[[pa.Array], list[bytes]]:
+def word_tokenizer(path: str, memory: int | None = None) -> Callable[[pa.Array], list[bytes]]:
     """A function from an array of texts (null: empty) to their ids as little-endian unsigned 32-bit numbers, without special tokens.
 
     The tokenizer drops white space and never joins across it, so words are encoded apart and remembered. Special
@@ -44,7 +44,7 @@ def word_tokenizer(path: str) -> Callable[[pa.Array], list[bytes]]:
     """
     from tokenizers import Tokenizer
 
-    tokenizer = Tokenizer.from_file(path)
+    tokenizer, most = Tokenizer.from_file(path), memory or MEMORY
     special = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
     pattern = regex.compile(PATTERN)
     beyond = re.compile("[^\x00-\u02af]").search
@@ -89,7 +89,7 @@ def word_tokenizer(path: str) -> Callable[[pa.Array], list[bytes]]:
             else:
                 words[w] = whole(w)
         needed = set().union(*split.values())
-        if len(parts) > MEMORY:
+        if len(parts) > most:
             trim(parts, needed)
         learn_parts([p for p in needed if p not in parts])
         get = parts.__getitem__
@@ -99,7 +99,7 @@ def word_tokenizer(path: str) -> Callable[[pa.Array], list[bytes]]:
     def encode(texts: pa.Array) -> list[bytes]:
         codes, ends, different = coded_words(texts, wide=True)
         seen = different.to_pylist()
-        if len(words) > MEMORY:
+        if len(words) > most:
             trim(words, set(seen))
         new = [w for w in seen if w not in words]
         long = [w for w in new if len(w) > LONGEST]
@@ -152,20 +152,21 @@ def cut(doc_id: list, start: np.ndarray, ids: list[bytes], window: int) -> list[
     return rows
 
 
-def pack(docs: DataFrame, path: str, window: int = 2048, end_id: int = 1) -> DataFrame:
+def pack(docs: DataFrame, path: str, window: int = 2048, end_id: int = 1, memory: int | None = None) -> DataFrame:
     """Pieces of all rows of `docs`: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
     A null or empty text is the end id alone. Repeated rows and ids are packed one by one, other columns are left
-    out, and an empty table gives no pieces. The order is that of the table's partitions and rows as first read.
+    out, and an empty table gives no pieces. The order is that of the table's partitions and rows as first read. A
+    worker remembers the ids of `memory` words (default MEMORY).
     """
     spark = docs.sparkSession
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-    key, end = f"ids of {path}", np.asarray([end_id], dtype="<u4").tobytes()
+    key, end = f"ids of {path} {memory}", np.asarray([end_id], dtype="<u4").tobytes()
     source = docs.select("doc_id", F.col("text").cast("string").alias("__text"))
     kind = source.schema["doc_id"].dataType.simpleString()
 
     def tokenise(batches):
-        return numbered(batches, once(key, lambda: word_tokenizer(path)), end)
+        return numbered(batches, once(key, lambda: word_tokenizer(path, memory)), end)
 
     tokens = durable(source.mapInArrow(tokenise, f"partition int, doc_id {kind}, tokens long, ids binary"))
     totals = tokens.groupBy("partition").agg(F.sum("tokens").alias("n")).collect()  # a row for each partition
