@@ -120,6 +120,18 @@ def test_estimate_ignores_a_cluster_of_outliers(spark):
     assert max(abs(found[f"m{i}"]) for i in range(quality.P)) < 0.25
 
 
+def test_copies_that_are_a_third_of_a_group_are_rejected(spark):
+    docs = documents(spark, BIG).where("lang = 'en'").select("doc_id", "text", "lang", F.lit("s").alias("source"))
+    junk = " ".join(f"{i} | #{7 * i} & {i}%" for i in range(60))
+    n = docs.count()
+    rows = quality.quality(docs.unionByName(spark.range(10_000, 10_000 + n // 2).select(F.col("id").alias("doc_id"), F.lit(junk).alias("text"), F.lit("en").alias("lang"), F.lit("s").alias("source")))).toPandas().set_index("doc_id")
+    texts = docs.toPandas().set_index("doc_id").text
+    copies, passed = rows[rows.index >= 10_000], rows[(rows.index < 10_000) & ~rows.base_failed]
+    assert 0.3 < len(copies) / (len(copies) + len(passed)) < 0.4 and not copies.base_failed.any() and (copies.level == 2).all()
+    assert not copies.kept.any()
+    assert passed.kept[~texts.str.contains(r"(?:[|#$%&*].*){8}", regex=True).reindex(passed.index)].mean() > 0.99
+
+
 def test_chi_square():
     assert math.isclose(quality.chi2_cdf(2 * math.log(2), 2), 0.5)
     assert math.isclose(quality.chi2_quantile(0.975, 6), 14.449375, rel_tol=1e-6)

@@ -1,6 +1,6 @@
 """Robust multivariate outliers: minimum-covariance-determinant estimates for each language and source.
 
-Each text gives a vector of transformed statistics. For every group the estimate looks for the three quarters of rows
+Each text gives a vector of transformed statistics. For every group the estimate looks for the half of the rows
 whose covariance has the least determinant: from three deterministic starts, concentration steps keep the rows
 nearest to the present centre, and the start with the least determinant is carried on, reweighted, and used for the
 Mahalanobis distances of all rows. A group too small for that uses the estimate of its language, or of all rows.
@@ -32,7 +32,7 @@ STEPS, BINS = 256, 32
 FLOORS = {"log_words": 0.3, "log_word_length": 0.06, "symbols": 0.15, "repeats": 0.3, "dup_lines": 0.3, "echoes": 0.1}
 P = len(FLOORS)
 #: Share of rows in the subset, least rows for a group's own estimate, steps before and after the choice of a start.
-SHARE, LEAST, FIRST_STEPS, LAST_STEPS = 0.75, 60, 2, 3
+SHARE, LEAST, FIRST_STEPS, LAST_STEPS = 0.5, 60, 2, 3
 #: Chance by which a regular row is rejected, were rows normal.
 ALPHA = 1e-9
 #: Estimates up to which they are broadcast.
