@@ -249,6 +249,31 @@ def test_field_fits_its_sample():
     assert field.texts(pa.array(texts))[0] == langs
 
 
+def test_every_language_is_learned(spark, monkeypatch):
+    rng, rows = np.random.default_rng(3), []
+    for k in range(45):
+        own = ["".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), 5)) for _ in range(12)]
+        rows += [(100 * k + i, " ".join(rng.choice(own, 20)), f"l{k:02}") for i in range(60 - k)]  # the last ones are the rarest
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    monkeypatch.setattr(language, "TEXTS", 30)
+    texts, langs = language.sample(docs)
+    kept = Counter(x for d, _, x in rows if fold(d, 4) != 2)
+    found = Counter(langs)
+    assert len(found) == len(kept) == 45 and len(texts) == language.FEWEST * 45  # what rare languages leave goes to others
+    assert all(found[x] >= min(language.FEWEST, n) for x, n in kept.items())
+    monkeypatch.setattr(language, "CELLS", 45 * 1000)
+    got = language.predict(docs, language.train(texts, langs)).join(docs.select("doc_id", "lang"), "doc_id").where("held_out").toPandas()
+    assert (got.lang == got.lang_pred).groupby(got.lang).mean().min() > 0.9 and got.lang.nunique() == len({x for d, _, x in rows if fold(d, 4) == 2})
+
+
+def test_training_in_parts_is_the_same(monkeypatch):
+    texts, langs = ["aa ab", "bb ba", "ab", "ba bb bb"], ["x", "y", "x", "y"]
+    whole = language.train(texts, langs)
+    monkeypatch.setattr(language, "CELLS", 1)
+    assert np.allclose(language.train(texts, langs).weights, whole.weights, atol=1e-3)
+    assert language.runs(np.array([3, 0, 5, 1, 9]), 4) == [(0, 2), (2, 3), (3, 4), (4, 5)]
+
+
 def test_language_of_odd_rows(spark):
     docs = odd_rows(spark)
     field = language.train(["hello there", "guten tag"], ["en", "de"])

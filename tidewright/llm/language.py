@@ -20,12 +20,14 @@ from pyspark.sql import functions as F
 from tidewright.llm.common import coded_words, documents, filter_texts, map_texts, once, remainder
 from tidewright.llm.lattice import Lattice
 
-#: Texts of each language in the training sample, languages and texts at most, and words in spliced sequences for each text.
-SAMPLE, LANGUAGES, TEXTS, SPLICED = 150, 40, 1200, 200
+#: Texts of each language in the training sample, texts of all languages unless FEWEST of each are more, and words in spliced sequences for each text.
+SAMPLE, TEXTS, FEWEST, SPLICED = 150, 1200, 20, 200
 #: Lengths of n-grams in bytes, the buckets they are hashed to, and words in the lexicon (with this many occurrences).
 NGRAMS, BUCKETS, LEXICON, SEEN = (2, 3, 4, 5), 1 << 16, 20_000, 3
 #: Passes over the sample, step and shrinkage of the training; bytes of text worked on at once.
 EPOCHS, RATE, SHRINK, LIMIT = 12, 0.08, 1e-4, 4 << 20
+#: Positions times languages that one step of the training works on, if no single sequence has more; languages with which LIMIT holds, with more it shrinks.
+CELLS, USUAL = 8 << 20, 4
 
 
 class Words:
@@ -100,6 +102,16 @@ class Field:
         return [self.languages[b] if k else "und" for b, k in zip(best, n, strict=True)], np.where(n > 0, score, 0.0)
 
 
+def runs(lengths: np.ndarray, most: int) -> list[tuple[int, int]]:
+    """Bounds of runs of sequences with `most` positions together, one sequence at least."""
+    ends, out, first = np.cumsum(lengths), [], 0
+    while first < len(lengths):
+        last = max(first + 1, int(np.searchsorted(ends, (ends[first - 1] if first else 0) + most, side="right")))
+        out.append((first, last))
+        first = last
+    return out
+
+
 def train(texts: list[str], langs: list[str]) -> Field | None:
     """A field fitted by Adam to the likelihood of the words' languages; None without any text."""
     if not texts:
@@ -123,24 +135,28 @@ def train(texts: list[str], langs: list[str]) -> Field | None:
             labels.append(own[at : at + size])
             n += len(pieces[-1])
         lengths.append(np.array([n]))
-    codes, labels = np.concatenate(pieces), np.concatenate(labels)
+    codes, labels, lengths = np.concatenate(pieces), np.concatenate(labels), np.concatenate(lengths)
     features, size, k = Words(words, lexicon), BUCKETS + len(lexicon), len(languages)
-    lattice = Lattice(np.concatenate(lengths))
-    codes, labels = lattice.laid_out(codes), lattice.laid_out(labels)
     truth = np.zeros((len(words), k))
     np.add.at(truth, (codes, labels), 1.0)
-    pairs = np.zeros((k, k))
-    for (a, b), (c, d) in zip(lattice.bounds, lattice.bounds[1:]):
-        np.add.at(pairs, (labels[a : a + d - c], labels[c:d]), 1.0)
+    pairs, parts = np.zeros((k, k)), []
+    for first, last in runs(lengths, CELLS // k):
+        lattice, (begin, end) = Lattice(lengths[first:last]), (int(lengths[:first].sum()), int(lengths[:last].sum()))
+        parts.append((lattice, lattice.laid_out(codes[begin:end])))
+        laid = lattice.laid_out(labels[begin:end])
+        for (a, b), (c, d) in zip(lattice.bounds, lattice.bounds[1:]):
+            np.add.at(pairs, (laid[a : a + d - c], laid[c:d]), 1.0)
     weights, moves = np.zeros((size, k)), np.zeros((k, k))
     state = [np.zeros_like(x) for x in (weights, weights, moves, moves)]
     for epoch in range(1, EPOCHS + 1):
-        emit, move = potentials(features.emissions(weights))[codes].astype(np.float32), potentials(moves).astype(np.float32)
-        found, alpha, later = marginals(lattice, emit, move)
-        expected = np.stack([np.bincount(codes, weights=found[:, j], minlength=len(words)) for j in range(k)], axis=1)
-        joint = np.zeros((k, k))
-        for (a, b), (c, d) in zip(lattice.bounds, lattice.bounds[1:]):
-            joint += alpha[a : a + d - c].T @ later[c:d]
+        by_word, move = potentials(features.emissions(weights)).astype(np.float32), potentials(moves).astype(np.float32)
+        expected, joint = np.zeros((len(words), k)), np.zeros((k, k))
+        for lattice, laid in parts:
+            found, alpha, later = marginals(lattice, by_word[laid], move)
+            for j in range(k):
+                expected[:, j] += np.bincount(laid, weights=found[:, j], minlength=len(words))
+            for (a, b), (c, d) in zip(lattice.bounds, lattice.bounds[1:]):
+                joint += alpha[a : a + d - c].T @ later[c:d]
         n = max(1, len(codes))
         slopes = [features.gathered(truth - expected, size) / n - SHRINK * weights / n, (pairs - joint * move) / n]
         for x, g, m, v in zip((weights, moves), slopes, state[::2], state[1::2], strict=True):
@@ -151,15 +167,16 @@ def train(texts: list[str], langs: list[str]) -> Field | None:
 
 
 def sample(docs: DataFrame, text: str = "text", lang: str = "lang", held_out: int = 2, modulus: int = 4) -> tuple[list[str], list[str]]:
-    """At most SAMPLE training texts of each of the LANGUAGES most frequent languages, TEXTS in all, those with the least hashes of their ids.
+    """At most SAMPLE training texts of every language, TEXTS in all or FEWEST of each if that is more, those with the least hashes of their ids.
 
     Hashes that lie far above are left out before rows of a language meet. Of an id's texts the least is taken.
     """
     rows = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull() & (remainder("doc_id", modulus) != held_out))
     ids = rows.select("doc_id", F.col(lang).alias("lang"), F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)).alias("h"))
-    sizes = ids.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES)
+    sizes = ids.groupBy("lang").agg(F.count("*").alias("n"))
+    texts = max(TEXTS, FEWEST * sizes.count())
     near = ids.join(F.broadcast(sizes), "lang").where(F.col("h").cast("double") * F.col("n") < float(4 * SAMPLE << 40)).select("doc_id", "lang", "h").distinct()
-    chosen = near.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id"))).where(F.col("r") <= SAMPLE).orderBy("r", "lang").limit(TEXTS).select("doc_id", "lang")
+    chosen = near.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id"))).where(F.col("r") <= SAMPLE).orderBy("r", "lang").limit(texts).select("doc_id", "lang")
     found = docs.select("doc_id", F.col(lang).alias("lang"), F.col(text).alias("text")).where("text is not null").join(F.broadcast(chosen), ["doc_id", "lang"]).groupBy("doc_id", "lang").agg(F.min("text").alias("text"))
     got = sorted((r["lang"], r["doc_id"], r["text"]) for r in found.collect())
     return [t for _, _, t in got], [x for x, _, _ in got]
@@ -182,6 +199,11 @@ def scorer(model, key: str):
     return make
 
 
+def limit(field: Field | None) -> int:
+    """Bytes of text worked on at once: fewer with many languages, as each word has a number for each."""
+    return LIMIT * USUAL // max(USUAL, len(field.languages) if field else 0)
+
+
 def predict(docs: DataFrame, field: Field | None, text: str = "text") -> DataFrame:
     """doc_id, held_out, lang_pred and score for every row.
 
@@ -190,7 +212,7 @@ def predict(docs: DataFrame, field: Field | None, text: str = "text") -> DataFra
     result.
     """
     model = docs.sparkSession.sparkContext.broadcast(field)
-    made = map_texts(docs, scorer(model, uuid.uuid4().hex), [("lang_pred", "string"), ("score", "double")], text, limit=LIMIT)
+    made = map_texts(docs, scorer(model, uuid.uuid4().hex), [("lang_pred", "string"), ("score", "double")], text, limit=limit(field))
     return made.select("doc_id", (remainder("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score")
 
 
@@ -208,7 +230,7 @@ def keep_known(docs: DataFrame, field: Field | None, least: float, text: str = "
 
         return kept
 
-    return filter_texts(docs, decide, text, LIMIT)
+    return filter_texts(docs, decide, text, limit(field))
 
 
 def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
