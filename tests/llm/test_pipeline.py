@@ -29,3 +29,11 @@ def test_stages(spark, data, tmp_path):
     assert sorted({r.doc_id for r in after.collect()}) == ids(before)
     assert after.columns == packing.pack(before, packing.public_tokenizers.path("word_bpe_49k.json")).columns
     assert corpus_pipeline.run(spark, data).count() == after.count()
+
+
+def test_clean_texts_stay_with_many_languages(spark, data):
+    text = "one and the same few words in all of these languages"
+    docs = spark.createDataFrame([(i, text if i else "12 34 --", f"l{i % 12}") for i in range(120)], "doc_id long, text string, lang string")
+    scores = [r.score for r in language.predict(docs, language.train(*language.sample(docs))).where("doc_id > 0").collect()]
+    assert max(scores) < 0.2  # below the score that four languages never reach
+    assert sorted(r.doc_id for r in corpus_pipeline.keep_languages(spark, docs, data).collect()) == list(range(1, 120))
