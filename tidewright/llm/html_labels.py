@@ -1,17 +1,233 @@
-"""The labelled pages from which the block classifier is trained, written for it: + begins a block of the article, - any other."""
-
-PAGES = [
-    """<html><head><title>x</title></head><body><header><a href="/">-Daily Harbour</a></header><nav><ul><li><a href="/a">-News</a></li><li><a href="/b">-Sport</a></li><li><a href="/c">-Weather today</a></li></ul></nav>
-    <article><h1>+Storm closes the coast road</h1><p>+The road between the two harbours was closed on Monday after waves broke over the wall for a third night in a row.</p><p>+Nobody was hurt.</p>
-    <p>+Crews expect to clear it <a href="/x">by Friday</a>, the council said, though more rain is forecast for the hills above the town.</p></article>
-    <aside><h3>-Most read</h3><p><a href="/1">-Ten walks for the autumn that you should not miss this year</a></p></aside><footer><p>-Copyright by the publisher of these pages, all rights reserved in all countries.</p></footer></body></html>""",
-    """<body><div class="ad">-Buy two lamps and get a third one free at the shop beside the station until the end of the month.</div><main><h1>+Lamps</h1><p>+A lamp gives light.</p><p>+Old lamps burned oil, which was dear, so people went to bed early in winter and rose with the sun.</p><ul><li>+Oil lamps</li><li>+Gas lamps</li></ul></main>
-    <div id="comments"><p>-I had such a lamp when I was small and my brother broke it on a Sunday morning.</p><p>-Nice.</p></div><footer>-&copy; lamps.example &middot; About these pages and the people who write them.</footer></body>""",
-    """<div class="menu"><a href="/">-Home</a> <a href="/s">Shop</a> <a href="/h">Help</a></div><div><h2>+On bread</h2><p>+Bread is made from flour, water and salt, and most of the work is done by time rather than by the baker's hands.</p><p>+A slow dough kept overnight in a cool place tastes better, and it also keeps for longer than one raised in an hour.</p></div><div><a href="/p">-Previous</a> <a href="/n">Next</a></div><div>-Imprint</div>""",
-    """<body><div class="cookie-notice"><p>-We use cookies to make these pages work and to count how many people read them; you may refuse them at any time.</p><button>-Accept</button></div><article><h1>+Rain</h1><p>+It rained.</p><p>+By noon the square was empty except for two pigeons and a man who sold umbrellas from a suitcase.</p><blockquote>+I sell most of them before ten.</blockquote><div class="related"><a href="/q">-More about rain and snow</a></div></article>
-    <div class="sidebar"><h4>-Archive</h4><ul><li><a href="/1">-January</a></li><li><a href="/2">-February</a></li></ul><p>-This column gathers what our readers liked best in the last months of the year.</p></div></body>""",
-    """<form action="/s"><label>-Search this site for</label><p>-Type a word and press the key to find all pages on which it stands.</p></form><div class="post"><h1>+Notes from a lighthouse</h1><p>+Dear all,</p><p>+the lamp was out for an hour last night and nobody noticed, which tells you how quiet the sea has been this spring.</p><p>+Yours.</p></div><div class="share"><a href="/t">-Tell a friend</a></div>""",
-    """<div><a href="/">-Start</a></div><div><a href="/1">-Articles about gardens</a></div><table><tr><td>+Peas should be sown in rows as soon as the ground is warm enough for a hand to rest on it without discomfort.</td></tr><tr><td>+Beans come later, once the last frosts have passed and the nights have become mild enough for tender plants.</td></tr></table><div>-Top</div><div><a href="/m">-Map of all pages</a> <a href="/c">Contact us</a></div>""",
-    """<header><p>-Evening paper for the whole of the valley and the villages above it since the year of the flood.</p></header><main><article><header><h1>-Sections and services</h1></header><h2>+Bridge opens</h2><p>+The new bridge opened.</p><p><b>+Ten thousand people crossed it on the first day, many of them twice, and the baker at the far end sold out by nine.</b></p></article><section class="comments"><h3>-Comments</h3><p>-About time that somebody built it, we waited twenty years for this bridge to open.</p></section></main><footer><ul><li><a href="/i">-Imprint</a></li></ul><p>-All texts on these pages may be used freely with a link to them.</p></footer>""",
-    """<nav><ul><li><a href="/x">-the</a></li><li><a href="/y">-and</a></li></ul></nav><div class="advert">-Short words.</div><article><h1>+A title of six short words</h1><p>+A title of six short words<br></p><p>+Two words.</p><p>+One.</p></article><footer>-&copy; words.example.com &middot; Two words. And three more.</footer>""",
-]
+"""The labelled blocks from which the block classifier is trained, written for it.
+
+A line is a block, an empty line ends a page: + (article) or -, the elements around it with their classes, ids and
+roles, its words and those of them in links.
+"""
+
+BLOCKS = """
+- header.site-header/div.logo 2 2
+- nav/ul/li 1 1
+- nav/ul/li 1 1
+- nav/ul/li 2 2
++ article/h1 6 0
++ article/p 41 3
++ article/p 3 0
++ article/p 28 28
++ article/figure/figcaption 7 0
++ article/p 55 0
+- aside/h3 2 0
+- aside/ul/li 11 11
+- footer/p 14 0
+- footer/p 5 2
+
+- div.ad 24 0
++ main/h1 1 0
++ main/p 5 0
++ main/p 44 0
++ main/ul/li 2 0
++ main/ul/li 2 0
+- div.comments/h3 1 0
+- div.comments/p 17 0
+- div.comments/p 1 0
+- div.comments/form/p 4 0
+- footer 12 1
+
+- div.menu 3 3
++ div/h2 2 0
++ div/p 27 0
++ div/p 31 2
++ div/p 4 0
++ div/p 46 0
+- div 2 2
+- div 1 0
+
+- div.cookie-notice/p 23 1
+- div.cookie-notice/button 1 0
++ article/h1 1 0
++ article/p 2 0
++ article/p 20 0
++ article/blockquote 7 0
+- article/div.related 5 5
+- div.sidebar/h4 1 0
+- div.sidebar/ul/li 1 1
+- div.sidebar/ul/li 1 1
+- div.sidebar/p 15 0
+
+- form/label 4 0
+- form/p 16 0
++ div.post/h1 4 0
++ div.post/p 2 0
++ div.post/p 29 0
++ div.post/p 1 0
+- div.share 3 3
+- div.comments/p 22 0
+- div.comments/p 9 0
+
+- div 1 1
+- div 3 3
++ table/tr/td 25 0
++ table/tr/td 22 0
++ table/tr/td 30 4
+- div 1 0
+- div 6 6
+
+- header/p 19 0
++ main/article/h2 2 0
++ main/article/p 5 0
++ main/article/p 25 0
++ main/article/ul/li 3 3
++ main/article/ul/li 4 4
+- main/section.comments/h3 1 0
+- main/section.comments/p 15 0
+- footer/ul/li 1 1
+- footer/p 12 0
+
+- nav/ul/li 1 1
+- nav/ul/li 1 1
+- div.ad 8 0
++ article/h1 6 0
++ article/p 6 0
++ article/p 80 0
++ article/p 1 0
+- footer 9 0
+
+- div 1 1
+- div 1 1
+- div 2 2
++ h1 7 0
++ p 38 1
++ p 12 0
++ p 52 3
++ p 9 0
++ p 33 0
+- p 2 2
+- p 4 2
+
+- div/ul/li 2 2
+- div/ul/li 1 1
+- div/ul/li 3 3
++ div/h1 5 0
++ div/p 61 2
++ div/h2 3 0
++ div/p 48 0
++ div/p 8 0
++ div/p 70 5
+- div/h3 2 0
+- div/ul/li 8 8
+- div/ul/li 7 7
+- div/p 6 3
+
+- div.navbar/ul/li 1 1
+- div.navbar/ul/li 2 2
+- div.breadcrumb 4 3
++ div.content/h1 8 0
++ div.content/p 36 0
++ div.content/p 18 9
++ div.content/p 2 0
+- div.content/div.newsletter/p 18 0
++ div.content/p 40 0
+- div.sidebar/p 21 2
+- div.footer/p 16 2
+
+- header/nav/ul/li 1 1
+- div.advertisement/p 13 0
++ main.content/div.entry-content/p 21 0
++ main.content/div.entry-content/p 19 0
++ main.content/div.entry-content/pre 30 0
+- main.content/div.entry-content/div.ad/p 10 1
++ main.content/div.entry-content/p 5 0
+- aside/article/h3 4 4
+- aside/article/p 20 0
+- footer/p 8 0
+
+- div.header/p 7 0
+- div.nav 5 5
++ div.post/div.entry-content/p 33 0
++ div.post/div.entry-content/p 3 0
++ div.post/div.entry-content/p 16 0
+- div.comments/ol/li.comment/p 26 0
+- div.comments/ol/li.comment/p 34 1
+- div.footer 11 3
+
+- td 1 1
+- td 1 1
+- td 1 1
++ td/p 58 0
++ td/p 6 0
++ td/p 45 2
++ td/p 21 0
+- td 9 9
+- td 3 0
+
+- div.modal/p 16 0
+- div.banner/p 9 1
++ section.article/h1 5 0
++ section.article/p 34 0
++ section.article/p 10 0
+- section.article/aside/p 30 0
++ section.article/p 27 1
+- section.comments/p 12 0
+- div.pagination 4 4
+
+- div 2 2
+- div 2 2
++ div/p 90 1
++ div/p 7 0
++ div/p 65 0
+- div 5 5
+- div 3 3
+- div 12 1
+
++ article/h1 3 0
++ article/p 12 0
++ article/p 2 2
++ article/p 5 0
+
++ article/p 2 0
+
++ main/p 3 0
++ main/p 40 0
++ main/p 8 0
+
+- div.menu 4 4
++ div/h1 5 0
++ div/p 30 0
++ div/p 11 0
+
++ h1 4 0
++ p 64 0
++ p 25 0
+
+- nav 6 6
++ div.post/p 11 0
++ div.post/p 9 0
+
+- div 9 0
+- div 2 2
+- div 3 3
++ div/h1 6 0
++ div/p 44 1
++ div/p 13 0
++ div/p 57 2
+- div 2 2
+- div 14 0
+
+- div 3 3
+- div 8 0
+- div 2 2
++ div/p 35 0
++ div/p 10 0
++ div/p 41 0
+- div 6 6
+- div 11 0
+- div 4 4
+
+- p 1 1
+- p 12 0
+- p 5 5
++ p 72 4
++ p 12 0
++ p 30 0
+- p 4 4
+- p 16 0
+"""

@@ -1,38 +1,40 @@
 """Main text of web pages from flat text blocks.
 
 A page is cut at block-level tags into a flat list of blocks. A block is described by its words and link density,
-those of its neighbours, whether it is a heading and the kind of container it stands in; a decision tree says whether
-it belongs to the article. The tree is grown here from a small table of labelled pages.
+those of its neighbours, whether it is a heading, and what the elements around it say. A decision tree tells whether
+it belongs to the article. Tree and signs are learned from a small table of labelled blocks: how much more often the
+article lies in an element of some name, class, id or role is counted there and nowhere written down.
 """
 
 from __future__ import annotations
 
 import html
+import math
 import re
 import uuid
+from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 
 from tidewright.llm.common import map_texts, once
-from tidewright.llm.html_labels import PAGES
-
-#: Elements whose content is never text of the page, inline elements, and those that enclose blocks.
-DROPPED = "script|style|noscript|template|svg|math|iframe|object|title|textarea|select|canvas|audio|video"
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
-VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-#: Containers by tag, and words in class, id or role: those that hold an article, and those around it.
-ARTICLE_TAGS = frozenset(["article", "main"])
-AROUND_TAGS = frozenset("nav footer header aside form dialog menu button figcaption head".split())
-AROUND_WORDS = frozenset("ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments complementary consent contentinfo cookie cookies disqus footer form header login masthead menu modal nav navbar navigation newsletter notice notices pager pagination popup promo promoted related replies search share sharing sidebar signup skip social sponsor sponsored subscribe toolbar widget".split())
-ARTICLE_WORDS = frozenset("article articlebody content entry main post story".split())
+from tidewright.llm.html_labels import BLOCKS
+
+#: Elements whose content is never text of the page, those inside a line of text, and those that say nothing by their name.
+DROPPED = "script|style|noscript|template|svg|iframe|title|textarea|select"
+INLINE = frozenset("a abbr acronym area audio b base bdi bdo big canvas cite code col data del dfn em embed font i img input ins kbd label link mark math meta object param picture q rp rt ruby s samp small source span strike strong sub sup time track tt u var video wbr".split())
+PLAIN = frozenset("blockquote body caption center dd details div dl dt figcaption figure h1 h2 h3 h4 h5 h6 html li ol p pre section summary table tbody td tfoot th thead tr ul".split())
+#: Elements whose classes say nothing of what lies in them, and those that make a form around them the wrapper of a page.
+WHOLE, WRAPPED = frozenset(["html", "body", "main", "article"]), frozenset(["main", "article", "h1"])
+#: Blocks of hidden elements that are added to the table, all outside the article.
+SHOWN_NEVER = 5
 HEADINGS = frozenset(["h1", "h2", "h3", "h4", "h5", "h6"])
 
 TOKEN = re.compile(rf"""<!--.*?(?:-->|\Z)|<({DROPPED})(?=[\s/>])[^>]*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*"|'[^']*')*+)>|<[!?/][^>]*(?:>|\Z)|<[a-zA-Z][^>]*(?:>|\Z)""", re.S | re.I)
-ATTRIBUTE = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
-HIDDEN = re.compile(r"""\bhidden\b(?!=)|display\s*:\s*none|aria-hidden\s*=\s*["']?true""", re.I)
-FEATURES = ("words", "link_density", "words_before", "link_density_before", "words_after", "link_density_after", "heading", "in_article", "around")
+ATTRIBUTE = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'=<>`]+)))?""")
+HIDDEN = re.compile(r"(?:^|;)\s*display\s*:\s*none\b", re.I)
+FEATURES = ("words", "link_density", "words_before", "link_density_before", "words_after", "link_density_after", "heading", "least_sign", "greatest_sign")
 
 
 @dataclass(slots=True)
@@ -41,36 +43,42 @@ class Block:
     words: int
     linked: int
     heading: bool
-    in_article: bool
-    around: bool
+    least: float
+    greatest: float
 
 
-def _container(tag: str, attributes: str) -> tuple[bool, bool]:
-    """Whether an element holds an article, and whether it is one of those around it."""
-    article, around = tag in ARTICLE_TAGS, tag in AROUND_TAGS
-    if attributes:
-        for m in ATTRIBUTE.finditer(attributes):
-            words = re.split(r"[^a-z]+", (m[2] or m[3] or m[4] or "").lower())
-            around = around or not AROUND_WORDS.isdisjoint(words)
-            article = article or not ARTICLE_WORDS.isdisjoint(words)
-        around = around or HIDDEN.search(attributes) is not None
-    return article, around
+def names(tag: str, attributes: str) -> set[str]:
+    """What an element calls itself: its tag, and whole classes, id and role."""
+    found = set() if tag in PLAIN else {f"<{tag}>"}
+    for m in ATTRIBUTE.finditer(attributes) if attributes else ():
+        name, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
+        if name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and HIDDEN.search(value):
+            found.add("[hidden]")
+        elif name in ("class", "id", "role") and tag not in WHOLE:
+            found.update(value.replace("_", "-").split())
+    return found
 
 
-def blocks(page: str) -> list[Block]:
+def signs(found: set[str], odds: dict[str, float]) -> tuple[float, float]:
+    """The least and the greatest sign of an element's names, 0 at most and at least."""
+    known = [odds[x] for x in found if x in odds]
+    return min(0.0, *known, 0.0), max(0.0, *known, 0.0)
+
+
+def blocks(page: str, odds: dict[str, float]) -> list[Block]:
     """The non-empty text blocks of a page, in order; one pass, linear in its length."""
     out: list[Block] = []
     parts: list[str] = []
     link_parts: list[str] = []
-    stack: list[tuple[str, bool, bool]] = []  # enclosing elements, with what holds inside them
-    in_article = around = heading = False
-    depth_a, at = 0, 0
+    stack: list[tuple[str, tuple[float, float], tuple[float, float]]] = []  # enclosing elements, their signs, and those of all outside
+    least = greatest = 0.0
+    heading, depth_a, forms, at = False, 0, 0, 0
 
     def flush() -> None:
         if parts:
             words = "".join(parts).split()
             if words:
-                out.append(Block(" ".join(words), len(words), len("".join(link_parts).split()), heading, in_article, around))
+                out.append(Block(" ".join(words), len(words), len("".join(link_parts).split()), heading, least, greatest))
             parts.clear()
             link_parts.clear()
 
@@ -96,20 +104,28 @@ def blocks(page: str) -> list[Block]:
         elif tag not in INLINE:
             flush()
             depth_a = 0
+            if forms and not m[2] and tag in WRAPPED:
+                forms = 0
+                least = greatest = 0.0
+                for i, (name, own, _) in enumerate(stack):
+                    own = (0.0, 0.0) if name == "form" else own
+                    stack[i] = (name, own, (least, greatest))
+                    least, greatest = min(least, own[0]), max(greatest, own[1])
             if tag in HEADINGS:
                 heading = not m[2]
-            elif tag == "p" or tag in VOID:
+            elif tag == "p" or tag == "hr":
                 heading = False
             elif m[2]:
                 for i in range(len(stack) - 1, -1, -1):
                     if stack[i][0] == tag:
-                        _, in_article, around = stack[i]
+                        least, greatest = stack[i][2]
+                        forms -= sum(x[0] == "form" for x in stack[i:]) if forms else 0
                         del stack[i:]
                         break
             elif not m[4].endswith("/"):
-                a, r = _container(tag, m[4])
-                stack.append((tag, in_article, around))
-                in_article, around = in_article or a, around or r
+                own = signs(names(tag, m[4]), odds)
+                stack.append((tag, own, (least, greatest)))
+                least, greatest, forms = min(least, own[0]), max(greatest, own[1]), forms + (tag == "form")
     if at < len(page):
         s = page[at:]
         say(html.unescape(s) if "&" in s else s)
@@ -124,8 +140,8 @@ def describe(found: list[Block]) -> np.ndarray:
     words = np.array([b.words for b in found], dtype=np.float64)
     density = np.array([b.linked for b in found]) / words
     before, after = (lambda x: np.r_[0.0, x[:-1]]), (lambda x: np.r_[x[1:], 0.0])
-    flags = [[b.heading for b in found], [b.in_article for b in found], [b.around for b in found]]
-    return np.column_stack([words, density, before(words), before(density), after(words), after(density), *np.array(flags, dtype=np.float64)])
+    own = np.array([[b.heading, b.least, b.greatest] for b in found], dtype=np.float64)
+    return np.column_stack([words, density, before(words), before(density), after(words), after(density), own])
 
 
 # -- tree -----------------------------------------------------------------------------------------------------------
@@ -163,34 +179,62 @@ def decide(tree, x: np.ndarray) -> np.ndarray:
     return out
 
 
-def train(pages: list[str] = PAGES):
-    """A tree from labelled pages, in which a block's text begins with + (article) or - (not)."""
-    rows, labels = [], []
+def labelled(table: str = BLOCKS) -> list[list[tuple[bool, list[tuple[str, set[str]]], int, int]]]:
+    """The pages of a table of labelled blocks: for each block its label, the elements around it with their names, words and words in links."""
+    pages: list[list] = []
+    for page in table.strip().split("\n\n"):
+        pages.append([])
+        for line in page.split("\n"):
+            label, path, words, linked = line.split()
+            around = [(x.split(".")[0], {*x.split(".")[1:]}) for x in path.split("/")]
+            around = [(tag, (set() if tag in WHOLE else own) | (set() if tag in PLAIN else {f"<{tag}>"})) for tag, own in around]
+            pages[-1].append((label == "+", around, int(words), int(linked)))
+    return pages
+
+
+def learn_signs(pages: list) -> dict[str, float]:
+    """For each name of an element the log ratio of the share of article blocks to that of others in it."""
+    inside = {True: Counter(), False: Counter(["[hidden]"] * SHOWN_NEVER)}
+    total = Counter(label for page in pages for label, *_ in page)
+    for page in pages:
+        for label, around, _, _ in page:
+            inside[label].update(set().union(*(own for _, own in around)))
+    return {x: math.log((inside[True][x] + 0.5) / (total[True] + 1)) - math.log((inside[False][x] + 0.5) / (total[False] + 1)) for x in sorted(inside[True] | inside[False])}
+
+
+def train(table: str = BLOCKS):
+    """Signs and a tree from labelled blocks."""
+    pages = labelled(table)
+    odds, rows, labels = learn_signs(pages), [], []
     for page in pages:
-        found = blocks(page)
-        labels += [b.text[0] == "+" for b in found]
+        found = []
+        for label, around, words, linked in page:
+            own = [signs(x, odds) for _, x in around]
+            found.append(Block("", words, linked, around[-1][0] in HEADINGS, min(x for x, _ in own), max(x for _, x in own)))
+            labels.append(label)
         rows.append(describe(found))
-    return grow(np.concatenate(rows), np.array(labels, dtype=np.float64))
+    return odds, grow(np.concatenate(rows), np.array(labels, dtype=np.float64))
 
 
-def main_text(page: str | None, tree) -> str:
-    found = blocks(page) if page else []
+def main_text(page: str | None, model) -> str:
+    odds, tree = model
+    found = blocks(page, odds) if page else []
     return "\n\n".join(b.text for b, p in zip(found, decide(tree, describe(found)), strict=True) if p >= 0.5)
 
 
 def extract(pages: DataFrame, column: str = "html", keep: tuple[str, ...] = ("page_id", "url")) -> DataFrame:
     """`keep`, text and n_chars (code points) of every page.
 
-    A null or empty page, or one without an article, has an empty text. Repeated pages stay, other columns are left
-    out, an empty table gives an empty result.
+    A null or empty page, or one without an article, has an empty text. A very long page is read in one pass, with
+    memory in proportion to it. Repeated pages stay, other columns are left out, an empty table gives an empty result.
     """
-    tree, key = train(), uuid.uuid4().hex
+    model, key = train(), uuid.uuid4().hex
 
     def make():
-        grown = once(key, lambda: tree)
+        trained = once(key, lambda: model)
 
         def run(texts: list) -> list:
-            found = [main_text(t, grown) for t in texts]
+            found = [main_text(t, trained) for t in texts]
             return [found, list(map(len, found))]
 
         return run
