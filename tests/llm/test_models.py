@@ -243,6 +243,72 @@ def test_words_of_mixed_text(spark):
     assert best == ["en"] * 4 + ["es"] * 4 + ["de"] * 4
 
 
+def test_slopes_equal_finite_differences():
+    rng = np.random.default_rng(5)
+    words_, k = ["ab", "ba", "cab", "a", "bc"], 3
+    features, size = language.Words(words_, {"ab": 0, "bc": 1}), language.BUCKETS + 2
+    lengths = np.array([4, 0, 1, 6])
+    sample = language.Labelled(features, size, rng.integers(0, 5, 11), rng.integers(0, k, 11), lengths, k)
+    weights, moves = np.zeros((size, k)), rng.normal(0, 1, (k, k))
+    used = np.unique(features.features)
+    weights[used] = rng.normal(0, 0.3, (len(used), k))
+    value, by_weights, by_moves = sample.slopes(weights, moves, np.float64)
+    brute = 0.0  # the likelihood of the labels themselves, over all paths
+    emit, move = features.emissions(weights), np.exp(moves)
+    rng = np.random.default_rng(5)
+    codes, labels = rng.integers(0, 5, 11), rng.integers(0, k, 11)
+    for a, b in zip(np.cumsum(lengths) - lengths, np.cumsum(lengths)):
+        if b > a:
+            total, _ = plain_marginals(np.exp(emit[codes[a:b]]), move, np.ones(k))
+            brute += emit[codes[a:b], labels[a:b]].sum() + moves[labels[a : b - 1], labels[a + 1 : b]].sum() - math.log(total)
+    assert math.isclose(value, (brute - language.SHRINK * (weights**2).sum() / 2) / 11, rel_tol=1e-9)
+    for x, slope, places in ((moves, by_moves, itertools.product(range(k), range(k))), (weights, by_weights, itertools.product(used[::7], range(k)))):
+        for i, j in places:
+            sides = []
+            for step in (1e-5, -1e-5):
+                x[i, j] += step
+                sides.append(sample.slopes(weights, moves, np.float64)[0])
+                x[i, j] -= step
+            assert math.isclose((sides[0] - sides[1]) / 2e-5, slope[i, j], rel_tol=1e-4, abs_tol=1e-8)
+
+
+def test_prediction_against_sums_over_paths():
+    field = language.train(["aa ab ca", "bb ba", "ab cc 1"], ["x", "y", "z"])
+    texts = ["aa bb 12 ab", "", "cc", None, "ba aa aa bb", "7 --"]
+    got = list(zip(*field.texts(pa.array(texts)), strict=True))
+    for text, (lang, score, said) in zip(texts, got, strict=True):
+        w = (text or "").split()
+        letters = np.array([any(c.isalpha() for c in x) for x in w], dtype=bool)
+        if not letters.any():
+            assert (lang, score, said) == ("und", 0.0, "")
+            continue
+        emit = np.exp(language.Words(w, field.lexicon).emissions(field.weights))
+        shares = plain_marginals(emit, np.exp(field.moves), np.ones(3) / 3)[1][letters]
+        assert lang == field.languages[shares.sum(axis=0).argmax()] and math.isclose(score, shares.mean(axis=0).max(), rel_tol=1e-4)
+        best = Counter(field.languages[j] for j in shares.argmax(axis=1))
+        assert dict(x.split(":") for x in said.split()) == {x: str(n) for x, n in best.items()}
+
+
+def test_long_texts_are_labelled_in_pieces(spark, monkeypatch):
+    docs = documents(spark, BIG)
+    field = language.train(*language.sample(docs))
+    texts = pa.array([" ".join(r.text for r in docs.where("length(text) > 200").orderBy("doc_id").limit(40).collect()), "short one", None])
+    whole = field.words(texts)[3]
+    monkeypatch.setattr(language, "PIECE", 100)
+    monkeypatch.setattr(language, "CELLS", 4 * 1000)
+    cut = field.words(texts)[3]
+    assert cut.shape == whole.shape and len(cut) > 5000 and np.abs(cut - whole).max() < 1e-3
+    owner, first, before, own = language.pieces(np.array([250, 0, 3]))
+    assert owner.tolist() == [0, 0, 0, 1, 2] and own.tolist() == [100, 100, 50, 0, 3] and first.tolist() == [0, 100, 200, 250, 250] and before.tolist() == [0, 50, 50, 0, 0]
+
+
+def test_sampled_texts_are_bounded(spark, monkeypatch):
+    monkeypatch.setattr(language, "LEARNED", 50)
+    docs = spark.createDataFrame([(i, "word " * 100, "en") for i in range(20)], "doc_id long, text string, lang string")
+    texts, _ = language.sample(docs)
+    assert len(texts) == sum(fold(i, 4) != 2 for i in range(20)) and {len(t) for t in texts} == {50}
+
+
 def test_field_fits_its_sample():
     texts, langs = ["aa ab", "bb ba", "ab"], ["x", "y", "x"]
     field = language.train(texts, langs)
@@ -287,6 +353,7 @@ def test_language_of_odd_rows(spark):
     assert language.sample(empty(spark)) == ([], [])
     assert language.train([], []) is None
     assert language.keep_known(docs, field, 0.0).columns == docs.columns
+    assert language.keep_known(docs, None, 0.0).count() == docs.count()  # nothing learned, nothing rejected
 
 
 # -- toxicity -------------------------------------------------------------------------------------------------------
