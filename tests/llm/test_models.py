@@ -362,7 +362,7 @@ def test_language_of_odd_rows(spark):
 def test_toxicity_on_held_out_rows(spark):
     path = "/root/testdata/sf0.1"
     docs, labels = documents(spark, path), toxicity.labels_of(spark, path)
-    model = toxicity.train(toxicity.sample(docs, labels))
+    model = toxicity.train(*toxicity.sample(docs, labels))
     got = toxicity.toxicity(docs, model).join(labels, "doc_id").where("held_out").toPandas()
     assert all(fold(d, 5) == 0 for d in got.doc_id)
     assert got.score.between(0, 1).all() and (got.predicted == (got.score >= 0.5)).all()
@@ -376,6 +376,55 @@ def test_held_out_labels_change_nothing(spark, data):
     assert toxicity.sample(docs, labels) == toxicity.sample(docs, turned)
 
 
+@pytest.mark.parametrize("make", [toxicity.dictionaries, toxicity.trained])
+def test_scores_against_plain_compression(spark, make):
+    import zstandard
+
+    docs = documents(spark, BIG)
+    rows, share = toxicity.sample(docs, toxicity.labels_of(spark, BIG))
+    model = toxicity.train(rows, share, make)
+    score = model.scorer()
+    for text in [r.text for r in docs.orderBy("doc_id").limit(20).collect()] + ["", None, "Idiot", "a b\nc d e f g\t h"]:
+        w = (text or "").encode().lower().split()
+        sizes = []
+        for content in (model.ordinary, model.toxic):
+            params = toxicity.compressor(content)  # the same settings; each window on its own
+            sizes.append([len(params.compress(b" " + b" ".join(w[i : i + 4]) + b" " + b"\n" * 8)) for i in range(0, len(w), 4)])
+        gains = [a - b for a, b in zip(*sizes, strict=True)]
+        x = [math.log(1 + sum(g >= least for g in gains)) for least in (2, 3, 4, 5, 6, 7)]
+        x += [math.log(1 + 100 * sum(g >= least for g in gains) / max(1, len(gains))) for least in (2, 3, 4, 5, 6, 7)]
+        x += [math.log(1 + len(gains)), max([0, *gains])]
+        z = model.weights[0] + sum(a * b for a, b in zip(model.weights[1:], x, strict=True))
+        assert math.isclose(score(text), 1 / (1 + math.exp(-z)), rel_tol=1e-9, abs_tol=1e-12)
+    own = toxicity.windows(b"some words of a text")[0]
+    frame = toxicity.compressor(model.toxic).compress(own)
+    params = zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(model.toxic, dict_type=zstandard.DICT_TYPE_RAWCONTENT), format=zstandard.FORMAT_ZSTD1_MAGICLESS)
+    assert params.decompress(frame, max_output_size=200) == own  # the lengths are those of frames that hold the window
+
+
+def test_calibration_is_that_of_the_shares():
+    rng = np.random.default_rng(0)
+    word = lambda: "".join(rng.choice(list("abcdefghij"), 6))
+    ordinary = [word() for _ in range(300)]
+    text = lambda bad: " ".join([*rng.choice(ordinary, 30), *(["nastyword", "vileword"] if bad else [])])
+    rows = [(y, text(y and rng.random() < 0.8), c) for y in (0, 1) for c in (False, True) for _ in range(200)]
+    even, rare = toxicity.train(rows), toxicity.train(rows, 0.01)
+    assert math.isclose(rare.weights[0] - even.weights[0], math.log(0.01 / 0.99), rel_tol=1e-9)
+
+
+def test_labels_that_are_missing(spark):
+    ids = [i for i in range(200) if fold(i, 5) != 0]
+    texts = {i: f"word{i} and other{i % 7} things " * 5 + ("nasty" if i % 2 else "") for i in range(200)}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    of = lambda pairs: spark.createDataFrame(pairs, "doc_id long, toxic int")
+    fours = [i for i in ids if fold(i, 5) == 4]
+    for pairs in ([], [(i, 1) for i in ids], [(i, 0) for i in ids], [(ids[0], 1)]):  # nothing to tell apart: nothing goes
+        model = toxicity.train(*toxicity.sample(docs, of(pairs)))
+        assert model.weights is None and toxicity.keep_clean(docs, model).count() == 200
+    for pairs in ([(i, i % 2) for i in ids if i not in fours], [(i, i % 2) for i in fours], [(i, 0 if i in fours else i % 2) for i in ids]):  # folds that lack rows or a label
+        assert toxicity.train(*toxicity.sample(docs, of(pairs))).weights is not None
+
+
 def test_segments_cover_toxic_texts():
     toxic = [b"such a nasty thing", b"a nasty one", b"nasty words", b"how nasty is it"] * 2
     ordinary = [b"such a nice thing", b"a good one", b"many words"] * 40
@@ -385,10 +434,10 @@ def test_segments_cover_toxic_texts():
 def test_toxicity_of_odd_rows(spark):
     docs = odd_rows(spark)
     labels = spark.createDataFrame([(1, 1), (2, 0), (None, 1), (3, None)], "doc_id long, toxic int")
-    model = toxicity.train(toxicity.sample(docs, labels))
+    model = toxicity.train(*toxicity.sample(docs, labels))
     got = toxicity.toxicity(docs, model).collect()
     assert len(got) == docs.count() and all(0 <= r.score <= 1 for r in got)
     assert toxicity.toxicity(empty(spark), model).count() == 0
-    none = toxicity.train(toxicity.sample(empty(spark), labels.limit(0)))
+    none = toxicity.train(*toxicity.sample(empty(spark), labels.limit(0)))
     assert {r.score for r in toxicity.toxicity(docs, none).collect()} == {0.0}
     assert toxicity.keep_clean(docs, none).columns == docs.columns and toxicity.keep_clean(docs, none).count() == docs.count()

@@ -19,7 +19,7 @@ def test_stages(spark, data, tmp_path):
     ids = lambda df: sorted(r.doc_id for r in df.select("doc_id").collect())
 
     _, before, after = seen[0]
-    scored = toxicity.toxicity(before, toxicity.train(toxicity.sample(before, toxicity.labels_of(spark, data))))
+    scored = toxicity.toxicity(before, toxicity.train(*toxicity.sample(before, toxicity.labels_of(spark, data))))
     assert ids(after) == ids(scored.where("predicted = 0"))
     _, before, after = seen[1]
     assert ids(after) == ids(language.predict(before, language.train(*language.sample(before))).where(f"lang_pred <> 'und' and score >= {corpus_pipeline.LANGUAGE}"))

@@ -7,7 +7,11 @@ lengths to which a window compresses with either dictionary differ where it hold
 by how many of its windows gain how many bytes. The thresholds are weighed by a logistic fit on training texts that
 had no part in the dictionaries, which makes the score a calibrated probability.
 
-The sample of labelled rows is bounded: DICTIONARY_ROWS texts of each label and CALIBRATION_ROWS of both.
+`trained` makes the pair with the library's trainer instead; it finds fewer toxic texts (README), as the trainer takes
+what is frequent in its samples, and in toxic texts too that is ordinary text.
+
+The sample of labelled rows is bounded: DICTIONARY_ROWS and CALIBRATION_ROWS texts of each label, LEARNED characters of
+each.
 """
 
 from __future__ import annotations
@@ -16,6 +20,7 @@ import math
 import re
 import uuid
 from collections import Counter
+from collections.abc import Callable
 
 import numpy as np
 import xxhash
@@ -25,8 +30,10 @@ from pyspark.sql import functions as F
 
 from tidewright.llm.common import documents, durable, filter_texts, map_texts, once, remainder
 
-#: Rows of each label for the dictionaries, rows for the calibration, fold of the test rows and of the calibration.
-DICTIONARY_ROWS, CALIBRATION_ROWS, HELD_OUT, CALIBRATION, FOLDS = 2000, 4000, 0, 4, 5
+#: Rows of each label for the dictionaries and for the calibration, fold of the test rows and of the calibration.
+DICTIONARY_ROWS, CALIBRATION_ROWS, HELD_OUT, CALIBRATION, FOLDS = 2000, 2000, 0, 4, 5
+#: Characters of a sampled text that are learned from, beginning at a place that its id's hash draws.
+LEARNED = 20_000
 #: Words in a window; bytes of segments, times a toxic text is to be covered, texts a segment needs, log ratio of rates it needs.
 WINDOW, SHORTEST, LONGEST, COVER, TEXTS, RATIO = 4, 5, 12, 3, 4, 4.0
 #: What ends a window: the compressor looks for no match that begins in the last eight bytes.
@@ -35,6 +42,8 @@ PAD = b" " + b"\n" * 8
 WORD_BYTES, HASHES = 6000, 3
 #: Ordinary words that both dictionaries hold, and gains in bytes that are counted.
 SHARED, GAINS = 1800, (2, 3, 4, 5, 6, 7)
+#: For dictionaries by the library's trainer: bytes of the shared and of the own part, and the sizes of their segments and of what it counts.
+TRAINED_SHARED, TRAINED_OWN, TRAINED_SEGMENTS = 32_000, 2000, ((16, 6), (12, 8))
 WORD = re.compile(rb"[^\s.,!?;:#$%&*|]+")
 
 
@@ -118,6 +127,28 @@ def dictionaries(toxic: list[bytes], ordinary: list[bytes]) -> tuple[bytes, byte
     return shared + chosen, shared + joined(words[SHARED:][::-1])[-len(chosen) :]
 
 
+def trained(toxic: list[bytes], ordinary: list[bytes]) -> tuple[bytes, bytes]:
+    """The same by the library's trainer: a part trained on ordinary windows, then one on those words of either label's texts that two of
+    them and none of the other label's hold. A word is said twice, since the trainer counts nothing in a sample's last seven bytes."""
+    toxic, ordinary = without_copies(toxic), without_copies(ordinary)
+    words = [Counter(b" " + w + b" " for t in texts for w in set(WORD.findall(t))) for texts in (toxic, ordinary)]
+
+    def own(mine: Counter[bytes], other: Counter[bytes]) -> bytes:
+        samples = [w + w[1:] for w in sorted(mine) if w not in other and len(w) >= 6 and mine[w] > 1 for _ in range(mine[w])]
+        k, d = TRAINED_SEGMENTS[1]
+        return zstd.train_dictionary(TRAINED_OWN, samples, k=k, d=d, dict_id=1).as_bytes()
+
+    k, d = TRAINED_SEGMENTS[0]
+    shared = zstd.train_dictionary(TRAINED_SHARED, [w for t in ordinary for w in windows(t)], k=k, d=d, dict_id=1).as_bytes()
+    return shared + own(*words), shared + own(*words[::-1])
+
+
+def windows(text: bytes) -> list[bytes]:
+    """A text's words, WINDOW at a time, each with a space before, and what ends a window."""
+    words = text.split()
+    return [b" " + b" ".join(words[i : i + WINDOW]) + PAD for i in range(0, len(words), WINDOW)]
+
+
 def compressor(content: bytes) -> zstd.ZstdCompressor:
     """Frames without header, size or checksum, so that lengths are those of what is said."""
     parameters = zstd.ZstdCompressionParameters(format=zstd.FORMAT_ZSTD1_MAGICLESS, write_content_size=0, write_checksum=0, write_dict_id=0, strategy=zstd.STRATEGY_LAZY2, min_match=5, window_log=18, hash_log=17, chain_log=17, search_log=6)
@@ -133,10 +164,8 @@ class Meter:
         self.toxic, self.ordinary = compressor(toxic).compress, compressor(ordinary).compress
 
     def gains(self, text: bytes) -> np.ndarray:
-        words = text.split()
         toxic, ordinary = self.toxic, self.ordinary
-        windows = [b" " + b" ".join(words[i : i + WINDOW]) + PAD for i in range(0, len(words), WINDOW)]
-        return np.array([len(ordinary(w)) - len(toxic(w)) for w in windows], dtype=np.int64)
+        return np.array([len(ordinary(w)) - len(toxic(w)) for w in windows(text)], dtype=np.int64)
 
     def describe(self, text: bytes) -> list[float]:
         gains = self.gains(text)
@@ -176,32 +205,51 @@ class Model:
         return score
 
 
-def train(rows: list[tuple[int, str, bool]]) -> Model:
-    """A model from (toxic, text, whether for calibration)."""
+def train(rows: list[tuple[int, str, bool]], share: float | None = None, make: Callable = dictionaries) -> Model:
+    """A model from (toxic, text, whether for calibration); `share` is that of toxic texts where the calibration's come from, if
+    not that of the sample.
+
+    Where calibration rows lack a label, all rows calibrate. Where all rows lack one, there is nothing to tell apart:
+    the model's score is a constant.
+    """
     texts = {k: [lowered(t) for y, t, c in rows if y == k and not c] for k in (0, 1)}
     fit = [(lowered(t), y) for y, t, c in rows if c]
-    if not texts[0] or not texts[1] or len({y for _, y in fit}) < 2:
+    if len({y for _, y in fit}) < 2:
+        fit, share = [(lowered(t), y) for y, t, _ in rows], None
+    if not texts[0] or not texts[1]:
+        texts = {k: [t for t, y in fit if y == k] for k in (0, 1)}
+    if not texts[0] or not texts[1]:
         return Model(b"", b"", None, sum(y for y, _, _ in rows) / len(rows) if rows else 0.0)
-    toxic, ordinary = dictionaries(texts[1], texts[0])
+    toxic, ordinary = make(texts[1], texts[0])
     meter = Meter(toxic, ordinary)
-    weights = logistic(np.array([meter.describe(t) for t, _ in fit]), np.array([y for _, y in fit], dtype=np.float64))
+    y = np.array([y for _, y in fit], dtype=np.float64)
+    weights = logistic(np.array([meter.describe(t) for t, _ in fit]), y)
+    if share is not None and 0 < share < 1:
+        odds = lambda p: math.log(p / (1 - p))
+        weights[0] += odds(share) - odds(y.mean())  # labels are drawn apart
     return Model(toxic, ordinary, weights, 0.0)
 
 
-def sample(docs: DataFrame, labels: DataFrame, text: str = "text") -> list[tuple[int, str, bool]]:
-    """The bounded sample: rows with the least hashes of their ids, from all folds but that of the test; of an id's texts the least."""
+def sample(docs: DataFrame, labels: DataFrame, text: str = "text") -> tuple[list[tuple[int, str, bool]], float | None]:
+    """The bounded sample, rows with the least hashes of their ids from all folds but that of the test, and the share of toxic rows in the
+    calibration's fold. Of an id's texts the least is taken, and of that LEARNED characters together."""
     known = labels.where("doc_id is not null and toxic in (0, 1)").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     folds = durable(known.withColumn("fold", remainder("doc_id", FOLDS)).where(F.col("fold") != HELD_OUT).withColumn("h", F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40))))
+    folds = folds.withColumn("calibrates", F.col("fold") == CALIBRATION)
+    sizes = {(r["calibrates"], r["toxic"]): r["n"] for r in folds.groupBy("calibrates", "toxic").agg(F.count("*").alias("n")).collect()}  # four rows
 
-    def first(df: DataFrame, n: int) -> DataFrame:
-        """The n rows with the least hashes; those far above are left out before rows meet."""
-        near = df.where(F.col("h").cast("double") * df.count() < float(4 * n << 40))
-        return near.orderBy("h", "doc_id").limit(n).select("doc_id", "toxic", (F.col("fold") == CALIBRATION).alias("calibrates"))
+    def first(calibrates: bool, toxic: int) -> DataFrame:
+        """The rows with the least hashes; those far above are left out before rows meet."""
+        n = CALIBRATION_ROWS if calibrates else DICTIONARY_ROWS
+        near = folds.where((F.col("calibrates") == calibrates) & (F.col("toxic") == toxic) & (F.col("h").cast("double") * sizes.get((calibrates, toxic), 0) < float(4 * n << 40)))
+        return near.orderBy("h", "doc_id").limit(n).select("doc_id", "toxic", "calibrates")
 
-    words = folds.where(F.col("fold") != CALIBRATION)
-    chosen = first(words.where("toxic = 1"), DICTIONARY_ROWS).union(first(words.where("toxic = 0"), DICTIONARY_ROWS)).union(first(folds.where(F.col("fold") == CALIBRATION), CALIBRATION_ROWS))
+    chosen = first(False, 1).union(first(False, 0)).union(first(True, 1)).union(first(True, 0))
     found = docs.select("doc_id", F.col(text).alias("text")).where("text is not null").join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "toxic", "calibrates").agg(F.min("text").alias("text"))
-    return [(y, t, c) for _, y, t, c in sorted((r["doc_id"], r["toxic"], r["text"], r["calibrates"]) for r in found.collect())]
+    place = F.pmod(F.xxhash64("doc_id"), F.greatest(F.length("text") - LEARNED, F.lit(0)) + 1).cast("int") + 1
+    rows = [(y, t, c) for _, y, t, c in sorted((r["doc_id"], r["toxic"], r["text"], r["calibrates"]) for r in found.withColumn("text", F.substr("text", place, F.lit(LEARNED))).collect())]
+    toxic, all_ = sizes.get((True, 1), 0), sizes.get((True, 1), 0) + sizes.get((True, 0), 0)
+    return rows, toxic / all_ if all_ else None
 
 
 def _scores(model, key: str):
@@ -215,9 +263,10 @@ def _scores(model, key: str):
 def toxicity(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """doc_id, held_out, score and predicted for every row.
 
-    A null or empty text has no windows and gets the score of that; so does every text the constant share of toxic
-    rows, if the sample had not both labels. A null id is never held out. Repeated rows stay, other columns are left
-    out, an empty table gives an empty result.
+    A null or empty text has no windows and gets the score of that. If the sample had not both labels, every text gets
+    the share of toxic rows in it. A very long text is cut into windows like any other and takes memory in proportion to
+    it. A null id is never held out. Repeated rows stay, other columns are left out, an empty table gives an empty
+    result.
     """
     make = _scores(docs.sparkSession.sparkContext.broadcast(model), uuid.uuid4().hex)
 
@@ -230,7 +279,13 @@ def toxicity(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
 
 
 def keep_clean(docs: DataFrame, model: Model, least: float = 0.5, text: str = "text") -> DataFrame:
-    """The rows whose text scores below `least`, with all their columns."""
+    """The rows whose text scores below `least`, with all their columns; all rows if there was nothing to learn from.
+
+    Null and empty texts are judged like any others, as texts without words; rows without id or label too. Repeated rows
+    stay or go together, an empty table gives an empty result.
+    """
+    if model.weights is None:
+        return docs
     make = _scores(docs.sparkSession.sparkContext.broadcast(model), uuid.uuid4().hex)
 
     def decide():
@@ -246,4 +301,4 @@ def labels_of(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
-    return toxicity(docs, train(sample(docs, labels_of(spark, sf_dir))))
+    return toxicity(docs, train(*sample(docs, labels_of(spark, sf_dir))))
