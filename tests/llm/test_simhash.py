@@ -106,6 +106,46 @@ def test_components_of_a_path_and_a_star(spark):
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+@pytest.fixture
+def splitting(spark):
+    """Settings under which tables of a test are large, and skewed joins of more than some KB are split."""
+    conf = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "2k", "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "8k", "spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.shuffle.partitions": "8"}
+    before = {k: spark.conf.get(k, None) for k in conf}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    yield
+    for k, v in before.items():
+        spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def watched(monkeypatch, module):
+    """The final plans of what `module` writes."""
+    plans, real = [], module.durable
+
+    def durable(df):
+        made = real(df)
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return made
+
+    monkeypatch.setattr(module, "durable", durable)
+    return plans
+
+
+def test_hubs_and_giant_classes_are_split(spark, monkeypatch, splitting):
+    import sys
+
+    hub = spark.range(1, 40_001).select(F.lit(0).cast("long").alias("a"), F.col("id").alias("b")).repartition(8)
+    plans = watched(monkeypatch, sys.modules["tidewright.llm.components"])
+    got = components(hub)
+    assert got.where("root = 0").count() == 40_001
+    assert [p for p in plans if "SortMergeJoin(skew=true)" in p]
+    plans = watched(monkeypatch, simhash)
+    monkeypatch.setattr(simhash, "fingerprint_links", lambda nodes: hub)
+    found = simhash.classes(spark.range(40_001).select(F.col("id").alias("doc_id"), F.col("id").alias("fp")))
+    assert found.where("root = 0 and component_id = 0").count() == 40_001
+    assert [p for p in plans if "SortMergeJoin(skew=true)" in p and "component_id" in p]
+
+
 def test_one_of_each_class_stays(spark, data):
     docs = documents(spark, data)
     got = simhash.one_of_each_class(docs)
@@ -116,3 +156,14 @@ def test_one_of_each_class_stays(spark, data):
     assert simhash.one_of_each_class(nameless.union(nameless)).count() == 2
     twice = docs.limit(5).union(docs.limit(5))
     assert simhash.one_of_each_class(twice.union(nameless)).count() == simhash.one_of_each_class(docs.limit(5)).count()
+
+
+def test_ties_are_broken_alike(spark):
+    """Rows of one id and class: the same one stays however the rows are dealt out."""
+    rows = spark.createDataFrame([(1, t, x, {"k": x}) for x in "abc" for t in ("One  two", "one two", None, "")] + [(2, "one two", "a", None)], "doc_id long, text string, x string, m map<string,string>")
+    kept = {tuple(map(str, sorted(map(str, simhash.one_of_each_class(df).collect())))) for df in (rows, rows.repartition(5), rows.coalesce(1).orderBy(F.desc("x")))}
+    assert len(kept) == 1 and len(next(iter(kept))) == 2
+    odd = odd_rows(spark)
+    got = simhash.one_of_each_class(odd).collect()
+    want = {r.component_id for r in simhash.near_duplicates(odd).collect()}
+    assert {r.doc_id for r in got} == want and len(got) == len(want)

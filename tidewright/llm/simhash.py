@@ -12,6 +12,7 @@ Out of a shard come the links that join its connected fingerprints, fewer than i
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from itertools import combinations, islice
 
@@ -22,7 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidewright.llm.common import BATCH_ROWS, documents, durable, map_texts, slices
+from tidewright.llm.common import BATCH_ROWS, documents, durable, map_texts, slices, table
 from tidewright.llm.components import components
 
 RADIUS = 3
@@ -191,18 +192,22 @@ def fingerprint_links(nodes: DataFrame) -> DataFrame:
 
 
 def classes(prints: DataFrame) -> DataFrame:
-    """fp, its class (the root's fp) and component_id (the class's least doc_id) for each different fp of `prints` (doc_id, fp)."""
+    """fp, its class (the root's fp) and component_id (the class's least doc_id) for each different fp of `prints` (doc_id, fp).
+
+    The least ids of classes are written before they are joined back, so that a giant class can be split among tasks.
+    """
     nodes = durable(prints.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    roots = components(fingerprint_links(nodes.select("fp")))
-    labelled = nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    least = labelled.groupBy("root").agg(F.min("least").alias("component_id"))
-    return durable(labelled.join(least, "root").select("fp", "root", "component_id"))
+    linked = durable(components(fingerprint_links(nodes.select("fp"))).withColumnRenamed("node", "fp").join(nodes, "fp"))
+    least = durable(linked.groupBy("root").agg(F.min("least").alias("component_id")))
+    found = linked.join(least, "root").select("fp", "root", "component_id")
+    return durable(nodes.join(found, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), F.coalesce("component_id", "least").alias("component_id")))
 
 
 def near_duplicates(docs: DataFrame, text: str = "text") -> DataFrame:
     """doc_id, fingerprint (16 hex digits) and component_id (least doc_id reachable by links) for every row.
 
-    A null, empty or blank text has fingerprint zero and is linked like any other. A row without doc_id keeps a null
+    A null, empty or blank text has fingerprint zero and is linked like any other. Of a very long text every shingle counts; they are hashed
+    CHUNK at a time. A row without doc_id keeps a null
     there and takes the component of its fingerprint, which is null if none of its rows has an id. Repeated rows
     stay. Other columns are left out; an empty table gives an empty result.
     """
@@ -213,13 +218,13 @@ def near_duplicates(docs: DataFrame, text: str = "text") -> DataFrame:
 def one_of_each_class(docs: DataFrame, text: str = "text") -> DataFrame:
     """The rows of `docs`, with all columns, that stay: one of each class of near-duplicates, that with the least doc_id.
 
-    A row without id stays only in a class where no row has one. Of several rows with the id that stays any one does.
-    Rows repeated in a task are dropped before the shuffle.
+    A row without id stays only in a class where no row has one. Of several rows with the id that stays the one with the
+    least text does, a null text first, then by the hash of its other columns; equal rows are one. Null, empty and blank
+    texts are near-duplicates of one another. An empty table gives an empty result. Fingerprints are computed once, and
+    the table is written with them.
     """
     docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     id_type = docs.schema["doc_id"].dataType
-    keys = ["__id", "__none", "__fp"]
-    keyed = lambda df: df.select("*", F.coalesce("doc_id", F.lit(0).cast(id_type)).alias("__id"), F.col("doc_id").isNull().alias("__none"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -227,10 +232,15 @@ def one_of_each_class(docs: DataFrame, text: str = "text") -> DataFrame:
                 fp = np.array([fingerprint(t) for t in part.column(text).to_pylist()], dtype=np.uint64).view(np.int64)
                 yield part.append_column("__fp", pa.array(fp))
 
-    prints = durable(fingerprints(docs, text))
-    first = keyed(prints).withColumnRenamed("fp", "__fp").join(classes(prints).select(F.col("fp").alias("__fp"), "root"), "__fp").groupBy("root").agg(F.min(F.struct("__none", "__id", "__fp")).alias("s")).select("s.*")
-    marked = docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("__fp", T.LongType())]))
-    return keyed(marked).dropDuplicates(keys).join(first, keys, "left_semi").select(docs.columns)
+    marked = table(docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("__fp", T.LongType())])), "fingerprints")
+    marked = marked.withColumn("__id", F.coalesce("doc_id", F.lit(0).cast(id_type))).withColumn("__none", F.col("doc_id").isNull())
+    rest = F.xxhash64(F.lit(0), *[F.col(c) for c, kind in docs.dtypes if c != text and not re.search("map<|variant", kind)])
+    rows = marked.select("__none", "__id", "__fp", F.xxhash64(F.col(text)).alias("__hash"), F.col(text).isNotNull().alias("__said"), rest.alias("__rest"), F.col("doc_id"))
+    of = classes(rows.select("doc_id", F.col("__fp").alias("fp"))).select(F.col("fp").alias("__fp"), "root")
+    keys = ["__none", "__id", "__fp", "__said", "__hash", "__rest"]
+    least = durable(rows.groupBy("__fp").agg(F.min(F.struct(*keys)).alias("s"))).join(of, "__fp").groupBy("root").agg(F.min("s").alias("s")).select("s.*")
+    chosen = marked.withColumn("__hash", F.xxhash64(F.col(text))).withColumn("__said", F.col(text).isNotNull()).withColumn("__rest", rest)
+    return chosen.join(durable(least), keys, "left_semi").dropDuplicates(keys).select(docs.columns)
 
 
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
