@@ -1,8 +1,13 @@
 """The pipeline's stages against their operators, one after another."""
 
+import re
+from pathlib import Path
+
+import pytest
+
 import corpus_pipeline
-from tests.llm.helpers import documents
-from tidewright.llm import language, packing, simhash, toxicity
+from tests.llm.helpers import documents, empty, odd_rows
+from tidewright.llm import common, language, packing, simhash, toxicity
 
 
 def test_stages(spark, data, tmp_path):
@@ -28,7 +33,46 @@ def test_stages(spark, data, tmp_path):
     _, before, after = seen[3]
     assert sorted({r.doc_id for r in after.collect()}) == ids(before)
     assert after.columns == packing.pack(before, packing.public_tokenizers.path("word_bpe_49k.json")).columns
+    shared = Path(re.sub("^file:/*", "/", common.shared_folder(spark)))
+    names = lambda: {p.name for p in shared.glob("*-*") if not p.name.startswith("rdd-")}
+    common.release(spark)
+    before = names()
     assert corpus_pipeline.run(spark, data).count() == after.count()
+    assert names() == before  # nothing is left behind
+
+
+@pytest.mark.parametrize("rows", [odd_rows, empty])
+def test_stages_take_odd_and_empty_tables(spark, data, rows):
+    """Nulls in any column, empty and very long texts, repeated rows, and extra columns with names that operators use."""
+    docs = rows(spark)
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, data)
+        assert out.columns == docs.columns
+        kept = out.count()
+        assert kept == (0 if rows is empty else {"toxicity": docs.count(), "near_duplicates": len({r.component_id for r in simhash.near_duplicates(docs).collect()})}.get(name, kept))
+    pieces = corpus_pipeline.packed(spark, docs, data).collect()
+    assert {r.doc_id for r in pieces} == {r.doc_id for r in docs.collect()}
+
+
+def test_nothing_is_dropped_without_a_model(spark, tmp_path):
+    docs = spark.createDataFrame([(i, f"a text of its own {i}", None, "s", 5) for i in range(40)], "doc_id long, text string, lang string, source string, n_chars long")
+    assert corpus_pipeline.keep_languages(spark, docs, str(tmp_path)).count() == 40
+    for k, pairs in enumerate(([], [(i, 1) for i in range(40)], [(i, 0) for i in range(40)], [(1, 1), (2, 0)])):
+        spark.createDataFrame(pairs, "doc_id long, toxic int").write.parquet(f"{tmp_path}/{k}/labels.parquet")
+        assert corpus_pipeline.drop_toxic(spark, docs, f"{tmp_path}/{k}").count() == 40
+
+
+def test_a_cluster_needs_a_shared_folder():
+    class Context:
+        master = "spark://somewhere:7077"
+        getCheckpointDir = staticmethod(lambda: None)
+        getConf = staticmethod(dict)
+
+    class Session:
+        sparkContext = Context()
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        common.shared_folder(Session())
 
 
 def test_clean_texts_stay_with_many_languages(spark, data):

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -131,12 +132,14 @@ def filter_texts(docs: DataFrame, make: Callable[[], Callable[[list], list]], te
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, as in tests, a new one."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, a new one in a local session, as in tests, and an error on a cluster."""
     sc = spark.sparkContext
     found = sc.getCheckpointDir()
     if not found:
-        where = sc.getConf().get("spark.checkpoint.dir") or f"file:///tmp/checkpoints/{uuid.uuid4().hex}"
-        sc.setCheckpointDir(where)
+        where = sc.getConf().get("spark.checkpoint.dir")
+        if not where and not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(where or f"file://{tempfile.mkdtemp(prefix='checkpoints-')}")
         found = sc.getCheckpointDir()
     return found
 
@@ -147,12 +150,34 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: Folders that table() has written and release() has not deleted.
+_written: list[str] = []
+
+
 def table(df: DataFrame, name: str) -> DataFrame:
-    """`df` written as compressed Parquet in the shared folder and read again; for what is large."""
+    """`df` written as compressed Parquet in the shared folder and read again; for what is large. It stays until release()."""
     path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    _written.append(path)
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def delete(spark: SparkSession, path: str) -> None:
+    """Deletes a folder in any file system that Spark reaches."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def written() -> int:
+    """How many tables stand in the shared folder now, for release()."""
+    return len(_written)
+
+
+def release(spark: SparkSession, since: int = 0) -> None:
+    """Deletes the tables written by operators since written() was `since`. What rests on them must have been read or saved before."""
+    while len(_written) > since:
+        delete(spark, _written.pop())
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")

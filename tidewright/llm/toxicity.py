@@ -32,6 +32,8 @@ from tidewright.llm.common import documents, durable, filter_texts, map_texts, o
 
 #: Rows of each label for the dictionaries and for the calibration, fold of the test rows and of the calibration.
 DICTIONARY_ROWS, CALIBRATION_ROWS, HELD_OUT, CALIBRATION, FOLDS = 2000, 2000, 0, 4, 5
+#: Rows of each label without which no model is made.
+LEAST = 10
 #: Characters of a sampled text that are learned from, beginning at a place that its id's hash draws.
 LEARNED = 20_000
 #: Words in a window; bytes of segments, times a toxic text is to be covered, texts a segment needs, log ratio of rates it needs.
@@ -188,14 +190,14 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray:
 
 
 class Model:
-    """What is broadcast: both dictionaries and the weights; or, without both labels in the sample, a constant."""
+    """What is broadcast: both dictionaries and the weights, None without rows enough to learn from."""
 
-    def __init__(self, toxic: bytes, ordinary: bytes, weights: np.ndarray | None, constant: float):
-        self.toxic, self.ordinary, self.weights, self.constant = toxic, ordinary, weights, constant
+    def __init__(self, toxic: bytes, ordinary: bytes, weights: np.ndarray | None):
+        self.toxic, self.ordinary, self.weights = toxic, ordinary, weights
 
     def scorer(self):
         if self.weights is None:
-            return lambda text: self.constant
+            return lambda text: 0.0
         meter, weights = Meter(self.toxic, self.ordinary), self.weights
 
         def score(text: str | None) -> float:
@@ -209,17 +211,17 @@ def train(rows: list[tuple[int, str, bool]], share: float | None = None, make: C
     """A model from (toxic, text, whether for calibration); `share` is that of toxic texts where the calibration's come from, if
     not that of the sample.
 
-    Where calibration rows lack a label, all rows calibrate. Where all rows lack one, there is nothing to tell apart:
-    the model's score is a constant.
+    Where calibration rows lack a label, all rows calibrate. With fewer than LEAST rows of a label there is nothing to learn
+    from: the score of every text is 0, and nothing is predicted to be toxic.
     """
+    if min(sum(y == k for y, _, _ in rows) for k in (0, 1)) < LEAST:
+        return Model(b"", b"", None)
     texts = {k: [lowered(t) for y, t, c in rows if y == k and not c] for k in (0, 1)}
     fit = [(lowered(t), y) for y, t, c in rows if c]
     if len({y for _, y in fit}) < 2:
         fit, share = [(lowered(t), y) for y, t, _ in rows], None
     if not texts[0] or not texts[1]:
         texts = {k: [t for t, y in fit if y == k] for k in (0, 1)}
-    if not texts[0] or not texts[1]:
-        return Model(b"", b"", None, sum(y for y, _, _ in rows) / len(rows) if rows else 0.0)
     toxic, ordinary = make(texts[1], texts[0])
     meter = Meter(toxic, ordinary)
     y = np.array([y for _, y in fit], dtype=np.float64)
@@ -227,7 +229,7 @@ def train(rows: list[tuple[int, str, bool]], share: float | None = None, make: C
     if share is not None and 0 < share < 1:
         odds = lambda p: math.log(p / (1 - p))
         weights[0] += odds(share) - odds(y.mean())  # labels are drawn apart
-    return Model(toxic, ordinary, weights, 0.0)
+    return Model(toxic, ordinary, weights)
 
 
 def sample(docs: DataFrame, labels: DataFrame, text: str = "text") -> tuple[list[tuple[int, str, bool]], float | None]:
@@ -263,8 +265,8 @@ def _scores(model, key: str):
 def toxicity(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """doc_id, held_out, score and predicted for every row.
 
-    A null or empty text has no windows and gets the score of that. If the sample had not both labels, every text gets
-    the share of toxic rows in it. A very long text is cut into windows like any other and takes memory in proportion to
+    A null or empty text has no windows and gets the score of that. If there was nothing to learn from, every text's
+    score is 0. A very long text is cut into windows like any other and takes memory in proportion to
     it. A null id is never held out. Repeated rows stay, other columns are left out, an empty table gives an empty
     result.
     """
