@@ -208,6 +208,39 @@ def test_expected_counts_equal_sums_over_paths():
         assert np.allclose(got, want, rtol=1e-4, atol=1e-5)
 
 
+def test_scores_against_the_plain_model(spark, data, monkeypatch):
+    """The query's own score: the forward recursion over each whole text with the trained model, and each word's share of its class."""
+    docs = documents(spark, data)
+    kept = {}
+    real, vocabulary = language_model.baum_welch, language_model.vocabulary
+    monkeypatch.setattr(language_model, "baum_welch", lambda *a: kept.setdefault("model", []).append(real(*a)) or kept["model"][-1])
+    monkeypatch.setattr(language_model, "vocabulary", lambda *a: kept.setdefault("v", vocabulary(*a)))
+    own = 64
+    got = {r.doc_id: r.score for r in language_model.language_model(docs, own=own, broadcast=500).collect()}
+    model = kept["model"][-1]
+    rows = docs.select("doc_id", "text").collect()
+    counts = Counter(w for r in rows if fold(r.doc_id, 5) != 1 for w in words(lowered(r.text)))
+    place = {w: i for i, w in enumerate(kept["v"].words[:own])}
+    tail = defaultdict(lambda: [0, 0])
+    for w, c in counts.items():
+        if w not in place:
+            tail[language_model.ending(w)][0] += c
+            tail[language_model.ending(w)][1] += 1
+    for r in rows:
+        if not 0 < len(words(r.text)) < 400:
+            continue
+        alpha, total = model.start, 0.0
+        for w in [*words(lowered(r.text)), None]:
+            k = own + language_model.ENDINGS if w is None else place.get(w, own + language_model.ending(w or ""))
+            alpha = alpha * model.emit[k]
+            if w is not None and w not in place:
+                c, n = tail[language_model.ending(w)]
+                total += math.log10((counts[w] + 0.5) / (c + 0.5 * (n + 1)))
+            total += math.log10(alpha.sum())
+            alpha = alpha / alpha.sum() @ model.move
+        assert math.isclose(got[r.doc_id], total, rel_tol=1e-6)
+
+
 def test_likelihood_rises_with_each_step(spark, data, monkeypatch):
     docs = documents(spark, data)
     totals = []

@@ -35,7 +35,7 @@ STATES = GROUPS * ROLES
 #: Occurrences that are added to each class, dealt out as all tokens are to the states, and to each transition.
 LEAN, LEAN_MOVES = 1.0, 1.0
 #: Different words that a task counts before it passes counts on; tokens that one recursion takes; bounds of the lengths that go together; bytes of text worked on at once.
-COUNTED, TOKENS, LENGTHS, TEXT_BYTES = 300_000, 300_000, (400, 1600, 6400), 6 << 20
+COUNTED, TOKENS, LENGTHS, TEXT_BYTES = 200_000, 150_000, (400, 1600, 6400), 4 << 20
 
 
 def ending(word: str) -> int:
@@ -114,7 +114,7 @@ def vocabulary(counts: DataFrame, n_docs: int, own: int, broadcast: int) -> Voca
 
 
 def encoded(rows: DataFrame, model) -> DataFrame:
-    """Every row (doc_id, trains, text) as numbers: id, doc_id, trains, n_tokens, n_known and logs of the words known here, its classes, and the words to look up."""
+    """Every row (doc_id, trains, text) as numbers: id, doc_id, trains, n_tokens, n_known and logs of the words known here, its classes, and the different words to look up with how often each occurs."""
     kind = rows.schema["doc_id"].dataType.simpleString()
     key = uuid.uuid4().hex
 
@@ -135,20 +135,23 @@ def encoded(rows: DataFrame, model) -> DataFrame:
                 inside = np.where(classes >= own, np.where(here, log_c[at], 0.0) - norm, 0.0)  # the word's share of its class
                 known = np.where(here, log_c[at], 0.0)
                 upto = lambda x: np.diff(np.concatenate([[0.0], np.cumsum(x[codes])])[ends])
-                away, cut = codes[~here[codes]], np.r_[0, np.cumsum(~here[codes])][ends]
+                n = part.num_rows
+                far = ~here[codes]
+                pairs, times = np.unique(np.repeat(np.arange(n), np.diff(ends))[far] * len(strings) + codes[far], return_counts=True)
+                away = pairs % max(1, len(strings))
+                cut = pa.array(np.searchsorted(pairs, np.arange(n + 1) * len(strings)).astype(np.int32))
                 ids = classes[codes]
                 size = np.diff(ends)
                 ids = np.insert(ids, ends[1:], v.end) if len(size) else ids
                 stops = ends + np.arange(len(ends))
-                n = part.num_rows
                 yield pa.RecordBatch.from_arrays([
                     pa.array(np.arange(row, row + n)), part.column("doc_id"), part.column("trains"), pa.array(size + 1), pa.array(upto(here.astype(np.float64)).round().astype(np.int64)),
                     pa.array(upto(known)), pa.array(upto(inside)), pa.array([press(ids[a:b].tobytes()) for a, b in zip(stops[:-1].tolist(), stops[1:].tolist(), strict=True)], pa.binary()),
-                    pa.ListArray.from_arrays(pa.array(cut.astype(np.int32)), different.take(pa.array(away))),
-                ], names=["row", "doc_id", "trains", "n_tokens", "n_known", "log_known", "log_inside", "classes", "away"])
+                    pa.ListArray.from_arrays(cut, different.take(pa.array(away))), pa.ListArray.from_arrays(cut, pa.array(times.astype(np.int32))),
+                ], names=["row", "doc_id", "trains", "n_tokens", "n_known", "log_known", "log_inside", "classes", "away", "times"])
                 row += n
 
-    return rows.mapInArrow(run, f"row long, doc_id {kind}, trains boolean, n_tokens long, n_known long, log_known double, log_inside double, classes binary, away array<string>")
+    return rows.mapInArrow(run, f"row long, doc_id {kind}, trains boolean, n_tokens long, n_known long, log_known double, log_inside double, classes binary, away array<string>, times array<int>")
 
 
 def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[int], list[np.ndarray]]]:
@@ -310,7 +313,7 @@ def baum_welch(training: DataFrame, model: Hmm, unigram: np.ndarray) -> Hmm:
 def language_model(docs: DataFrame, held_out: int = 1, folds: int = 5, text: str = "text", own: int = OWN, broadcast: int = BROADCAST) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score for every row.
 
-    A null or empty text is its end alone. A null id is never held out. Without any training text N is 0, words are
+    A null or empty text is its end alone. A very long text is one sequence, in memory in proportion to it. A null id is never held out. Without any training text N is 0, words are
     unknown and the model is the first estimate. Repeated rows count each and stay, other columns are left out, an
     empty table gives an empty result.
     """
@@ -339,14 +342,14 @@ def language_model(docs: DataFrame, held_out: int = 1, folds: int = 5, text: str
         for ids, found in gathered(batches):
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(final.value.log10_likelihoods(found))], names=["row", "likelihood"])
 
-    away = texts.select("row", F.explode("away").alias("word")).join(counts, "word", "left")
+    away = texts.select("row", F.explode(F.arrays_zip("away", "times")).alias("w")).select("row", F.col("w.away").alias("word"), F.col("w.times").alias("times")).join(counts, "word", "left")
     known = F.coalesce("c", F.lit(0))
-    looked_up = away.groupBy("row").agg(F.sum((known > 0).cast("long")).alias("more_known"), F.sum(F.log10(known + 0.5)).alias("more"))
+    looked_up = away.groupBy("row").agg(F.sum(F.when(known > 0, F.col("times")).otherwise(0)).alias("more_known"), F.sum(F.col("times") * F.log10(known + 0.5)).alias("more"))
     scored = texts.select("row", "classes").mapInArrow(likelihoods, "row long, likelihood double")
     more = F.coalesce("more", F.lit(0.0))
     base = F.lit(math.log10(v.tokens + 0.5 * (v.types + 1)))
     end = F.lit(math.log10(n_docs + 0.5))
-    made = texts.drop("classes", "away").join(scored, "row").join(looked_up, "row", "left")
+    made = texts.drop("classes", "away", "times").join(scored, "row").join(looked_up, "row", "left")
     return made.select(
         "doc_id", (~F.col("trains")).alias("held_out"), "n_tokens", (F.col("n_known") + F.coalesce("more_known", F.lit(0)) + (1 if n_docs else 0)).alias("n_known"), F.lit(v.tokens).cast("long").alias("train_tokens"),
         (F.col("log_known") + more + end - base * F.col("n_tokens")).alias("base_score"), (F.col("likelihood") + F.col("log_inside") + more).alias("score"),
