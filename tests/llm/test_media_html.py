@@ -42,10 +42,40 @@ def test_entries_are_named_by_their_digest(spark, data, tmp_path):
     assert rows.count() == documents(spark, data).count()
 
 
-def test_headers_read_headers_only(spark, data, tmp_path, monkeypatch):
+def test_headers_read_headers_only(spark, data, tmp_path):
     _, entries = media.ingest(documents(spark, data), f"file://{tmp_path}")
     got = media.headers(entries, f"file://{tmp_path}").collect()
     assert len(got) == entries.count() and all((r.width, r.depth) == (64, 8) for r in got)
+    system, root = media.filesystem(f"file://{tmp_path}")
+    read = []
+
+    class Source:
+        def __init__(self, path):
+            self.file = system.open_input_file(path)
+
+        def read_at(self, n, at):
+            read.append(n)
+            return self.file.read_at(n, at)
+
+        def close(self):
+            self.file.close()
+
+    class Counting:
+        open_input_file = staticmethod(Source)
+
+    rows = [(r.shard, r.offset, r.length) for r in got]
+    found = list(media.range_reads(iter(rows), Counting(), root, lambda reader, row: media.png_header(reader(media.HEADER_BYTES))))
+    assert sum(read) == media.HEADER_BYTES * len(rows) < sum(r.length for r in got)
+    assert [x[3:] for x in found] == [(r.width, r.height, r.depth) for r in got]
+
+
+def test_reads_are_dealt_out_by_stored_bytes(spark, data, tmp_path, monkeypatch):
+    rows, entries = media.ingest(documents(spark, data), f"file://{tmp_path}")
+    monkeypatch.setattr(media, "READ_BYTES", 20_000)
+    found = media.read_back(entries, f"file://{tmp_path}")
+    blocks = {(r.shard, r.offset // 20_000) for r in entries.collect()}
+    assert found.rdd.getNumPartitions() == len(blocks) > 4
+    assert {(r.payload_sha256, r.digest.hex()) for r in found.collect()} == {(r.digest.hex(), r.digest.hex()) for r in rows.collect()}
 
 
 def test_shards_roll_over(tmp_path, monkeypatch):

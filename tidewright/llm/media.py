@@ -5,7 +5,8 @@ image 64 wide, which loses nothing and deflates the bytes. `ingest` writes each
 shared folder, one entry for each digest, named by it; rows carry digest, shard, offset and length. All rows of a
 digest then point to one entry, the first, so that equal payloads have equal addresses; entries of the same digest in
 other shards, one a shard at most, are left unreferenced. Payloads are never shuffled. `headers` fills width, height
-and depth from range reads of the first 33 bytes alone; `read_back` reads whole entries, each digest once.
+and depth from range reads of the first 33 bytes alone; `read_back` reads whole entries, each digest once. Both deal
+entries out by the bytes that are stored, at most READ_BYTES of a shard to a task.
 """
 
 from __future__ import annotations
@@ -15,7 +16,8 @@ import struct
 import tarfile
 import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -29,6 +31,8 @@ from tidewright.llm.common import BATCH_ROWS, SLICE_BYTES, documents, shared_fol
 WIDTH = 64
 #: Bytes after which a task starts another shard; bytes of signature and header of an image.
 SHARD_BYTES, HEADER_BYTES = 256 << 20, 33
+#: Stored bytes of one shard that one task reads.
+READ_BYTES = 64 << 20
 SIGNATURE = b"\x89PNG\r\n\x1a\n"
 
 
@@ -151,55 +155,63 @@ def ingest(docs: DataFrame, folder: str, text: str = "text") -> tuple[DataFrame,
     return made.select("doc_id", "n_bytes", "digest"), table(first.select("digest", "at.*"), "entries")
 
 
-def _ranged(entries: DataFrame, folder: str, fields: str, work) -> DataFrame:
-    """`entries` and what work(read, length) makes of each, where read(n) gives an entry's first n bytes; shard by shard, in the order of their places."""
-    entries = entries.select("digest", "shard", "offset", "length").repartition("shard").sortWithinPartitions("shard", "offset")
-    names = ["digest", "shard", "offset", "length", *(f.split()[0] for f in fields.split(", "))]
+def range_reads(rows: Iterator[tuple], system: fs.FileSystem, root: str, work: Callable) -> Iterator[tuple]:
+    """Rows (shard, offset, length, ...) with what work(read, row) makes of each, where read(n) gives an entry's first n bytes; a shard stays open while rows are its own."""
+    name, source = None, None
+    for row in rows:
+        if row[0] != name:
+            if source is not None:
+                source.close()
+            name, source = row[0], system.open_input_file(f"{root}/{row[0]}")
+        yield (*row, *work(lambda n, at=row[1]: source.read_at(n, at), row))
+    if source is not None:
+        source.close()
+
+
+def _ranged(entries: DataFrame, folder: str, fields: str, work: Callable) -> DataFrame:
+    """`entries` and what range_reads makes of each, by blocks of shards in the order of their places."""
+    columns = ["shard", "offset", "length", *(c for c in entries.columns if c not in ("shard", "offset", "length"))]
+    block = F.floor(F.col("offset") / READ_BYTES)
+    blocks = entries.select("shard", block).distinct().count()
+    names = [*columns, *(f.split()[0] for f in fields.split(", "))]
+    source = entries.select(*columns).repartition(max(1, blocks), "shard", block).sortWithinPartitions("shard", "offset")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         system, root = filesystem(folder)
-        name, source = None, None
-        for b in batches:
-            out = []
-            for digest, shard, offset, length in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
-                if shard != name:
-                    if source is not None:
-                        source.close()
-                    name, source = shard, system.open_input_file(f"{root}/{shard}")
-                out.append((digest, shard, offset, length, *work(lambda n, at=offset: source.read_at(n, at), length)))
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(list(c)) for c in zip(*out, strict=True)], names=names)
-        if source is not None:
-            source.close()
-
-    return entries.mapInArrow(run, f"digest binary, shard string, offset long, length long, {fields}")
+        rows = (row for b in batches for row in zip(*(b.column(i).to_pylist() for i in range(len(columns))), strict=True))
+        found = range_reads(rows, system, root, work)
+        while some := list(islice(found, BATCH_ROWS)):
+            yield pa.RecordBatch.from_arrays([pa.array(list(c)) for c in zip(*some, strict=True)], names=names)
+
+    kinds = ", ".join(f"{c} {entries.schema[c].dataType.simpleString()}" for c in columns)
+    return source.mapInArrow(run, f"{kinds}, {fields}")
 
 
 def headers(entries: DataFrame, folder: str) -> DataFrame:
-    """`entries` with width, height and depth, from range reads of their first bytes alone."""
-    return _ranged(entries, folder, "width long, height long, depth long", lambda read, length: png_header(read(HEADER_BYTES)))
+    """`entries` with width, height and depth, from range reads of their first HEADER_BYTES alone."""
+    return _ranged(entries, folder, "width long, height long, depth long", lambda read, row: png_header(read(HEADER_BYTES)))
 
 
 def read_back(entries: DataFrame, folder: str) -> DataFrame:
-    """`entries` with their metadata, and what the stored bytes hold: sizes, digests and features."""
+    """`entries` and what the stored bytes hold: sizes, digests and features."""
 
-    def work(read, length: int) -> tuple:
-        shape = png_header(read(HEADER_BYTES))
-        raw = read(length)
+    def work(read, row: tuple) -> tuple:
+        raw = read(row[2])
         samples = from_png(raw)
-        return *shape, len(samples), hashlib.sha256(samples).hexdigest(), zlib.crc32(samples[-64:]), len(raw), hashlib.sha256(raw).hexdigest(), features(samples, shape)
+        return len(samples), hashlib.sha256(samples).hexdigest(), zlib.crc32(samples[-64:]), len(raw), hashlib.sha256(raw).hexdigest(), features(samples, png_header(raw[:HEADER_BYTES]))
 
-    return _ranged(entries, folder, "width long, height long, depth long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string", work)
+    return _ranged(entries, folder, "payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string", work)
 
 
 def media_columns(docs: DataFrame, folder: str, text: str = "text") -> DataFrame:
     """Every row's doc_id and n_bytes, its address, the metadata in the header and what is read back from the store.
 
-    A null or empty text is a payload of 64 zeros. Repeated rows share an entry and its values. Other columns are
-    left out; an empty table writes no shard and gives an empty result.
+    A null or empty text is a payload of 64 zeros; a very long one is an entry like any other, in memory in proportion to
+    it. Repeated rows share an entry and its values. Other columns are left out; an empty table writes no shard and gives
+    an empty result.
     """
     rows, entries = ingest(docs, folder, text)
-    found = read_back(entries, folder)
+    found = read_back(table(headers(entries, folder), "headers"), folder)
     return rows.join(found, "digest").select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "shard", "offset", "length", "width", "height", "depth")
 
 
