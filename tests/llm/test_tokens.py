@@ -152,3 +152,37 @@ def test_packing_of_odd_rows(spark):
     assert len(ends) == odd_rows(spark).count()  # every row is packed by itself
     assert (rows[rows.doc_id == 0].doc_tokens == 1).all()
     assert packing.pack(empty(spark), WORD).count() == 0
+
+
+def test_files_with_other_rules_are_left_to_the_library(spark, data):
+    """A tokenizer file that the fast ways don't know gives the library's ids and counts all the same."""
+    docs = documents(spark, data, 40).union(odd_rows(spark).select(documents(spark, data).columns))
+    rows = docs.select("doc_id", "text").collect()
+    assert packing.by_words(WORD) and not packing.by_words(BYTE) and token_count.has_known_rules(BYTE) and not token_count.has_known_rules(WORD)
+    library = Tokenizer.from_file(BYTE)
+    want = sorted(len(library.encode(r.text or "", add_special_tokens=False).ids) + 1 for r in rows)
+    pieces = packing.pack(docs, BYTE, end_id=50256).collect()
+    assert sorted(r.doc_tokens for r in pieces if r.start == 0) == want
+    ids = {}
+    for r in rows:
+        ids.setdefault(r.doc_id, []).append(np.asarray([*library.encode(r.text or "", add_special_tokens=False).ids, 50256], dtype="<u4"))
+    assert all(r.ids_crc32 in {zlib.crc32(x[r.start : r.start + r.length].tobytes()) for x in ids[r.doc_id]} for r in pieces)
+    word = Tokenizer.from_file(WORD)
+    got = token_count.token_counts(docs, WORD).collect()
+    assert sorted(r.n_tokens for r in got) == sorted(len(word.encode(r.text or "", add_special_tokens=False).ids) for r in rows)
+
+
+def test_transducer_with_another_pattern(ranks):
+    pattern = r"\p{L}+|\p{N}{1,3}|\s+|[^\s\p{L}\p{N}]+"
+    library = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+    encode = transducer.Encoder(ranks, transducer.unreachable(ranks), pattern)
+    texts = [t or "" for t in TEXTS[:-3]] + ["1234567 abc  def!?", "a b\n\nc"]
+    assert [list(x) for x in encode(pa.array(texts))[1]] == [library.encode_ordinary(t) for t in texts]
+
+
+def test_new_characters_are_probed_together(ranks, monkeypatch):
+    built, real = [], tiktoken.Encoding
+    monkeypatch.setattr(transducer.tiktoken, "Encoding", lambda *a, **k: built.append(1) or real(*a, **k))
+    encode = transducer.Encoder(ranks, transducer.unreachable(ranks))
+    encode(pa.array(["".join(map(chr, range(0x4E00, 0x5000))), "".join(map(chr, range(0x5000, 0x5200)))]))
+    assert len(built) == 1

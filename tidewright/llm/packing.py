@@ -9,6 +9,7 @@ altogether, and no row is shuffled.
 
 from __future__ import annotations
 
+import json
 import re
 import unicodedata
 import zlib
@@ -32,18 +33,42 @@ MEMORY, LONGEST = 800_000, 64
 BLOCK = 200_000
 #: White space by which the tokenizer parts words as Python does; the four other separators of Python it keeps.
 KEPT_BY_TOKENIZER = "[\x1c-\x1f]"
-#: The tokenizer's own pattern (a fixed value of its file).
+#: The tokenizer's own pattern, and the rules in its file that the way by words rests on (fixed values of the file).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]}
+PRE_TOKENIZER = {"type": "Sequence", "pretokenizers": [{"type": "Split", "pattern": {"Regex": PATTERN}, "behavior": "Removed", "invert": True}, {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]}
+
+
+def by_words(path: str) -> bool:
+    """Whether a tokenizer file has the rules by which words can be encoded apart."""
+    with open(path, encoding="utf-8") as f:
+        rules = json.load(f)
+    plain = not any(t["single_word"] or t["lstrip"] or t["rstrip"] or t["normalized"] or re.search(r"\s", t["content"]) for t in rules["added_tokens"])
+    return rules["normalizer"] == NORMALIZER and rules["pre_tokenizer"] == PRE_TOKENIZER and rules["post_processor"] is None and plain
+
+
+def library_tokenizer(path: str) -> Callable[[pa.Array], list[bytes]]:
+    """The same as word_tokenizer for any tokenizer file, each text by the library as a whole."""
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(path)
+    tokenizer.no_truncation()
+    tokenizer.no_padding()
+    return lambda texts: [np.asarray(tokenizer.encode(t or "", add_special_tokens=False).ids, dtype="<u4").tobytes() for t in texts.to_pylist()]
 
 
 def word_tokenizer(path: str, memory: int | None = None) -> Callable[[pa.Array], list[bytes]]:
     """A function from an array of texts (null: empty) to their ids as little-endian unsigned 32-bit numbers, without special tokens.
 
     The tokenizer drops white space and never joins across it, so words are encoded apart and remembered. Special
-    strings have no white space in them and are left to the library with the word that holds them.
+    strings have no white space in them and are left to the library with the word that holds them. Files with other
+    rules are left to the library altogether.
     """
     from tokenizers import Tokenizer
 
+    if not by_words(path):
+        return library_tokenizer(path)
+
     tokenizer, most = Tokenizer.from_file(path), memory or MEMORY
     special = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
     pattern = regex.compile(PATTERN)
@@ -155,7 +180,7 @@ def cut(doc_id: list, start: np.ndarray, ids: list[bytes], window: int) -> list[
 def pack(docs: DataFrame, path: str, window: int = 2048, end_id: int = 1, memory: int | None = None) -> DataFrame:
     """Pieces of all rows of `docs`: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
-    A null or empty text is the end id alone. Repeated rows and ids are packed one by one, other columns are left
+    A null or empty text is the end id alone; a very long one is cut like any other, in memory in proportion to it. Repeated rows and ids are packed one by one, other columns are left
     out, and an empty table gives no pieces. The order is that of the table's partitions and rows as first read. A
     worker remembers the ids of `memory` words (default MEMORY).
     """

@@ -12,6 +12,7 @@ the library's own pre-tokenizer.
 
 from __future__ import annotations
 
+import json
 import re
 from collections.abc import Callable
 
@@ -31,6 +32,34 @@ MEMORY = 1_000_000
 FAST_PATTERN = r"""'(?:[stmd]|re|ve|ll)| ?(?:\p{L}++|\p{N}++|[^\s\p{L}\p{N}]++)|\s+(?!\S)|\s+"""
 
 
+#: The rule of a tokenizer file that the shortcut rests on (a fixed value of the file).
+PRE_TOKENIZER = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}
+
+
+def has_known_rules(path: str) -> bool:
+    """Whether a tokenizer file splits by the public pattern and merges bytes without further rules."""
+    with open(path, encoding="utf-8") as f:
+        rules = json.load(f)
+    model = rules["model"]
+    odd = [model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges")]
+    tokens = any(t["single_word"] or t["lstrip"] or t["rstrip"] or t["normalized"] for t in rules["added_tokens"])
+    return model["type"] == "BPE" and not any(odd) and not tokens and rules["normalizer"] is None and rules["pre_tokenizer"] == PRE_TOKENIZER
+
+
+def library_counts(path: str) -> Callable[[pa.Array], list]:
+    """Bytes and tokens of texts for any tokenizer file, each text by the library as a whole."""
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(path)
+    tokenizer.no_truncation()
+    tokenizer.no_padding()
+
+    def run(texts: pa.Array) -> list:
+        return [pc.fill_null(pc.binary_length(texts), 0), np.array([len(tokenizer.encode(t or "", add_special_tokens=False).ids) for t in texts.to_pylist()], dtype=np.int64)]
+
+    return run
+
+
 def prove_whole(vocabulary: dict[bytes, int], pairs: dict[tuple[bytes, bytes], int]) -> list[str]:
     """The vocabulary strings that are one pre-token and whose merges end in one symbol."""
     pattern, proven = regex.compile(public_tokenizers.PATTERN), []
@@ -96,9 +125,23 @@ class Counter(Memory):
 def token_counts(docs: DataFrame, path: str, text: str = "text", keep: tuple[str, ...] = ("doc_id",), limit: int = 512) -> DataFrame:
     """`keep`, n_bytes, n_tokens and over_limit (more than `limit` tokens) of every row.
 
-    A null or empty text has 0 bytes and 0 tokens. Repeated rows and ids stay as they are, other columns are left
-    out, an empty table gives an empty result. The vocabulary file bounds what is broadcast.
+    A null or empty text has 0 bytes and 0 tokens; a very long one is read in one pass, in memory in proportion to it.
+    Repeated rows and ids stay as they are, other columns are left out, an empty table gives an empty result. The
+    vocabulary file bounds what is broadcast. A file with other rules than the shortcut knows is left to the library.
     """
+    fields = [("n_bytes", "long"), ("n_tokens", "long"), ("over_limit", "boolean")]
+    if not has_known_rules(path):
+
+        def plain():
+            count = once(f"library {path}", lambda: library_counts(path))
+
+            def run(texts: pa.Array) -> list:
+                n_bytes, n_tokens = count(texts)
+                return [n_bytes, n_tokens, n_tokens > limit]
+
+            return run
+
+        return map_texts(docs, plain, fields, text, keep, arrays=True)
     vocabulary, pairs, specials = load_json(path)
     model = docs.sparkSession.sparkContext.broadcast((prove_whole(vocabulary, pairs), pairs, sorted(specials, key=len, reverse=True), path))
     key = f"token_count {path}"
@@ -138,7 +181,7 @@ def token_counts(docs: DataFrame, path: str, text: str = "text", keep: tuple[str
 
         return run
 
-    return map_texts(docs, make, [("n_bytes", "long"), ("n_tokens", "long"), ("over_limit", "boolean")], text, keep, arrays=True)
+    return map_texts(docs, make, fields, text, keep, arrays=True)
 
 
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -235,37 +235,53 @@ def _text(raw: bytes) -> str | None:
 class Alike(dict):
     """For str.translate: a character, or one that the `regex` module splits as tiktoken splits that character.
 
-    The two may know different versions of Unicode. A character is probed when first met: tiktoken takes a pair that
-    is in the vocabulary as one token just where its pattern takes it as one piece. Up to U+02AF the two agree.
+    The two may know different versions of Unicode. Characters are probed when first met, all of a text in one go:
+    tiktoken takes a pair that is in the vocabulary as one token just where its pattern takes it as one piece. Up to
+    U+02AF the two agree.
     """
 
     LETTER, NUMBER, SPACE, OTHER = "\u00aa", "\u00b2", "\u00a0", "\u00a4"
+    #: Characters that one encoder probes.
+    MOST = 4096
+
+    def learn(self, text: str) -> None:
+        new = sorted(c for c in set(text) if c > "\u02af" and ord(c) not in self)
+        for at in range(0, len(new), self.MOST):
+            some = new[at : at + self.MOST]
+            pairs = {p + c: 256 + 3 * i + j for i, c in enumerate(some) for j, p in enumerate("a1!")}
+            probe = tiktoken.Encoding("probe", pat_str=public_tokenizers.PATTERN, mergeable_ranks={bytes([i]): i for i in range(256)} | {p.encode(): i for p, i in pairs.items()}, special_tokens={})
+            for c in some:
+                theirs = [len(probe.encode_ordinary(p + c)) == 1 for p in "a1!"]
+                ours = [len(regex.findall(public_tokenizers.PATTERN, p + c)) == 1 for p in "a1!"]
+                self[ord(c)] = ord(c) if theirs == ours else ord(next((s for s, yes in zip((self.LETTER, self.NUMBER, self.OTHER), theirs) if yes), self.SPACE))
 
     def __missing__(self, point: int) -> int:
-        c, found = chr(point), point
-        if point > 0x2AF:
-            pairs = [p + c for p in "a1!"]
-            probe = tiktoken.Encoding("probe", pat_str=public_tokenizers.PATTERN, mergeable_ranks={bytes([i]): i for i in range(256)} | {p.encode(): 256 + i for i, p in enumerate(pairs)}, special_tokens={})
-            theirs = [len(probe.encode_ordinary(p)) == 1 for p in pairs]
-            if theirs != [len(regex.findall(public_tokenizers.PATTERN, p)) == 1 for p in pairs]:
-                found = ord(next((s for s, yes in zip((self.LETTER, self.NUMBER, self.OTHER), theirs) if yes), self.SPACE))
-        self[point] = found
-        return found
+        return point
 
 
 class Encoder:
-    """Texts to ids: each different chunk of a batch is read once, and pre-tokens that the machine has read are remembered."""
+    """Texts to ids: each different chunk of a batch is read once, and pre-tokens that the machine has read are remembered.
 
-    def __init__(self, ranks: dict[bytes, int], never: set[int]):
-        self.machine = Transducer(ranks, never)
-        self.pattern, self.beyond, self.alike = regex.compile(FAST_PATTERN), re.compile("[^\x00-\u02af]").search, Alike()
+    With a pattern other than the public one every text is split as a whole, by the `regex` module alone.
+    """
+
+    def __init__(self, ranks: dict[bytes, int], never: set[int], pattern: str = public_tokenizers.PATTERN):
+        self.machine, self.public = Transducer(ranks, never), pattern == public_tokenizers.PATTERN
+        self.pattern, self.beyond, self.alike = regex.compile(FAST_PATTERN if self.public else pattern), re.compile("[^\x00-\u02af]").search, Alike()
         self.decimal = {i: str(i) for i in ranks.values()}.__getitem__
         self.piece = Memory(lambda s: tuple(self.machine.encode(s.encode("utf-8", "surrogatepass"))), PIECES).__getitem__
 
+    def beyond_once(self, texts: pa.Array) -> str | None:
+        """The characters above U+02AF of a batch, so that all are probed together."""
+        found = set().union(*(set(t) for t in texts.to_pylist() if t and not t.isascii() and self.beyond(t)))
+        return "".join(found) or None
+
     def split(self, text: str) -> list[str]:
-        if not text.isascii() and self.beyond(text) and (like := text.translate(self.alike)) != text:
-            return [text[m.start() : m.end()] for m in self.pattern.finditer(like)]
-        return self.pattern.findall(text)
+        if self.public and not text.isascii() and self.beyond(text):
+            self.alike.learn(text)
+            if (like := text.translate(self.alike)) != text:
+                return [text[m.start() : m.end()] for m in self.pattern.finditer(like)]
+        return self.pattern.findall(text) if self.public else [m.group() for m in self.pattern.finditer(text)]
 
     def read(self, text: str) -> tuple[str, tuple[int, ...]]:
         ids = tuple(itertools.chain.from_iterable(map(self.piece, self.split(text))))
@@ -273,6 +289,11 @@ class Encoder:
 
     def __call__(self, texts: pa.Array) -> tuple[list[str], list[list[int]]]:
         """For each text its ids in decimal, joined by commas, and as numbers."""
+        if not self.public:
+            made = [self.read(t or "") for t in texts.to_pylist()]
+            return [line for line, _ in made], [list(ids) for _, ids in made]
+        if (new := self.beyond_once(texts)) is not None:
+            self.alike.learn(new)
         codes, ends, different = spaced_chunks(texts)
         used = np.bincount(codes, minlength=len(different)) > 0
         made = [self.read(c) if u else ("", ()) for c, u in zip(different, used.tolist(), strict=True)]
@@ -291,20 +312,21 @@ class Encoder:
         return out_lines, out_ids
 
 
-def encode_decode(docs: DataFrame, path: str, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+def encode_decode(docs: DataFrame, path: str, text: str = "text", keep: tuple[str, ...] = ("doc_id",), pattern: str = public_tokenizers.PATTERN) -> DataFrame:
     """`keep`, n_tokens, ids_sha256 and decoded_sha256 of every row's text, encoded and decoded again.
 
-    A null or empty text has no ids: both digests are those of nothing. Repeated rows stay, other columns are left
-    out, an empty table gives an empty result.
+    A null or empty text has no ids: both digests are those of nothing. A very long text is read in one pass, in memory
+    in proportion to it. Repeated rows stay, other columns are left out, an empty table gives an empty result. A file of
+    ranks says nothing of how texts are split, so `pattern` must be that of its tokenizer.
     """
     ranks = load_ranks(path)
     model = docs.sparkSession.sparkContext.broadcast((ranks, unreachable(ranks)))
-    key = f"transducer {path}"
+    key = f"transducer {path} {pattern}"
 
     def make():
         def build():
             ranks, never = model.value
-            return Encoder(ranks, never), Decoder({i: b for b, i in ranks.items()})
+            return Encoder(ranks, never, pattern), Decoder({i: b for b, i in ranks.items()})
 
         encode, decoder = once(key, build)
 
