@@ -1,9 +1,11 @@
 """Sources, joins on small tables, streams, and what stands without the corpus operators."""
 
+import random
 import subprocess
 import sys
 from pathlib import Path
 
+import pytest
 from pyspark.sql import functions as F
 
 from tidewright import sources
@@ -22,11 +24,29 @@ def test_formats(spark, tmp_path):
     assert sources.load(spark, f"{tmp_path}/by").where("i = 2").count() == 1
 
 
-def test_asof_ties_and_nulls(spark):
-    left = spark.createDataFrame([(1, "a", 5), (2, "a", 1), (3, "b", 9), (4, None, 9)], "id int, k string, t int")
-    right = spark.createDataFrame([("a", 5, 50), ("a", 5, 51), ("a", 2, 20), ("c", 1, 1)], "k string, t2 int, v int")
-    got = joins.asof_join(left, right, "k", "t", "t2", ["v"])
-    assert {r.id: r.v for r in got.collect()} == {1: 51, 2: None, 3: None, 4: None}
+def plain_asof(left, right):
+    """(id, key, time) with the greatest value of the last (key, time, value) no later; nulls match nothing."""
+    found = {}
+    for i, k, t in left:
+        able = [(u, v) for j, u, v in right if k is not None and t is not None and j == k and u is not None and u <= t]
+        found[i] = max(able)[1] if able else None
+    return found
+
+
+@pytest.mark.parametrize("cell", [lambda: None, lambda: F.floor(F.col("__t") / 3), lambda: F.lit(0)])
+def test_asof_ties_and_nulls(spark, cell):
+    left = [(1, "a", 5), (2, "a", 1), (3, "b", 9), (4, None, 9), (5, "a", None), (6, "a", 8), (7, "a", 20), (8, None, None), (9, "d", 4), (10, "a", 5)]
+    right = [("a", 5, 50), ("a", 5, 51), ("a", 2, 20), ("c", 1, 1), (None, 3, 30), ("a", None, 99), (None, None, 98), ("d", 5, 7), ("b", None, 97)]
+    got = joins.asof_join(spark.createDataFrame(left, "id int, k string, t int"), spark.createDataFrame(right, "k string, t2 int, v int"), "k", "t", "t2", ["v"], cell())
+    assert {r.id: r.v for r in got.collect()} == plain_asof(left, right)
+
+
+def test_asof_cells_carry_over_gaps(spark):
+    rng = random.Random(0)
+    left = [(i, rng.choice("abh"), rng.randrange(1000)) for i in range(400)]
+    right = [(rng.choice("abhhhh"), rng.randrange(1000), i) for i in range(60)]
+    got = joins.asof_join(spark.createDataFrame(left, "id int, k string, t int"), spark.createDataFrame(right, "k string, t2 int, v int"), "k", "t", "t2", ["v"], F.floor(F.col("__t") / 7))
+    assert {r.id: r.v for r in got.collect()} == plain_asof(left, right)
 
 
 def test_range_join_is_whole(spark):
@@ -37,6 +57,15 @@ def test_range_join_is_whole(spark):
     assert sorted((r.id, r.r) for r in got.collect()) == sorted((r.id, r.r) for r in want.collect())
 
 
+def test_wide_ranges_are_dealt_to_few_cells(spark):
+    points = spark.createDataFrame([(i, float(i * i % 9973)) for i in range(300)] + [(-1, None)], "id int, x double")
+    ranges = spark.createDataFrame([(0, 0.0, 9000.0), (1, 5.0, 5.0), (2, 100.0, 90.0), (3, None, 5.0), (4, -50.0, 40.0), (5, 7000.0, 7100.0)], "r int, low double, high double")
+    got = joins.range_join(points, ranges, F.col("x"), F.col("low"), F.col("high"), 1.0, most=16)
+    want = points.crossJoin(ranges).where("x between low and high")
+    assert got.columns == ["id", "x", "r", "low", "high"]
+    assert sorted((r.id, r.r) for r in got.collect()) == sorted((r.id, r.r) for r in want.collect())
+
+
 def test_stream_equals_batch_up_to_the_watermark(spark, tmp_path):
     events = spark.read.parquet("/root/testdata/sf0.001/events.parquet")
     for i in range(3):  # one file after another; the first twice, so that its events come again

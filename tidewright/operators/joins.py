@@ -7,30 +7,59 @@ from pyspark.sql import functions as F
 
 from tidewright.sources import table
 
+#: Widths of cells in a range join, each so many times the one before as a range may meet cells.
+LEVELS = 3
 
-def asof_join(left: DataFrame, right: DataFrame, by: str, left_time: str, right_time: str, values: list[str]) -> DataFrame:
+
+def asof_join(left: DataFrame, right: DataFrame, by: str, left_time: str, right_time: str, values: list[str], cell: Column | None = None) -> DataFrame:
     """For each row of `left` the `values` of the last row of `right` with the same `by` and a time no later.
 
-    One shuffle: both sides are put on top of each other, and a running last() over the key's times carries the
-    values on, so work is linear in the rows, unlike a join on an inequality. Ties of `right` go to the greatest
-    values.
+    A null key or time matches nothing: such rows of `left` get nulls without a shuffle, such rows of `right` are left out. Ties of `right`
+    go to the greatest values. Both sides are put on top of each other, and a running last() over the key's times
+    carries the values on, so work is linear in the rows, unlike a join on an inequality.
+
+    `cell`, a column of the times that never falls as they rise (a day, say; over the column __t), cuts each key into
+    cells, so that a key with very many rows is spread over tasks: what a cell begins with comes from a second carry
+    over one row for each key and cell.
     """
     carried = F.struct(F.col(right_time).alias("__at"), *values)
     empty = F.lit(None).cast(right.select(carried.alias("c")).schema["c"].dataType)
-    both = left.select("*", F.col(left_time).alias("__t"), F.lit(1).alias("__side"), empty.alias("__c")).unionByName(
+    right = right.where(F.col(by).isNotNull() & F.col(right_time).isNotNull())
+    here = F.col(by).isNotNull() & F.col(left_time).isNotNull()
+    both = left.where(here).select("*", F.col(left_time).alias("__t"), F.lit(1).alias("__side"), empty.alias("__c")).unionByName(
         right.select(by, F.col(right_time).alias("__t"), F.lit(0).alias("__side"), carried.alias("__c")), allowMissingColumns=True)
-    window = Window.partitionBy(by).orderBy("__t", "__side", "__c").rowsBetween(Window.unboundedPreceding, 0)
-    return both.withColumn("__last", F.last("__c", ignorenulls=True).over(window)).where("__side = 1").select(*left.columns, *[F.col(f"__last.{v}").alias(v) for v in values])
-
-
-def range_join(points: DataFrame, ranges: DataFrame, point: Column, low: Column, high: Column, width: float) -> DataFrame:
+    keys = [by]
+    if cell is not None:
+        both, keys = both.withColumn("__cell", cell), [by, "__cell"]
+    window = Window.partitionBy(*keys).orderBy("__t", "__side", "__c")
+    found = both.withColumn("__last", F.last("__c", ignorenulls=True).over(window.rowsBetween(Window.unboundedPreceding, 0))).where("__side = 1")
+    if cell is not None:
+        ends = both.groupBy(*keys).agg(F.max(F.when(F.col("__side") == 0, F.struct("__t", "__c"))).alias("__end"))  # the last of the right in each cell
+        earlier = Window.partitionBy(by).orderBy("__cell").rowsBetween(Window.unboundedPreceding, -1)
+        begins = ends.select(F.col(by).alias("__by"), F.col("__cell").alias("__of"), F.last("__end", ignorenulls=True).over(earlier).alias("__begin"))
+        found = found.join(begins, (F.col(by) == F.col("__by")) & (F.col("__cell") == F.col("__of")), "left")
+        found = found.withColumn("__last", F.coalesce("__last", "__begin.__c"))
+    alone = left.where(~here).select("*", *[F.lit(None).cast(right.schema[v].dataType).alias(v) for v in values])
+    return found.select(*left.columns, *[F.col(f"__last.{v}").alias(v) for v in values]).unionAll(alone)
+
+
+def range_join(points: DataFrame, ranges: DataFrame, point: Column, low: Column, high: Column, width: float, most: int = 64) -> DataFrame:
     """Rows of `points` with the `ranges` (low to high, both included) that hold them, by cells of `width`.
 
     A range is dealt to each cell that it meets, a point to its own, so the join has a key and no pair is made twice.
+    Ranges that meet more than `most` cells are dealt by cells `most` times as wide, and so on for LEVELS levels, so no
+    range becomes more than about `most` rows; points are dealt once for each level. Of the widest level a range may
+    become more. Null ends and points match nothing, nor does a range that ends before it begins.
     """
-    cell = lambda x: F.floor(x / width).cast("long")
-    dealt = ranges.withColumn("__cell", F.explode(F.sequence(cell(low), cell(high))))
-    return points.withColumn("__cell", cell(point)).join(dealt, "__cell").where((point >= low) & (point <= high)).drop("__cell")
+    cell = lambda x, level: F.floor(x / (width * most**level)).cast("long")
+    level = F.lit(LEVELS - 1)
+    for i in range(LEVELS - 2, -1, -1):
+        level = F.when(cell(high, i) - cell(low, i) < most, F.lit(i)).otherwise(level)
+    sized = ranges.where(low <= high).withColumn("__level", level)
+    bound = lambda x: F.floor(x / (F.lit(width) * F.pow(F.lit(float(most)), F.col("__level")))).cast("long")
+    dealt = sized.withColumn("__cell", F.explode(F.sequence(bound(low), bound(high))))
+    levels = points.where(point.isNotNull()).withColumn("__level", F.explode(F.array(*map(F.lit, range(LEVELS)))))
+    return levels.withColumn("__cell", bound(point)).join(dealt, ["__level", "__cell"]).where((point >= low) & (point <= high)).drop("__cell", "__level")
 
 
 def revenue_by_nation(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -70,7 +99,7 @@ def last_error_before_purchase(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = table(spark, sf_dir, "events")
     bought = events.where("event_type = 'purchase'").select("event_id", "user_id", "ts")
     errors = events.where("event_type = 'error'").select("user_id", F.col("ts").alias("error_ts"), F.col("event_id").alias("error_id"))
-    return asof_join(bought, errors, "user_id", "ts", "error_ts", ["error_id"]).select("event_id", "error_id")
+    return asof_join(bought, errors, "user_id", "ts", "error_ts", ["error_id"], F.to_date("__t")).select("event_id", "error_id")
 
 
 def events_near_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
