@@ -36,6 +36,31 @@ def region_nations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "nation").groupBy("n_regionkey").agg(F.array_join(F.sort_array(F.collect_set("n_name")), ",").alias("names"))
 
 
+def small_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = table(spark, sf_dir, "lineitem").where((F.col("l_shipdate") < F.lit("1996-01-01").cast("timestamp_ntz")) & F.col("l_discount").between(0.05, 0.07) & (F.col("l_quantity") < 24))
+    return lines.select("l_orderkey", "l_linenumber", F.round(F.col("l_extendedprice") * F.col("l_discount"), 4).alias("saved"))
+
+
+def anvils(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "part").where(F.col("p_name").like("%anvil%") & F.col("p_brand").isin("Brand#1", "Brand#2", "Brand#3")).select("p_partkey", "p_name", "p_brand")
+
+
+def line_math(spark: SparkSession, sf_dir: str) -> DataFrame:
+    q, x = F.col("l_quantity"), F.col("l_extendedprice")
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.floor(x / 1000).cast("long").alias("thousands"), F.round(F.sqrt(q), 6).alias("root"), F.round(F.ln(x), 6).alias("log"), F.round(F.power("l_tax", F.lit(2)), 8).alias("square"), F.sign(q - 25).cast("long").alias("side"), F.abs(q - 25).alias("far"))
+
+
+def region_map(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A map for each region, from nation key to name, and what is looked up in it."""
+    made = table(spark, sf_dir, "nation").groupBy("n_regionkey").agg(F.map_from_entries(F.collect_list(F.struct("n_nationkey", "n_name"))).alias("m"), F.min("n_nationkey").alias("k"))
+    return made.select("n_regionkey", F.size("m").cast("long").alias("n"), F.try_element_at("m", "k").alias("first"), F.array_join(F.array_sort(F.map_values("m")), ",").alias("names"), F.map_contains_key("m", F.lit(3)).alias("has_3"))
+
+
+def word_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of an exploded array, counted; combined in each task before the shuffle."""
+    return table(spark, sf_dir, "documents").select(F.explode(F.split("text", " ")).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
+
+
 QUERIES = {
     "part_strings": (part_strings, r"""
         select p_partkey, upper(p_name) as up, substring(p_name, 2, 4) as mid, length(p_name) as n, lpad(p_brand, 12, '*') as pad,
@@ -50,5 +75,14 @@ QUERIES = {
         select doc_id, len(string_split(text, ' ')) as n, len(list_filter(string_split(text, ' '), lambda w: length(w) > 8)) as long_words,
         list_contains(string_split(text, ' '), 'the') as has_the from documents"""),
     "event_keys": (event_keys, "select cast(props ->> 'k' as bigint) as k, count(*) as n from events group by 1"),
+    "small_lines": (small_lines, "select l_orderkey, l_linenumber, round(l_extendedprice * l_discount, 4) as saved from lineitem where l_shipdate < timestamp '1996-01-01' and l_discount between 0.05 and 0.07 and l_quantity < 24"),
+    "anvils": (anvils, "select p_partkey, p_name, p_brand from part where p_name like '%anvil%' and p_brand in ('Brand#1', 'Brand#2', 'Brand#3')"),
+    "line_math": (line_math, """
+        select l_orderkey, l_linenumber, cast(floor(l_extendedprice / 1000) as bigint) as thousands, round(sqrt(l_quantity), 6) as root, round(ln(l_extendedprice), 6) as log,
+        round(power(l_tax, 2), 8) as square, cast(sign(l_quantity - 25) as bigint) as side, abs(l_quantity - 25) as far from lineitem"""),
+    "region_map": (region_map, """
+        with a as (select n_regionkey, map_from_entries(list({'k': n_nationkey, 'v': n_name})) as m, min(n_nationkey) as k from nation group by 1)
+        select n_regionkey, cardinality(m) as n, m[k] as first, array_to_string(list_sort(map_values(m)), ',') as names, list_contains(map_keys(m), 3) as has_3 from a"""),
+    "word_counts": (word_counts, "select word, count(*) as n from (select unnest(string_split(text, ' ')) as word from documents) group by word"),
     "region_nations": (region_nations, "select n_regionkey, string_agg(n_name, ',' order by n_name) as names from nation group by n_regionkey"),
 }

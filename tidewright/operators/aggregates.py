@@ -62,10 +62,20 @@ def dearest_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.max_by("o_orderkey", F.struct("o_totalprice", "o_orderkey")).alias("o_orderkey"), F.max("o_totalprice").alias("price"))
 
 
+def exact_prices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sums of decimals, which no order of rows changes."""
+    d = lambda c: F.col(c).cast("decimal(12,2)")
+    lines = table(spark, sf_dir, "lineitem")
+    return lines.groupBy("l_returnflag", "l_linestatus").agg(F.sum(d("l_quantity")).cast("decimal(30,2)").alias("qty"), F.sum((d("l_extendedprice") * (1 - d("l_discount"))).cast("decimal(18,4)")).cast("decimal(30,4)").alias("price"))
+
+
 QUERIES = {
     "pricing_summary": (pricing_summary, """
         select l_returnflag, l_linestatus, round(sum(l_quantity), 2) as sum_qty, round(avg(l_discount), 4) as avg_discount, count(*) as n_lines
         from lineitem where l_shipdate <= timestamp '1998-09-02' group by all"""),
+    "exact_prices": (exact_prices, """
+        select l_returnflag, l_linestatus, cast(sum(cast(l_quantity as decimal(12,2))) as decimal(30,2)) as qty,
+        cast(sum(cast(cast(l_extendedprice as decimal(12,2)) * (1 - cast(l_discount as decimal(12,2))) as decimal(18,4))) as decimal(30,4)) as price from lineitem group by all"""),
     "busy_parts": (busy_parts, "select l_partkey, count(*) as n, sum(l_quantity) as qty from lineitem group by l_partkey having count(*) > 45"),
     "distinct_sizes": (distinct_sizes, "select p_brand, count(distinct p_size) as n_sizes, count(distinct p_type) as n_types from part group by p_brand"),
     "event_mix": (event_mix, "select user_id, count(*) filter (event_type = 'click') as click, count(*) filter (event_type = 'view') as view, count(*) filter (event_type = 'error') as error from events group by user_id"),

@@ -95,6 +95,27 @@ def later_nations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return a.join(b, (F.col("a_region") == F.col("b_region")) & (F.col("a_key") < F.col("b_key"))).select("a_key", "b_key")
 
 
+def region_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A cross join of two tables of five rows."""
+    a, b = (table(spark, sf_dir, "region").select(F.col("r_name").alias(x)) for x in "ab")
+    return a.crossJoin(b).where("a <> b")
+
+
+def _sql(spark: SparkSession, sf_dir: str, text: str, *names: str) -> DataFrame:
+    """`text` with its tables, {name}, put in; for forms that only SQL has."""
+    return spark.sql(text, **{n: table(spark, sf_dir, n) for n in names})
+
+
+def parts_above_brand(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A correlated scalar subquery, which the optimizer turns into an aggregate and a join."""
+    return _sql(spark, sf_dir, "select p_partkey from {part} p where p_retailprice > (select avg(p_retailprice) + 1 from {part} q where q.p_brand = p.p_brand)", "part")
+
+
+def richest_customers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A lateral join: the richest customer of each nation."""
+    return _sql(spark, sf_dir, "select n_name, c.c_custkey from {nation} n, lateral (select max_by(c_custkey, struct(c_acctbal, c_custkey)) as c_custkey from {customer} where c_nationkey = n.n_nationkey) c", "nation", "customer")
+
+
 def last_error_before_purchase(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = table(spark, sf_dir, "events")
     bought = events.where("event_type = 'purchase'").select("event_id", "user_id", "ts")
@@ -118,6 +139,9 @@ QUERIES = {
     "customers_with_large_orders": (customers_with_large_orders, "select c_custkey, c_name from customer where exists (select 1 from orders where o_custkey = c_custkey and o_totalprice > 490000)"),
     "orders_without_lines": (orders_without_lines, "select o_orderkey from orders where not exists (select 1 from lineitem where l_orderkey = o_orderkey)"),
     "later_nations": (later_nations, "select a.n_nationkey as a_key, b.n_nationkey as b_key from nation a join nation b on a.n_regionkey = b.n_regionkey and a.n_nationkey < b.n_nationkey"),
+    "region_pairs": (region_pairs, "select a.r_name as a, b.r_name as b from region a cross join region b where a.r_name <> b.r_name"),
+    "parts_above_brand": (parts_above_brand, "select p_partkey from part p where p_retailprice > (select avg(p_retailprice) + 1 from part q where q.p_brand = p.p_brand)"),
+    "richest_customers": (richest_customers, "select n_name, c.c_custkey from nation n, lateral (select arg_max(c_custkey, (c_acctbal, c_custkey)) as c_custkey from customer where c_nationkey = n.n_nationkey) c"),
     "last_error_before_purchase": (last_error_before_purchase, """
         select p.event_id, e.event_id as error_id from (select * from events where event_type = 'purchase') p
         asof left join (select * from events where event_type = 'error') e on p.user_id = e.user_id and p.ts >= e.ts"""),

@@ -36,6 +36,14 @@ def customers_without_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k")).subtract(table(spark, sf_dir, "orders").select("o_custkey"))
 
 
+def buying_customers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k")).intersect(table(spark, sf_dir, "orders").select("o_custkey"))
+
+
+def parts_never_sold_by_fifty(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("k")).subtract(table(spark, sf_dir, "lineitem").where("l_quantity = 50").select("l_partkey"))
+
+
 def powers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql("with recursive p(i, x) as (select 0, cast(1 as bigint) union all select i + 1, 2 * x from p where i < 30) select i, x from p")
 
@@ -46,5 +54,7 @@ QUERIES = {
     "intersect_all": (intersect_all, "select c_nationkey as k from customer intersect all select s_nationkey from supplier"),
     "except_all": (except_all, "select c_nationkey as k from customer except all select s_nationkey from supplier"),
     "customers_without_orders": (customers_without_orders, "select c_custkey as k from customer except select o_custkey from orders"),
+    "buying_customers": (buying_customers, "select c_custkey as k from customer intersect select o_custkey from orders"),
+    "parts_never_sold_by_fifty": (parts_never_sold_by_fifty, "select p_partkey as k from part except select l_partkey from lineitem where l_quantity = 50"),
     "powers": (powers, "with recursive p(i, x) as (select 0, cast(1 as bigint) union all select i + 1, 2 * x from p where i < 30) select i, x from p"),
 }

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from tidewright.functions import scalar
+from tidewright.functions import python, scalar
 from tidewright.operators import aggregates, joins, sets, windows
 from tidewright.streaming import windows as event_windows
 
-_ALL = {name: pair for module in (aggregates, joins, windows, sets, scalar, event_windows) for name, pair in module.QUERIES.items()}
+_ALL = {name: pair for module in (aggregates, joins, windows, sets, scalar, python, event_windows) for name, pair in module.QUERIES.items()}
 QUERIES = {name: query for name, (query, _) in _ALL.items()}
 ORACLES = {name: sql for name, (_, sql) in _ALL.items()}
