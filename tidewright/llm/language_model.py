@@ -35,7 +35,7 @@ STATES = GROUPS * ROLES
 #: Occurrences that are added to each class, dealt out as all tokens are to the states, and to each transition.
 LEAN, LEAN_MOVES = 1.0, 1.0
 #: Different words that a task counts before it passes counts on; tokens that one recursion takes; bounds of the lengths that go together; bytes of text worked on at once.
-COUNTED, TOKENS, LENGTHS, TEXT_BYTES = 200_000, 150_000, (400, 1600, 6400), 4 << 20
+COUNTED, TOKENS, LENGTHS, TEXT_BYTES = 200_000, 240_000, (400, 1600, 6400), 4 << 20
 
 
 def ending(word: str) -> int:
