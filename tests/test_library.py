@@ -3,14 +3,17 @@
 import random
 import subprocess
 import sys
+import time
 from pathlib import Path
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from tidewright import sources
+from tidewright.functions import python
 from tidewright.operators import joins
-from tidewright.streaming import windows
+from tidewright.streaming import state, windows
 
 ROOT = Path(__file__).resolve().parents[1]
 
@@ -66,15 +69,94 @@ def test_wide_ranges_are_dealt_to_few_cells(spark):
     assert sorted((r.id, r.r) for r in got.collect()) == sorted((r.id, r.r) for r in want.collect())
 
 
-def test_stream_equals_batch_up_to_the_watermark(spark, tmp_path):
-    events = spark.read.parquet("/root/testdata/sf0.001/events.parquet")
-    for i in range(3):  # one file after another; the first twice, so that its events come again
-        events.where(F.col("event_id") % 1000 >= 0).orderBy("ts").limit(300).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
-    rows = windows.counted(windows.stream(spark, f"{tmp_path}/in", events.schema), "1 hour")
-    query = rows.writeStream.format("memory").queryName("counted_hours").outputMode("complete").trigger(availableNow=True).option("checkpointLocation", f"{tmp_path}/c").start()
+def run(rows, name, folder, mode):
+    """What a stream over all files gives, one after another."""
+    query = rows.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).option("checkpointLocation", f"{folder}/checkpoint-{name}").start()
     query.awaitTermination()
-    batch = windows.counted(events.orderBy("ts").limit(300).withColumn("ts", F.col("ts").cast("timestamp")), "1 hour")
-    assert sorted(map(str, spark.table("counted_hours").collect())) == sorted(map(str, batch.collect()))
+    return rows.sparkSession.table(name).collect()
+
+
+def written(spark, folder, *parts):
+    """Files of events, in the order in which a stream reads them."""
+    for i, part in enumerate(parts):
+        part.coalesce(1).write.mode("append").parquet(f"{folder}/in")
+        time.sleep(1.1)  # the stream goes by the files' times
+    return f"{folder}/in"
+
+
+def test_repeated_events_count_once(spark, tmp_path):
+    events = spark.read.parquet("/root/testdata/sf0.001/events.parquet")
+    first = events.orderBy("ts").limit(300)
+    rows = windows.counted(windows.stream(spark, written(spark, tmp_path, first, first), events.schema), "1 hour")
+    batch = windows.counted(first.withColumn("ts", F.col("ts").cast("timestamp")), "1 hour")
+    assert sorted(map(str, run(rows, "counted_hours", tmp_path, "complete"))) == sorted(map(str, batch.collect()))
+
+
+@pytest.fixture
+def late_events(spark, tmp_path):
+    """Shuffled micro-batches: in each, events of some days in any order; the last two hold one late event each, of which only one is too late."""
+    events = spark.read.parquet("/root/testdata/sf0.001/events.parquet").orderBy("ts").limit(400)
+    end = events.agg(F.max("ts")).first()[0]
+    from datetime import timedelta
+
+    at = lambda h, i: spark.createDataFrame([(10_000 + i, end - timedelta(hours=h), 1, "click", 1.0, "{}")], events.schema)
+    parts = [events.where("event_id % 400 < 200").orderBy(F.rand(1)), events.where("event_id % 400 >= 200").orderBy(F.rand(2)), at(200, 1).union(at(0.5, 2))]
+    path = written(spark, tmp_path, *parts)
+    kept = parts[0].union(parts[1]).union(at(0.5, 2)).withColumn("ts", F.col("ts").cast("timestamp"))
+    return path, events.schema, kept, end - timedelta(hours=1)
+
+
+@pytest.mark.parametrize(("name", "window", "hours"), [("append_tumbling", ("1 hour",), 1), ("append_sliding", ("1 hour", "30 minutes"), 1)])
+def test_windows_are_emitted_once_and_late_events_left_out(spark, tmp_path, late_events, name, window, hours):
+    path, schema, kept, watermark = late_events
+    got = run(windows.counted(windows.stream(spark, path, schema), *window), name, tmp_path, "append")
+    closed = windows.counted(kept, *window).where(F.col("start") + F.expr(f"interval {hours} hours") <= F.lit(watermark))
+    assert sorted(map(str, got)) == sorted(map(str, closed.collect())) and len(got) > 100
+
+
+def test_sessions_of_a_stream(spark, tmp_path, late_events):
+    path, schema, kept, watermark = late_events
+    got = run(windows.session_counts(windows.stream(spark, path, schema)), "append_sessions", tmp_path, "append")
+    w = F.session_window("ts", "30 minutes")
+    closed = kept.groupBy("user_id", w).agg(F.count("*").alias("n")).where(F.col("session_window.end").cast("timestamp_ntz") <= F.lit(watermark)).select("user_id", F.col("session_window.start").cast("timestamp_ntz").alias("start"), "n")
+    assert sorted(map(str, got)) == sorted(map(str, closed.collect())) and len(got) > 100
+
+
+def test_running_totals_and_expired_state(spark, tmp_path):
+    events = spark.read.parquet("/root/testdata/sf0.001/events.parquet").orderBy("ts").limit(600)
+    half = events.approxQuantile("event_id", [0.5], 0)[0]
+    path = written(spark, tmp_path, events.where(f"event_id <= {half}"), events.where(f"event_id > {half}"))
+    got = run(state.running_totals(windows.stream(spark, path, events.schema), idle_ms=3_600_000), "running", tmp_path, "update")
+    want = {r.user_id: (r.n, round(r.total, 6)) for r in events.groupBy("user_id").agg(F.count("*").alias("n"), F.sum("value").alias("total")).collect()}
+    assert any(r.closed for r in got) and {r.user_id for r in got} == set(want)
+    assert all(r.n <= want[r.user_id][0] for r in got)  # a key whose state went begins anew
+    steady = run(state.running_totals(windows.stream(spark, path, events.schema), idle_ms=10**12), "steady", tmp_path, "update")
+    final = {}
+    for r in steady:
+        final[r.user_id] = max(final.get(r.user_id, (0, 0.0)), (r.n, round(r.total, 6)))
+    assert final == want and not any(r.closed for r in steady)
+
+
+def test_other_formats(spark, tmp_path):
+    lines = spark.createDataFrame([("one line",), ("and another",)], "value string")
+    sources.save(lines, f"{tmp_path}/text", "text")
+    assert sorted(r.value for r in sources.load(spark, f"{tmp_path}/text", "text").collect()) == ["and another", "one line"]
+    rows = spark.createDataFrame([(1, "a"), (2, None)], "i long, s string")
+    sources.save(rows, f"{tmp_path}/xml", "xml", rowTag="row")
+    assert sorted(map(str, sources.load(spark, f"{tmp_path}/xml", "xml", "i long, s string", rowTag="row").collect())) == sorted(map(str, rows.collect()))
+
+
+def test_functions_in_python(spark):
+    rows = spark.createDataFrame([("a", 1.0), ("a", 4.0), ("b", None), (None, 2.0), (None, 8.0)], "k string, x double")
+
+    def partial(b):
+        return b.groupby("k", dropna=False)["x"].agg(["sum", "count"]).reset_index().set_axis(["k", "total", "n"], axis=1)
+
+    got = python.in_two_steps(rows, ["k"], partial, "k string, total double, n long", {"total": F.sum, "n": F.sum})
+    assert {(r.k, r.total, r.n) for r in got.collect()} == {("a", 5.0, 2), ("b", 0.0, 0), (None, 10.0, 2)}
+    assert python.in_two_steps(rows.limit(0), ["k"], partial, "k string, total double, n long", {"n": F.sum}).count() == 0
+    numbers = pd.Series([None, 0, 907, -12], dtype="Int64")
+    assert python.digit_sum(numbers).tolist()[1:] == [0, 16, 3] and python.digit_sum(numbers).isna().tolist() == [True, False, False, False]
 
 
 def test_library_stands_without_the_corpus_operators(tmp_path):

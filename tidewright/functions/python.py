@@ -48,7 +48,9 @@ def in_two_steps(df: DataFrame, keys: list[str], partial: Callable[[pd.DataFrame
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             if len(b):
-                yield partial(b)
+                made = partial(b)
+                made[keys] = made[keys].astype(object).where(made[keys].notna(), None)  # pandas has NaN for a group of nulls
+                yield made
 
     return df.mapInPandas(run, schema).groupBy(*keys).agg(*[f(c).alias(c) for c, f in merge.items()])
 

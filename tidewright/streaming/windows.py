@@ -26,9 +26,14 @@ def sliding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted(_events(spark, sf_dir), "1 hour", "30 minutes")
 
 
+def session_counts(events: DataFrame, gap: str = "30 minutes") -> DataFrame:
+    """Sessions of each user, which end when nothing comes for `gap`; of a table or, with a watermark, a stream in append mode."""
+    made = events.groupBy("user_id", F.session_window("ts", gap)).agg(F.count("*").alias("n"))
+    return made.select("user_id", F.col("session_window.start").cast("timestamp_ntz").alias("start"), "n")
+
+
 def sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    w = F.session_window("ts", "30 minutes")
-    return _events(spark, sf_dir).groupBy("user_id", w).agg(F.count("*").alias("n")).select("user_id", F.col("session_window.start").cast("timestamp_ntz").alias("start"), "n")
+    return session_counts(_events(spark, sf_dir))
 
 
 def stream(spark: SparkSession, path: str, schema, late: str = "1 hour", files: int = 1) -> DataFrame:
