@@ -120,6 +120,46 @@ def test_estimate_ignores_a_cluster_of_outliers(spark):
     assert max(abs(found[f"m{i}"]) for i in range(quality.P)) < 0.25
 
 
+def plain_mcd(x, share, starts, rng):
+    """Concentration steps to the exact nearest rows, from many random starts; the least determinant, reweighted."""
+    h, floors, best = math.ceil(share * len(x)), np.diag(np.array(list(quality.FLOORS.values())) ** 2), None
+
+    def moments(rows, factor):
+        return rows.mean(axis=0), np.cov(rows.T, bias=True) * factor + floors
+
+    def distances(mean, cov):
+        return np.einsum("ij,jk,ik->i", x - mean, np.linalg.inv(cov), x - mean)
+
+    for _ in range(starts):
+        mean, cov = moments(x[rng.choice(len(x), quality.P + 2, replace=False)], 1.0)
+        for _ in range(30):
+            mean, cov = moments(x[np.argsort(distances(mean, cov), kind="stable")[:h]], quality.consistency(share))
+        if best is None or np.linalg.slogdet(cov)[1] < best[0]:
+            best = np.linalg.slogdet(cov)[1], mean, cov
+    kept = x[distances(*best[1:]) <= quality.chi2_quantile(0.975, quality.P)]
+    mean, cov = moments(kept, quality.consistency(0.975))
+    return mean, cov, distances(mean, cov)
+
+
+@pytest.mark.parametrize("bad", [0.0, 0.2, 0.4])
+def test_estimates_against_exact_concentration_steps(spark, bad):
+    rng = np.random.default_rng(7)
+    n, mix = 600, rng.normal(0, 0.5, (quality.P, quality.P)) + np.eye(quality.P)
+    good = rng.normal(0, 1, (n - int(bad * n), quality.P)) @ mix + 3
+    x = np.round(np.concatenate([good, rng.normal(25, 1.5, (int(bad * n), quality.P))]) * quality.STEPS) / quality.STEPS
+    rows = spark.createDataFrame([("a", "b", *(int(round(v * quality.STEPS)) for v in r)) for r in x], ", ".join(["g_lang string", "g_source string", *(f"x{i} long" for i in range(quality.P))]))
+    found = quality.estimates(rows).where("level = 2").first()
+    mean, inverse = np.array([found[f"m{i}"] for i in range(quality.P)]), np.zeros((quality.P, quality.P))
+    for i in range(quality.P):
+        for j in range(i + 1):
+            inverse[i, j] = inverse[j, i] = found[f"a{i}_{j}"]
+    want_mean, want_cov, want = plain_mcd(x, quality.SHARE, 60, rng)
+    got = np.einsum("ij,jk,ik->i", x - mean, inverse, x - mean)
+    assert np.abs(mean - want_mean).max() < 0.15 and abs(found["logdet"] - np.linalg.slogdet(want_cov)[1]) < 0.3
+    cut = quality.chi2_quantile(1 - quality.ALPHA, quality.P)
+    assert ((got > cut) == (want > cut)).mean() > 0.99 and (got[len(good) :] > cut).all() and (got[: len(good)] <= cut).mean() > 0.99
+
+
 def test_copies_that_are_a_third_of_a_group_are_rejected(spark):
     docs = documents(spark, BIG).where("lang = 'en'").select("doc_id", "text", "lang", F.lit("s").alias("source"))
     junk = " ".join(f"{i} | #{7 * i} & {i}%" for i in range(60))
