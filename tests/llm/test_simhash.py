@@ -167,3 +167,59 @@ def test_ties_are_broken_alike(spark):
     got = simhash.one_of_each_class(odd).collect()
     want = {r.component_id for r in simhash.near_duplicates(odd).collect()}
     assert {r.doc_id for r in got} == want and len(got) == len(want)
+
+
+def jaccard(a, b):
+    def shingles(text):
+        w = words(lowered(text))
+        return {" ".join(w[i : i + 5]) for i in range(len(w) - 4)} or ({" ".join(w)} if w else set())
+
+    a, b = shingles(a), shingles(b)
+    return len(a & b) / len(a | b) if a | b else 1.0
+
+
+def edited(rng, text, n):
+    w = text.split()
+    for _ in range(n):
+        w[int(rng.integers(len(w)))] = f"edit{int(rng.integers(10**6))}"
+    return " ".join(w)
+
+
+def test_pairs_within_a_radius_are_whole(spark):
+    rng = np.random.default_rng(2)
+    values = sorted({int(v) for base in rng.integers(-(2**62), 2**62, 40) for v in [base, *(base ^ sum(1 << int(b) for b in set(rng.integers(0, 63, rng.integers(1, 9)).tolist())) for _ in range(6))]})
+    nodes = spark.createDataFrame([(v,) for v in values], "fp long")
+    want = {(a, b) for a in values for b in values if a < b and ((a ^ b) & (1 << 64) - 1).bit_count() <= 6}
+    got = [(r.a, r.b) for r in simhash.fingerprint_pairs(nodes, 6).collect()]
+    assert set(got) == want and len(got) == len(want) > 300
+
+
+def test_links_between_similar_texts(spark, data):
+    rng = np.random.default_rng(4)
+    base = [r.text for r in documents(spark, data).where("length(text) > 600").orderBy("doc_id").limit(25).collect()]
+    texts = [t for b in base for t in (b, edited(rng, b, 2), edited(rng, b, 5), edited(rng, b, max(1, len(b.split()) // 12)), " ".join(sorted(b.split())))] + ["", "one", "one two"]
+    rows = [(i, simhash.word_fingerprint(t) - (1 << 64 if simhash.word_fingerprint(t) >= 1 << 63 else 0), t) for i, t in enumerate(texts)]
+    got = {(r.a, r.b) for r in simhash.similar(spark.createDataFrame(rows, "node long, wfp long, text string")).collect()}
+    alike = {(i, j) for i in range(len(texts)) for j in range(i) if jaccard(texts[i], texts[j]) >= simhash.SIMILAR}
+    alike = {(min(p), max(p)) for p in alike}
+    assert got <= alike and len(got) > 0.9 * len(alike) > 30  # nothing else is linked, and few candidates are missed
+
+
+def test_one_of_each_group_stays(spark, data):
+    rng = np.random.default_rng(6)
+    docs = documents(spark, data).select("doc_id", "text")
+    own = [r for r in docs.where("length(text) > 600").orderBy("doc_id").limit(20).collect()]
+    more = spark.createDataFrame([(10_000 + r.doc_id, edited(rng, r.text, 3)) for r in own], docs.schema)
+    got = simhash.one_of_each_group(docs.union(more))
+    ids = {r.doc_id for r in got.collect()}
+    classes_ = {r.doc_id for r in simhash.one_of_each_class(docs.union(more)).collect()}
+    texts = {r.doc_id: r.text for r in docs.union(more).collect()}
+    alike = {i for i in classes_ if i >= 10_000 and jaccard(texts[i], texts[i - 10_000]) >= simhash.SIMILAR}
+    assert ids <= classes_ and len(alike & ids) <= 1 and len(alike) > 5
+    kept = {i: texts[i] for i in ids}
+    for i in classes_ - ids:  # every row that goes has a row that it is like, and that is before it
+        assert any(j < i and jaccard(texts[i], texts[j]) >= simhash.SIMILAR for j in classes_)
+    assert len(kept) == got.count()
+    odd = odd_rows(spark)
+    assert simhash.one_of_each_group(odd).columns == odd.columns and simhash.one_of_each_group(empty(spark)).count() == 0
+    assert {r.doc_id for r in simhash.one_of_each_group(odd).collect()} <= {r.doc_id for r in simhash.one_of_each_class(odd).collect()}

@@ -8,12 +8,17 @@ trees of their shards instead. A shard of more than SHARD fingerprints is dealt
 pairs of parts, so no task holds more than a bounded shard and no link is lost.
 
 Out of a shard come the links that join its connected fingerprints, fewer than it has fingerprints, never all pairs.
+
+`one_of_each_group` goes on from the classes so found: between documents that stay, those with like sets of words, by
+fingerprints of different words within WORD_RADIUS bits, are candidates, and linked if the Jaccard similarity of their
+five-word shingles, computed exactly, is SIMILAR or more.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import partial
 from itertools import combinations, islice
 
 import numpy as np
@@ -27,6 +32,8 @@ from tidewright.llm.common import BATCH_ROWS, documents, durable, map_texts, sli
 from tidewright.llm.components import components
 
 RADIUS = 3
+#: Bits by which fingerprints of different words may differ for a candidate, words in a shingle and similarity of a link.
+WORD_RADIUS, SHINGLE, SIMILAR = 6, 5, 0.8
 #: Fingerprints that one tree may hold, and rows that a task gathers before it builds the trees of whole shards.
 SHARD, GATHER = 20_000, 100_000
 #: Pairs of fingerprint and tree node that one step of a search may hold.
@@ -48,6 +55,23 @@ def fingerprint(text: str | None, size: int = 3, seed: int = 42) -> int:
     return int(np.packbits(2 * ones > n, bitorder="little").view("<u8")[0])
 
 
+def word_fingerprint(text: str | None, seed: int = 42) -> int:
+    """SimHash of the different words (A-Z lowered); 0 without words."""
+    words = set(text.encode("utf-8", "surrogatepass").lower().split()) if text else ()
+    if not words:
+        return 0
+    h = np.fromiter((xxhash.xxh64_intdigest(w, seed) for w in words), dtype="<u8", count=len(words))
+    ones = np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(2 * ones > len(words), bitorder="little").view("<u8")[0])
+
+
+def shingle_hashes(text: str | None) -> np.ndarray:
+    """32-bit hashes of the different shingles of SHINGLE words, sorted; fewer words are one shingle, no words none."""
+    words = text.encode("utf-8", "surrogatepass").lower().split() if text else []
+    shingles = set(map(b" ".join, zip(*(words[i:] for i in range(SHINGLE))))) or ({b" ".join(words)} if words else set())
+    return np.unique(np.fromiter((xxhash.xxh32_intdigest(x) for x in shingles), dtype=np.uint32, count=len(shingles)).view(np.int32))
+
+
 def fingerprints(docs: DataFrame, text: str = "text") -> DataFrame:
     """doc_id and fp, the fingerprint as a signed long, for every row."""
 
@@ -126,11 +150,11 @@ def link(shard: np.ndarray, fp: np.ndarray) -> np.ndarray:
     return parent
 
 
-def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Links (a, b) between fingerprints of rows (shard, fp) that come sorted by shard."""
+def whole_shards(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Shards of two fingerprints at least, whole and some at a time, from rows (shard, fp) that come sorted by shard."""
     held: list[tuple[np.ndarray, np.ndarray]] = []
 
-    def whole(last: bool) -> Iterator[pa.RecordBatch]:
+    def whole(last: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         shard, fp = (np.concatenate(x) for x in zip(*held, strict=True))
         held.clear()
         cut = len(shard) if last else int(np.searchsorted(shard, shard[-1]))
@@ -140,9 +164,7 @@ def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             alone = np.r_[True, shard[1:] != shard[:-1]] & np.r_[shard[1:] != shard[:-1], True]
             shard, fp = shard[~alone], fp[~alone]
         if len(shard):
-            to = link(shard, fp.view(np.uint64))
-            joined = np.flatnonzero(to != np.arange(len(fp)))
-            yield pa.RecordBatch.from_arrays([pa.array(fp[to[joined]]), pa.array(fp[joined])], names=["a", "b"])
+            yield shard, fp
 
     for b in batches:
         if b.num_rows:
@@ -153,29 +175,55 @@ def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from whole(True)
 
 
+def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links (a, b) that connect the fingerprints of each shard."""
+    for shard, fp in whole_shards(batches):
+        to = link(shard, fp.view(np.uint64))
+        joined = np.flatnonzero(to != np.arange(len(fp)))
+        yield pa.RecordBatch.from_arrays([pa.array(fp[to[joined]]), pa.array(fp[joined])], names=["a", "b"])
+
+
+def paired(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[pa.RecordBatch]:
+    """Pairs (a, b), a below b, of different fingerprints of a shard at most `radius` bits apart."""
+    for shard, signed in whole_shards(batches):
+        fp = signed.view(np.uint64)
+        root, key, child = build(shard, fp)
+        sizes, start = np.bincount(root, minlength=len(fp))[root], 0
+        while start < len(fp):
+            end = start + max(1, int(np.searchsorted(np.cumsum(sizes[start : start + 65536]), FRONTIER)))
+            query = np.arange(start, min(end, len(fp)))
+            for q, n in search(fp, query, root[query], key, child, radius):
+                below = signed[n] < signed[q]
+                if below.any():
+                    yield pa.RecordBatch.from_arrays([pa.array(signed[n[below]]), pa.array(signed[q[below]])], names=["a", "b"])
+            start = end
+
+
 # -- shards ---------------------------------------------------------------------------------------------------------
 
 
-def shard_keys(fp: Column, blocks: int, *within: Column) -> Column:
-    """An array with a key for each choice of `blocks` - RADIUS blocks; equal in one place at least for links."""
+def shard_keys(fp: Column, blocks: int, radius: int, *within: Column) -> Column:
+    """An array with a key for each choice of `blocks` - `radius` blocks; equal in one place at least for links."""
     edges = [64 * i // blocks for i in range(blocks + 1)]
     value = [F.shiftrightunsigned(fp, a).bitwiseAND(F.lit((1 << (b - a)) - 1)) for a, b in zip(edges, edges[1:])]
-    chosen = combinations(range(blocks), blocks - RADIUS)
+    chosen = combinations(range(blocks), blocks - radius)
     return F.array(*[F.xxhash64(*within, F.lit(i), *[value[b] for b in c]) for i, c in enumerate(chosen)])
 
 
-def sharded(nodes: DataFrame, n: int, limit: int = SHARD) -> DataFrame:
-    """(shard, fp) with shards of at most `limit` rows, or twice that for pairs of parts."""
-    rows = nodes.select(F.explode(shard_keys(F.col("fp"), 4 if n <= 1 << 22 else 5 if n <= 1 << 32 else 6)).alias("shard"), "fp")
+def sharded(nodes: DataFrame, n: int, limit: int = SHARD, radius: int = RADIUS) -> DataFrame:
+    """(shard, fp) with shards of at most `limit` rows, or twice that for pairs of parts. The more rows, the more bits that a shard shares."""
+    bits = 16 if n <= 1 << 22 else 25 if n <= 1 << 32 else 32
+    blocks = next(m for m in range(radius + 1, 64) if 64 * (m - radius) // m >= bits)
+    rows = nodes.select(F.explode(shard_keys(F.col("fp"), blocks, radius)).alias("shard"), "fp")
     done = []
-    for blocks in (6, 8, None):
+    for blocks in (radius + 3, radius + 5, None):
         full = durable(rows.groupBy("shard").count().where(F.col("count") > limit))
         if full.isEmpty():
             break
         done.append(rows.join(full, "shard", "left_anti"))
         hot = rows.join(full, "shard")
         if blocks:
-            rows = durable(hot.select(F.explode(shard_keys(F.col("fp"), blocks, F.col("shard"))).alias("shard"), "fp").distinct())
+            rows = durable(hot.select(F.explode(shard_keys(F.col("fp"), blocks, radius, F.col("shard"))).alias("shard"), "fp").distinct())
         else:
             parts = F.ceil(F.col("count") / limit).cast("int")
             own = hot.withColumn("parts", parts).withColumn("own", F.pmod(F.xxhash64("fp", F.lit(7)), F.col("parts")).cast("int"))
@@ -191,6 +239,30 @@ def fingerprint_links(nodes: DataFrame) -> DataFrame:
     return sharded(nodes, nodes.count()).repartition("shard").sortWithinPartitions("shard").mapInArrow(linked, "a long, b long")
 
 
+def fingerprint_pairs(nodes: DataFrame, radius: int) -> DataFrame:
+    """All pairs (a, b), a below b, of `nodes` (distinct fp) within `radius` bits."""
+    rows = sharded(nodes, nodes.count(), SHARD, radius).repartition("shard").sortWithinPartitions("shard")
+    return rows.mapInArrow(partial(paired, radius=radius), "a long, b long").distinct()
+
+
+def similar(docs: DataFrame, text: str = "text") -> DataFrame:
+    """Links (a, b) between rows of `docs` (node, a long and unlike in each row, wfp and text) whose five-word shingles have a Jaccard similarity of SIMILAR."""
+    prints = docs.select("node", "wfp")
+    pairs = fingerprint_pairs(prints.select(F.col("wfp").alias("fp")).distinct(), WORD_RADIUS)
+    of = lambda x: prints.select(F.col("node").alias(x), F.col("wfp").alias(f"{x}_wfp"))
+    same = of("a").join(of("b"), F.col("a_wfp") == F.col("b_wfp")).where("a < b").select("a", "b")
+    near = pairs.toDF("a_wfp", "b_wfp").join(of("a"), "a_wfp").join(of("b"), "b_wfp").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    candidates = durable(near.union(same).distinct())
+    wanted = durable(candidates.select(F.explode(F.array("a", "b")).alias("node")).distinct())
+    hashes = map_texts(docs.join(wanted, "node", "left_semi"), lambda: lambda texts: [[shingle_hashes(t) for t in texts]], [("hashes", "array<int>")], text, ("node",))
+    hashes = table(hashes, "shingles")
+    sets = lambda x: hashes.select(F.col("node").alias(x), F.col("hashes").alias(f"{x}_hashes"))
+    size = lambda x: F.size(f"{x}_hashes")
+    both = F.size(F.array_intersect("a_hashes", "b_hashes"))
+    able = candidates.join(sets("a"), "a").join(sets("b"), "b").where((size("a") >= SIMILAR * size("b")) & (size("b") >= SIMILAR * size("a")))
+    return able.where(both >= SIMILAR * (size("a") + size("b") - both)).select("a", "b")
+
+
 def classes(prints: DataFrame) -> DataFrame:
     """fp, its class (the root's fp) and component_id (the class's least doc_id) for each different fp of `prints` (doc_id, fp).
 
@@ -218,29 +290,50 @@ def near_duplicates(docs: DataFrame, text: str = "text") -> DataFrame:
 def one_of_each_class(docs: DataFrame, text: str = "text") -> DataFrame:
     """The rows of `docs`, with all columns, that stay: one of each class of near-duplicates, that with the least doc_id.
 
-    A row without id stays only in a class where no row has one. Of several rows with the id that stays the one with the
-    least text does, a null text first, then by the hash of its other columns; equal rows are one. Null, empty and blank
-    texts are near-duplicates of one another. An empty table gives an empty result. Fingerprints are computed once, and
-    the table is written with them.
+    A row without id stays only in a class where no row has one. Of several rows with the id that stays one does: that with
+    the least fingerprint, then a null text before any other, then the least hashes of text and other columns; equal rows
+    are one. Null, empty and blank texts are near-duplicates of one another. An empty table gives an empty result.
+    Fingerprints are computed once, and the table is written with them.
     """
+    return _representatives(docs, text).select(docs.columns)
+
+
+def _representatives(docs: DataFrame, text: str) -> DataFrame:
+    """What one_of_each_class returns, with both fingerprints, __fp (unlike in each row) and __wfp, and __none, __id."""
     docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     id_type = docs.schema["doc_id"].dataType
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for part in slices(whole, text):
-                fp = np.array([fingerprint(t) for t in part.column(text).to_pylist()], dtype=np.uint64).view(np.int64)
-                yield part.append_column("__fp", pa.array(fp))
+                texts = part.column(text).to_pylist()
+                for name, f in (("__fp", fingerprint), ("__wfp", word_fingerprint)):
+                    part = part.append_column(name, pa.array(np.array([f(t) for t in texts], dtype=np.uint64).view(np.int64)))
+                yield part
 
-    marked = table(docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("__fp", T.LongType())])), "fingerprints")
-    marked = marked.withColumn("__id", F.coalesce("doc_id", F.lit(0).cast(id_type))).withColumn("__none", F.col("doc_id").isNull())
+    marked = table(docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("__fp", T.LongType()), T.StructField("__wfp", T.LongType())])), "fingerprints")
     rest = F.xxhash64(F.lit(0), *[F.col(c) for c, kind in docs.dtypes if c != text and not re.search("map<|variant", kind)])
-    rows = marked.select("__none", "__id", "__fp", F.xxhash64(F.col(text)).alias("__hash"), F.col(text).isNotNull().alias("__said"), rest.alias("__rest"), F.col("doc_id"))
-    of = classes(rows.select("doc_id", F.col("__fp").alias("fp"))).select(F.col("fp").alias("__fp"), "root")
+    marked = marked.withColumns({"__id": F.coalesce("doc_id", F.lit(0).cast(id_type)), "__none": F.col("doc_id").isNull(), "__said": F.col(text).isNotNull(), "__hash": F.xxhash64(text), "__rest": rest})
     keys = ["__none", "__id", "__fp", "__said", "__hash", "__rest"]
-    least = durable(rows.groupBy("__fp").agg(F.min(F.struct(*keys)).alias("s"))).join(of, "__fp").groupBy("root").agg(F.min("s").alias("s")).select("s.*")
-    chosen = marked.withColumn("__hash", F.xxhash64(F.col(text))).withColumn("__said", F.col(text).isNotNull()).withColumn("__rest", rest)
-    return chosen.join(durable(least), keys, "left_semi").dropDuplicates(keys).select(docs.columns)
+    rows = marked.select("doc_id", *keys)
+    of = classes(rows.select("doc_id", F.col("__fp").alias("fp"))).select(F.col("fp").alias("__fp"), "root")
+    first = durable(rows.groupBy("__fp").agg(F.min(F.struct(*keys)).alias("s"))).join(of, "__fp").groupBy("root").agg(F.min("s").alias("s")).select("s.*")
+    return marked.join(durable(first), keys, "left_semi").dropDuplicates(keys)
+
+
+def one_of_each_group(docs: DataFrame, text: str = "text") -> DataFrame:
+    """The rows of `docs`, with all columns, that stay: of each group of near-duplicates that with the least doc_id.
+
+    Groups are joined by the links of one_of_each_class, whose rules on nulls, ties and repeated rows hold, and by those of `similar`
+    between the rows that these leave: a five-word Jaccard similarity of SIMILAR or more. An empty table gives an empty result.
+    """
+    left = table(_representatives(docs, text), "representatives")
+    links = similar(left.select(F.col("__fp").alias("node"), F.col("__wfp").alias("wfp"), text), text)
+    roots = durable(components(links))
+    keys = left.select("__none", "__id", "__fp").join(roots, F.col("__fp") == F.col("node"))
+    stays = durable(keys.groupBy("root").agg(F.min(F.struct("__none", "__id", "__fp")).alias("s"))).select(F.col("s.__fp").alias("node"))
+    goes = durable(roots.join(stays, "node", "left_anti").select(F.col("node").alias("__fp")))
+    return left.join(goes, "__fp", "left_anti").select(docs.columns)
 
 
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
