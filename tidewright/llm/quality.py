@@ -286,7 +286,8 @@ def estimates(vectors: DataFrame) -> DataFrame:
 def quality(docs: DataFrame, text: str = "text", alpha: float = ALPHA) -> DataFrame:
     """doc_id, the counts, base_failed, kept, and the squared distance and the level of the estimate by which a row was judged.
 
-    A null or empty text has zero counts and fails the base rule. A null language or source is a group like any
+    A null or empty text has zero counts and fails the base rule. A very long text is counted whole, in memory in proportion
+    to it. A null language or source is a group like any
     other. Estimates come from the rows that pass the base rule; where none do, there is nothing to judge. Repeated
     rows count each and stay; other columns are left out; an empty table gives an empty result.
     """
@@ -297,10 +298,11 @@ def quality(docs: DataFrame, text: str = "text", alpha: float = ALPHA) -> DataFr
     values = F.struct("level", *MEAN, *INVERSE)
     of_source = found.where("level = 2").select("g_lang", "g_source", values.alias("own"))
     of_lang = found.where("level = 1").select("g_lang", values.alias("shared"))
-    of_all = found.where("level = 0").select(values.alias("every"))
+    of_all = found.where("level = 0").select("level", *MEAN, *INVERSE).first()  # one row, or none without a row to judge
+    every = F.struct(*[F.lit(None if of_all is None else of_all[c]).cast("int" if c == "level" else "double").alias(c) for c in ("level", *MEAN, *INVERSE)])
     few = F.broadcast if n <= FEW else lambda x: x
-    judged = rows.join(few(of_source), ["g_lang", "g_source"], "left").join(few(of_lang), "g_lang", "left").join(F.broadcast(of_all), F.lit(True), "left")
-    judged = judged.withColumn("e", F.coalesce("own", "shared", "every")).select("doc_id", *COUNTS, "base_failed", *[f"x{i}" for i in range(P)], "e.*").withColumn("distance2", distance())
+    judged = rows.join(few(of_source), ["g_lang", "g_source"], "left").join(few(of_lang), "g_lang", "left")
+    judged = judged.withColumn("e", F.coalesce("own", "shared", every)).select("doc_id", *COUNTS, "base_failed", *[f"x{i}" for i in range(P)], "e.*").withColumn("distance2", distance())
     fine = F.coalesce(F.col("distance2") <= chi2_quantile(1 - alpha, P), F.lit(True))
     return judged.select("doc_id", *COUNTS, "base_failed", (~F.col("base_failed") & fine).alias("kept"), "distance2", "level")
 
