@@ -185,24 +185,38 @@ def edited(rng, text, n):
     return " ".join(w)
 
 
-def test_pairs_within_a_radius_are_whole(spark):
+def test_wider_radius_keeps_all_links(spark):
     rng = np.random.default_rng(2)
     values = sorted({int(v) for base in rng.integers(-(2**62), 2**62, 40) for v in [base, *(base ^ sum(1 << int(b) for b in set(rng.integers(0, 63, rng.integers(1, 9)).tolist())) for _ in range(6))]})
     nodes = spark.createDataFrame([(v,) for v in values], "fp long")
-    want = {(a, b) for a in values for b in values if a < b and ((a ^ b) & (1 << 64) - 1).bit_count() <= 6}
-    got = [(r.a, r.b) for r in simhash.fingerprint_pairs(nodes, 6).collect()]
-    assert set(got) == want and len(got) == len(want) > 300
+    got = {r.node: r.root for r in components(simhash.fingerprint_links(nodes, 6)).collect()}
+    assert {v: got.get(v, v) for v in values} == plain_components(values, lambda a, b: ((a ^ b) & (1 << 64) - 1).bit_count() <= 6)
 
 
-def test_links_between_similar_texts(spark, data):
+def test_sketches_tell_similarities():
+    rng = np.random.default_rng(3)
+    for share in (0.0, 0.5, 0.8, 0.9, 1.0):
+        both, own = int(400 * share), (400 - int(400 * share)) // 2
+        x = rng.choice(2**31, both + 2 * own, replace=False).astype(np.int32)
+        a, b = simhash.sketch(np.sort(x[: both + own])), simhash.sketch(np.sort(x[own:])) if not own else simhash.sketch(np.sort(np.r_[x[:both], x[both + own :]]))
+        agree = 64 * simhash.SKETCH - int(np.bitwise_count(a.view(np.uint64) ^ b.view(np.uint64)).sum())
+        assert abs(2 * agree / (64 * simhash.SKETCH) - 1 - both / (both + 2 * own)) < 0.2
+
+
+@pytest.mark.parametrize("limit", [20_000, 8])
+def test_links_between_similar_texts(spark, data, limit):
     rng = np.random.default_rng(4)
-    base = [r.text for r in documents(spark, data).where("length(text) > 600").orderBy("doc_id").limit(25).collect()]
+    base = [r.text for r in documents(spark, data).where("length(text) > 600").orderBy("doc_id").limit(12).collect()]
     texts = [t for b in base for t in (b, edited(rng, b, 2), edited(rng, b, 5), edited(rng, b, max(1, len(b.split()) // 12)), " ".join(sorted(b.split())))] + ["", "one", "one two"]
+    texts += [edited(rng, base[0], 2) for _ in range(60)]  # a dense group
     rows = [(i, simhash.word_fingerprint(t) - (1 << 64 if simhash.word_fingerprint(t) >= 1 << 63 else 0), t) for i, t in enumerate(texts)]
-    got = {(r.a, r.b) for r in simhash.similar(spark.createDataFrame(rows, "node long, wfp long, text string")).collect()}
-    alike = {(i, j) for i in range(len(texts)) for j in range(i) if jaccard(texts[i], texts[j]) >= simhash.SIMILAR}
-    alike = {(min(p), max(p)) for p in alike}
-    assert got <= alike and len(got) > 0.9 * len(alike) > 30  # nothing else is linked, and few candidates are missed
+    links = [(r.a, r.b) for r in simhash.similar(spark.createDataFrame(rows, "node long, wfp long, text string"), limit=limit).collect()]
+    alike = {(j, i) for i in range(len(texts)) for j in range(i) if jaccard(texts[i], texts[j]) >= simhash.SIMILAR}
+    assert {(min(p), max(p)) for p in links} <= alike  # nothing else is linked
+    assert len(links) < (1 if limit > 100 else 30) * len(texts)  # and never all pairs of a group
+    index = list(range(len(texts)))
+    want, got = plain_components(index, lambda a, b: (a, b) in alike), plain_components(index, lambda a, b: (a, b) in {(min(p), max(p)) for p in links})
+    assert sum(want[i] == got[i] for i in index) > 0.95 * len(index) and len(set(want.values())) < len(texts) - 60
 
 
 def test_one_of_each_group_stays(spark, data):

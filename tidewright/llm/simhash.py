@@ -9,9 +9,10 @@ pairs of parts, so no task holds more than a bounded shard and no link is lost.
 
 Out of a shard come the links that join its connected fingerprints, fewer than it has fingerprints, never all pairs.
 
-`one_of_each_group` goes on from the classes so found: between documents that stay, those with like sets of words, by
-fingerprints of different words within WORD_RADIUS bits, are candidates, and linked if the Jaccard similarity of their
-five-word shingles, computed exactly, is SIMILAR or more.
+`one_of_each_group` goes on from the classes so found. Among documents that stay, fingerprints of different words within
+WORD_RADIUS bits make clusters, by the same shards and trees. In a cluster sketches of five-word shingles are compared, and
+the links that connect what looks similar, fewer than it has documents, are kept if the Jaccard similarity, computed
+exactly, is SIMILAR or more.
 """
 
 from __future__ import annotations
@@ -34,6 +35,8 @@ from tidewright.llm.components import components
 RADIUS = 3
 #: Bits by which fingerprints of different words may differ for a candidate, words in a shingle and similarity of a link.
 WORD_RADIUS, SHINGLE, SIMILAR = 6, 5, 0.8
+#: Words of 64 bits in a sketch, and the similarity by a sketch (its standard deviation is 0.04 there) from which it is computed exactly.
+SKETCH, SKETCHED = 4, 0.77
 #: Fingerprints that one tree may hold, and rows that a task gathers before it builds the trees of whole shards.
 SHARD, GATHER = 20_000, 100_000
 #: Pairs of fingerprint and tree node that one step of a search may hold.
@@ -72,6 +75,18 @@ def shingle_hashes(text: str | None) -> np.ndarray:
     return np.unique(np.fromiter((xxhash.xxh32_intdigest(x) for x in shingles), dtype=np.uint32, count=len(shingles)).view(np.int32))
 
 
+def sketch(hashes: np.ndarray) -> np.ndarray:
+    """Of a set of hashes a bit each for 64 * SKETCH orders, from the least element; two sets agree in (1 + similarity) / 2 of them."""
+    random = np.random.default_rng(42)
+    a, b = random.integers(0, 1 << 63, (2, 64 * SKETCH), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    least = np.full(64 * SKETCH, np.uint64((1 << 64) - 1))
+    h = (hashes.view(np.uint32).astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
+    for start in range(0, len(h), 1024):
+        x = (h[start : start + 1024, None] ^ b) * a
+        least = np.minimum(least, (x ^ (x >> np.uint64(29))).min(axis=0))
+    return np.packbits(np.bitwise_count(least * np.uint64(0xD6E8FEB86659FD93)) & 1, bitorder="little").view("<i8")
+
+
 def fingerprints(docs: DataFrame, text: str = "text") -> DataFrame:
     """doc_id and fp, the fingerprint as a signed long, for every row."""
 
@@ -119,7 +134,7 @@ def search(fp: np.ndarray, query: np.ndarray, start: np.ndarray, key: np.ndarray
         query, node = np.repeat(query, n), child[into]
 
 
-def link(shard: np.ndarray, fp: np.ndarray) -> np.ndarray:
+def link(shard: np.ndarray, fp: np.ndarray, radius: int = RADIUS) -> np.ndarray:
     """For each point the first point of its own shard that links reach. `shard` is sorted; points of a shard differ."""
     root, key, child = build(shard, fp)
     parent = np.arange(len(fp))
@@ -135,7 +150,7 @@ def link(shard: np.ndarray, fp: np.ndarray) -> np.ndarray:
     while start < len(fp):
         end = start + max(1, int(np.searchsorted(np.cumsum(sizes[start : start + 65536]), FRONTIER)))
         query = np.arange(start, min(end, len(fp)))
-        for q, n in search(fp, query, root[query], key, child):
+        for q, n in search(fp, query, root[query], key, child, radius):
             while len(q):  # labels of hits that still differ are joined
                 a, b = parent[q], parent[n]
                 apart = a != b
@@ -150,53 +165,62 @@ def link(shard: np.ndarray, fp: np.ndarray) -> np.ndarray:
     return parent
 
 
-def whole_shards(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Shards of two fingerprints at least, whole and some at a time, from rows (shard, fp) that come sorted by shard."""
-    held: list[tuple[np.ndarray, np.ndarray]] = []
+def whole_shards(batches: Iterator[pa.RecordBatch], columns: tuple[str, ...] = ("fp",)) -> Iterator[list[np.ndarray]]:
+    """Shards of two rows at least, whole and some at a time, from rows (shard and `columns`, all longs) that come sorted by shard."""
+    held: list[list[np.ndarray]] = []
 
-    def whole(last: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        shard, fp = (np.concatenate(x) for x in zip(*held, strict=True))
+    def whole(last: bool) -> Iterator[list[np.ndarray]]:
+        joined = [np.concatenate(x) for x in zip(*held, strict=True)]
         held.clear()
-        cut = len(shard) if last else int(np.searchsorted(shard, shard[-1]))
-        held.extend([(shard[cut:], fp[cut:])] if cut < len(shard) else [])
-        shard, fp = shard[:cut], fp[:cut]
+        cut = len(joined[0]) if last else int(np.searchsorted(joined[0], joined[0][-1]))
+        if cut < len(joined[0]):
+            held.append([x[cut:] for x in joined])
+        shard = joined[0][:cut]
         if len(shard):
             alone = np.r_[True, shard[1:] != shard[:-1]] & np.r_[shard[1:] != shard[:-1], True]
-            shard, fp = shard[~alone], fp[~alone]
-        if len(shard):
-            yield shard, fp
+            if not alone.all():
+                yield [x[:cut][~alone] for x in joined]
 
     for b in batches:
         if b.num_rows:
-            held.append((b.column("shard").to_numpy(), b.column("fp").to_numpy()))
-        if sum(len(s) for s, _ in held) >= GATHER:
+            held.append([b.column(c).to_numpy() for c in ("shard", *columns)])
+        if sum(len(x[0]) for x in held) >= GATHER:
             yield from whole(False)
     if held:
         yield from whole(True)
 
 
-def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def linked(batches: Iterator[pa.RecordBatch], radius: int = RADIUS) -> Iterator[pa.RecordBatch]:
     """Links (a, b) that connect the fingerprints of each shard."""
     for shard, fp in whole_shards(batches):
-        to = link(shard, fp.view(np.uint64))
+        to = link(shard, fp.view(np.uint64), radius)
         joined = np.flatnonzero(to != np.arange(len(fp)))
         yield pa.RecordBatch.from_arrays([pa.array(fp[to[joined]]), pa.array(fp[joined])], names=["a", "b"])
 
 
-def paired(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[pa.RecordBatch]:
-    """Pairs (a, b), a below b, of different fingerprints of a shard at most `radius` bits apart."""
-    for shard, signed in whole_shards(batches):
-        fp = signed.view(np.uint64)
-        root, key, child = build(shard, fp)
-        sizes, start = np.bincount(root, minlength=len(fp))[root], 0
-        while start < len(fp):
-            end = start + max(1, int(np.searchsorted(np.cumsum(sizes[start : start + 65536]), FRONTIER)))
-            query = np.arange(start, min(end, len(fp)))
-            for q, n in search(fp, query, root[query], key, child, radius):
-                below = signed[n] < signed[q]
-                if below.any():
-                    yield pa.RecordBatch.from_arrays([pa.array(signed[n[below]]), pa.array(signed[q[below]])], names=["a", "b"])
-            start = end
+def matches(wfp: np.ndarray, sketches: np.ndarray) -> list[tuple[int, int]]:
+    """Pairs of places that connect what is within WORD_RADIUS bits and by its sketch similar; of a row with each part connected before, the best."""
+    need, part, out = 32 * SKETCH * (1 + SKETCHED), np.arange(len(wfp)), []
+    for q in range(1, len(wfp)):
+        near = np.flatnonzero(np.bitwise_count(wfp[:q] ^ wfp[q]) <= WORD_RADIUS)
+        agree = 64 * SKETCH - np.bitwise_count(sketches[near] ^ sketches[q]).sum(axis=1, dtype=np.int64)
+        near, agree = near[agree >= need], agree[agree >= need]
+        if len(near):
+            near = near[np.argsort(-agree, kind="stable")]
+            parts, best = np.unique(part[near], return_index=True)
+            out += [(int(near[i]), q) for i in best]
+            part[: q + 1][np.isin(part[: q + 1], np.r_[parts, q])] = min(int(parts[0]), q)
+    return out
+
+
+def matched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links (a, b) between nodes of rows (shard, wfp, node, s0, s1, ...) that come sorted by shard."""
+    names = ("wfp", "node", *(f"s{i}" for i in range(SKETCH)))
+    for shard, wfp, node, *sketches in whole_shards(batches, names):
+        sketches, first = np.stack(sketches, axis=1).view(np.uint64), np.flatnonzero(np.r_[True, shard[1:] != shard[:-1]])
+        found = [(node[a + i], node[a + j]) for a, b in zip(first, np.r_[first[1:], len(shard)]) for i, j in matches(wfp[a:b].view(np.uint64), sketches[a:b])]
+        if found:
+            yield pa.RecordBatch.from_arrays([pa.array(np.array(x, dtype=np.int64)) for x in zip(*found)], names=["a", "b"])
 
 
 # -- shards ---------------------------------------------------------------------------------------------------------
@@ -234,33 +258,54 @@ def sharded(nodes: DataFrame, n: int, limit: int = SHARD, radius: int = RADIUS)
     return rows
 
 
-def fingerprint_links(nodes: DataFrame) -> DataFrame:
-    """Links (a, b) that connect all of `nodes` (distinct fp) within RADIUS bits; never all pairs of a dense group."""
-    return sharded(nodes, nodes.count()).repartition("shard").sortWithinPartitions("shard").mapInArrow(linked, "a long, b long")
-
-
-def fingerprint_pairs(nodes: DataFrame, radius: int) -> DataFrame:
-    """All pairs (a, b), a below b, of `nodes` (distinct fp) within `radius` bits."""
+def fingerprint_links(nodes: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """Links (a, b) that connect all of `nodes` (distinct fp) within `radius` bits; never all pairs of a dense group."""
     rows = sharded(nodes, nodes.count(), SHARD, radius).repartition("shard").sortWithinPartitions("shard")
-    return rows.mapInArrow(partial(paired, radius=radius), "a long, b long").distinct()
+    return rows.mapInArrow(partial(linked, radius=radius), "a long, b long")
+
+
+def dealt(members: DataFrame, limit: int = SHARD) -> DataFrame:
+    """Rows of `members` (cluster, wfp, node, ...) with their shard: the cluster, or if it has more than `limit` rows keys of the
+    fingerprint in it, and of keys with more rows than that pairs of parts. Rows of a cluster within WORD_RADIUS bits meet in one shard at least."""
+    of = lambda df, key: durable(df.groupBy(key).agg(F.count("*").alias("__n")).where(F.col("__n") > limit))
+    large = of(members, "cluster")
+    small = members.join(large, "cluster", "left_anti").withColumn("shard", F.col("cluster"))
+    if large.isEmpty():
+        return small
+    blocks = WORD_RADIUS + 2
+    keyed = durable(members.join(large, "cluster").drop("__n").withColumn("shard", F.explode(shard_keys(F.col("wfp"), blocks, WORD_RADIUS, F.col("cluster")))))
+    full = of(keyed, "shard")
+    own = keyed.join(full, "shard").withColumn("__parts", F.ceil(F.col("__n") / limit).cast("int")).withColumn("__own", F.pmod(F.xxhash64("node", F.lit(7)), F.col("__parts")).cast("int"))
+    other = own.withColumn("__other", F.explode(F.sequence(F.lit(0), F.col("__parts") - 1)))
+    parts = other.withColumn("shard", F.xxhash64("shard", F.least("__own", "__other"), F.greatest("__own", "__other")))
+    names = small.columns
+    return small.unionByName(keyed.join(full, "shard", "left_anti").select(names)).unionByName(parts.select(names))
+
+
+def similar(docs: DataFrame, text: str = "text", limit: int = SHARD) -> DataFrame:
+    """Links (a, b) between rows of `docs` (node, a long and unlike in each row, wfp and text) whose five-word shingles have a Jaccard
+    similarity of SIMILAR at least, as many as connect such rows within WORD_RADIUS bits; a few that a sketch misjudges are missed."""
+    prints = docs.select("node", "wfp")
+    roots = components(fingerprint_links(prints.select(F.col("wfp").alias("fp")).distinct(), WORD_RADIUS)).toDF("wfp", "root")
+    clustered = durable(prints.join(roots, "wfp", "left").select("node", "wfp", F.coalesce("root", "wfp").alias("cluster")))
+    several = durable(clustered.groupBy("cluster").agg(F.count("*").alias("n")).where("n > 1").select("cluster"))
+    members = durable(clustered.join(several, "cluster"))
+    fields = [*((f"s{i}", "long") for i in range(SKETCH)), ("hashes", "array<int>")]
 
+    def make():
+        def run(texts: list) -> list:
+            hashes = [shingle_hashes(t) for t in texts]
+            return [*np.array([sketch(h) for h in hashes]).reshape(-1, SKETCH).T, hashes]
 
-def similar(docs: DataFrame, text: str = "text") -> DataFrame:
-    """Links (a, b) between rows of `docs` (node, a long and unlike in each row, wfp and text) whose five-word shingles have a Jaccard similarity of SIMILAR."""
-    prints = docs.select("node", "wfp")
-    pairs = fingerprint_pairs(prints.select(F.col("wfp").alias("fp")).distinct(), WORD_RADIUS)
-    of = lambda x: prints.select(F.col("node").alias(x), F.col("wfp").alias(f"{x}_wfp"))
-    same = of("a").join(of("b"), F.col("a_wfp") == F.col("b_wfp")).where("a < b").select("a", "b")
-    near = pairs.toDF("a_wfp", "b_wfp").join(of("a"), "a_wfp").join(of("b"), "b_wfp").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    candidates = durable(near.union(same).distinct())
-    wanted = durable(candidates.select(F.explode(F.array("a", "b")).alias("node")).distinct())
-    hashes = map_texts(docs.join(wanted, "node", "left_semi"), lambda: lambda texts: [[shingle_hashes(t) for t in texts]], [("hashes", "array<int>")], text, ("node",))
-    hashes = table(hashes, "shingles")
-    sets = lambda x: hashes.select(F.col("node").alias(x), F.col("hashes").alias(f"{x}_hashes"))
+        return run
+
+    sketched = table(map_texts(docs.join(members.select("node"), "node", "left_semi"), make, fields, text, ("node",)), "sketches")
+    rows = dealt(members.join(sketched.drop("hashes"), "node"), limit).repartition("shard").sortWithinPartitions("shard", "node")
+    found = durable(rows.mapInArrow(matched, "a long, b long").distinct())
+    sets = lambda x: sketched.select(F.col("node").alias(x), F.col("hashes").alias(f"{x}_hashes"))
     size = lambda x: F.size(f"{x}_hashes")
     both = F.size(F.array_intersect("a_hashes", "b_hashes"))
-    able = candidates.join(sets("a"), "a").join(sets("b"), "b").where((size("a") >= SIMILAR * size("b")) & (size("b") >= SIMILAR * size("a")))
-    return able.where(both >= SIMILAR * (size("a") + size("b") - both)).select("a", "b")
+    return found.join(sets("a"), "a").join(sets("b"), "b").where(both >= SIMILAR * (size("a") + size("b") - both)).select("a", "b")
 
 
 def classes(prints: DataFrame) -> DataFrame:
