@@ -37,6 +37,7 @@ RADIUS = 3
 WORD_RADIUS, SHINGLE, SIMILAR = 6, 5, 0.8
 #: Words of 64 bits in a sketch, and the similarity by a sketch (its standard deviation is 0.04 there) from which it is computed exactly.
 SKETCH, SKETCHED = 4, 0.77
+ORDERS = np.random.default_rng(42).integers(0, 1 << 31, (2, 64 * SKETCH), dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 #: Fingerprints that one tree may hold, and rows that a task gathers before it builds the trees of whole shards.
 SHARD, GATHER = 20_000, 100_000
 #: Pairs of fingerprint and tree node that one step of a search may hold.
@@ -77,14 +78,11 @@ def shingle_hashes(text: str | None) -> np.ndarray:
 
 def sketch(hashes: np.ndarray) -> np.ndarray:
     """Of a set of hashes a bit each for 64 * SKETCH orders, from the least element; two sets agree in (1 + similarity) / 2 of them."""
-    random = np.random.default_rng(42)
-    a, b = random.integers(0, 1 << 63, (2, 64 * SKETCH), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-    least = np.full(64 * SKETCH, np.uint64((1 << 64) - 1))
-    h = (hashes.view(np.uint32).astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
-    for start in range(0, len(h), 1024):
-        x = (h[start : start + 1024, None] ^ b) * a
-        least = np.minimum(least, (x ^ (x >> np.uint64(29))).min(axis=0))
-    return np.packbits(np.bitwise_count(least * np.uint64(0xD6E8FEB86659FD93)) & 1, bitorder="little").view("<i8")
+    a, b = ORDERS
+    least, h = np.full(64 * SKETCH, 0xFFFFFFFF, dtype=np.uint32), hashes.view(np.uint32) * np.uint32(0x9E3779B1)
+    for start in range(0, len(h), 256):
+        least = np.minimum(least, ((h[start : start + 256, None] ^ b) * a).min(axis=0))
+    return np.packbits(np.bitwise_count(least * np.uint32(0x85EBCA6B)) & 1, bitorder="little").view("<i8")
 
 
 def fingerprints(docs: DataFrame, text: str = "text") -> DataFrame:
