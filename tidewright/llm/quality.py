@@ -201,6 +201,11 @@ def solve(sums: DataFrame, keys: list[str], key_types: str) -> DataFrame:
     return sums.mapInPandas(run, f"{key_types}, {ESTIMATE}")
 
 
+def settled(df: DataFrame, n: int) -> DataFrame:
+    """`df`, which has a row for each of `n` estimates, three at most: computed once, and held as rows of the plan if it is so small that it is broadcast, else written."""
+    return df.sparkSession.createDataFrame(df.toArrow(), df.schema) if n <= FEW else durable(df)
+
+
 def moments(rows: DataFrame, keys: list[str]) -> DataFrame:
     return rows.groupBy(*keys).agg(F.count("*").alias("n"), *[F.sum(f"x{i}").alias(f"s{i}") for i in range(P)], *[F.sum(F.col(f"x{i}") * F.col(f"x{j}")).alias(f"s{i}_{j}") for i in range(P) for j in range(i + 1)])
 
@@ -226,9 +231,9 @@ def starts(rows: DataFrame, sizes: DataFrame, n: int) -> DataFrame:
         return found.groupBy(*KEYS).agg(*[F.max(F.when(F.col("i") == i, F.col("median"))).alias(f"{name}{i}") for i in range(P)])
 
     long = lambda xs: F.posexplode(F.array(*xs)).alias("i", "v")
-    centre = durable(wide(medians(rows.select(*KEYS, long([F.col(f"x{i}") for i in range(P)]))), "c"))
+    centre = settled(wide(medians(rows.select(*KEYS, long([F.col(f"x{i}") for i in range(P)]))), "c"), n)
     centred = beside(rows, centre, KEYS, n)
-    spread = durable(wide(medians(centred.select(*KEYS, long([F.abs(F.col(f"x{i}") - F.col(f"c{i}")) for i in range(P)]))), "d").join(centre, KEYS))
+    spread = settled(wide(medians(centred.select(*KEYS, long([F.abs(F.col(f"x{i}") - F.col(f"c{i}")) for i in range(P)]))), "d").join(centre, KEYS), n)
     floors = list(FLOORS.values())
     scale = [F.greatest(1.4826 * F.col(f"d{i}"), F.lit(STEPS * floors[i])) for i in range(P)]
     z = beside(rows, spread, KEYS, n).select(*KEYS, *[((F.col(f"x{i}") - F.col(f"c{i}")) / scale[i]).alias(f"z{i}") for i in range(P)])
@@ -256,7 +261,7 @@ def starts(rows: DataFrame, sizes: DataFrame, n: int) -> DataFrame:
                     rows.append((mean, cov * np.outer(scale, scale)))
             yield pd.DataFrame([(*k, *e) for k, e in zip(keys, estimated(rows), strict=True)], columns=[*KEYS, "start", *MEAN, *INVERSE, "logdet"])
 
-    return durable(sums.mapInPandas(run, f"{KEY_TYPES}, start int, {ESTIMATE}"))
+    return settled(sums.mapInPandas(run, f"{KEY_TYPES}, start int, {ESTIMATE}"), n)
 
 
 def estimates(vectors: DataFrame) -> DataFrame:
@@ -272,15 +277,15 @@ def estimates(vectors: DataFrame) -> DataFrame:
     sized = lambda e: e.join(F.broadcast(sizes) if n <= FEW else sizes, KEYS)
     for step in range(FIRST_STEPS + LAST_STEPS):
         if step == FIRST_STEPS:
-            now = durable(now.withColumn("best", F.row_number().over(Window.partitionBy(*KEYS).orderBy("logdet", "start"))).where("best = 1").drop("best"))
+            now = settled(now.withColumn("best", F.row_number().over(Window.partitionBy(*KEYS).orderBy("logdet", "start"))).where("best = 1").drop("best"), n)
         at = beside(rows, now, KEYS, 3 * n).withColumn("bin", binned(distance()))
         counts = at.groupBy(*keys, "bin").agg(F.count("*").alias("c"))
         upto = counts.withColumn("upto", F.sum("c").over(Window.partitionBy(*keys).orderBy("bin")))
-        cut = durable(sized(upto).where(F.col("upto") >= F.ceil(SHARE * F.col("rows"))).groupBy(*keys).agg(F.min("bin").alias("cut")).join(now, keys))
+        cut = settled(sized(upto).where(F.col("upto") >= F.ceil(SHARE * F.col("rows"))).groupBy(*keys).agg(F.min("bin").alias("cut")).join(now, keys), n)
         kept = beside(rows, cut, KEYS, 3 * n).where(binned(distance()) <= F.col("cut"))
-        now = durable(solve(moments(kept, keys).withColumn("factor", F.lit(consistency(SHARE))), keys, key_types))
+        now = settled(solve(moments(kept, keys).withColumn("factor", F.lit(consistency(SHARE))), keys, key_types), n)
     kept = beside(rows, now, KEYS, n).where(distance() <= chi2_quantile(0.975, P))
-    return durable(solve(moments(kept, KEYS).withColumn("factor", F.lit(consistency(0.975))), KEYS, KEY_TYPES))
+    return settled(solve(moments(kept, KEYS).withColumn("factor", F.lit(consistency(0.975))), KEYS, KEY_TYPES), n)
 
 
 def quality(docs: DataFrame, text: str = "text", alpha: float = ALPHA) -> DataFrame:
