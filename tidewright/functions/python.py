@@ -82,7 +82,7 @@ def geometric_prices(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
-    "part_digits": (part_digits, "select p_partkey, list_sum(list_transform(string_split(cast(p_partkey as varchar), ''), lambda c: cast(c as bigint))) as digits from part"),
+    "part_digits": (part_digits, "select p_partkey, cast(list_sum(list_transform(string_split(cast(p_partkey as varchar), ''), lambda c: cast(c as bigint))) as bigint) as digits from part"),
     "order_deviation": (order_deviation, "select o_custkey, round(mad(o_totalprice), 4) as mad from orders group by o_custkey"),
     "part_words": (part_words, "select p_partkey, unnest(range(1, len(w) + 1)) as place, unnest(w) as word from (select p_partkey, string_split(p_name, ' ') as w from part)"),
     "geometric_prices": (geometric_prices, "select l_returnflag, round(exp(avg(ln(l_extendedprice))), 4) as price, count(*) as n from lineitem group by l_returnflag"),

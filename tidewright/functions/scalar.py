@@ -82,7 +82,7 @@ QUERIES = {
         round(power(l_tax, 2), 8) as square, cast(sign(l_quantity - 25) as bigint) as side, abs(l_quantity - 25) as far from lineitem"""),
     "region_map": (region_map, """
         with a as (select n_regionkey, map_from_entries(list({'k': n_nationkey, 'v': n_name})) as m, min(n_nationkey) as k from nation group by 1)
-        select n_regionkey, cardinality(m) as n, m[k] as first, array_to_string(list_sort(map_values(m)), ',') as names, list_contains(map_keys(m), 3) as has_3 from a"""),
+        select n_regionkey, cast(cardinality(m) as bigint) as n, m[k] as first, array_to_string(list_sort(map_values(m)), ',') as names, list_contains(map_keys(m), 3) as has_3 from a"""),
     "word_counts": (word_counts, "select word, count(*) as n from (select unnest(string_split(text, ' ')) as word from documents) group by word"),
     "region_nations": (region_nations, "select n_regionkey, string_agg(n_name, ',' order by n_name) as names from nation group by n_regionkey"),
 }
