@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from tidewright.llm.exact import ORACLE_SQL as EXACT_SQL
+from tidewright.llm.exact import op12_exact_dedup
 from tidewright.llm.html_text import op10_main_text
 from tidewright.llm.language import op7_language
 from tidewright.llm.language_model import op4_hidden_markov
@@ -13,5 +15,5 @@ from tidewright.llm.token_count import op2_token_counts
 from tidewright.llm.toxicity import op5_toxicity
 from tidewright.llm.transducer import op8_transducer
 
-QUERIES = {"op1_robust_outliers": op1_robust_outliers, "op2_token_counts": op2_token_counts, "op3_simhash": op3_simhash, "op4_hidden_markov": op4_hidden_markov, "op5_toxicity": op5_toxicity, "op6_pack": op6_pack, "op7_language": op7_language, "op8_transducer": op8_transducer, "op9_media": op9_media, "op10_main_text": op10_main_text}
-ORACLES: dict[str, str] = {}
+QUERIES = {"op1_robust_outliers": op1_robust_outliers, "op2_token_counts": op2_token_counts, "op3_simhash": op3_simhash, "op4_hidden_markov": op4_hidden_markov, "op5_toxicity": op5_toxicity, "op6_pack": op6_pack, "op7_language": op7_language, "op8_transducer": op8_transducer, "op9_media": op9_media, "op10_main_text": op10_main_text, "op12_exact_dedup": op12_exact_dedup}
+ORACLES = {"op12_exact_dedup": EXACT_SQL}
