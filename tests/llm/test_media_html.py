@@ -3,6 +3,7 @@
 import hashlib
 import html
 import re
+import time
 import zlib
 
 import pyarrow.fs as fs
@@ -155,6 +156,53 @@ def test_nothing_of_the_article_goes(page, text):
     assert html_text.main_text(page, html_text.train()) == text
 
 
+ARTICLE = "<article><h1>The head</h1><p>An ordinary article has some words in its first paragraph, and more.</p><p>Second one has words too, as they do.</p></article>"
+REMARK = "Here stands a remark of a reader who has read the article and says so in many words."
+
+
+@pytest.mark.parametrize(
+    "opened",
+    ["section id='comments-section'", "section class='comments_wrap'", "div id='disqus_thread'", "div class='cookie-banner'", "div class='CookieConsentBar'", "div id='gdpr-consent'", "div class='widget-area'", "div class='promo'", "div class='sponsored'", "div class='site-footer'",
+     "div class='comment-list'", "div class='userComments'", "div class='reply-thread'", "div class='ad-slot'", "div class='related-stories'", "div class='newsletter-box'", "ul class='replies'", "div class='right-rail'", "div class='sidebar-ad'", "div class='privacy-banner'"],
+)
+def test_what_is_not_the_article_goes(opened):
+    """Names of which most are not in the labelled table."""
+    model = html_text.train()
+    other, want = f"<{opened}><p>{REMARK}</p></{opened.split()[0]}>", html_text.main_text(ARTICLE, model)
+    assert want.count("\n\n") == 2
+    for page in (ARTICLE + other, other + ARTICLE, ARTICLE.replace("</article>", other + "</article>")):
+        assert html_text.main_text(page, model) == want
+
+
+@pytest.mark.parametrize("name", ["share", "no-sidebar", "comments-open", "has-sidebar", "layout-no-footer", "text-wrapper", "overflow-hidden", "col-md-8", "ad-free", "section", "left", "box", "title", "list", "top", "message", "PostBody", "widget-text-editor"])
+def test_names_that_say_little_lose_no_text(name):
+    model, inside = html_text.train(), f"<div class='{name}'><p>{REMARK} {REMARK}</p></div>"
+    assert REMARK in html_text.main_text(ARTICLE.replace("</article>", inside + "</article>"), model)
+    assert name == "share" or html_text.main_text(f"<div class='{name}'>{ARTICLE}</div>", model) == html_text.main_text(ARTICLE, model)
+
+
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        ("<article><p>one two<svg class='i'/> and after</p><p>Second..</p></article>", "one two and after\n\nSecond.."),
+        ("<svg viewBox='0 0 1 1' /><article><p>kept</p></article>", "kept"),
+        ("<article><svg><path d='x'/><text>drawn</text></svg><p>kept</p><svg><p>more</p></article>", "kept\n\nmore"),
+        ("<article><!--><p>a</p><!---><p>b</p><!-- <p>c</p> --!><p>d</p></article>", "a\n\nb\n\nd"),
+        ("<article><select><option>1</select><p>kept</p><select><p>more</p></article>", "kept\n\nmore"),
+        ("<article><p>kept</p><script>no end <p>x</p></article>", "kept"),
+    ],
+)
+def test_foreign_elements_and_comments(page, text):
+    assert html_text.main_text(page, html_text.train()) == text
+
+
+@pytest.mark.parametrize("page", ["<div>" * 40_000 + "</section>" * 40_000 + "<article><p>x y</p></article>", "<svg>x" * 40_000, "<form><main>x y" * 20_000, "<div><section>" * 20_000 + "</section></div>" * 20_000])
+def test_time_is_linear(page):
+    model, began = html_text.train(), time.process_time()
+    html_text.main_text(page, model)
+    assert time.process_time() - began < 1.5
+
+
 def test_neighbours_decide():
     _, tree = html_text.train()
 

@@ -3,7 +3,8 @@
 A page is cut at block-level tags into a flat list of blocks. A block is described by its words and link density,
 those of its neighbours, whether it is a heading, and what the elements around it say. A decision tree tells whether
 it belongs to the article. Tree and signs are learned from a small table of labelled blocks: how much more often the
-article lies in an element of some name, class, id or role is counted there and nowhere written down.
+article lies in an element of some name, class, id or role is counted there and nowhere written down. Names that the
+table lacks are judged by their words, whose signs are learned from the names in it.
 """
 
 from __future__ import annotations
@@ -21,18 +22,22 @@ from pyspark.sql import DataFrame, SparkSession
 from tidewright.llm.common import map_texts, once
 from tidewright.llm.html_labels import BLOCKS
 
-#: Elements whose content is never text of the page, those inside a line of text, and those that say nothing by their name.
-DROPPED = "script|style|noscript|template|svg|iframe|title|textarea|select"
-INLINE = frozenset("a abbr acronym area audio b base bdi bdo big canvas cite code col data del dfn em embed font i img input ins kbd label link mark math meta object param picture q rp rt ruby s samp small source span strike strong sub sup time track tt u var video wbr".split())
+#: Elements whose content is never text of the page (of the first kind without an end all that follows is content, of the second nothing), those inside
+#: a line of text, and those that say nothing by their name.
+RAW, DROPPED = frozenset("script style noscript template iframe title textarea".split()), frozenset(["svg", "select"])
+INLINE = frozenset("a abbr acronym area audio b base bdi bdo big canvas cite code col data del dfn em embed font i img input ins kbd label link mark math meta object param picture q rp rt ruby s samp select small source span strike strong sub sup svg time track tt u var video wbr".split())
 PLAIN = frozenset("blockquote body caption center dd details div dl dt figcaption figure h1 h2 h3 h4 h5 h6 html li ol p pre section summary table tbody td tfoot th thead tr ul".split())
 #: Elements whose classes say nothing of what lies in them, and those that make a form around them the wrapper of a page.
 WHOLE, WRAPPED = frozenset(["html", "body", "main", "article"]), frozenset(["main", "article", "h1"])
 #: Blocks of hidden elements that are added to the table, all outside the article.
 SHOWN_NEVER = 5
+NONE = 1 << 60
 HEADINGS = frozenset(["h1", "h2", "h3", "h4", "h5", "h6"])
 
-TOKEN = re.compile(rf"""<!--.*?(?:-->|\Z)|<({DROPPED})(?=[\s/>])[^>]*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*"|'[^']*')*+)>|<[!?/][^>]*(?:>|\Z)|<[a-zA-Z][^>]*(?:>|\Z)""", re.S | re.I)
+TOKEN = re.compile(r"""<!--(?:-?>|.*?(?:--!?>|\Z))|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*"|'[^']*')*+)>|<[!?/][^>]*(?:>|\Z)|<[a-zA-Z][^>]*(?:>|\Z)""", re.S)
 ATTRIBUTE = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'=<>`]+)))?""")
+#: Where a word in the middle of a name begins with a capital.
+HUMP = re.compile(r"(?<=[a-z0-9])(?=[A-Z])")
 HIDDEN = re.compile(r"(?:^|;)\s*display\s*:\s*none\b", re.I)
 FEATURES = ("words", "link_density", "words_before", "link_density_before", "words_after", "link_density_after", "heading", "least_sign", "greatest_sign")
 
@@ -55,13 +60,18 @@ def names(tag: str, attributes: str) -> set[str]:
         if name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and HIDDEN.search(value):
             found.add("[hidden]")
         elif name in ("class", "id", "role") and tag not in WHOLE:
-            found.update(value.replace("_", "-").split())
+            found.update(HUMP.sub("-", m[2] or m[3] or m[4] or "").replace("_", "-").lower().split())
     return found
 
 
+def parts_of(name: str) -> set[str]:
+    """The words that a name is made of, without digits and plural."""
+    return {x.rstrip("s") or x for x in re.split(r"[^a-z]+", name) if x}
+
+
 def signs(found: set[str], odds: dict[str, float]) -> tuple[float, float]:
-    """The least and the greatest sign of an element's names, 0 at most and at least."""
-    known = [odds[x] for x in found if x in odds]
+    """The least and the greatest sign of an element's names, 0 at most and at least. A name that the table lacks has the sum of its words' signs."""
+    known = [odds[x] if x in odds else sum(odds.get(f"~{p}", 0.0) for p in parts_of(x)) for x in found]
     return min(0.0, *known, 0.0), max(0.0, *known, 0.0)
 
 
@@ -72,7 +82,9 @@ def blocks(page: str, odds: dict[str, float]) -> list[Block]:
     link_parts: list[str] = []
     stack: list[tuple[str, tuple[float, float], tuple[float, float]]] = []  # enclosing elements, their signs, and those of all outside
     least = greatest = 0.0
-    heading, depth_a, forms, at = False, 0, 0, 0
+    opened: Counter[str] = Counter()  # how often each element is on the stack
+    endless: set[str] = set()  # elements of which no end follows
+    heading, depth_a, form, at = False, 0, NONE, 0  # form: the place of the outermost one that may yet prove to be a page's wrapper
 
     def flush() -> None:
         if parts:
@@ -87,45 +99,55 @@ def blocks(page: str, odds: dict[str, float]) -> list[Block]:
         if depth_a:
             link_parts.append(s)
 
-    for m in TOKEN.finditer(page):
+    while m := TOKEN.search(page, at):
         if m.start() > at:
             s = page[at : m.start()]
             say(html.unescape(s) if "&" in s else s)
         at = m.end()
-        if m[3] is None:
+        if m[2] is None:
             continue
-        tag = m[3].lower()
-        if tag == "a":
-            depth_a = 0 if m[2] else 1
-            if m[2]:
+        tag = m[2].lower()
+        if tag in RAW or tag in DROPPED:
+            if not m[1] and not (tag == "svg" and m[3].endswith("/")) and tag not in endless:
+                end = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
+                if end or tag in RAW:
+                    at = end.end() if end else len(page)
+                else:
+                    endless.add(tag)
+        elif tag == "a":
+            depth_a = 0 if m[1] else 1
+            if m[1]:
                 link_parts.append(" ")
         elif tag == "br":
             say(" ")
         elif tag not in INLINE:
             flush()
             depth_a = 0
-            if forms and not m[2] and tag in WRAPPED:
-                forms = 0
-                least = greatest = 0.0
-                for i, (name, own, _) in enumerate(stack):
+            if not m[1] and tag in WRAPPED and form < len(stack):
+                least, greatest = stack[form][2]
+                for i in range(form, len(stack)):
+                    name, own, _ = stack[i]
                     own = (0.0, 0.0) if name == "form" else own
                     stack[i] = (name, own, (least, greatest))
                     least, greatest = min(least, own[0]), max(greatest, own[1])
+                form = NONE
             if tag in HEADINGS:
-                heading = not m[2]
+                heading = not m[1]
             elif tag == "p" or tag == "hr":
                 heading = False
-            elif m[2]:
-                for i in range(len(stack) - 1, -1, -1):
-                    if stack[i][0] == tag:
-                        least, greatest = stack[i][2]
-                        forms -= sum(x[0] == "form" for x in stack[i:]) if forms else 0
-                        del stack[i:]
+            elif m[1]:
+                while opened[tag]:
+                    name, _, (least, greatest) = stack.pop()
+                    opened[name] -= 1
+                    if name == tag:
                         break
-            elif not m[4].endswith("/"):
-                own = signs(names(tag, m[4]), odds)
+                form = form if form < len(stack) else NONE
+            elif not m[3].endswith("/"):
+                own = signs(names(tag, m[3]), odds)
+                form = min(form, len(stack)) if tag == "form" else form
                 stack.append((tag, own, (least, greatest)))
-                least, greatest, forms = min(least, own[0]), max(greatest, own[1]), forms + (tag == "form")
+                opened[tag] += 1
+                least, greatest = min(least, own[0]), max(greatest, own[1])
     if at < len(page):
         s = page[at:]
         say(html.unescape(s) if "&" in s else s)
@@ -199,7 +221,25 @@ def learn_signs(pages: list) -> dict[str, float]:
     for page in pages:
         for label, around, _, _ in page:
             inside[label].update(set().union(*(own for _, own in around)))
-    return {x: math.log((inside[True][x] + 0.5) / (total[True] + 1)) - math.log((inside[False][x] + 0.5) / (total[False] + 1)) for x in sorted(inside[True] | inside[False])}
+    odds = {x: math.log((inside[True][x] + 0.5) / (total[True] + 1)) - math.log((inside[False][x] + 0.5) / (total[False] + 1)) for x in sorted(inside[True] | inside[False])}
+    return odds | {f"~{x}": w for x, w in word_signs(inside).items()}
+
+
+def word_signs(inside: dict[bool, Counter], prior: float = 0.3) -> dict[str, float]:
+    """For each word in names of elements its weight in a logistic regression of article blocks on the words of a name around them.
+
+    So a word that turns another's meaning ("no", "open") gets the weight that does so, and names made of known words in other ways have a sign too.
+    """
+    names = sorted(x for x in inside[True] | inside[False] if x[0] not in "<[")
+    words = sorted(set().union(*map(parts_of, names)))
+    x = np.array([[w in parts_of(name) for w in words] for name in names], dtype=np.float64)
+    yes, no = (np.array([inside[label][name] for name in names], dtype=np.float64) for label in (True, False))
+    weights = np.zeros(len(words))
+    for _ in range(20):  # Newton's method; the loss is convex
+        p = 1 / (1 + np.exp(-x @ weights))
+        slope = x.T @ (yes - (yes + no) * p) - prior * weights
+        weights = weights + np.linalg.solve((x.T * ((yes + no) * p * (1 - p))) @ x + prior * np.eye(len(words)), slope)
+    return dict(zip(words, weights.tolist(), strict=True))
 
 
 def train(table: str = BLOCKS):
