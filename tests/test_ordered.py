@@ -1,0 +1,84 @@
+"""Order over a whole table against plain loops: cells, ties, nulls; and no stage of a single task."""
+
+import random
+from decimal import Decimal
+
+import pytest
+from pyspark.sql import functions as F
+
+from tidewright.operators import ordered
+
+NULLS_FIRST = lambda x: (x is not None, x if x is not None else 0)
+
+
+def plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("cells", [None, 1, 7, 64])
+def test_running_totals(spark, cells):
+    rng = random.Random(1)
+    rows = [(i, rng.choice([None, *"abcab"]), rng.choice([None, float("-inf"), -0.5, 1.5, 2.5]), rng.choice([None, Decimal(i) / 100]), rng.choice([None, i])) for i in range(1500)]
+    df = spark.createDataFrame(rows, "id long, s string, x double, price decimal(12,2), v int").repartition(5)
+    got = ordered.running(df, ["s", "x", "id"], {"upto": "price", "vs": "v"}, "number", cells)
+    assert got.columns == ["id", "s", "x", "price", "v", "number", "upto", "vs"]
+    want, price, v = [], None, None
+    for i, r in enumerate(sorted(rows, key=lambda r: (NULLS_FIRST(r[1]) if r[1] else (False, ""), NULLS_FIRST(r[2]), r[0])), 1):
+        price = r[3] if price is None else price + (r[3] or 0)
+        v = r[4] if v is None else v + (r[4] or 0)
+        want.append((*r, i, price, v))
+    assert sorted(map(tuple, got.collect())) == sorted(want)
+    assert cells == 1 or "SinglePartition" not in plan(got)
+
+
+def test_running_totals_begin_with_nulls_and_empty_tables(spark):
+    df = spark.createDataFrame([(i, None if i < 50 else i) for i in range(100)], "id int, v int")
+    got = {r.id: (r.n, r.upto) for r in ordered.running(df, ["id"], {"upto": "v"}, "n", 10).collect()}
+    assert got[49] == (50, None) and got[50] == (51, 50) and got[99] == (100, sum(range(50, 100)))
+    assert ordered.running(df.limit(0), ["id"], {"upto": "v"}).count() == 0
+
+
+def test_cells_are_even_and_found_without_a_shuffle(spark):
+    df = spark.range(100_000).select(((F.col("id") * 7919) % 100_003).alias("k"))
+    found = ordered.bounds(df, ["k"], 20, 100_000)
+    placed = df.withColumn("cell", ordered.cell_of(["k"], [df.schema["k"].dataType], found))
+    sizes = [r["count"] for r in placed.groupBy("cell").count().collect()]
+    assert len(sizes) == 20 and max(sizes) < 2 * 5000 and "Exchange" not in plan(placed)
+
+
+@pytest.mark.parametrize("cells", [1, 5])
+def test_ranks_with_a_value_that_most_rows_share(spark, cells):
+    rng = random.Random(2)
+    values = [None] * 5 + ["b"] * 700 + [rng.choice("abcdefgh") for _ in range(300)]
+    df = spark.createDataFrame(list(enumerate(values)), "id int, v string")
+    got = {r.id: (r.rank, r.dense_rank, r.n_ties, round(r.cume_dist, 9)) for r in ordered.ranks(df, "v", cells).collect()}
+    order = sorted({*values}, key=lambda x: (x is not None, x or ""))
+    below = lambda v: sum((x is not None, x or "") < (v is not None, v or "") for x in values)
+    assert got == {i: (below(v) + 1, order.index(v) + 1, values.count(v), round((below(v) + values.count(v)) / len(values), 9)) for i, v in enumerate(values)}
+    assert cells == 1 or "SinglePartition" not in plan(ordered.ranks(df, "v", cells))
+
+
+@pytest.mark.parametrize(("n", "kinds", "cells"), [(300, 12, None), (300, 12, 4), (400, 10_000, None), (200, 2, 30), (1, 1, None)])
+def test_dominators(spark, n, kinds, cells):
+    rng = random.Random(n)
+    rows = [(i, rng.choice([None, *range(kinds)]) if n > 1 else 3, 5.0 if i % 3 == 0 else rng.choice([None, *map(float, range(kinds))])) for i in range(n)]
+    df = spark.createDataFrame(rows, "id int, x int, y double").repartition(3)
+    got = {r.id: r.n for r in ordered.dominators(df, "id", "x", "y", cells).collect()}
+    known = [(x, y) for _, x, y in rows if x is not None and y is not None]
+    assert got == {i: sum(a < x and b > y for a, b in known) if x is not None and y is not None else 0 for i, x, y in rows}
+
+
+def test_dominators_compare_far_fewer_than_all_pairs(spark):
+    n = 20_000
+    df = spark.range(n).select("id", (F.col("id") * 7919 % 20_011).alias("x"), (F.col("id") * 104_729 % 20_021).alias("y"))
+    got = ordered.dominators(df, "id", "x", "y")
+    assert "NestedLoop" not in plan(got) and "Cartesian" not in plan(got)
+    total = got.agg(F.sum("n")).first()[0]
+    xs = sorted((i * 7919 % 20_011, i * 104_729 % 20_021) for i in range(n))
+    import bisect
+
+    seen, want = [], 0
+    for _, y in xs:
+        want += len(seen) - bisect.bisect_right(seen, y)
+        bisect.insort(seen, y)
+    assert total == want

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import re
+import tempfile
+
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cores: int | str = "*", partitions: int = 8, memory: str = "8g") -> SparkSession:
@@ -21,3 +24,17 @@ def local_session(cores: int | str = "*", partitions: int = 8, memory: str = "8g
     )
     spark.sparkContext.setLogLevel("ERROR")
     return spark
+
+
+def durable(df: DataFrame) -> DataFrame:
+    """`df`, computed once and written to the shared folder, spark.checkpoint.dir, so that a lost executor costs no recomputation.
+
+    Where that is unset a local session takes a new folder, and a cluster's raises an error.
+    """
+    sc = df.sparkSession.sparkContext
+    if not sc.getCheckpointDir():
+        where = sc.getConf().get("spark.checkpoint.dir")
+        if not where and not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(where or f"file://{tempfile.mkdtemp(prefix='checkpoints-')}")
+    return df.checkpoint(eager=True)
