@@ -40,7 +40,7 @@ def plain_asof(left, right):
 def test_asof_ties_and_nulls(spark, cell):
     left = [(1, "a", 5), (2, "a", 1), (3, "b", 9), (4, None, 9), (5, "a", None), (6, "a", 8), (7, "a", 20), (8, None, None), (9, "d", 4), (10, "a", 5)]
     right = [("a", 5, 50), ("a", 5, 51), ("a", 2, 20), ("c", 1, 1), (None, 3, 30), ("a", None, 99), (None, None, 98), ("d", 5, 7), ("b", None, 97)]
-    got = joins.asof_join(spark.createDataFrame(left, "id int, k string, t int"), spark.createDataFrame(right, "k string, t2 int, v int"), "k", "t", "t2", ["v"], cell())
+    got = joins.asof_join(spark.createDataFrame(left, "id int, k string, t int"), spark.createDataFrame(right, "k string, t2 int, v int"), "k", "t", "t2", ["v"], cell(), 0)
     assert {r.id: r.v for r in got.collect()} == plain_asof(left, right)
 
 
@@ -48,7 +48,7 @@ def test_asof_cells_carry_over_gaps(spark):
     rng = random.Random(0)
     left = [(i, rng.choice("abh"), rng.randrange(1000)) for i in range(400)]
     right = [(rng.choice("abhhhh"), rng.randrange(1000), i) for i in range(60)]
-    got = joins.asof_join(spark.createDataFrame(left, "id int, k string, t int"), spark.createDataFrame(right, "k string, t2 int, v int"), "k", "t", "t2", ["v"], F.floor(F.col("__t") / 7))
+    got = joins.asof_join(spark.createDataFrame(left, "id int, k string, t int"), spark.createDataFrame(right, "k string, t2 int, v int"), "k", "t", "t2", ["v"], F.floor(F.col("__t") / 7), 0)
     assert {r.id: r.v for r in got.collect()} == plain_asof(left, right)
 
 
@@ -69,6 +69,49 @@ def test_wide_ranges_are_dealt_to_few_cells(spark):
     assert sorted((r.id, r.r) for r in got.collect()) == sorted((r.id, r.r) for r in want.collect())
 
 
+@pytest.mark.parametrize(("width", "most", "on"), [(1.0, 16, None), (50.0, 3, None), (1e6, 64, None), (3.0, 4, {"k": "j"})])
+def test_overlap_join(spark, width, most, on):
+    """Points, short ranges, one over everything on each side, empty ones, touching ends and nulls."""
+    rng = random.Random(4)
+
+    def made(seed):
+        rng.seed(seed)
+        out = [(0, "a", -1e5, 1e6), (1, "b", 5.0, 5.0), (2, "a", 9.0, 3.0), (3, "a", None, 5.0), (4, None, 1.0, 100.0), (5, "a", 100.0, 200.0), (6, "b", 200.0, 200.0)]
+        for i in range(7, 150):
+            low = rng.uniform(-300, 2000)
+            out.append((i, rng.choice("ab"), low, low + rng.choice([0.0, 0.5, 3.0, 40.0, 700.0])))
+        return out
+
+    left, right = made(1), made(2)
+    a, b = spark.createDataFrame(left, "i int, k string, low double, high double"), spark.createDataFrame(right, "r int, j string, begin double, end double")
+    got = joins.overlap_join(a, b, ("low", "high"), ("begin", "end"), width, on, most)
+    assert got.columns == ["i", "k", "low", "high", "r", "j", "begin", "end"]
+    known = lambda rows: [r for r in rows if r[2] is not None and r[3] is not None and r[2] <= r[3]]
+    want = [(x[0], y[0]) for x in known(left) for y in known(right) if x[2] <= y[3] and y[2] <= x[3] and (not on or (x[1] is not None and x[1] == y[1]))]
+    assert sorted((r.i, r.r) for r in got.collect()) == sorted(want) and len(want) > 500
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
+    assert joins.overlap_join(a.limit(0), b, ("low", "high"), ("begin", "end"), width, on, most).count() == 0
+
+
+def test_a_range_over_everything_is_dealt_to_few_cells(spark):
+    a = spark.createDataFrame([(0, 0.0, 1e9)], "i int, low double, high double")
+    b = spark.range(2000).selectExpr("id as r", "id * 1000.0 as begin", "id * 1000.0 + 1 as end")
+    got = joins.overlap_join(a, b, ("low", "high"), ("begin", "end"), 1.0, most=64)
+    assert got.count() == 2000
+    widths = joins._levels(1.0, 64, 1e9)
+    assert 1e9 / widths[-1] + 1 <= 64
+
+
+@pytest.mark.parametrize("large", [0, 10**6])
+def test_asof_with_and_without_cells(spark, large):
+    rng = random.Random(9)
+    left = [(i, rng.choice("ab"), rng.randrange(100)) for i in range(200)]
+    right = [(rng.choice("ab"), rng.randrange(100), i) for i in range(50)]
+    got = joins.asof_join(spark.createDataFrame(left, "id int, k string, t int"), spark.createDataFrame(right, "k string, t2 int, v int"), "k", "t", "t2", ["v"], F.floor(F.col("__t") / 9), large)
+    assert {r.id: r.v for r in got.collect()} == plain_asof(left, right)
+
+
 def run(rows, name, folder, mode):
     """What a stream over all files gives, one after another."""
     query = rows.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).option("checkpointLocation", f"{folder}/checkpoint-{name}").start()

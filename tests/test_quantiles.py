@@ -1,0 +1,40 @@
+"""Exact quantiles, in one buffer and by narrowing passes, against a plain sort."""
+
+import math
+import random
+
+import pytest
+
+from tidewright.operators import quantiles
+
+SHARES = {"low": 0.0, "some": 0.137, "median": 0.5, "p99": 0.99, "high": 1.0}
+
+
+def plain(values):
+    found = sorted(min(max(v, -1.7976931348623157e308), 1.7976931348623157e308) for v in values if v is not None and not math.isnan(v))
+    at = lambda h: found[math.floor(h)] + (h - math.floor(h)) * (found[math.ceil(h)] - found[math.floor(h)])
+    return [at(s * (len(found) - 1)) if found else None for s in SHARES.values()]
+
+
+@pytest.mark.parametrize("whole", [100_000, 50, 2])
+def test_quantiles(spark, whole):
+    rng = random.Random(3)
+    groups = {"a": [rng.gauss(0, 1) for _ in range(400)], "b": [7.0] * 200, "c": [rng.choice([1.0, 2.0, 2.5]) for _ in range(150)], "d": [None, float("nan"), None], "e": [4.0],
+              None: [10.0 ** rng.randrange(-300, 300) * rng.choice([-1, 1]) for _ in range(120)], "f": [float("inf"), float("-inf"), 1.7e308, -1.7e308, *[0.0] * 60, 5e-324, None]}
+    df = spark.createDataFrame([(k, v) for k, vs in groups.items() for v in vs], "k string, v double").repartition(4)
+    got = {r[0]: list(r[1:]) for r in quantiles.quantiles(df, "k", "v", SHARES, whole).collect()}
+    assert got.keys() == groups.keys()
+    for k, vs in groups.items():
+        for x, y in zip(got[k], plain(vs), strict=True):
+            assert x is y is None or math.isclose(x, y, rel_tol=1e-12)
+
+
+def test_no_rows(spark):
+    df = spark.createDataFrame([], "k string, v double")
+    assert quantiles.quantiles(df, "k", "v", SHARES).count() == 0
+
+
+def test_groups_beside_one_that_is_large(spark):
+    df = spark.range(5000).selectExpr("if(id % 100 = 0, id, -1) as k", "cast(id as double) as v")
+    got = {r.k: r.median for r in quantiles.quantiles(df, "k", "v", {"median": 0.5}, whole=100).collect()}
+    assert len(got) == 51 and got[300] == 300.0 and got[-1] == 2500.0

@@ -54,10 +54,6 @@ def spread(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.groupBy("l_returnflag").agg(F.round(F.stddev("l_quantity"), 6).alias("sd"), F.round(F.var_pop("l_discount"), 8).alias("var"), F.round(F.corr("l_quantity", "l_extendedprice"), 6).alias("corr"))
 
 
-def balance_quantiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "customer").groupBy("c_mktsegment").agg(F.round(F.percentile("c_acctbal", 0.5), 4).alias("median"), F.round(F.percentile("c_acctbal", 0.9), 4).alias("p90"))
-
-
 def dearest_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.max_by("o_orderkey", F.struct("o_totalprice", "o_orderkey")).alias("o_orderkey"), F.max("o_totalprice").alias("price"))
 
@@ -87,6 +83,5 @@ QUERIES = {
         nullif(count(*) filter (o_orderstatus = 'P'), 0) as "P" from orders group by o_orderpriority"""),
     "label_unpivot": (label_unpivot, "select doc_id, 'quality' as label, quality as value from labels union all select doc_id, 'toxic', toxic from labels"),
     "spread": (spread, "select l_returnflag, round(stddev(l_quantity), 6) as sd, round(var_pop(l_discount), 8) as var, round(corr(l_quantity, l_extendedprice), 6) as corr from lineitem group by l_returnflag"),
-    "balance_quantiles": (balance_quantiles, "select c_mktsegment, round(quantile_cont(c_acctbal, 0.5), 4) as median, round(quantile_cont(c_acctbal, 0.9), 4) as p90 from customer group by c_mktsegment"),
     "dearest_order": (dearest_order, "select o_custkey, arg_max(o_orderkey, (o_totalprice, o_orderkey)) as o_orderkey, max(o_totalprice) as price from orders group by o_custkey"),
 }

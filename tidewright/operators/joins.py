@@ -7,20 +7,20 @@ from pyspark.sql import functions as F
 
 from tidewright.sources import table
 
-#: Widths of cells in a range join, each so many times the one before as a range may meet cells.
-LEVELS = 3
+#: Rows of a key from which an as-of join cuts it into cells.
+LARGE = 1_000_000
 
 
-def asof_join(left: DataFrame, right: DataFrame, by: str, left_time: str, right_time: str, values: list[str], cell: Column | None = None) -> DataFrame:
+def asof_join(left: DataFrame, right: DataFrame, by: str, left_time: str, right_time: str, values: list[str], cell: Column | None = None, large: int = LARGE) -> DataFrame:
     """For each row of `left` the `values` of the last row of `right` with the same `by` and a time no later.
 
     A null key or time matches nothing: such rows of `left` get nulls without a shuffle, such rows of `right` are left out. Ties of `right`
     go to the greatest values. Both sides are put on top of each other, and a running last() over the key's times
     carries the values on, so work is linear in the rows, unlike a join on an inequality.
 
-    `cell`, a column of the times that never falls as they rise (a day, say; over the column __t), cuts each key into
-    cells, so that a key with very many rows is spread over tasks: what a cell begins with comes from a second carry
-    over one row for each key and cell.
+    `cell`, a column of the times that never falls as they rise (a day, say; over the column __t), cuts keys into
+    cells if any key has more than `large` rows, so that it is spread over tasks: what a cell begins with comes from a second carry
+    over one row for each key and cell. The result is the same either way.
     """
     carried = F.struct(F.col(right_time).alias("__at"), *values)
     empty = F.lit(None).cast(right.select(carried.alias("c")).schema["c"].dataType)
@@ -29,6 +29,8 @@ def asof_join(left: DataFrame, right: DataFrame, by: str, left_time: str, right_
     both = left.where(here).select("*", F.col(left_time).alias("__t"), F.lit(1).alias("__side"), empty.alias("__c")).unionByName(
         right.select(by, F.col(right_time).alias("__t"), F.lit(0).alias("__side"), carried.alias("__c")), allowMissingColumns=True)
     keys = [by]
+    if cell is not None and both.groupBy(by).count().where(F.col("count") > large).isEmpty():
+        cell = None
     if cell is not None:
         both, keys = both.withColumn("__cell", cell), [by, "__cell"]
     window = Window.partitionBy(*keys).orderBy("__t", "__side", "__c")
@@ -43,23 +45,75 @@ def asof_join(left: DataFrame, right: DataFrame, by: str, left_time: str, right_
     return found.select(*left.columns, *[F.col(f"__last.{v}").alias(v) for v in values]).unionAll(alone)
 
 
+def _levels(width: float, most: int, widest: float | None) -> list[float]:
+    """Widths of cells, each `most` times the one before, up to one of which the `widest` range meets no more than `most`."""
+    widths = [float(width)]
+    while widest is not None and widest / widths[-1] >= most - 1:
+        widths.append(widths[-1] * most)
+    return widths
+
+
+def _cell(x: Column, width: Column | float) -> Column:
+    return F.floor(x / width).cast("long")
+
+
+def _level(low: Column, high: Column, widths: list[float], most: int) -> Column:
+    """The first level at which a range meets `most` cells at most."""
+    level = F.lit(len(widths) - 1)
+    for i in range(len(widths) - 2, -1, -1):
+        level = F.when(_cell(high, widths[i]) - _cell(low, widths[i]) < most, F.lit(i)).otherwise(level)
+    return level
+
+
+def _used(df: DataFrame, low: Column, high: Column, width: float, most: int) -> tuple[list[float], list[int]]:
+    """Widths of cells for the ranges of `df`, and which of them they use: numbers of levels, of which there are a dozen at most in practice."""
+    widest = df.agg(F.max((high - low).cast("double"))).first()[0]
+    widths = _levels(width, most, widest)
+    return widths, [0] if len(widths) == 1 else sorted(r[0] for r in df.select(_level(low, high, widths, most)).distinct().collect())
+
+
 def range_join(points: DataFrame, ranges: DataFrame, point: Column, low: Column, high: Column, width: float, most: int = 64) -> DataFrame:
     """Rows of `points` with the `ranges` (low to high, both included) that hold them, by cells of `width`.
 
     A range is dealt to each cell that it meets, a point to its own, so the join has a key and no pair is made twice.
-    Ranges that meet more than `most` cells are dealt by cells `most` times as wide, and so on for LEVELS levels, so no
-    range becomes more than about `most` rows; points are dealt once for each level. Of the widest level a range may
-    become more. Null ends and points match nothing, nor does a range that ends before it begins.
+    Ranges that meet more than `most` cells are dealt by cells `most` times as wide, and so on, so none becomes more than `most` rows;
+    points are dealt once for each level that any range uses. Null ends and points match nothing, nor does a range that ends before it begins.
     """
-    cell = lambda x, level: F.floor(x / (width * most**level)).cast("long")
-    level = F.lit(LEVELS - 1)
-    for i in range(LEVELS - 2, -1, -1):
-        level = F.when(cell(high, i) - cell(low, i) < most, F.lit(i)).otherwise(level)
-    sized = ranges.where(low <= high).withColumn("__level", level)
-    bound = lambda x: F.floor(x / (F.lit(width) * F.pow(F.lit(float(most)), F.col("__level")))).cast("long")
-    dealt = sized.withColumn("__cell", F.explode(F.sequence(bound(low), bound(high))))
-    levels = points.where(point.isNotNull()).withColumn("__level", F.explode(F.array(*map(F.lit, range(LEVELS)))))
-    return levels.withColumn("__cell", bound(point)).join(dealt, ["__level", "__cell"]).where((point >= low) & (point <= high)).drop("__cell", "__level")
+    held = ranges.where(low <= high)
+    widths, used = _used(held, low, high, width, most)
+    width_of = lambda level: F.get(F.array(*map(F.lit, widths)), level)
+    dealt = held.withColumn("__level", _level(low, high, widths, most)).withColumn("__cell", F.explode(F.sequence(_cell(low, width_of(F.col("__level"))), _cell(high, width_of(F.col("__level"))))))
+    levels = points.where(point.isNotNull()).withColumn("__level", F.explode(F.array(*map(F.lit, used))) if len(used) > 1 else F.lit(used[0] if used else 0))
+    return levels.withColumn("__cell", _cell(point, width_of(F.col("__level")))).join(dealt, ["__level", "__cell"]).where((point >= low) & (point <= high)).drop("__cell", "__level")
+
+
+def overlap_join(left: DataFrame, right: DataFrame, left_ends: tuple[str, str], right_ends: tuple[str, str], width: float, on: dict[str, str] | None = None, most: int = 64) -> DataFrame:
+    """Pairs of rows whose ranges (both ends included) share a point, of those with equal keys if `on` maps columns of `left` to columns of `right`.
+
+    Ranges are dealt to the cells that they meet, and a pair is made in one of them: that where the later range begins. A range
+    is dealt by cells of its own width (see range_join) and once or twice at each wider level that the other side uses, where it meets the wider ranges. So
+    a range over everything costs it `most` rows, and the others one or two each. Column names of both sides must differ. Null ends match nothing, nor do
+    ranges that end before they begin, nor null keys.
+    """
+    on = on or {}
+    sides = [(df.where(F.col(low) <= F.col(high)), F.col(low), F.col(high)) for df, (low, high) in ((left, left_ends), (right, right_ends))]
+    widest = [df.agg(F.max((high - low).cast("double"))).first()[0] for df, low, high in sides]
+    widths = _levels(width, most, max((w for w in widest if w is not None), default=None))
+    used = [sorted(r[0] for r in df.select(_level(low, high, widths, most)).distinct().collect()) for df, low, high in sides]
+    width_of = lambda level: F.get(F.array(*map(F.lit, widths)), level)
+
+    def dealt(side: int) -> DataFrame:
+        df, low, high = sides[side]
+        own, name = _level(low, high, widths, most), f"__own{side}"
+        other = F.array(*map(F.lit, used[1 - side])).cast("array<int>")
+        rows = df.withColumn(name, own).withColumn("__level", F.explode(F.array_union(F.array(F.col(name)), F.filter(other, lambda x: x > F.col(name)))))
+        return rows.withColumn("__cell", F.explode(F.sequence(_cell(low, width_of(F.col("__level"))), _cell(high, width_of(F.col("__level"))))))
+
+    a, b = dealt(0), dealt(1)
+    (_, low_a, high_a), (_, low_b, high_b) = sides
+    joined = a.join(b.withColumnsRenamed({"__level": "__level1", "__cell": "__cell1"}), (F.col("__level") == F.col("__level1")) & (F.col("__cell") == F.col("__cell1")) & F.expr(" and ".join(f"`{x}` = `{y}`" for x, y in on.items()) or "true"))
+    once = (F.col("__level") == F.greatest("__own0", "__own1")) & (F.col("__cell") == _cell(F.greatest(low_a, low_b), width_of(F.col("__level"))))
+    return joined.where((low_a <= high_b) & (low_b <= high_a) & once).select(*left.columns, *right.columns)
 
 
 def revenue_by_nation(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -129,6 +183,15 @@ def events_near_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return range_join(events.select("event_id", "s"), errors, F.col("s"), F.col("low"), F.col("high"), 120.0).groupBy("error_id").agg(F.count("*").alias("n"))
 
 
+def sessions_during_incidents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For each error an hour of disturbance for every tenth of its value: the sessions of users that overlap with it."""
+    events = table(spark, sf_dir, "events").withColumn("us", F.unix_micros(F.col("ts").cast("timestamp")))
+    gap = F.session_window(F.col("ts").cast("timestamp"), "30 minutes")
+    sessions = events.groupBy("user_id", gap).agg(F.min("us").alias("begin"), F.max("us").alias("end")).select("user_id", "begin", "end")
+    incidents = events.where("event_type = 'error'").select(F.col("event_id").alias("incident"), F.col("us").alias("low"), (F.col("us") + F.floor(F.col("value") * 10) * 36_000_000).alias("high"))
+    return overlap_join(incidents, sessions, ("low", "high"), ("begin", "end"), 3.6e9).groupBy("incident").agg(F.count("*").alias("n_sessions"), F.count_distinct("user_id").alias("n_users"))
+
+
 QUERIES = {
     "revenue_by_nation": (revenue_by_nation, """
         select n_name, round(sum(l_extendedprice * (1 - l_discount)), 2) as revenue from customer, orders, lineitem, supplier, nation, region
@@ -148,4 +211,10 @@ QUERIES = {
     "events_near_errors": (events_near_errors, """
         select e.event_id as error_id, count(*) as n from events e join events x on x.ts between e.ts - interval 60 second and e.ts
         where e.event_type = 'error' and e.value > 200 group by e.event_id"""),
+    "sessions_during_incidents": (sessions_during_incidents, """
+        with a as (select *, case when ts - lag(ts) over (partition by user_id order by ts) < interval 30 minute then 0 else 1 end as fresh from events),
+        b as (select *, sum(fresh) over (partition by user_id order by ts) as s from a),
+        s as (select user_id, min(epoch_us(ts)) as begin, max(epoch_us(ts)) as "end" from b group by user_id, s),
+        i as (select event_id as incident, epoch_us(ts) as low, epoch_us(ts) + cast(floor(value * 10) as bigint) * 36000000 as high from events where event_type = 'error')
+        select incident, count(*) as n_sessions, count(distinct user_id) as n_users from i join s on low <= "end" and begin <= high group by incident"""),
 }
