@@ -9,10 +9,10 @@ pairs of parts, so no task holds more than a bounded shard and no link is lost.
 
 Out of a shard come the links that join its connected fingerprints, fewer than it has fingerprints, never all pairs.
 
-`one_of_each_group` goes on from the classes so found. Among documents that stay, fingerprints of different words within
-WORD_RADIUS bits make clusters, by the same shards and trees. In a cluster sketches of five-word shingles are compared, and
-the links that connect what looks similar, fewer than it has documents, are kept if the Jaccard similarity, computed
-exactly, is SIMILAR or more.
+`one_of_each_group` goes on from the classes so found. The documents that stay are sketched by the least hashes of their five-word
+shingles in 256 orders; documents that agree in all least hashes of one of 32 bands of orders make clusters. In a cluster sketches are
+compared, and of what looks similar as many links as connect it are kept if the Jaccard similarity, computed exactly, is SIMILAR or more.
+A pair of a similarity of 0.8 shares a band with a probability of 0.997, and has a sketch that says SKETCHED at least with one of 0.996.
 """
 
 from __future__ import annotations
@@ -33,10 +33,13 @@ from tidewright.llm.common import BATCH_ROWS, documents, durable, map_texts, sli
 from tidewright.llm.components import components
 
 RADIUS = 3
-#: Bits by which fingerprints of different words may differ for a candidate, words in a shingle and similarity of a link.
-WORD_RADIUS, SHINGLE, SIMILAR = 6, 5, 0.8
-#: Words of 64 bits in a sketch, and the similarity by a sketch (its standard deviation is 0.04 there) from which it is computed exactly.
-SKETCH, SKETCHED = 4, 0.77
+#: Words in a shingle and similarity of a link.
+SHINGLE, SIMILAR = 5, 0.8
+#: Words of 64 bits in a sketch, the similarity by a sketch (its standard deviation is 0.04 there) from which it is computed exactly, and that from which
+#: it is taken for granted in the choice of further links. How many links a document tries to a part of its cluster that is connected so.
+SKETCH, SKETCHED, SURE, TRIED = 4, 0.7, 0.87, 3
+#: Bands, each of so many orders.
+BANDS = 32
 ORDERS = np.random.default_rng(42).integers(0, 1 << 31, (2, 64 * SKETCH), dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 #: Fingerprints that one tree may hold, and rows that a task gathers before it builds the trees of whole shards.
 SHARD, GATHER = 20_000, 100_000
@@ -59,16 +62,6 @@ def fingerprint(text: str | None, size: int = 3, seed: int = 42) -> int:
     return int(np.packbits(2 * ones > n, bitorder="little").view("<u8")[0])
 
 
-def word_fingerprint(text: str | None, seed: int = 42) -> int:
-    """SimHash of the different words (A-Z lowered); 0 without words."""
-    words = set(text.encode("utf-8", "surrogatepass").lower().split()) if text else ()
-    if not words:
-        return 0
-    h = np.fromiter((xxhash.xxh64_intdigest(w, seed) for w in words), dtype="<u8", count=len(words))
-    ones = np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * ones > len(words), bitorder="little").view("<u8")[0])
-
-
 def shingle_hashes(text: str | None) -> np.ndarray:
     """32-bit hashes of the different shingles of SHINGLE words, sorted; fewer words are one shingle, no words none."""
     words = text.encode("utf-8", "surrogatepass").lower().split() if text else []
@@ -76,15 +69,25 @@ def shingle_hashes(text: str | None) -> np.ndarray:
     return np.unique(np.fromiter((xxhash.xxh32_intdigest(x) for x in shingles), dtype=np.uint32, count=len(shingles)).view(np.int32))
 
 
-def sketch(hashes: np.ndarray) -> np.ndarray:
-    """Of a set of hashes a bit each for 64 * SKETCH orders, from the least element; two sets agree in (1 + similarity) / 2 of them."""
+def least_hashes(hashes: np.ndarray) -> np.ndarray:
+    """Of a set of hashes the least in each of 64 * SKETCH orders; two sets agree in a share of them that is their similarity."""
     a, b = ORDERS
     least, h = np.full(64 * SKETCH, 0xFFFFFFFF, dtype=np.uint32), hashes.view(np.uint32) * np.uint32(0x9E3779B1)
     for start in range(0, len(h), 256):
         least = np.minimum(least, ((h[start : start + 256, None] ^ b) * a).min(axis=0))
+    return least
+
+
+def sketch(least: np.ndarray) -> np.ndarray:
+    """A bit of each least hash; two sets agree in (1 + similarity) / 2 of them."""
     return np.packbits(np.bitwise_count(least * np.uint32(0x85EBCA6B)) & 1, bitorder="little").view("<i8")
 
 
+def bands(least: np.ndarray) -> list[int]:
+    """A key for each band of least hashes."""
+    return [xxhash.xxh64_intdigest(row.tobytes(), i) - (1 << 63) for i, row in enumerate(least.reshape(BANDS, -1))]
+
+
 def fingerprints(docs: DataFrame, text: str = "text") -> DataFrame:
     """doc_id and fp, the fingerprint as a signed long, for every row."""
 
@@ -196,29 +199,56 @@ def linked(batches: Iterator[pa.RecordBatch], radius: int = RADIUS) -> Iterator[
         yield pa.RecordBatch.from_arrays([pa.array(fp[to[joined]]), pa.array(fp[joined])], names=["a", "b"])
 
 
-def matches(wfp: np.ndarray, sketches: np.ndarray) -> list[tuple[int, int]]:
-    """Pairs of places that connect what is within WORD_RADIUS bits and by its sketch similar; of a row with each part connected before, the best."""
-    need, part, out = 32 * SKETCH * (1 + SKETCHED), np.arange(len(wfp)), []
-    for q in range(1, len(wfp)):
-        near = np.flatnonzero(np.bitwise_count(wfp[:q] ^ wfp[q]) <= WORD_RADIUS)
-        agree = 64 * SKETCH - np.bitwise_count(sketches[near] ^ sketches[q]).sum(axis=1, dtype=np.int64)
-        near, agree = near[agree >= need], agree[agree >= need]
-        if len(near):
-            near = near[np.argsort(-agree, kind="stable")]
-            parts, best = np.unique(part[near], return_index=True)
-            out += [(int(near[i]), q) for i in best]
+def matches(sketches: np.ndarray) -> list[tuple[int, int]]:
+    """Pairs of places that connect what is similar by its sketch: of each row with each part that is surely connected before it, the best TRIED."""
+    bits = 64 * SKETCH
+    need, sure, part, out = bits * (1 + SKETCHED) / 2, bits * (1 + SURE) / 2, np.arange(len(sketches)), []
+    for q in range(1, len(sketches)):
+        agree = bits - np.bitwise_count(sketches[:q] ^ sketches[q]).sum(axis=1, dtype=np.int64)
+        near = np.flatnonzero(agree >= need)
+        if not len(near):
+            continue
+        near = near[np.lexsort((-agree[near], part[near]))]
+        own = part[near]
+        first = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
+        known = agree[near[first]] >= sure
+        rank = np.arange(len(near)) - np.repeat(first, np.diff(np.r_[first, len(near)]))
+        tried = np.where(np.repeat(known, np.diff(np.r_[first, len(near)])), 1, TRIED)
+        out += [(int(i), q) for i in near[rank < tried]]
+        if known.any():
+            parts = own[first[known]]
             part[: q + 1][np.isin(part[: q + 1], np.r_[parts, q])] = min(int(parts[0]), q)
     return out
 
 
 def matched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Links (a, b) between nodes of rows (shard, wfp, node, s0, s1, ...) that come sorted by shard."""
-    names = ("wfp", "node", *(f"s{i}" for i in range(SKETCH)))
-    for shard, wfp, node, *sketches in whole_shards(batches, names):
+    """Links (shard, a, b) between nodes of rows (shard, node, s0, s1, ...) that come sorted by shard."""
+    for shard, node, *sketches in whole_shards(batches, ("node", *(f"s{i}" for i in range(SKETCH)))):
         sketches, first = np.stack(sketches, axis=1).view(np.uint64), np.flatnonzero(np.r_[True, shard[1:] != shard[:-1]])
-        found = [(node[a + i], node[a + j]) for a, b in zip(first, np.r_[first[1:], len(shard)]) for i, j in matches(wfp[a:b].view(np.uint64), sketches[a:b])]
+        found = [(shard[a], node[a + i], node[a + j]) for a, b in zip(first, np.r_[first[1:], len(shard)]) for i, j in matches(sketches[a:b])]
         if found:
-            yield pa.RecordBatch.from_arrays([pa.array(np.array(x, dtype=np.int64)) for x in zip(*found)], names=["a", "b"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.array(x, dtype=np.int64)) for x in zip(*found)], names=["shard", "a", "b"])
+
+
+def spanning(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of links (shard, a, b) that come sorted by shard those that connect what is connected in a shard: fewer than it has nodes."""
+    now, parent = None, {}
+
+    def find(x: int) -> int:
+        while parent.setdefault(x, x) != x:
+            parent[x] = x = parent[parent[x]]
+        return x
+
+    for batch in batches:
+        kept = []
+        for i, (shard, a, b) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("shard", "a", "b")))):
+            if shard != now:
+                now, parent = shard, {}
+            x, y = find(a), find(b)
+            if x != y:
+                parent[x] = y
+                kept.append(i)
+        yield batch.take(pa.array(kept, type=pa.int64())).select(["a", "b"])
 
 
 # -- shards ---------------------------------------------------------------------------------------------------------
@@ -263,15 +293,14 @@ def fingerprint_links(nodes: DataFrame, radius: int = RADIUS) -> DataFrame:
 
 
 def dealt(members: DataFrame, limit: int = SHARD) -> DataFrame:
-    """Rows of `members` (cluster, wfp, node, ...) with their shard: the cluster, or if it has more than `limit` rows keys of the
-    fingerprint in it, and of keys with more rows than that pairs of parts. Rows of a cluster within WORD_RADIUS bits meet in one shard at least."""
+    """Rows of `members` (cluster, node, bands, ...) with their shard: the cluster, or if it has more than `limit` rows its bands, and of
+    bands with more rows than that pairs of parts. Rows of a cluster that share a band meet in one shard at least."""
     of = lambda df, key: durable(df.groupBy(key).agg(F.count("*").alias("__n")).where(F.col("__n") > limit))
     large = of(members, "cluster")
-    small = members.join(large, "cluster", "left_anti").withColumn("shard", F.col("cluster"))
+    small = members.join(large, "cluster", "left_anti").withColumn("shard", F.col("cluster")).drop("bands")
     if large.isEmpty():
         return small
-    blocks = WORD_RADIUS + 2
-    keyed = durable(members.join(large, "cluster").drop("__n").withColumn("shard", F.explode(shard_keys(F.col("wfp"), blocks, WORD_RADIUS, F.col("cluster")))))
+    keyed = durable(members.join(large, "cluster").drop("__n").withColumn("shard", F.explode("bands")).drop("bands"))
     full = of(keyed, "shard")
     own = keyed.join(full, "shard").withColumn("__parts", F.ceil(F.col("__n") / limit).cast("int")).withColumn("__own", F.pmod(F.xxhash64("node", F.lit(7)), F.col("__parts")).cast("int"))
     other = own.withColumn("__other", F.explode(F.sequence(F.lit(0), F.col("__parts") - 1)))
@@ -280,30 +309,44 @@ def dealt(members: DataFrame, limit: int = SHARD) -> DataFrame:
     return small.unionByName(keyed.join(full, "shard", "left_anti").select(names)).unionByName(parts.select(names))
 
 
+def band_links(sketched: DataFrame) -> DataFrame:
+    """Links (a, b) that connect the nodes of `sketched` (node, bands) that share a band: each with the least of the band."""
+    keyed = sketched.select(F.explode("bands").alias("band"), "node")
+    groups = durable(keyed.groupBy("band").agg(F.min("node").alias("a"), F.count("*").alias("n")).where("n > 1").select("band", "a"))
+    return keyed.join(groups, "band").where("a <> node").select("a", F.col("node").alias("b")).distinct()
+
+
 def similar(docs: DataFrame, text: str = "text", limit: int = SHARD) -> DataFrame:
-    """Links (a, b) between rows of `docs` (node, a long and unlike in each row, wfp and text) whose five-word shingles have a Jaccard
-    similarity of SIMILAR at least, as many as connect such rows within WORD_RADIUS bits; a few that a sketch misjudges are missed."""
-    prints = docs.select("node", "wfp")
-    roots = components(fingerprint_links(prints.select(F.col("wfp").alias("fp")).distinct(), WORD_RADIUS)).toDF("wfp", "root")
-    clustered = durable(prints.join(roots, "wfp", "left").select("node", "wfp", F.coalesce("root", "wfp").alias("cluster")))
-    several = durable(clustered.groupBy("cluster").agg(F.count("*").alias("n")).where("n > 1").select("cluster"))
-    members = durable(clustered.join(several, "cluster"))
-    fields = [*((f"s{i}", "long") for i in range(SKETCH)), ("hashes", "array<int>")]
+    """Links (a, b) between rows of `docs` (node, a long and unlike in each row, and text) whose five-word shingles have a Jaccard
+    similarity of SIMILAR at least, as many as connect such rows; a few that bands or a sketch misjudge are missed.
 
-    def make():
+    A null, empty or blank text has no shingles, and such rows are all alike; a text of fewer words is one shingle. Of a long text every shingle counts. Other
+    columns are left out; an empty table gives no links.
+    """
+    fields = [*((f"s{i}", "long") for i in range(SKETCH)), ("bands", "array<long>")]
+
+    def sketching():
         def run(texts: list) -> list:
-            hashes = [shingle_hashes(t) for t in texts]
-            return [*np.array([sketch(h) for h in hashes]).reshape(-1, SKETCH).T, hashes]
+            least = [least_hashes(shingle_hashes(t)) for t in texts]
+            return [*np.array([sketch(x) for x in least]).reshape(-1, SKETCH).T, [bands(x) for x in least]]
 
         return run
 
-    sketched = table(map_texts(docs.join(members.select("node"), "node", "left_semi"), make, fields, text, ("node",)), "sketches")
-    rows = dealt(members.join(sketched.drop("hashes"), "node"), limit).repartition("shard").sortWithinPartitions("shard", "node")
-    found = durable(rows.mapInArrow(matched, "a long, b long").distinct())
-    sets = lambda x: sketched.select(F.col("node").alias(x), F.col("hashes").alias(f"{x}_hashes"))
+    def hashing():
+        return lambda texts: [[shingle_hashes(t) for t in texts]]
+
+    sketched = table(map_texts(docs, sketching, fields, text, ("node",)), "sketches")
+    roots = components(band_links(sketched)).toDF("node", "cluster")
+    rows = dealt(durable(sketched.join(roots, "node")), limit).repartition("shard").sortWithinPartitions("shard", "node")
+    found = durable(rows.mapInArrow(matched, "shard long, a long, b long"))
+    ends = durable(found.select(F.col("a").alias("node")).union(found.select("b")).distinct())
+    hashed = table(map_texts(docs.join(ends, "node", "left_semi"), hashing, [("hashes", "array<int>")], text, ("node",)), "shingles")
+    sets = lambda x: hashed.select(F.col("node").alias(x), F.col("hashes").alias(f"{x}_hashes"))
     size = lambda x: F.size(f"{x}_hashes")
     both = F.size(F.array_intersect("a_hashes", "b_hashes"))
-    return found.join(sets("a"), "a").join(sets("b"), "b").where(both >= SIMILAR * (size("a") + size("b") - both)).select("a", "b")
+    alike = (both >= SIMILAR * (size("a") + size("b") - both)) | ((size("a") == 0) & (size("b") == 0))
+    links = found.join(sets("a"), "a").join(sets("b"), "b").where(alike).select("shard", "a", "b")
+    return links.repartition("shard").sortWithinPartitions("shard", "a", "b").mapInArrow(spanning, "a long, b long").distinct()
 
 
 def classes(prints: DataFrame) -> DataFrame:
@@ -342,19 +385,17 @@ def one_of_each_class(docs: DataFrame, text: str = "text") -> DataFrame:
 
 
 def _representatives(docs: DataFrame, text: str) -> DataFrame:
-    """What one_of_each_class returns, with both fingerprints, __fp (unlike in each row) and __wfp, and __none, __id."""
+    """What one_of_each_class returns, with the fingerprint __fp, unlike in each row, and __none, __id."""
     docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     id_type = docs.schema["doc_id"].dataType
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for part in slices(whole, text):
-                texts = part.column(text).to_pylist()
-                for name, f in (("__fp", fingerprint), ("__wfp", word_fingerprint)):
-                    part = part.append_column(name, pa.array(np.array([f(t) for t in texts], dtype=np.uint64).view(np.int64)))
-                yield part
+                found = np.array([fingerprint(t) for t in part.column(text).to_pylist()], dtype=np.uint64).view(np.int64)
+                yield part.append_column("__fp", pa.array(found))
 
-    marked = table(docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("__fp", T.LongType()), T.StructField("__wfp", T.LongType())])), "fingerprints")
+    marked = table(docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("__fp", T.LongType())])), "fingerprints")
     rest = F.xxhash64(F.lit(0), *[F.col(c) for c, kind in docs.dtypes if c != text and not re.search("map<|variant", kind)])
     marked = marked.withColumns({"__id": F.coalesce("doc_id", F.lit(0).cast(id_type)), "__none": F.col("doc_id").isNull(), "__said": F.col(text).isNotNull(), "__hash": F.xxhash64(text), "__rest": rest})
     keys = ["__none", "__id", "__fp", "__said", "__hash", "__rest"]
@@ -371,7 +412,7 @@ def one_of_each_group(docs: DataFrame, text: str = "text") -> DataFrame:
     between the rows that these leave: a five-word Jaccard similarity of SIMILAR or more. An empty table gives an empty result.
     """
     left = table(_representatives(docs, text), "representatives")
-    links = similar(left.select(F.col("__fp").alias("node"), F.col("__wfp").alias("wfp"), text), text)
+    links = similar(left.select(F.col("__fp").alias("node"), text), text)
     roots = durable(components(links))
     keys = left.select("__none", "__id", "__fp").join(roots, F.col("__fp") == F.col("node"))
     stays = durable(keys.groupBy("root").agg(F.min(F.struct("__none", "__id", "__fp")).alias("s"))).select(F.col("s.__fp").alias("node"))
