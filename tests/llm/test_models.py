@@ -2,6 +2,7 @@
 
 import itertools
 import math
+import random
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -349,11 +350,11 @@ def test_prediction_against_sums_over_paths():
     field = language.train(["aa ab ca", "bb ba", "ab cc 1"], ["x", "y", "z"])
     texts = ["aa bb 12 ab", "", "cc", None, "ba aa aa bb", "7 --"]
     got = list(zip(*field.texts(pa.array(texts)), strict=True))
-    for text, (lang, score, said) in zip(texts, got, strict=True):
+    for text, (lang, score, said, known) in zip(texts, got, strict=True):
         w = (text or "").split()
         letters = np.array([any(c.isalpha() for c in x) for x in w], dtype=bool)
         if not letters.any():
-            assert (lang, score, said) == ("und", 0.0, "")
+            assert (lang, score, said, known) == ("und", 0.0, "", 0.0)
             continue
         emit = np.exp(language.Words(w, field.lexicon).emissions(field.weights))
         shares = plain_marginals(emit, np.exp(field.moves), np.ones(3) / 3)[1][letters]
@@ -413,6 +414,44 @@ def test_training_in_parts_is_the_same(monkeypatch):
     assert language.runs(np.array([3, 0, 5, 1, 9]), 4) == [(0, 2), (2, 3), (3, 4), (4, 5)]
 
 
+def test_known_trigrams_against_sets():
+    """Shares of known trigrams of words with letters, and the threshold, by sets of strings."""
+    texts = ["the cat sat on a mat 12 ---", "a dog and a cat", "der Hund und die Katze", "die Katze saß auf der Matte", "", "99"]
+    langs = ["en", "en", "de", "de", "en", "de"]
+    field = language.train(texts, langs)
+
+    def grams(text):
+        own = [b"\x02" + w.lower().encode() + b"\x03" for w in (text or "").split() if any(c.isalpha() for c in w)]
+        return [w[i : i + 3] for w in own for i in range(len(w) - 2)]
+
+    def share(text, known):
+        own = grams(text)
+        return (sum(g in known for g in own) + language.GIVEN) / (len(own) + language.GIVEN)
+
+    every = {g for t in texts for w in (t,) for g in grams(w)} | {b"\x0212"[0:3], b"12\x03", b"\x02--", b"---", b"--\x03", b"\x0299", b"99\x03", b"\x0212"}
+    more = [*texts, "a cat and zqxwv", "qqqq " * 40, None, "Katze"]
+    got = field.texts(pa.array(more))[3]
+    assert np.allclose(got, [share(t, every) if grams(t) else 0.0 for t in more])
+    usual = {}
+    for i, (t, x) in enumerate(zip(texts, langs, strict=True)):
+        other = {g for j, u in enumerate(texts) if j % 2 != i % 2 for g in grams(u)}
+        usual.setdefault(x, []).append(share(t, other))
+    assert math.isclose(field.least, language.USUALLY * min(float(np.median(v)) for v in usual.values()))
+
+
+def test_gibberish_goes_and_clean_texts_stay(spark):
+    """Twelve languages of syllables of their own, held-out texts of any length among them, random letters and an unknown script."""
+    rng = random.Random(5)
+    syllables = {f"l{k}": ["".join(rng.choice("bcdfghklmnprstvz") + rng.choice("aeiouäöüéè") for _ in range(rng.choice((1, 2)))) for _ in range(30)] for k in range(12)}
+    clean = lambda x, n: " ".join("".join(rng.choices(syllables[x], k=rng.randrange(1, 4))) for _ in range(n))
+    rows = [(i, clean(f"l{i % 12}", rng.choice((2, 8, 60, 200))), f"l{i % 12}") for i in range(480)]
+    odd = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz     ") for _ in range(n)) for n in (150, 400, 3000)] + ["Добрый день, это русский текст для проверки", "这是一个没有空格的中文句子 这里还有更多的汉字"]
+    docs = spark.createDataFrame(rows + [(1000 + i, t, None) for i, t in enumerate(odd)], "doc_id long, text string, lang string")
+    field = language.train(*language.sample(docs))
+    assert len(field.languages) == 12 and field.least > 0.4
+    assert sorted(r.doc_id for r in language.keep_known(docs, field, 0.0).collect()) == list(range(480))
+
+
 def test_language_of_odd_rows(spark):
     docs = odd_rows(spark)
     field = language.train(["hello there", "guten tag"], ["en", "de"])

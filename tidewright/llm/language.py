@@ -37,6 +37,39 @@ EPOCHS, RATE, SHRINK, LIMIT = 12, 0.08, 1e-4, 4 << 20
 CELLS, USUAL = 8 << 20, 4
 #: Words of a piece of a long text that are labelled, and of the words before and after it that are read along.
 PIECE, MARGIN = 2000, 50
+#: Trigrams that a text is given as known besides its own, so that a few words decide nothing, and the part of a language's usual share of known ones below which a text is in none.
+GIVEN, USUALLY = 10, 0.6
+
+
+def trigrams(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The byte trigrams of words with marks at both ends, as numbers, and the words they are of."""
+    raw = [b"\x02" + w.encode("utf-8", "surrogatepass") + b"\x03" for w in words]
+    sizes = np.fromiter(map(len, raw), dtype=np.int64, count=len(raw))
+    data, owner = np.frombuffer(b"".join(raw), dtype=np.uint8).astype(np.int32), np.repeat(np.arange(len(raw)), sizes)
+    left = np.repeat(np.cumsum(sizes), sizes) - np.arange(len(data))
+    inside = np.flatnonzero(left >= 3)
+    return data[inside] << 16 | data[inside + 1] << 8 | data[inside + 2], owner[inside]
+
+
+def known_share(words: list[str], counted: np.ndarray, codes: np.ndarray, owner: np.ndarray, n: int, known: np.ndarray) -> np.ndarray:
+    """For each of `n` texts the share of its trigrams, of words that are `counted`, that are in `known` (sorted); `owner` has the text of each word of `codes`."""
+    ids, of = trigrams(words)
+    at = np.minimum(np.searchsorted(known, ids), max(len(known) - 1, 0))
+    hit = known[at] == ids if len(known) else np.zeros(len(ids), bool)
+    total, found = (np.bincount(of, weights=w, minlength=len(words)) * counted for w in (None, hit))
+    share = [np.bincount(owner, weights=x[codes], minlength=n) + GIVEN for x in (found, total)]
+    return share[0] / share[1]
+
+
+def usual_share(words: list[str], counted: np.ndarray, codes: np.ndarray, owner: np.ndarray, label: np.ndarray) -> float:
+    """The least of the languages' median shares of known trigrams, where each half of the texts is held to the trigrams of the other."""
+    ids, of = trigrams(words)
+    share, half = np.ones(len(label)), np.arange(len(label)) % 2
+    for side in (0, 1):
+        own = np.zeros(len(words), bool)
+        own[codes[half[owner] != side]] = True
+        share = np.where(half == side, known_share(words, counted, codes, owner, len(label), np.unique(ids[own[of]])), share)
+    return min(float(np.median(share[label == x])) for x in np.unique(label))
 
 
 class Words:
@@ -102,8 +135,9 @@ def pieces(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.
 class Field:
     """A trained model: languages, lexicon, weights of features and transitions."""
 
-    def __init__(self, languages: list[str], lexicon: dict[str, int], weights: np.ndarray, moves: np.ndarray):
-        self.languages, self.lexicon, self.weights, self.moves = languages, lexicon, weights, moves
+    def __init__(self, languages: list[str], lexicon: dict[str, int], weights: np.ndarray, moves: np.ndarray, known: np.ndarray, least: float):
+        """`known`: trigrams of the training sample; `least`: the share of them from which a text is in one of the languages."""
+        self.languages, self.lexicon, self.weights, self.moves, self.known, self.least = languages, lexicon, weights, moves, known, least
 
     def read(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array, Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]]:
         """Words of texts, the different words, and runs of positions with their texts and distributions over the languages."""
@@ -131,9 +165,9 @@ class Field:
         codes, ends, different, found = self.read(texts)
         return codes, ends, different, np.concatenate([np.zeros((0, len(self.languages))), *(shares for _, _, shares in found)])
 
-    def texts(self, texts: pa.Array) -> tuple[list[str], np.ndarray, list[str]]:
-        """The language of each text, the mean share that its words with letters give it, and how many of these words are of each
-        language, as "en:7 de:2" in falling order; und, 0 and "" without letters."""
+    def texts(self, texts: pa.Array) -> tuple[list[str], np.ndarray, list[str], np.ndarray]:
+        """The language of each text, the mean share that its words with letters give it, how many of these words are of each
+        language, as "en:7 de:2" in falling order, and the share of their trigrams that the sample has; und, 0, "" and 0 without letters."""
         codes, ends, different, found = self.read(texts)
         letters = pc.match_substring_regex(different, r"\p{L}").to_numpy(zero_copy_only=False).astype(bool) if len(different) else np.zeros(0, bool)
         k = len(self.languages)
@@ -148,7 +182,8 @@ class Field:
         score = np.clip(total[np.arange(len(best)), best] / np.maximum(n, 1), 0, 1)
         order = np.argsort(-labels, axis=1, kind="stable").tolist()
         said = [" ".join([f"{self.languages[j]}:{own[j]}" for j in by if own[j]]) for own, by in zip(labels.tolist(), order, strict=True)]
-        return [self.languages[b] if m else "und" for b, m in zip(best, n, strict=True)], np.where(n > 0, score, 0.0), said
+        known = known_share(pc.utf8_lower(different).to_pylist(), letters, codes, np.repeat(np.arange(len(texts)), np.diff(ends)), len(texts), self.known)
+        return [self.languages[b] if m else "und" for b, m in zip(best, n, strict=True)], np.where(n > 0, score, 0.0), said, np.where(n > 0, known, 0.0)
 
 
 def runs(lengths: np.ndarray, most: int) -> list[tuple[int, int]]:
@@ -226,7 +261,9 @@ def train(texts: list[str], langs: list[str]) -> Field | None:
             m += 0.1 * (g - m)
             v += 0.01 * (g * g - v)
             x += RATE * (m / (1 - 0.9**epoch)) / (np.sqrt(v / (1 - 0.99**epoch)) + 1e-10)
-    return Field(languages, lexicon, weights.astype(np.float32), moves)
+    letters = pc.match_substring_regex(different, r"\p{L}").to_numpy(zero_copy_only=False).astype(bool) if len(different) else np.zeros(0, bool)
+    usual = usual_share(words, letters, codes, np.repeat(np.arange(len(texts)), np.diff(ends)), label)
+    return Field(languages, lexicon, weights.astype(np.float32), moves, np.unique(trigrams(words)[0]), USUALLY * usual)
 
 
 def sample(docs: DataFrame, text: str = "text", lang: str = "lang", held_out: int = 2, modulus: int = 4) -> tuple[list[str], list[str]]:
@@ -239,9 +276,9 @@ def sample(docs: DataFrame, text: str = "text", lang: str = "lang", held_out: in
     ids = rows.select("doc_id", F.col(lang).alias("lang"), F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)).alias("h"))
     sizes = ids.groupBy("lang").agg(F.count("*").alias("n"))
     texts = max(TEXTS, FEWEST * sizes.count())
-    near = ids.join(F.broadcast(sizes), "lang").where(F.col("h").cast("double") * F.col("n") < float(4 * SAMPLE << 40)).select("doc_id", "lang", "h").distinct()
+    near = ids.join(sizes, "lang").where(F.col("h").cast("double") * F.col("n") < float(4 * SAMPLE << 40)).select("doc_id", "lang", "h").distinct()
     chosen = near.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id"))).where(F.col("r") <= SAMPLE).orderBy("r", "lang").limit(texts).select("doc_id", "lang")
-    found = docs.select("doc_id", F.col(lang).alias("lang"), F.col(text).alias("text")).where("text is not null").join(F.broadcast(chosen), ["doc_id", "lang"]).groupBy("doc_id", "lang").agg(F.min("text").alias("text"))
+    found = docs.select("doc_id", F.col(lang).alias("lang"), F.col(text).alias("text")).where("text is not null").join(chosen, ["doc_id", "lang"]).groupBy("doc_id", "lang").agg(F.min("text").alias("text"))
     place = F.pmod(F.xxhash64("doc_id"), F.greatest(F.length("text") - LEARNED, F.lit(0)) + 1).cast("int") + 1
     found = found.select("doc_id", "lang", F.substr("text", place, F.lit(LEARNED)).alias("text"))
     got = sorted((r["lang"], r["doc_id"], r["text"]) for r in found.collect())
@@ -249,14 +286,14 @@ def sample(docs: DataFrame, text: str = "text", lang: str = "lang", held_out: in
 
 
 def scorer(model, key: str):
-    """For map_texts: languages, scores and counts of words by language of a list of texts."""
+    """For map_texts: languages, scores, counts of words by language and shares of known trigrams of a list of texts."""
 
     def make():
         field = once(key, lambda: model.value)
 
         def run(texts: list) -> list:
             if field is None:
-                return [["und"] * len(texts), [0.0] * len(texts), [""] * len(texts)]
+                return [["und"] * len(texts), [0.0] * len(texts), [""] * len(texts), [0.0] * len(texts)]
             return list(field.texts(pa.array(texts, pa.string())))
 
         return run
@@ -270,34 +307,36 @@ def limit(field: Field | None) -> int:
 
 
 def predict(docs: DataFrame, field: Field | None, text: str = "text") -> DataFrame:
-    """doc_id, held_out, lang_pred, score and word_langs (words with letters by their own language, "en:7 de:2") for every row.
+    """doc_id, held_out, lang_pred, score, word_langs (words with letters by their own language, "en:7 de:2") and known (the share of these words'
+    trigrams that the training sample has) for every row.
 
     A null text, or one without a letter, is und with score 0, and so is every text if there was nothing to learn
     from. A very long text is labelled piece by piece. A null id is never held out. Repeated rows stay, other columns
     are left out, an empty table gives an empty result.
     """
     model = docs.sparkSession.sparkContext.broadcast(field)
-    made = map_texts(docs, scorer(model, uuid.uuid4().hex), [("lang_pred", "string"), ("score", "double"), ("word_langs", "string")], text, limit=limit(field))
-    return made.select("doc_id", (remainder("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score", "word_langs")
+    made = map_texts(docs, scorer(model, uuid.uuid4().hex), [("lang_pred", "string"), ("score", "double"), ("word_langs", "string"), ("known", "double")], text, limit=limit(field))
+    return made.select("doc_id", (remainder("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score", "word_langs", "known")
 
 
 def keep_known(docs: DataFrame, field: Field | None, least: float, text: str = "text") -> DataFrame:
-    """The rows whose text has a language, by a score of `least` at least; all rows if there was nothing to learn from.
+    """The rows whose text is in a learned language, by a score of `least` and a share of known trigrams of `field.least` at least; all rows if there was nothing to learn from.
 
-    A null text, or one without a letter, has no language and goes. Repeated rows are judged alike, rows without id
+    The share is calibrated: a part of what texts of the sample have when held to others, in the language where that is least. It tells random letters and
+    other scripts from all languages, which the score, a comparison of languages, can't. A few words are always enough like the sample. A null text, or one without a letter, has no language and goes. Repeated rows are judged alike, rows without id
     like any other, all columns stay, an empty table gives an empty result.
     """
     if field is None:
         return docs
     model = docs.sparkSession.sparkContext.broadcast(field)
-    make = scorer(model, uuid.uuid4().hex)
+    make, enough = scorer(model, uuid.uuid4().hex), field.least
 
     def decide():
         run = make()
 
         def kept(texts: list) -> list:
-            languages, scores, _ = run(texts)
-            return [bool(x != "und" and s >= least) for x, s in zip(languages, scores, strict=True)]
+            languages, scores, _, known = run(texts)
+            return [bool(x != "und" and s >= least and k >= enough) for x, s, k in zip(languages, scores, known, strict=True)]
 
         return kept
 
