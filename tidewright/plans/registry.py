@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from tidewright.functions import python, scalar
-from tidewright.operators import aggregates, joins, ordered, quantiles, sets, sketches, windows
+from tidewright.operators import aggregates, joins, ordered, patterns, quantiles, sets, sketches, windows
+from tidewright.streaming import joins as stream_joins
 from tidewright.streaming import windows as event_windows
 
-_ALL = {name: pair for module in (aggregates, quantiles, sketches, joins, windows, ordered, sets, scalar, python, event_windows) for name, pair in module.QUERIES.items()}
+_ALL = {name: pair for module in (aggregates, quantiles, sketches, joins, windows, ordered, patterns, sets, scalar, python, event_windows, stream_joins) for name, pair in module.QUERIES.items()}
 QUERIES = {name: query for name, (query, _) in _ALL.items()}
 ORACLES = {name: sql for name, (_, sql) in _ALL.items()}

@@ -13,7 +13,8 @@ def running_totals(events: DataFrame, key: str = "user_id", value: str = "value"
     """For a stream with a watermark on ts: after each micro-batch a row (key, n, total, closed) for every key with new events.
 
     A key without events for `idle_ms` of event time gets a last row with closed = true, and its state goes; so state is
-    bounded by the keys that are active. A null value counts as an event and adds nothing.
+    bounded by the keys that are active. A null value counts as an event and adds nothing; so does
+    one with a null ts, which keeps no state longer.
     """
     kind = events.schema[key].dataType.simpleString()
 
@@ -25,7 +26,8 @@ def running_totals(events: DataFrame, key: str = "user_id", value: str = "value"
             return
         for b in batches:
             n, total = n + len(b), total + float(b[value].sum())
-            last = max(last, int(b["ts"].max().timestamp() * 1000))
+            if b["ts"].notna().any():
+                last = max(last, int(b["ts"].max().timestamp() * 1000))
         state.update((n, total, last))
         state.setTimeoutTimestamp(max(last, state.getCurrentWatermarkMs()) + idle_ms)
         yield pd.DataFrame({key: [keys[0]], "n": [n], "total": [total], "closed": [False]})
