@@ -4,6 +4,7 @@ import random
 import subprocess
 import sys
 import time
+from datetime import datetime, timedelta
 from pathlib import Path
 
 import pandas as pd
@@ -11,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidewright import sources
-from tidewright.functions import python
+from tidewright.functions import python, variants
 from tidewright.operators import joins
 from tidewright.streaming import state, windows
 
@@ -198,8 +199,40 @@ def test_functions_in_python(spark):
     got = python.in_two_steps(rows, ["k"], partial, "k string, total double, n long", {"total": F.sum, "n": F.sum})
     assert {(r.k, r.total, r.n) for r in got.collect()} == {("a", 5.0, 2), ("b", 0.0, 0), (None, 10.0, 2)}
     assert python.in_two_steps(rows.limit(0), ["k"], partial, "k string, total double, n long", {"n": F.sum}).count() == 0
-    numbers = pd.Series([None, 0, 907, -12], dtype="Int64")
-    assert python.digit_sum(numbers).tolist()[1:] == [0, 16, 3] and python.digit_sum(numbers).isna().tolist() == [True, False, False, False]
+    texts = pd.Series(["Crème brûlée", None, "", "e\u0301 ß", "Ωμέγα"])
+    assert python.unaccented(texts).where(texts.notna(), None).tolist() == ["Creme brulee", None, "", "e ß", "Ωμεγα"]
+
+
+def test_throttle_decides_its_schema_and_order(spark):
+    rows = spark.createDataFrame([(i, "ab"[i % 2], None if i == 9 else datetime(2024, 1, 1) + timedelta(seconds=s)) for i, s in enumerate((0, 0, 1, 50, 2, 51, 3, 52, 30, 0, 31, 53))], "id int, k string, t timestamp_ntz").repartition(3)
+    got = python.throttled(rows, "k", "t", "id", 10_000_000, 2)
+    assert got.columns == ["id", "k", "t", "allowed", "left_us"]
+    want = {}
+    for k in "ab":
+        left, last = 20_000_000, None
+        for r in sorted((r for r in rows.collect() if r.k == k), key=lambda r: (r.t is not None, r.t or datetime.min, r.id)):
+            if r.t and last:
+                left = min(20_000_000, left + int((r.t - last).total_seconds() * 1e6))
+            last, ok = r.t or last, r.t is not None and left >= 10_000_000
+            left -= 10_000_000 if ok else 0
+            want[r.id] = (ok, left)
+    assert {r.id: (r.allowed, r.left_us) for r in got.collect()} == want
+    with pytest.raises(Exception, match="no column nothing"):
+        python.throttled(rows, "nothing", "t", "id", 1, 1).collect()
+    assert python.throttled(rows.limit(0), "k", "t", "id", 1, 1).count() == 0
+
+
+def test_variants_of_odd_documents(spark):
+    texts = ['{"k": 1, "a": {"b": [1, "x", null]}}', '{"k": "seven"}', "[1, 2.5, null]", "17", "null", "not json", None, "", "{}", '{"k": 9223372036854775808}', '{"k": 3, "k2": 3}']
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, s string").withColumn("v", variants.parsed("s"))
+    got = {r.i: (r.k, r.rest) for r in variants.shredded(df, "v", {"k": ("$.k", "long")}).collect()}
+    assert got == {0: (1, None), 1: (None, '{"k":"seven"}'), 2: (None, "[1,2.5,null]"), 3: (None, "17"), 4: (None, "null"), 5: (None, None), 6: (None, None), 7: (None, None), 8: (None, "{}"), 9: (None, '{"k":9223372036854775808}'), 10: (3, None)}
+    found = sorted((r.i, r.pos, r.key) for r in variants.entries(df, "v", ["i"]).where("pos is not null").collect())
+    assert found == [(0, 0, "a"), (0, 1, "k"), (1, 0, "k"), (2, 0, None), (2, 1, None), (2, 2, None), (9, 0, "k"), (10, 0, "k"), (10, 1, "k2")]
+    assert df.select(variants.field(df.v, "$.a.b[1]", "string").alias("x")).first().x == "x"
+    schemas = {r.schema: r.n for r in variants.kinds(df, "v").collect()}
+    assert schemas["BIGINT"] == 1 and schemas[None] == 3 and sum(schemas.values()) == len(texts)
+    assert variants.shredded(df.limit(0), "v", {"k": ("$.k", "long")}).count() == 0
 
 
 def test_library_stands_without_the_corpus_operators(tmp_path):

@@ -1,42 +1,63 @@
-"""Functions written in Python, for what built-in ones can't express: by Arrow batches, never row by row.
+"""Functions written in Python, for what built-in ones can't express.
 
-They leave the JVM, so built-in functions come first wherever there is one. A grouped function gets each group whole, in
-one task: only for groups whose size is bounded, such as a customer's orders. `in_two_steps` is for groups that aren't.
+They leave the JVM, so built-in functions come first wherever there is one. Columns and parts of aggregates are computed by Arrow batches; a table
+function that carries its decisions from row to row gets rows one by one, sorted, and holds nothing but its state. `in_two_steps` is for aggregates
+over groups of any size: no group is brought together.
 """
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Callable, Iterator
+from datetime import datetime, timedelta
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf, udtf
+from pyspark.sql.udtf import AnalyzeArgument, AnalyzeResult, OrderingColumn, PartitioningColumn
 
 from tidewright.sources import table
 
 
-def digit_sum(numbers: pd.Series) -> pd.Series:
-    """The sum of a number's decimal digits; null stays null."""
-    left, total = numbers.fillna(0).abs().astype("int64"), 0
-    for _ in range(19):
-        total, left = total + left % 10, left // 10
-    return total.astype("Int64").mask(numbers.isna())
+def unaccented(texts: pd.Series) -> pd.Series:
+    """Texts in composed normal form without combining marks; null stays null."""
+    strip = lambda t: unicodedata.normalize("NFC", "".join(c for c in unicodedata.normalize("NFD", t) if unicodedata.category(c) != "Mn"))
+    return texts.map(strip, na_action="ignore")
 
 
-def median_deviation(values: pd.Series) -> float:
-    """The median distance from the median."""
-    found = values.dropna().to_numpy()
-    return float(np.median(np.abs(found - np.median(found)))) if len(found) else None
+class Throttle:
+    """A table function: which rows a bucket of tokens lets through, each by itself deciding what is left for the next.
 
+    It takes a table and, as constants, the columns `by`, `time` (a timestamp) and `key`, the microseconds in which a token comes, and the tokens a bucket holds. It asks for the table by
+    `by` in the order of `time` and `key`, and returns all columns and allowed and left_us, what is in the bucket after the row, in microseconds. A bucket is full at first.
+    A null time neither fills the bucket nor is allowed. Memory is one number for the key at hand.
+    """
 
-class Words:
-    """A table function: the words of a text and their places, from 1."""
-
-    def eval(self, text: str):
-        for i, word in enumerate((text or "").split(" "), 1):
-            yield i, word
+    @staticmethod
+    def analyze(rows: AnalyzeArgument, by: AnalyzeArgument, time: AnalyzeArgument, key: AnalyzeArgument, token_us: AnalyzeArgument, burst: AnalyzeArgument) -> AnalyzeResult:
+        for name in (by, time, key):
+            if name.value not in rows.dataType.names:
+                raise ValueError(f"no column {name.value}")
+        schema = T.StructType([*rows.dataType.fields, T.StructField("allowed", T.BooleanType()), T.StructField("left_us", T.LongType())])
+        return AnalyzeResult(schema, partitionBy=[PartitioningColumn(by.value)], orderBy=[OrderingColumn(time.value), OrderingColumn(key.value)])
+
+    def __init__(self):
+        self.left: int | None = None
+        self.last: datetime | None = None
+
+    def eval(self, rows: T.Row, by: str, time: str, key: str, token_us: int, burst: int):
+        now, full = rows[time], burst * token_us
+        if self.left is None:
+            self.left = full
+        if now is not None and self.last is not None:
+            self.left = min(full, self.left + (now - self.last) // timedelta(microseconds=1))
+        self.last = now or self.last
+        allowed = now is not None and self.left >= token_us
+        self.left -= token_us if allowed else 0
+        yield (*rows, allowed, self.left)
 
 
 def in_two_steps(df: DataFrame, keys: list[str], partial: Callable[[pd.DataFrame], pd.DataFrame], schema: str, merge: dict[str, Callable]) -> DataFrame:
@@ -55,35 +76,45 @@ def in_two_steps(df: DataFrame, keys: list[str], partial: Callable[[pd.DataFrame
     return df.mapInPandas(run, schema).groupBy(*keys).agg(*[f(c).alias(c) for c, f in merge.items()])
 
 
-def part_digits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "part").select("p_partkey", pandas_udf(digit_sum, "long")("p_partkey").alias("digits"))
+def throttled(df: DataFrame, by: str, time: str, key: str, token_us: int, burst: int) -> DataFrame:
+    """`df` with allowed and left_us: see Throttle."""
+    return udtf(Throttle)(df.asTable(), *map(F.lit, (by, time, key, token_us, burst)))
 
 
-def order_deviation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.round(pandas_udf(median_deviation, "double")("o_totalprice"), 4).alias("mad"))
+def unaccented_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    plain = pandas_udf(unaccented, "string")("text")
+    return table(spark, sf_dir, "documents").select("doc_id", plain.alias("plain")).select("doc_id", F.md5("plain").alias("digest"), F.length("plain").cast("long").alias("n"))
 
 
-def part_words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    words = udtf(Words, returnType="place long, word string")
-    parts = table(spark, sf_dir, "part").select("p_partkey", "p_name")
-    return parts.lateralJoin(words(F.col("p_name").outer())).select("p_partkey", "place", "word")
+def throttled_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events of users who have a token for each twelve hours and may save three."""
+    return throttled(table(spark, sf_dir, "events").select("event_id", "user_id", "ts"), "user_id", "ts", "event_id", 43_200_000_000, 3).select("event_id", "allowed", "left_us")
 
 
-def geometric_prices(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The geometric mean of the lines' prices for each flag, in two steps."""
+def label_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The mean vector of each label, from sums of whole batches: exploding vectors would make a row of each of their numbers."""
 
     def partial(b: pd.DataFrame) -> pd.DataFrame:
-        logs = np.log(b["l_extendedprice"])
-        return logs.groupby(b["l_returnflag"], dropna=False).agg(["sum", "count"]).reset_index().set_axis(["l_returnflag", "total", "n"], axis=1)
+        b = b[b["embedding"].notna()]
+        parts = [(label, i, total, len(own)) for label, own in b.groupby("label", dropna=False)["embedding"] for i, total in enumerate(np.stack(own.to_list()).astype(np.float64).sum(axis=0), 1)]
+        return pd.DataFrame(parts, columns=["label", "i", "total", "n"])
 
-    lines = table(spark, sf_dir, "lineitem").select("l_returnflag", "l_extendedprice")
-    found = in_two_steps(lines, ["l_returnflag"], partial, "l_returnflag string, total double, n long", {"total": F.sum, "n": F.sum})
-    return found.select("l_returnflag", F.round(F.exp(F.col("total") / F.col("n")), 4).alias("price"), "n")
+    vectors = table(spark, sf_dir, "embeddings").select("label", "embedding")
+    sums = in_two_steps(vectors, ["label", "i"], partial, "label int, i long, total double, n long", {"total": F.sum, "n": F.sum})
+    return sums.select("label", "i", F.round(F.col("total") / F.col("n"), 6).alias("mean"))
 
 
 QUERIES = {
-    "part_digits": (part_digits, "select p_partkey, cast(list_sum(list_transform(string_split(cast(p_partkey as varchar), ''), lambda c: cast(c as bigint))) as bigint) as digits from part"),
-    "order_deviation": (order_deviation, "select o_custkey, round(mad(o_totalprice), 4) as mad from orders group by o_custkey"),
-    "part_words": (part_words, "select p_partkey, unnest(range(1, len(w) + 1)) as place, unnest(w) as word from (select p_partkey, string_split(p_name, ' ') as w from part)"),
-    "geometric_prices": (geometric_prices, "select l_returnflag, round(exp(avg(ln(l_extendedprice))), 4) as price, count(*) as n from lineitem group by l_returnflag"),
+    "unaccented_documents": (unaccented_documents, "select doc_id, md5(nfc_normalize(strip_accents(text))) as digest, length(nfc_normalize(strip_accents(text))) as n from documents"),
+    "throttled_events": (throttled_events, """
+        with recursive o as (select event_id, user_id, epoch_us(ts) as t, row_number() over (partition by user_id order by ts, event_id) as i from events),
+        r(user_id, i, event_id, t, allowed, left_us) as (
+            select user_id, i, event_id, t, true, 2 * 43200000000 from o where i = 1
+            union all
+            select o.user_id, o.i, o.event_id, o.t, least(3 * 43200000000, r.left_us + o.t - r.t) >= 43200000000,
+            least(3 * 43200000000, r.left_us + o.t - r.t) - case when least(3 * 43200000000, r.left_us + o.t - r.t) >= 43200000000 then 43200000000 else 0 end
+            from r join o on o.user_id = r.user_id and o.i = r.i + 1)
+        select event_id, allowed, left_us from r"""),
+    "label_centroids": (label_centroids, """
+        select label, i, round(avg(x), 6) as mean from (select label, cast(unnest(range(1, len(embedding) + 1)) as bigint) as i, cast(unnest(embedding) as double) as x from embeddings) group by label, i"""),
 }

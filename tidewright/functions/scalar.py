@@ -61,7 +61,19 @@ def word_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select(F.explode(F.split("text", " ")).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
 
 
+def part_digits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    digits = F.filter(F.split(F.col("p_partkey").cast("string"), ""), lambda c: c != "")
+    return table(spark, sf_dir, "part").select("p_partkey", F.aggregate(digits, F.lit(0).cast("long"), lambda total, c: total + c.cast("long")).alias("digits"))
+
+
+def part_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = table(spark, sf_dir, "part").select("p_partkey", F.posexplode(F.split("p_name", " ")).alias("place", "word"))
+    return found.select("p_partkey", (F.col("place") + 1).cast("long").alias("place"), "word")
+
+
 QUERIES = {
+    "part_digits": (part_digits, "select p_partkey, cast(list_sum(list_transform(string_split(cast(p_partkey as varchar), ''), lambda c: cast(c as bigint))) as bigint) as digits from part"),
+    "part_words": (part_words, "select p_partkey, unnest(range(1, len(w) + 1)) as place, unnest(w) as word from (select p_partkey, string_split(p_name, ' ') as w from part)"),
     "part_strings": (part_strings, r"""
         select p_partkey, upper(p_name) as up, substring(p_name, 2, 4) as mid, length(p_name) as n, lpad(p_brand, 12, '*') as pad,
         regexp_extract(p_brand, '#(\d+)', 1) as number, regexp_replace(p_name, '[aeiou]', '_', 'g') as masked from part"""),

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidewright.sources import table
@@ -65,7 +65,19 @@ def exact_prices(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.groupBy("l_returnflag", "l_linestatus").agg(F.sum(d("l_quantity")).cast("decimal(30,2)").alias("qty"), F.sum((d("l_extendedprice") * (1 - d("l_discount"))).cast("decimal(18,4)")).cast("decimal(30,4)").alias("price"))
 
 
+def order_deviation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The median distance from the median of each customer's orders; both medians in one shuffle."""
+    off = F.abs(F.col("o_totalprice") - F.median("o_totalprice").over(Window.partitionBy("o_custkey")))
+    return table(spark, sf_dir, "orders").select("o_custkey", off.alias("off")).groupBy("o_custkey").agg(F.round(F.median("off"), 4).alias("mad"))
+
+
+def geometric_prices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "lineitem").groupBy("l_returnflag").agg(F.round(F.exp(F.avg(F.ln("l_extendedprice"))), 4).alias("price"), F.count("*").alias("n"))
+
+
 QUERIES = {
+    "order_deviation": (order_deviation, "select o_custkey, round(mad(o_totalprice), 4) as mad from orders group by o_custkey"),
+    "geometric_prices": (geometric_prices, "select l_returnflag, round(exp(avg(ln(l_extendedprice))), 4) as price, count(*) as n from lineitem group by l_returnflag"),
     "pricing_summary": (pricing_summary, """
         select l_returnflag, l_linestatus, round(sum(l_quantity), 2) as sum_qty, round(avg(l_discount), 4) as avg_discount, count(*) as n_lines
         from lineitem where l_shipdate <= timestamp '1998-09-02' group by all"""),

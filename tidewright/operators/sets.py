@@ -32,10 +32,6 @@ def except_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     return a.exceptAll(b)
 
 
-def customers_without_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k")).subtract(table(spark, sf_dir, "orders").select("o_custkey"))
-
-
 def buying_customers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k")).intersect(table(spark, sf_dir, "orders").select("o_custkey"))
 
@@ -44,8 +40,11 @@ def parts_never_sold_by_fifty(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("k")).subtract(table(spark, sf_dir, "lineitem").where("l_quantity = 50").select("l_partkey"))
 
 
-def powers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.sql("with recursive p(i, x) as (select 0, cast(1 as bigint) union all select i + 1, 2 * x from p where i < 30) select i, x from p")
+def nation_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Recursion: from each region's first nation on to the next greater key in it, with the length of the way."""
+    return spark.sql("""
+        with recursive n as (select n_regionkey as r, n_nationkey as k, lead(n_nationkey) over (partition by n_regionkey order by n_nationkey) as next, row_number() over (partition by n_regionkey order by n_nationkey) as i from {nation}),
+        p(r, k, next, steps) as (select r, k, next, 0 from n where i = 1 union all select n.r, n.k, n.next, p.steps + 1 from p join n on n.k = p.next) select r, k, steps from p""", nation=table(spark, sf_dir, "nation"))
 
 
 QUERIES = {
@@ -53,8 +52,9 @@ QUERIES = {
     "union_distinct": (union_distinct, "select c_nationkey as k from customer union select s_nationkey from supplier"),
     "intersect_all": (intersect_all, "select c_nationkey as k from customer intersect all select s_nationkey from supplier"),
     "except_all": (except_all, "select c_nationkey as k from customer except all select s_nationkey from supplier"),
-    "customers_without_orders": (customers_without_orders, "select c_custkey as k from customer except select o_custkey from orders"),
     "buying_customers": (buying_customers, "select c_custkey as k from customer intersect select o_custkey from orders"),
     "parts_never_sold_by_fifty": (parts_never_sold_by_fifty, "select p_partkey as k from part except select l_partkey from lineitem where l_quantity = 50"),
-    "powers": (powers, "with recursive p(i, x) as (select 0, cast(1 as bigint) union all select i + 1, 2 * x from p where i < 30) select i, x from p"),
+    "nation_paths": (nation_paths, """
+        with recursive n as (select n_regionkey as r, n_nationkey as k, lead(n_nationkey) over (partition by n_regionkey order by n_nationkey) as next, row_number() over (partition by n_regionkey order by n_nationkey) as i from nation),
+        p(r, k, next, steps) as (select r, k, next, 0 from n where i = 1 union all select n.r, n.k, n.next, p.steps + 1 from p join n on n.k = p.next) select r, k, steps from p"""),
 }
