@@ -26,15 +26,18 @@ def local_session(cores: int | str = "*", partitions: int = 8, memory: str = "8g
     return spark
 
 
-def durable(df: DataFrame) -> DataFrame:
-    """`df`, computed once and written to the shared folder, spark.checkpoint.dir, so that a lost executor costs no recomputation.
-
-    Where that is unset a local session takes a new folder, and a cluster's raises an error.
-    """
-    sc = df.sparkSession.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset a local session takes a new one, and a cluster's raises an error."""
+    sc = spark.sparkContext
     if not sc.getCheckpointDir():
         where = sc.getConf().get("spark.checkpoint.dir")
         if not where and not re.fullmatch(r"local(\[.*\])?", sc.master):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         sc.setCheckpointDir(where or f"file://{tempfile.mkdtemp(prefix='checkpoints-')}")
+    return sc.getCheckpointDir()
+
+
+def durable(df: DataFrame) -> DataFrame:
+    """`df`, computed once and written to the shared folder, so that a lost executor costs no recomputation."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
