@@ -11,7 +11,8 @@ Out of a shard come the links that join its connected fingerprints, fewer than i
 
 `one_of_each_group` goes on from the classes so found. The documents that stay are sketched by the least hashes of their five-word
 shingles in 256 orders; documents that agree in all least hashes of one of 32 bands of orders make clusters. In a cluster sketches are
-compared, and of what looks similar as many links as connect it are kept if the Jaccard similarity, computed exactly, is SIMILAR or more.
+compared, and of what looks similar as many links as connect it are kept if the Jaccard similarity, computed exactly, is SIMILAR or more: in rounds, a document's
+most similar ones first, and later those that the links found so far do not connect with it, so groups of copies cost a few links for each.
 A pair of a similarity of 0.8 shares a band with a probability of 0.997, and has a sketch that says SKETCHED at least with one of 0.996.
 """
 
@@ -19,7 +20,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from functools import partial
+from functools import partial, reduce
 from itertools import combinations, islice
 
 import numpy as np
@@ -35,9 +36,10 @@ from tidewright.llm.components import components
 RADIUS = 3
 #: Words in a shingle and similarity of a link.
 SHINGLE, SIMILAR = 5, 0.8
-#: Words of 64 bits in a sketch, the similarity by a sketch (its standard deviation is 0.04 there) from which it is computed exactly, and that from which
-#: it is taken for granted in the choice of further links. How many links a document tries to a part of its cluster that is connected so.
-SKETCH, SKETCHED, SURE, TRIED = 4, 0.7, 0.87, 3
+#: Words of 64 bits in a sketch, and the similarity by a sketch (its standard deviation is 0.04 there) from which it is computed exactly.
+SKETCH, SKETCHED = 4, 0.7
+#: How many of the documents before it that look most similar one is compared with in the first round, and how many times as many in each further round.
+TRIED, WIDENED = 4, 8
 #: Bands, each of so many orders.
 BANDS = 32
 ORDERS = np.random.default_rng(42).integers(0, 1 << 31, (2, 64 * SKETCH), dtype=np.uint32) * np.uint32(2) + np.uint32(1)
@@ -199,39 +201,35 @@ def linked(batches: Iterator[pa.RecordBatch], radius: int = RADIUS) -> Iterator[
         yield pa.RecordBatch.from_arrays([pa.array(fp[to[joined]]), pa.array(fp[joined])], names=["a", "b"])
 
 
-def matches(sketches: np.ndarray) -> list[tuple[int, int]]:
-    """Pairs of places that connect what is similar by its sketch: of each row with each part that is surely connected before it, the best TRIED."""
-    bits = 64 * SKETCH
-    need, sure, part, out = bits * (1 + SKETCHED) / 2, bits * (1 + SURE) / 2, np.arange(len(sketches)), []
+def matches(sketches: np.ndarray, part: np.ndarray, first: int, last: int) -> tuple[list[tuple[int, int]], bool]:
+    """Pairs of places that are similar by their sketches and in different parts: of each place those before it that rank from `first` to `last` by likeness. And whether any rank lower."""
+    bits, out, more = 64 * SKETCH, [], False
     for q in range(1, len(sketches)):
         agree = bits - np.bitwise_count(sketches[:q] ^ sketches[q]).sum(axis=1, dtype=np.int64)
-        near = np.flatnonzero(agree >= need)
-        if not len(near):
-            continue
-        near = near[np.lexsort((-agree[near], part[near]))]
-        own = part[near]
-        first = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
-        known = agree[near[first]] >= sure
-        rank = np.arange(len(near)) - np.repeat(first, np.diff(np.r_[first, len(near)]))
-        tried = np.where(np.repeat(known, np.diff(np.r_[first, len(near)])), 1, TRIED)
-        out += [(int(i), q) for i in near[rank < tried]]
-        if known.any():
-            parts = own[first[known]]
-            part[: q + 1][np.isin(part[: q + 1], np.r_[parts, q])] = min(int(parts[0]), q)
-    return out
-
-
-def matched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Links (shard, a, b) between nodes of rows (shard, node, s0, s1, ...) that come sorted by shard."""
-    for shard, node, *sketches in whole_shards(batches, ("node", *(f"s{i}" for i in range(SKETCH)))):
-        sketches, first = np.stack(sketches, axis=1).view(np.uint64), np.flatnonzero(np.r_[True, shard[1:] != shard[:-1]])
-        found = [(shard[a], node[a + i], node[a + j]) for a, b in zip(first, np.r_[first[1:], len(shard)]) for i, j in matches(sketches[a:b])]
+        near = np.flatnonzero(agree >= bits * (1 + SKETCHED) / 2)
+        if len(near) > first:
+            near = near[np.argsort(-agree[near], kind="stable")]
+            apart = part[near] != part[q]
+            out += [(int(i), q) for i in near[first:last][apart[first:last]]]
+            more = more or bool(apart[last:].any())
+    return out, more
+
+
+def matched(batches: Iterator[pa.RecordBatch], first: int, last: int) -> Iterator[pa.RecordBatch]:
+    """Links (shard, a, b) between nodes of rows (shard, node, part, s0, s1, ...) that come sorted by shard; one without nodes for a shard of which more are to be tried."""
+    for shard, node, part, *sketches in whole_shards(batches, ("node", "part", *(f"s{i}" for i in range(SKETCH)))):
+        sketches, start = np.stack(sketches, axis=1).view(np.uint64), np.flatnonzero(np.r_[True, shard[1:] != shard[:-1]])
+        found: list[tuple] = []
+        for a, b in zip(start, np.r_[start[1:], len(shard)]):
+            pairs, more = matches(sketches[a:b], part[a:b], first, last)
+            found += [(int(shard[a]), int(node[a + i]), int(node[a + j])) for i, j in pairs]
+            found += [(int(shard[a]), None, None)] if more else []
         if found:
-            yield pa.RecordBatch.from_arrays([pa.array(np.array(x, dtype=np.int64)) for x in zip(*found)], names=["shard", "a", "b"])
+            yield pa.RecordBatch.from_arrays([pa.array(list(x), type=pa.int64()) for x in zip(*found)], names=["shard", "a", "b"])
 
 
-def spanning(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of links (shard, a, b) that come sorted by shard those that connect what is connected in a shard: fewer than it has nodes."""
+def connected(batches: Iterator[pa.RecordBatch], tree: bool) -> Iterator[pa.RecordBatch]:
+    """Of links (shard, a, b) that come sorted by shard, with `tree` those that connect what is connected in a shard, fewer than it has nodes; otherwise (shard, node, part) of these nodes."""
     now, parent = None, {}
 
     def find(x: int) -> int:
@@ -239,16 +237,24 @@ def spanning(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             parent[x] = x = parent[parent[x]]
         return x
 
+    def parts() -> Iterator[pa.RecordBatch]:
+        if parent and not tree:
+            rows = [(now, x, find(x)) for x in list(parent)]
+            yield pa.RecordBatch.from_arrays([pa.array(list(x), type=pa.int64()) for x in zip(*rows)], names=["shard", "node", "part"])
+
     for batch in batches:
         kept = []
         for i, (shard, a, b) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("shard", "a", "b")))):
             if shard != now:
+                yield from parts()
                 now, parent = shard, {}
             x, y = find(a), find(b)
             if x != y:
                 parent[x] = y
                 kept.append(i)
-        yield batch.take(pa.array(kept, type=pa.int64())).select(["a", "b"])
+        if tree:
+            yield batch.take(pa.array(kept, type=pa.int64())).select(["a", "b"])
+    yield from parts()
 
 
 # -- shards ---------------------------------------------------------------------------------------------------------
@@ -332,21 +338,40 @@ def similar(docs: DataFrame, text: str = "text", limit: int = SHARD) -> DataFram
 
         return run
 
+    sketched = table(map_texts(docs, sketching, fields, text, ("node",)), "sketches")
+    roots = components(band_links(sketched)).toDF("node", "cluster")
+    rows = durable(dealt(durable(sketched.join(roots, "node")), limit).withColumn("part", F.col("node")))
+    by_shard = lambda df, *then: df.repartition("shard").sortWithinPartitions("shard", *then)
+    links, first, last = [], 0, TRIED
+    while True:
+        found = durable(by_shard(rows, "node").mapInArrow(partial(matched, first=first, last=last), "shard long, a long, b long"))
+        more = durable(found.where("a is null").select("shard").distinct())
+        links.append(durable(_verified(docs, found.where("a is not null"), text)))
+        if more.isEmpty():
+            break
+        # only shards of which more are to be tried go on, with the parts that are connected by now
+        known = reduce(DataFrame.unionAll, links).join(more, "shard", "left_semi")
+        parts = by_shard(known, "a", "b").mapInArrow(partial(connected, tree=False), "shard long, node long, joined long")
+        rows = rows.join(more, "shard", "left_semi").join(parts, ["shard", "node"], "left")
+        rows = durable(rows.withColumn("part", F.coalesce("joined", "node")).drop("joined"))
+        first, last = last, last * WIDENED
+    whole = reduce(DataFrame.unionAll, links)
+    return by_shard(whole, "a", "b").mapInArrow(partial(connected, tree=True), "a long, b long").distinct()
+
+
+def _verified(docs: DataFrame, found: DataFrame, text: str) -> DataFrame:
+    """The links of `found` (shard, a, b) between rows of `docs` with a similarity of SIMILAR at least, computed from all their shingles."""
+
     def hashing():
         return lambda texts: [[shingle_hashes(t) for t in texts]]
 
-    sketched = table(map_texts(docs, sketching, fields, text, ("node",)), "sketches")
-    roots = components(band_links(sketched)).toDF("node", "cluster")
-    rows = dealt(durable(sketched.join(roots, "node")), limit).repartition("shard").sortWithinPartitions("shard", "node")
-    found = durable(rows.mapInArrow(matched, "shard long, a long, b long"))
     ends = durable(found.select(F.col("a").alias("node")).union(found.select("b")).distinct())
     hashed = table(map_texts(docs.join(ends, "node", "left_semi"), hashing, [("hashes", "array<int>")], text, ("node",)), "shingles")
     sets = lambda x: hashed.select(F.col("node").alias(x), F.col("hashes").alias(f"{x}_hashes"))
     size = lambda x: F.size(f"{x}_hashes")
     both = F.size(F.array_intersect("a_hashes", "b_hashes"))
     alike = (both >= SIMILAR * (size("a") + size("b") - both)) | ((size("a") == 0) & (size("b") == 0))
-    links = found.join(sets("a"), "a").join(sets("b"), "b").where(alike).select("shard", "a", "b")
-    return links.repartition("shard").sortWithinPartitions("shard", "a", "b").mapInArrow(spanning, "a long, b long").distinct()
+    return found.join(sets("a"), "a").join(sets("b"), "b").where(alike).select("shard", "a", "b")
 
 
 def classes(prints: DataFrame) -> DataFrame:
