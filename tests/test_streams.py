@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidewright.operators import patterns
-from tidewright.streaming import joins, state
+from tidewright.streaming import joins, state, timers
 from tidewright.streaming import patterns as stream_patterns
 
 SCHEMA = "event_id long, ts timestamp, user_id long, event_type string, value double"
@@ -25,9 +25,9 @@ def stream(spark, folder, late):
     return spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in").withWatermark("ts", late)
 
 
-def run(rows, folder, name):
+def run(rows, folder, name, **trigger):
     """Everything that a stream has given so far, over a checkpoint that the next run goes on from."""
-    rows.writeStream.format("parquet").option("path", f"{folder}/{name}").option("checkpointLocation", f"{folder}/checkpoint-{name}").outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    rows.writeStream.format("parquet").option("path", f"{folder}/{name}").option("checkpointLocation", f"{folder}/checkpoint-{name}").outputMode("append").trigger(**(trigger or {"availableNow": True})).start().awaitTermination()
     return rows.sparkSession.read.schema(rows.schema).parquet(f"{folder}/{name}")
 
 
@@ -120,3 +120,37 @@ def test_running_totals_take_null_times(spark, tmp_path):
     totals.writeStream.format("memory").queryName("null_times").outputMode("update").trigger(availableNow=True).start().awaitTermination()
     got = {r.user_id: (r.n, r.total) for r in spark.table("null_times").where("not closed").collect()}
     assert got == {1: (2, 5.0), 2: (1, 0.0)}
+
+
+@pytest.fixture
+def rocks(spark):
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name)
+    timers.stores(spark)
+    yield
+    spark.conf.set(name, before)
+
+
+def test_baskets_of_a_stream_that_is_restarted(spark, tmp_path, shuffled, rocks):
+    parts, end = shuffled
+    files(spark, tmp_path, parts[0], parts[1])
+    found = lambda: timers.abandoned_stream(stream(spark, tmp_path, "1 hour"), 30)
+    first = run(found(), tmp_path, "baskets").count()
+    files(spark, tmp_path, parts[2], spark.createDataFrame([(10_000, end + timedelta(hours=30), 99, "click", 1.0), (10_001, None, 1, "click", 1.0), (10_002, end, None, "click", 1.0)], SCHEMA), spark.createDataFrame([(10_003, end + timedelta(hours=31), 99, "click", 1.0)], SCHEMA))
+    got = [tuple(r) for r in run(found(), tmp_path, "baskets").collect()]
+    whole = parts[0].union(parts[1]).union(parts[2])
+    want = [tuple(r) for r in timers.abandoned_baskets(whole, 30).select("user_id", "first_click", "last_click", "n_clicks", "nth").collect()]
+    assert 0 < first < len(got) and sorted(got) == sorted(want) and max(r[3] for r in got) > 1
+
+
+def test_state_lives_for_its_time(spark, tmp_path, rocks):
+    def run_twice(ttl, name):
+        seen = []
+        for _ in range(2):
+            files(spark, tmp_path / name, spark.createDataFrame([(i, BEGIN, i % 3, "a", 1.0) for i in range(9)], SCHEMA))
+            rows = spark.readStream.schema(SCHEMA).parquet(f"{tmp_path}/{name}/in").select("user_id", "value")
+            seen.append(run(timers.first_seen(rows, "user_id", ttl), tmp_path / name, "out", once=True).count())  # state by processing time asks for ever more batches
+        return seen
+
+    assert run_twice(3_600_000, "long") == [3, 3]
+    assert run_twice(1, "short") == [3, 6]
