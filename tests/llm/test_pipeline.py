@@ -87,3 +87,18 @@ def test_clean_texts_stay_with_many_languages(spark, data):
     scores = [r.score for r in language.predict(docs, language.train(*language.sample(docs))).where("doc_id > 0").collect()]
     assert max(scores) < 0.2  # below the score that four languages never reach
     assert sorted(r.doc_id for r in corpus_pipeline.keep_languages(spark, docs, data).collect()) == list(range(1, 120))
+
+
+def test_threads_release_their_own_tables(spark):
+    """One thread's release leaves another's tables, which are still to be read."""
+    from threading import Thread
+
+    held = []
+    before = common.written()
+    common.table(spark.range(3), "mine")
+    other = Thread(target=lambda: held.append(common.table(spark.range(5), "other")))
+    other.start()
+    other.join()
+    assert common.written() == before + 1
+    common.release(spark, before)
+    assert common.written() == before and held[0].count() == 5

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import tempfile
+import threading
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -150,14 +151,20 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-#: Folders that table() has written and release() has not deleted.
-_written: list[str] = []
+#: Folders that table() has written and release() has not deleted, of each thread of the driver for itself.
+_threads = threading.local()
+
+
+def _written() -> list[str]:
+    if not hasattr(_threads, "written"):
+        _threads.written = []
+    return _threads.written
 
 
 def table(df: DataFrame, name: str) -> DataFrame:
     """`df` written as compressed Parquet in the shared folder and read again; for what is large. It stays until release()."""
     path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    _written.append(path)
+    _written().append(path)
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
@@ -169,14 +176,14 @@ def delete(spark: SparkSession, path: str) -> None:
 
 
 def written() -> int:
-    """How many tables stand in the shared folder now, for release()."""
-    return len(_written)
+    """How many tables of this thread stand in the shared folder now, for release()."""
+    return len(_written())
 
 
 def release(spark: SparkSession, since: int = 0) -> None:
-    """Deletes the tables written by operators since written() was `since`. What rests on them must have been read or saved before."""
-    while len(_written) > since:
-        delete(spark, _written.pop())
+    """Deletes the tables written by operators in this thread since written() was `since`. What rests on them must have been read or saved before."""
+    while len(_written()) > since:
+        delete(spark, _written().pop())
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
