@@ -11,8 +11,8 @@ Out of a shard come the links that join its connected fingerprints, fewer than i
 
 `one_of_each_group` goes on from the classes so found. The documents that stay are sketched by the least hashes of their five-word
 shingles in 256 orders; documents that agree in all least hashes of one of 32 bands of orders make clusters. In a cluster sketches are
-compared, and of what looks similar as many links as connect it are kept if the Jaccard similarity, computed exactly, is SIMILAR or more: in rounds, a document's
-most similar ones first, and later those that the links found so far do not connect with it, so groups of copies cost a few links for each.
+compared, and of what looks similar as many links as connect it are kept if the Jaccard similarity, computed exactly, is SIMILAR or more: in two rounds, a document's
+most similar ones first, and then those that the links found so far do not connect with it, so groups of copies cost a few links for each.
 A pair of a similarity of 0.8 shares a band with a probability of 0.997, and has a sketch that says SKETCHED at least with one of 0.996.
 """
 
@@ -38,8 +38,8 @@ RADIUS = 3
 SHINGLE, SIMILAR = 5, 0.8
 #: Words of 64 bits in a sketch, and the similarity by a sketch (its standard deviation is 0.04 there) from which it is computed exactly.
 SKETCH, SKETCHED = 4, 0.7
-#: How many of the documents before it that look most similar one is compared with in the first round, and how many times as many in each further round.
-TRIED, WIDENED = 4, 8
+#: How many of the documents before it that look most similar one is compared with in the first round; in the second with all others that aren't connected with it by then.
+TRIED, ALL = 4, 1 << 40
 #: Bands, each of so many orders.
 BANDS = 32
 ORDERS = np.random.default_rng(42).integers(0, 1 << 31, (2, 64 * SKETCH), dtype=np.uint32) * np.uint32(2) + np.uint32(1)
@@ -354,7 +354,7 @@ def similar(docs: DataFrame, text: str = "text", limit: int = SHARD) -> DataFram
         parts = by_shard(known, "a", "b").mapInArrow(partial(connected, tree=False), "shard long, node long, joined long")
         rows = rows.join(more, "shard", "left_semi").join(parts, ["shard", "node"], "left")
         rows = durable(rows.withColumn("part", F.coalesce("joined", "node")).drop("joined"))
-        first, last = last, last * WIDENED
+        first, last = last, ALL
     whole = reduce(DataFrame.unionAll, links)
     return by_shard(whole, "a", "b").mapInArrow(partial(connected, tree=True), "a long, b long").distinct()
 
