@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tidewright.operators.ordered import dominated
+from tidewright.session import durable
 from tidewright.sources import table
 
 #: Rows of a key from which an as-of join cuts it into cells.
@@ -183,13 +185,46 @@ def events_near_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return range_join(events.select("event_id", "s"), errors, F.col("s"), F.col("low"), F.col("high"), 120.0).groupBy("error_id").agg(F.count("*").alias("n"))
 
 
+def overlap_counts(left: DataFrame, right: DataFrame, key: str, left_ends: tuple[str, str], right_ends: tuple[str, str], who: str, rows: str = "n_rows", whos: str = "n_whos", width: float = 3.6e9) -> DataFrame:
+    """For each `key` of `left` that overlaps with a row of `right` (both ends included, whole numbers), the number of pairs and that of different `who` among them, without making the pairs.
+
+    Ranges of one `who` must not overlap with each other. Then of its ranges that meet another one, each but the first follows the one before, so different `who` are ranges less
+    neighbours that both meet it. Ranges that meet (low, high) begin at high or before and end at low or after, and such neighbours have the first end and the second begin
+    there: both are sums over points before and above (see dominated). A key with several different ranges can meet a `who` at one of them or at many, so for those keys
+    alone pairs are made, by overlap_join. Null ends match nothing; a null `who` is a row of a pair, and none of the `who`.
+    """
+    (low, high), (begin, end) = (tuple(map(F.col, ends)) for ends in (left_ends, right_ends))
+    of = Window.partitionBy(who).orderBy(begin, end)
+    last = F.when(F.col(who).isNotNull(), F.lag(end).over(of))
+    known = right.where(begin.isNotNull() & end.isNotNull()).select(who, begin, end, last.alias("__last"))
+    ends = left.where(low.isNotNull() & high.isNotNull())
+    by_key = durable(ends.groupBy(key).agg(F.count("*").alias("__m"), F.min(F.struct(low.alias("low"), high.alias("high"))).alias("__one"), F.max(F.struct(low.alias("low"), high.alias("high"))).alias("__other")))
+    # a point counts if it has x at most the question's and y at least: doubled, so that it is before and above
+    point = lambda x, y, n, w: F.struct((2 * x).cast("long").alias("x"), (2 * y + 1).cast("long").alias("y"), F.lit(n).cast("long").alias("n"), w.cast("long").alias("w"))
+    made = known.select(F.explode(F.filter(F.array(point(begin, end, 1, F.col(who).isNotNull()), point(begin, F.col("__last"), 0, F.lit(-1))), lambda p: p["y"].isNotNull())).alias("p"))
+    one = by_key.where("__one = __other").select(key, "__m", F.lit(True).alias("asks"), (2 * F.col("__one.high") + 1).cast("long").alias("x"), (2 * F.col("__one.low")).cast("long").alias("y"))
+    rows_of = durable(made.select("p.*").unionByName(one, allowMissingColumns=True))
+    counts = dominated(rows_of, [key, "__m"], "x", "y", ["n", "w"], "asks").where("n > 0").select(key, (F.col("n") * F.col("__m")).alias(rows), F.col("w").alias(whos))
+    many = by_key.where("__one <> __other").select(F.col(key).alias("__many"))
+    if many.isEmpty():
+        return counts
+    several = ends.join(many, F.col(key).eqNullSafe(F.col("__many")), "left_semi").select(F.col(key), low.alias("__low"), high.alias("__high"), F.least(low, high).alias("__from"), F.greatest(low, high).alias("__to"))
+    pairs = overlap_join(several, known.select(who, begin, end), ("__from", "__to"), right_ends, width).where((F.col("__low") <= end) & (begin <= F.col("__high")))
+    return counts.unionByName(pairs.groupBy(key).agg(F.count("*").alias(rows), F.count_distinct(who).alias(whos)))
+
+
 def sessions_during_incidents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """For each error an hour of disturbance for every tenth of its value: the sessions of users that overlap with it."""
+    """For each error an hour of disturbance for every tenth of its value: the sessions of users that overlap with it, counted without making pairs.
+
+    A pause of 30 minutes ends a session; session_window would end it by a longer one only.
+    """
     events = table(spark, sf_dir, "events").withColumn("us", F.unix_micros(F.col("ts").cast("timestamp")))
-    gap = F.session_window(F.col("ts").cast("timestamp"), "30 minutes")
-    sessions = events.groupBy("user_id", gap).agg(F.min("us").alias("begin"), F.max("us").alias("end")).select("user_id", "begin", "end")
     incidents = events.where("event_type = 'error'").select(F.col("event_id").alias("incident"), F.col("us").alias("low"), (F.col("us") + F.floor(F.col("value") * 10) * 36_000_000).alias("high"))
-    return overlap_join(incidents, sessions, ("low", "high"), ("begin", "end"), 3.6e9).groupBy("incident").agg(F.count("*").alias("n_sessions"), F.count_distinct("user_id").alias("n_users"))
+    of = Window.partitionBy("user_id").orderBy("us")
+    fresh = F.when(F.col("us") - F.lag("us").over(of) < 1_800_000_000, 0).otherwise(1)
+    numbered = events.where("us is not null").select("user_id", "us", fresh.alias("fresh")).withColumn("s", F.sum("fresh").over(of.rowsBetween(Window.unboundedPreceding, 0)))
+    sessions = numbered.groupBy("user_id", "s").agg(F.min("us").alias("begin"), F.max("us").alias("end")).select("user_id", "begin", "end")
+    return overlap_counts(incidents, sessions, "incident", ("low", "high"), ("begin", "end"), "user_id", "n_sessions", "n_users")
 
 
 QUERIES = {

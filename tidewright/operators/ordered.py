@@ -10,6 +10,8 @@ from __future__ import annotations
 import math
 from decimal import Decimal
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -79,6 +81,95 @@ def ranks(df: DataFrame, column: str, cells: int | None = None) -> DataFrame:
     return df.join(found, F.col(column).eqNullSafe(F.col("__value")), "left").drop("__value")
 
 
+def _drawn(df: DataFrame, column: str, cells: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Different bounds that cut `df` of `n` rows into at most `cells` parts of about one size, and which of them are values of about a part or more; the driver sees SAMPLE rows for each."""
+    keys, share = df.select(column), SAMPLE * cells / max(n, 1)
+    drawn = np.sort((keys if share >= 1 else keys.sample(fraction=share, seed=42)).toArrow()[column].to_numpy())
+    found, times = np.unique(drawn[[len(drawn) * i // cells for i in range(cells)]] if len(drawn) else drawn, return_counts=True)
+    return found, times > 1
+
+
+def _halves(values: np.ndarray, found: np.ndarray, often: np.ndarray) -> np.ndarray:
+    """Cells by bounds, two for each: an even number for the bound's very value if many rows have it, an odd one for the others. NaN is the greatest value."""
+    if not len(found):
+        return np.ones(len(values), dtype=np.int64)
+    at = np.searchsorted(found, values, side="right")
+    bound = found[at - 1]
+    return 2 * at + 1 - ((at > 0) & often[at - 1] & ((bound == values) | ((bound != bound) & (values != values)))).astype(np.int64)
+
+
+def _sums_before_above(x: np.ndarray, y: np.ndarray, weights: list[np.ndarray]) -> list[np.ndarray]:
+    """For each of m places the sums of weights at places of smaller x and greater y, in m log m steps.
+
+    In order of x, places are parted by the bits of their rank by y, the highest first; where two of a part go apart, the lower one takes what is
+    before it among the upper ones. Equal values are ranked so that neither counts for the other.
+    """
+    m = len(x)
+    xs, ys = (np.unique(v, return_inverse=True)[1] for v in (x, y))
+    at = np.lexsort((ys, xs))
+    rank = np.empty(m, dtype=np.int64)
+    rank[np.argsort(ys[at], kind="stable")] = np.arange(m)
+    here, ws, out = np.arange(m), [np.asarray(w, dtype=np.int64)[at] for w in weights], [np.zeros(m, dtype=np.int64) for _ in weights]
+    for b in reversed(range(max(m - 1, 0).bit_length())):
+        upper, start = (rank >> b) & 1, (rank >> (b + 1)) << (b + 1)
+        before = lambda v: (c := np.concatenate(([0], np.cumsum(v))))[here] - c[start]  # noqa: B023, E731
+        ones, low = before(upper), upper == 0
+        to = np.where(low, here - ones, start + (1 << b) + ones)
+        for w, sums in zip(ws, out, strict=True):
+            sums[at[low]] += before(w * upper)[low]
+        moved = [np.empty_like(v) for v in (rank, at, *ws)]
+        for v, old in zip(moved, (rank, at, *ws), strict=True):
+            v[to] = old
+        rank, at, *ws = moved
+    return out
+
+
+def dominated(df: DataFrame, keys: list[str], x: str, y: str, sums: list[str], asks: str | None = None, cells: int | None = None) -> DataFrame:
+    """For each `keys` of the rows of `df` that ask (a boolean column; all, if None), the `sums` (columns of whole numbers) over all rows with a smaller `x` and a greater `y`.
+
+    Pairs are not made. Both columns are cut into cells of about ROWS rows by bounds from a bounded sample. Whole cells before and above are summed over the grid of
+    cells; within one cell of x, and within one of y for cells of x before, a task sums up m rows in m log m steps. So rows are shuffled twice, and work goes as n log n.
+    A value that many rows share has a cell to itself, in which nothing is before or above anything. Rows with a null in either column have 0 and count for
+    none; NaN is the greatest value. Asking rows with equal keys are added up, a null key is one too. `df` is read several times.
+    """
+    c = lambda name: F.col(name)
+    named = df.select(*[c(k).alias(f"__k{i}") for i, k in enumerate(keys)], c(x).alias("__x"), c(y).alias("__y"), *[F.coalesce(c(s).cast("long"), F.lit(0).cast("long")).alias(f"__w{i}") for i, s in enumerate(sums)], (F.coalesce(c(asks), F.lit(False)) if asks else F.lit(True)).alias("__asks"))
+    ks, ws = [f"__k{i}" for i in range(len(keys))], [f"__w{i}" for i in range(len(sums))]
+    known = named.where("__x is not null and __y is not null")
+    n = known.count()
+    cells = cells or max(df.sparkSession.sparkContext.defaultParallelism, math.ceil(n / ROWS))
+    cuts = {f"__c{v}": (f"__{v}", *_drawn(known, f"__{v}", cells, n)) for v in "xy"}
+    nx, ny = (2 * len(found) + 2 for _, found, _ in cuts.values())
+
+    def placed(batches):
+        for batch in batches:
+            at = [pa.array(_halves(batch.column(v).to_numpy(zero_copy_only=False), found, often)) for v, found, often in cuts.values()]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *at], names=[*batch.schema.names, *cuts])
+
+    points = known.mapInArrow(placed, T.StructType([*known.schema, *[T.StructField(c, T.LongType()) for c in cuts]]))
+    # whole cells: sums over what is above in the same cell of x, then over what is before
+    grid = points.groupBy("__cx", "__cy").agg(*[F.sum(w).alias(w) for w in ws])
+    dense = df.sparkSession.range(nx * ny).select(F.floor(c("id") / ny).alias("__cx"), (c("id") % ny).alias("__cy")).join(grid, ["__cx", "__cy"], "left")
+    above, before = (Window.partitionBy(p).orderBy(o).rowsBetween(Window.unboundedPreceding, -1) for p, o in (("__cx", F.desc("__cy")), ("__cy", F.asc("__cx"))))
+    zero = F.lit(0).cast("long")
+    whole = dense.select("__cx", "__cy", *[F.coalesce(F.sum(w).over(above), zero).alias(w) for w in ws])
+    whole = whole.select("__cx", "__cy", *[F.coalesce(F.sum(w).over(before), zero).alias(f"__s{i}") for i, w in enumerate(ws)])
+    found = [f"__s{i}" for i in range(len(sums))]
+    parts = points.where("__asks").select(*ks, "__cx", "__cy").join(whole, ["__cx", "__cy"]).select(*ks, *found)
+    # one cell of x, or of y
+    schema = T.StructType([*[known.schema[k] for k in ks], *[T.StructField(s, T.LongType()) for s in found]])
+
+    def within(rows: pa.Table) -> pa.Table:
+        got = _sums_before_above(rows["__x"].to_numpy(), rows["__y"].to_numpy(), [rows[w].to_numpy() for w in ws])
+        some = rows["__asks"].to_numpy() & np.any([g != 0 for g in got], axis=0)
+        return pa.table([*[rows[k].filter(pa.array(some)) for k in ks], *[pa.array(g[some]) for g in got]], names=[*ks, *found])
+
+    column = points.where("__cx % 2 = 1").drop("__cy").groupBy("__cx").applyInArrow(within, schema)
+    line = points.where("__cy % 2 = 1").drop("__x").withColumnRenamed("__cx", "__x").groupBy("__cy").applyInArrow(within, schema)
+    none = named.where("__asks and (__x is null or __y is null)").select(*ks, *[zero.alias(s) for s in found])
+    return parts.unionAll(column).unionAll(line).unionAll(none).groupBy(*[c(k).alias(name) for k, name in zip(ks, keys, strict=True)]).agg(*[F.sum(s).alias(name) for s, name in zip(found, sums, strict=True)])
+
+
 def dominators(df: DataFrame, key: str, x: str, y: str, cells: int | None = None) -> DataFrame:
     """For each `key` of `df` the number n of rows with a smaller `x` and a greater `y`: an inequality join with no key, counted.
 
