@@ -38,3 +38,25 @@ def test_groups_beside_one_that_is_large(spark):
     df = spark.range(5000).selectExpr("if(id % 100 = 0, id, -1) as k", "cast(id as double) as v")
     got = {r.k: r.median for r in quantiles.quantiles(df, "k", "v", {"median": 0.5}, whole=100).collect()}
     assert len(got) == 51 and got[300] == 300.0 and got[-1] == 2500.0
+
+
+def test_rows_of_large_groups_are_not_brought_together_by_key(spark, monkeypatch):
+    """Also where nothing is small enough to be broadcast by itself."""
+    plans = []
+    monkeypatch.setattr(quantiles, "durable", lambda df: (plans.append(df), kept(df))[1])
+    kept = lambda df: df.checkpoint(eager=True)
+    from tidewright.session import shared_folder
+
+    shared_folder(spark)
+    df = spark.range(6000).selectExpr("if(id % 100 = 0, id, -1) as k", "cast(id as double) as v")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = quantiles.quantiles(df, "k", "v", {"median": 0.5}, whole=100)
+        texts = [d._jdf.queryExecution().optimizedPlan().toString() for d in [*plans, got]]
+        values = {r.k: r.median for r in got.collect()}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert values[-1] == 3000.0 and values[300] == 300.0
+    joins = [line for text in texts for line in text.splitlines() if "Join" in line and ("__row" in line or "__large" in line or "LeftSemi" in line)]
+    assert len(joins) >= 3 and all("strategy=broadcast" in line for line in joins)

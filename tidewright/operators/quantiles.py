@@ -21,7 +21,8 @@ def quantiles(df: DataFrame, by: str, column: str, shares: dict[str, float], who
     Groups of at most `whole` values are sorted in one buffer each. Larger ones are not brought together: the values of the two ranks around each share are
     found by passes: a quantile sketch (combined before the shuffle) names two values around the rank, and an exact count of what lies below, between and at these tells
     whether one of them is it, or which interval to go on with, mostly that between them, a fifteenth of the values before. An interval of at most `whole` values is
-    sorted in one buffer. After the first pass only rows in such intervals are read. Nulls and NaN are left out, a group of nothing else has nulls, infinite values
+    sorted in one buffer. After the first pass only rows in such intervals are read. Rows are never shuffled by key, as a few large groups would be as many tasks: large groups, of
+    which there are n by `whole` at most, and their intervals, two a share at most, are broadcast. Nulls and NaN are left out, a group of nothing else has nulls, infinite values
     count as the greatest finite ones. A null key is a group.
     """
     rows = df.select(F.col(by).alias("__by"), F.nanvl(F.col(column).cast("double"), F.lit(None).cast("double")).alias("__v"))
@@ -31,7 +32,7 @@ def quantiles(df: DataFrame, by: str, column: str, shares: dict[str, float], who
     at = {name: F.percentile("__v", share).alias(name) for name, share in shares.items()}
     if large.isEmpty():
         return rows.groupBy("__by").agg(*at.values()).withColumnRenamed("__by", by)
-    small = rows.join(large.select(F.col("__by").alias("__large"), F.lit(True).alias("__is")), F.col("__by").eqNullSafe(F.col("__large")), "left")
+    small = rows.join(F.broadcast(large.select(F.col("__by").alias("__large"), F.lit(True).alias("__is"))), F.col("__by").eqNullSafe(F.col("__large")), "left")
     small = small.where("__is is null").groupBy("__by").agg(*at.values())
     return small.unionByName(_narrowed(rows, large, shares, whole)).withColumnRenamed("__by", by)
 
@@ -48,7 +49,7 @@ def _narrowed(rows: DataFrame, groups: DataFrame, shares: dict[str, float], whol
 
     def inside(intervals: DataFrame) -> DataFrame:
         """Rows (__v) in `intervals`, which are open."""
-        return rows.withColumnRenamed("__by", "__row").join(intervals, F.col("__row").eqNullSafe(F.col("__by")) & (F.col("__v") > F.col("__lo")) & (F.col("__v") < F.col("__hi")))
+        return rows.withColumnRenamed("__by", "__row").join(F.broadcast(intervals), F.col("__row").eqNullSafe(F.col("__by")) & (F.col("__v") > F.col("__lo")) & (F.col("__v") < F.col("__hi")))
 
     done, open_ = targets.limit(0), targets
     while not open_.isEmpty():
@@ -75,7 +76,7 @@ def _narrowed(rows: DataFrame, groups: DataFrame, shares: dict[str, float], whol
         found = durable(ready.unionByName(moved))
         done, open_ = done.unionByName(found.where("__value is not null")), found.where("__value is null")
         kept = of(open_.select(*interval).distinct())
-        rows = durable(rows.join(kept, F.col("__by").eqNullSafe(F.col("__of")) & (F.col("__v") > F.col("__from")) & (F.col("__v") < F.col("__to")), "left_semi"))
+        rows = durable(rows.join(F.broadcast(kept), F.col("__by").eqNullSafe(F.col("__of")) & (F.col("__v") > F.col("__from")) & (F.col("__v") < F.col("__to")), "left_semi"))
     values = done.groupBy("__by").agg(F.map_from_entries(F.collect_list(F.struct("__rank", "__value"))).alias("__at"))  # two entries for each share
     found = groups.select(F.col("__by").alias("__of"), "__n").join(values, F.col("__by").eqNullSafe(F.col("__of")))
     value = lambda rank: F.element_at("__at", rank)
