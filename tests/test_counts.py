@@ -58,3 +58,33 @@ def test_sums_before_and_above(m):
     over = lambda a, b: (a > b) | ((a != a) & (b == b))
     for w, got in zip(ws, ordered._sums_before_above(x, y, ws), strict=True):
         assert got.tolist() == [int(w[(x < x[i]) & over(y, y[i])].sum()) for i in range(m)]
+
+
+def test_dominators_make_no_pairs_within_a_cell(spark):
+    """All joins are with whole cells, by both of their numbers: even one cell that holds everything is summed up without pairs."""
+    rows = [(i, i * 7919 % 20_011, float(i * 104_729 % 20_021)) for i in range(20_000)]
+    got = ordered.dominators(spark.createDataFrame(rows, "id int, x int, y double"), "id", "x", "y", 1)
+    lines = [line for line in plan(got).splitlines() if "Join [" in line]
+    assert lines and all("cx" in keys and "cy" in keys for line in lines for keys in line.split("Join [")[1].split("], [")[:2])
+    x, y = (np.array(c) for c in list(zip(*rows, strict=True))[1:])
+    found = {r.id: r.n for r in got.collect()}
+    assert len(found) == 20_000 and all(found[i] == int(((x < x[i]) & (y > y[i])).sum()) for i in range(0, 20_000, 37))
+
+
+@pytest.mark.parametrize("cells", [None, 5])
+def test_dominators_of_frequent_values_nan_and_texts(spark, cells):
+    rng = random.Random(6)
+    rows = [(rng.choice([None, i, 7]), rng.choice(["b"] * 20 + ["a", "c", "é", "\U0001f600", None]), rng.choice([1.5] * 20 + [float("nan"), -0.0, 0.0, float("inf"), None])) for i in range(800)]
+    got = {r.id: r.n for r in ordered.dominators(spark.createDataFrame(rows, "id int, x string, y double"), "id", "x", "y", cells).collect()}
+    known = [(x.encode(), (y != y, 0.0 if y != y else y)) for _, x, y in rows if x is not None and y is not None]
+    want = {}
+    for i, x, y in rows:
+        here = x is not None and y is not None
+        want[i] = want.get(i, 0) + (sum(a < x.encode() and b > (y != y, 0.0 if y != y else y) for a, b in known) if here else 0)
+    assert got == want
+
+
+def test_a_frequent_value_has_a_cell_to_itself():
+    often = np.array([True, False, True])
+    got = ordered._halves(np.array([-1.0, 0.0, 1.0, 2.0, 3.0, float("nan")]), np.array([0.0, 2.0, float("nan")]), often)
+    assert got.tolist() == [1, 2, 3, 5, 5, 6]

@@ -171,32 +171,11 @@ def dominated(df: DataFrame, keys: list[str], x: str, y: str, sums: list[str], a
 
 
 def dominators(df: DataFrame, key: str, x: str, y: str, cells: int | None = None) -> DataFrame:
-    """For each `key` of `df` the number n of rows with a smaller `x` and a greater `y`: an inequality join with no key, counted.
+    """For each `key` of `df` the number n of rows with a smaller `x` and a greater `y`: an inequality join with no key, counted (see dominated).
 
-    Both columns are cut into about the root of n cells by rank. Whole cells before and above are counted as one, by sums over the grid; only rows of
-    one cell of x, or of one of y, are compared, 2 m rows at most for a row if m is n by the cells. A value that many rows share has a cell to itself, in which
-    nothing need be compared. So work goes as n to the power 1.5. Rows with a null (or NaN, for y) in either column have 0 and count for none.
+    Rows with a null in either column have 0 and count for none; NaN is the greatest value, as in comparisons.
     """
-    known = df.select(F.col(key).alias("__k"), F.col(x).alias("__x"), F.col(y).alias("__y")).where("__x is not null and __y is not null")
-    n = known.count()
-    m = math.ceil(n / (cells or math.ceil(math.sqrt(n)))) if n else 1
-    place = lambda d, c: ranks(d, f"__{c}").withColumn(f"__c{c}", 2 * F.floor((F.col("rank") - 1) / m) + (F.col("n_ties") > m).cast("long")).drop("rank", "dense_rank", "cume_dist", "n_ties")
-    points = durable(place(place(known, "x"), "y"))
-    # whole cells: sums over what is above in the same cell of x, then over what is before
-    grid = points.groupBy("__cx", "__cy").agg(F.count("*").alias("c"))
-    lines = [r[0] for r in points.select("__cy").distinct().collect()]  # about the root of n, twice at most
-    dense = grid.groupBy("__cx").agg(F.map_from_entries(F.collect_list(F.struct("__cy", "c"))).alias("own")).select("__cx", "own", F.explode(F.array(*[F.lit(v) for v in lines]).cast("array<bigint>")).alias("__cy"))
-    dense = dense.select("__cx", "__cy", F.coalesce(F.element_at("own", F.col("__cy")), F.lit(0).cast("long")).alias("c"))
-    above = dense.withColumn("s", F.coalesce(F.sum("c").over(Window.partitionBy("__cx").orderBy(F.desc("__cy")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0).cast("long")))
-    whole = above.withColumn("n", F.coalesce(F.sum("s").over(Window.partitionBy("__cy").orderBy("__cx").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0).cast("long"))).select("__cx", "__cy", "n")
-    parts = points.join(whole, ["__cx", "__cy"]).select("__k", "n")
-    # one cell of x, or of y
-    a = points.select(F.col("__x").alias("ax"), F.col("__y").alias("ay"), F.col("__cx").alias("acx"), F.col("__cy").alias("acy"))
-    one = lambda joined: joined.groupBy("__k").agg(F.count("*").alias("n"))
-    column = one(points.where("__cx % 2 = 0").join(a.where("acx % 2 = 0"), (F.col("acx") == F.col("__cx")) & (F.col("ax") < F.col("__x")) & (F.col("ay") > F.col("__y"))))
-    line = one(points.where("__cy % 2 = 0").join(a.where("acy % 2 = 0"), (F.col("acy") == F.col("__cy")) & (F.col("acx") < F.col("__cx")) & (F.col("ay") > F.col("__y"))))
-    none = df.where(F.col(x).isNull() | F.col(y).isNull()).select(F.col(key).alias("__k"), F.lit(0).cast("long").alias("n"))
-    return parts.unionAll(column).unionAll(line).unionAll(none).groupBy(F.col("__k").alias(key)).agg(F.sum("n").alias("n"))
+    return dominated(df.select(key, x, y, F.lit(1).alias("n")), [key], x, y, ["n"], cells=cells)
 
 
 def running_sales(spark: SparkSession, sf_dir: str) -> DataFrame:
